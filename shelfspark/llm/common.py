@@ -8,10 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.shipping import ship
+
 #: One or more of the six ASCII white-space characters; words are what stands between.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,7 +60,7 @@ def text_or_empty(name: str = "text") -> Column:
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch, each with at most so many bytes of text or a single row."""
     column = batch.column(batch.schema.get_field_index(text))
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(column).fill_null(0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64))
     start, before = 0, 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
@@ -76,6 +79,7 @@ def with_arrow(df: DataFrame, text: str, fields: list[T.StructField], make: Call
     names = [f.name for f in kept]
     schema = T.StructType(kept + fields)
     read = df.select(*dict.fromkeys([*names, text]))
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()

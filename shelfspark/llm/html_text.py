@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import texts_of, with_arrow
+from shelfspark.llm.common import ship, texts_of, with_arrow
 
 #: Pages that weights are learned from at most; the sample follows the hash of the page's id.
 MAX_PAGES = 2000
@@ -205,6 +205,7 @@ def label_counts(page: str | None) -> Counter:
 
 def fit(df: DataFrame, key: str = "page_id", text: str = "html", max_pages: int = MAX_PAGES) -> dict[str, float]:
     """Weights from the labelled ones of at most max_pages pages, those first by the hash of their ids."""
+    ship(df.sparkSession)
     ids = df.select(key).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(max_pages)
     sample = df.join(F.broadcast(ids.distinct()), key, "left_semi").select(text)  # max_pages ids at most
 
