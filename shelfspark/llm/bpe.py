@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from shelfspark.llm.common import documents, texts_of, with_arrow
 
 #: Entries that a memory of pieces or of token pairs holds before it starts anew.
-PIECES, PAIRS = 150_000, 400_000
+PIECES, PAIRS = 250_000, 500_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -44,13 +44,15 @@ class Codec:
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, array] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         made = {t for t, r in ranks.items() if self.halve(t, r)}  # others never come out of merges
         self.automaton = ahocorasick.Automaton()
-        self.shorter: dict[int, int] = {}
+        top = max(self.bytes_of) + 1
+        self.shorter = [-1] * top
+        self.size = [len(self.bytes_of.get(r, b"")) for r in range(top)]
         for t in made:
-            self.automaton.add_word(t.decode("latin-1"), (ranks[t], len(t)))
+            self.automaton.add_word(t.decode("latin-1"), (ranks[t], len(t) - 1))
             self.shorter[ranks[t]] = next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in made), -1)
         self.automaton.make_automaton()
 
@@ -72,7 +74,7 @@ class Codec:
         Undoes the merges of both, latest first. At each moment one token of a ends at the border and
         one of b begins there; had their own merge come before the one just undone, it would have won.
         """
-        key, before = (a, b), 1 << 40
+        key, before = a << 20 | b, 1 << 40
         while True:
             joint = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
             if joint is not None and joint < before:
@@ -97,27 +99,37 @@ class Codec:
             return [whole]
         longest = [0] * len(data)
         for end, (rank, n) in self.automaton.iter(data.decode("latin-1")):
-            longest[end - n + 1] = rank  # ends only grow: the last to be set is the longest
+            longest[end - n] = rank  # ends only grow: the last to be set is the longest
+        known, size, shorter, fits = self.pairs, self.size, self.shorter, self.fits
+        all_of = len(data)
         out: list[int] = []
-        known, size = self.pairs, self.bytes_of
-        given_up = bytearray(len(data) + 1)
-        at, token = 0, longest[0]
-        while at < len(data):
-            end = at + len(size[token])
-            if not given_up[end] and (not out or (self.fits(out[-1], token) if (fit := known.get((out[-1], token))) is None else fit)):
-                out.append(token)
-                at = end
-                if at < len(data):
-                    token = longest[at]
-                continue
-            token_shorter = self.shorter[token]
+        given_up = None
+        at, last, token = 0, -1, longest[0]
+        while True:
+            end = at + size[token]
+            if given_up is None or not given_up[end]:
+                if last < 0:
+                    fit = True
+                else:
+                    fit = known.get(last << 20 | token)
+                    if fit is None:
+                        fit = fits(last, token)
+                if fit:
+                    out.append(token)
+                    if end == all_of:
+                        return out
+                    at, last, token = end, token, longest[end]
+                    continue
+            token_shorter = shorter[token]
             if token_shorter >= 0:
                 token = token_shorter
                 continue
+            if given_up is None:
+                given_up = bytearray(all_of + 1)
             given_up[at] = 1
             token = out.pop()
-            at -= len(size[token])
-        return out
+            at -= size[token]
+            last = out[-1] if out else -1
 
     def encode(self, text: str | None) -> array:
         out = array("i")
@@ -130,7 +142,7 @@ class Codec:
                     if len(known) >= PIECES:
                         known.clear()
                     known[piece] = ids
-            out += ids
+            out += ids  # extends in place
         return out
 
 
@@ -146,20 +158,24 @@ def _codec(raw: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-_tables: dict[int, dict[int, bytes]] = {}
+_tables: dict[int, list[bytes | None]] = {}
 
 
-def _table(raw: bytes) -> dict[int, bytes]:
+def _table(raw: bytes) -> list[bytes | None]:
+    """The bytes of each id, for each Python worker once."""
     if hash(raw) not in _tables:
+        by = {r: t for t, r in read_ranks(raw).items()}
         _tables.clear()
-        _tables[hash(raw)] = {r: t for t, r in read_ranks(raw).items()}
+        _tables[hash(raw)] = [by.get(r) for r in range(max(by) + 1)]
     return _tables[hash(raw)]
 
 
-def joined(ids: list[int] | None, table: dict[int, bytes]) -> bytes | None:
+def joined(ids: np.ndarray, table: list[bytes | None]) -> bytes | None:
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(table)):
+        return None
     try:
-        return None if ids is None else b"".join(map(table.__getitem__, ids))
-    except KeyError:
+        return b"".join(map(table.__getitem__, ids.tolist()))
+    except TypeError:  # a gap in the vocabulary
         return None
 
 
@@ -200,8 +216,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", ke
         table = _table(sent.value)
 
         def compute(batch: pa.RecordBatch):
-            rows = batch.column(batch.schema.get_field_index(ids))
-            return [pa.array([joined(x.as_py(), table) for x in rows], pa.binary())]
+            rows = batch.column(ids)
+            valid = rows.is_valid().to_pylist()
+            offsets = rows.offsets.to_pylist()
+            flat = rows.values.fill_null(-1).to_numpy(zero_copy_only=False)
+            return [pa.array([joined(flat[a:b], table) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)], pa.binary())]
 
         return compute
 

@@ -59,7 +59,7 @@ def text_or_empty(name: str = "text") -> Column:
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch, each with at most so many bytes of text or a single row."""
-    column = batch.column(batch.schema.get_field_index(text))
+    column = batch.column(text)
     ends = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64))
     start, before = 0, 0
     while start < batch.num_rows:
@@ -85,19 +85,19 @@ def with_arrow(df: DataFrame, text: str, fields: list[T.StructField], make: Call
         compute = make()
         for batch in batches:
             for part in slices(batch, text):
-                columns = [part.column(part.schema.get_field_index(n)) for n in names]
+                columns = [part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays(columns + list(compute(part)), names=names + new)
 
     return read.mapInArrow(run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(text)).to_pylist()
+    return batch.column(text).to_pylist()
 
 
 def bytes_of(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a column and the offsets of its rows in them; null is empty."""
-    column = batch.column(batch.schema.get_field_index(text))
+    column = batch.column(text)
     if column.null_count:
         column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32

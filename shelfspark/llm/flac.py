@@ -510,7 +510,7 @@ def payload(text: str = "text") -> Column:
 def encode(df: DataFrame, column: str = "payload", into: str = "media", keep: list[str] | None = None) -> DataFrame:
     def make():
         def compute(batch: pa.RecordBatch):
-            null = batch.column(batch.schema.get_field_index(column)).is_null().to_pylist()
+            null = batch.column(column).is_null().to_pylist()
             made = encode_many(*bytes_of(batch, column))
             return [pa.array([None if n else m for n, m in zip(null, made, strict=True)], pa.binary())]
 
@@ -525,7 +525,7 @@ def decode(df: DataFrame, column: str = "media", pcm: str = "pcm", offsets: str
 
     def make():
         def compute(batch: pa.RecordBatch):
-            rows = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            rows = batch.column(column).to_pylist()
             made = iter(decode_many([r for r in rows if r is not None]))
             out = [None if r is None else next(made) for r in rows]
             return [

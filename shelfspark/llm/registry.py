@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from shelfspark.llm import bpe, flac, html_text, licenses, mixing, quality, sharding
+from shelfspark.llm import bpe, flac, html_text, licenses, mixing, near, pii, quality, sharding, toxicity
 
-MODULES = (bpe, flac, sharding, mixing, quality, html_text, licenses)
+MODULES = (bpe, flac, sharding, mixing, quality, near, html_text, licenses, pii, toxicity)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
