@@ -135,4 +135,33 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_quality": op5_quality}
-ORACLE: dict[str, str] = {}
+
+
+def _sql() -> str:
+    left = ["t"]
+    for pattern in CLASSES:
+        left.append(f"regexp_replace({left[-1]}, '{pattern}', '', 'g')")
+    lefts = ", ".join(f"length({x}) AS l{i}" for i, x in enumerate(left))
+    chars = ", ".join([f"l{i} - l{i + 1}" for i in range(len(CLASSES))] + [f"l{len(CLASSES)}"])
+    lexicon = "CASE lang " + " ".join(f"WHEN '{lang}' THEN [{', '.join(map(repr, words))}]" for lang, words in COMMON.items()) + " ELSE CAST([] AS VARCHAR[]) END"
+    half = lambda p, q: f"list_sum(list_transform(range(1, len({p}) + 1), lambda i : CASE WHEN {p}[i] > 0 THEN {p}[i] * log2(2 * {p}[i] / ({p}[i] + {q}[i])) ELSE 0 END))"
+    js = lambda p, q: f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0, ({half(p, q)} + {half(q, p)}) / 2)) END"
+    share = lambda x: f"list_transform({x}, lambda v : v / list_sum({x}))"
+    total = lambda x: f"(SELECT lang, list(s ORDER BY i) AS {x}_ref FROM (SELECT lang, i, sum(v) AS s FROM (SELECT lang, unnest({x}) AS v, unnest(range(len({x}))) AS i FROM f) GROUP BY lang, i) GROUP BY lang)"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+    a AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
+    r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM a) GROUP BY rid),
+    l AS (SELECT *, {lefts}, list_filter(string_split(t, chr(10)), lambda x : regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, list_transform(w, lambda x : lower(x)) AS lw, {lexicon} AS lexicon FROM d),
+    c AS (SELECT rid, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, l3 - l4 AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, [{chars}] AS chars,
+          list_transform(lexicon, lambda x : len(list_filter(lw, lambda y : y = x))) AS found FROM l),
+    f AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words, CASE WHEN len(found) > 0 THEN list_append(found, n_words - list_sum(found)) ELSE found END AS common FROM c LEFT JOIN r ON c.rid = r.rid),
+    p AS (SELECT f.*, {share("chars")} AS cp, {share("chars_ref")} AS cq, {share("common")} AS wp, {share("common_ref")} AS wq, chars_ref, common_ref FROM f LEFT JOIN {total("chars")} x ON f.lang IS NOT DISTINCT FROM x.lang
+          LEFT JOIN {total("common")} y ON f.lang IS NOT DISTINCT FROM y.lang),
+    j AS (SELECT *, {js("cp", "cq")} AS js_chars, {js("wp", "wq")} AS js_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM p)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+    NOT base_failed AND NOT (list_sum(chars) >= {MIN_CHARS} AND coalesce(js_chars, 0) > {FAR_CHARS}) AND NOT (n_words >= {MIN_COMMON} AND coalesce(js_words, 0) > {FAR_WORDS}) AS kept FROM j"""
+
+
+ORACLE = {"op5_quality": _sql()}

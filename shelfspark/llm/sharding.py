@@ -60,4 +60,13 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_shards": op3_shards}
-ORACLE: dict[str, str] = {}
+#: CRC-32 goes byte by byte through the table of its polynomial, 0xEDB88320.
+ORACLE = {
+    "op3_shards": """
+    WITH t AS (SELECT list_transform(range(256), lambda i : list_reduce(list_prepend(i, list_transform(range(8), lambda z : 0::BIGINT)), lambda a, z : CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS tab),
+    b AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h : CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+    d AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x : xor(c // 256, tab[xor(c % 256, x) + 1])), 4294967295) AS text_crc32 FROM b, t),
+    p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS to_here, sum(size) OVER () AS total FROM d),
+    s AS (SELECT *, CAST(least(39, (2 * to_here - size) * 40 // (2 * total)) AS INT) AS shard FROM p)
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s"""
+}
