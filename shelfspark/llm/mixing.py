@@ -23,6 +23,7 @@ from shelfspark.llm.common import GAP, WORD, documents, materialize, text_or_emp
 
 #: The cap in epochs, the weights in turn and the seed. A source's documents are dealt into 16 ** BUCKET_DIGITS buckets.
 EPOCHS, WEIGHTS, SEED, BUCKET_DIGITS = 3, (1, 2, 3), 20240607, 3
+MOST_SOURCES = 100_000  # up to so many rows, what is known of each source is broadcast
 
 
 def n_words(text: Column) -> Column:
@@ -54,19 +55,16 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS, weights: tuple[int, ...] = W
     return filled.select("source", "source_size", "weight", target.alias("target"))
 
 
-def plan(df: DataFrame, key: str = "doc_id", epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, source, size, source_size, target, taken and the columns to carry, a row for each row of df."""
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    rows = df.select(
-        F.col(key),
-        "source",
-        n_words(text_or_empty()).alias("size"),
-        F.substring(drawn, 1, BUCKET_DIGITS).alias("bucket"),
-        drawn.alias("draw"),
-        F.md5(text_or_empty().cast("binary")).alias("text_hash"),
-        *[F.col(c) for c in carry],
-    )
-    rows = materialize(rows, "mix")
+def _drawn(key: Column, seed: int) -> Column:
+    """The seeded place of a row in its source: an MD5 sum, which sorts alike in every engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+
+
+def _placed(df: DataFrame, key: str, epochs: int, weights: tuple[int, ...], seed: int) -> DataFrame:
+    """For each row of df: key, source, size, draw, text_hash, source_size, target, and of the mix: whole (repetitions of all
+    of the source), rest (words of the source to be taken besides), begins (words of the source that are drawn before)."""
+    rows = df.select(F.col(key).alias("key"), "source", n_words(text_or_empty()).alias("size"), _drawn(F.col(key), seed).alias("draw"), F.md5(text_or_empty().cast("binary")).alias("text_hash"))
+    rows = materialize(rows.withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS)), "mix")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sizes = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     goal = targets(sizes, epochs, weights)
@@ -75,23 +73,58 @@ def plan(df: DataFrame, key: str = "doc_id", epochs: int = EPOCHS, weights: tupl
     known = offsets.alias("o").join(goal.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("o.source", "bucket", "size_before", "source_size", "target")
 
     to_here = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("draw", "text_hash", "size").rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.withColumn("to_here", to_here).alias("r").join(known.alias("k"), F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r.bucket") == F.col("k.bucket")))
+    both = rows.withColumn("to_here", to_here).alias("r").join(known.alias("k"), F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r.bucket") == F.col("k.bucket")))
     goal_words = F.round("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(goal_words / F.col("source_size"))).otherwise(F.lit(0))
-    rest = goal_words - whole * F.col("source_size")
-    begins = F.col("size_before") + F.col("to_here") - F.col("size")
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), rest - begins))
-    return placed.select(f"r.{key}", "r.source", "size", "source_size", "target", (whole * F.col("size") + extra).cast("long").alias("taken"), *[f"r.{c}" for c in carry])
-
-
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The mixed rows with the columns of df: each as often as the mix takes it, the last time cut to the words taken."""
-    rows = df.select(key, "source", F.col(text).alias("text"), F.struct(*df.columns).alias("row"))
-    taken = plan(rows, key, carry=("row",), **how).where(F.col("taken") > 0)
-    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
-    spread = taken.select("row", whole.alias("whole"), rest.alias("rest"), F.explode(F.sequence(F.lit(1), whole + (rest > 0).cast("int"))).alias("time"))
-    part = F.array_join(F.slice(F.filter(F.split(F.col(f"row.{text}"), GAP), lambda w: w != ""), F.lit(1), F.col("rest")), " ")
-    return spread.select(*[F.when(F.col("time") <= F.col("whole"), F.col(f"row.{c}")).otherwise(part).alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in df.columns])
+    whole = F.when(F.col("source_size") > 0, F.floor(goal_words / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    out = both.select("r.key", "r.source", "size", "draw", "text_hash", "source_size", "target", whole.alias("whole"), goal_words.alias("goal"), (F.col("size_before") + F.col("to_here") - F.col("size")).alias("begins"))
+    return out.withColumn("rest", F.col("goal") - F.col("whole") * F.col("source_size")).drop("goal")
+
+
+def _extra(size: Column, left: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(size, left))
+
+
+def plan(df: DataFrame, key: str = "doc_id", epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """key, source, size, source_size, target and taken, a row for each row of df."""
+    rows = _placed(df, key, epochs, weights, seed)
+    taken = F.col("whole") * F.col("size") + _extra(F.col("size"), F.col("rest") - F.col("begins"))
+    return rows.select(F.col("key").alias(key), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """The mixed rows with the columns of df: each as often as the mix takes it, the last time cut to the words taken.
+
+    Texts are not shuffled: of the plan, which is made of narrow rows, each source tells only up to which draw its
+    documents are taken once more, and every row finds for itself on which side it stands.
+    """
+    read = df.select(F.col(key), "source", F.col(text).alias("text"))
+    rows = _placed(read, key, epochs, weights, seed).where(F.col("size") > 0)
+    place = F.struct("draw", "text_hash")
+    last = F.max(F.when(F.col("rest") > F.col("begins"), place)).over(Window.partitionBy("source", F.substring("draw", 1, BUCKET_DIGITS)))
+    edges = rows.withColumn("last", last).where(place == F.col("last"))
+    edges = edges.groupBy("source", place.alias("last")).agg(F.max("whole").alias("whole"), F.max("rest").alias("rest"), F.min("begins").alias("begins"), F.count("*").alias("ties"))
+    edge = edges.groupBy("source").agg(F.max(F.struct("last", "whole", "rest", "begins", "ties")).alias("e"))
+    # A source from which nothing is taken besides has no edge; its whole repetitions still count.
+    wholes = rows.groupBy("source").agg(F.max("whole").alias("whole"))
+    cuts = materialize(wholes.alias("w").join(edge.alias("e"), F.col("w.source").eqNullSafe(F.col("e.source")), "left").select(F.col("w.source").alias("cut_source"), "w.whole", F.col("e.e.last").alias("last"), (F.col("e.e.rest") - F.col("e.e.begins")).alias("left"), F.coalesce("e.e.ties", F.lit(0)).alias("ties")), "cuts")
+    known = cuts if cuts.count() > MOST_SOURCES else F.broadcast(cuts)
+
+    spread = df.select(F.struct(*df.columns).alias("row"), F.col("source").alias("own"), n_words(F.coalesce(F.col(text), F.lit(""))).alias("size"), F.struct(_drawn(F.col(key), seed).alias("draw"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_hash")).alias("place"))
+    spread = spread.where(F.col("size") > 0).join(known, F.col("own").eqNullSafe(F.col("cut_source")))
+    at_edge = F.coalesce(F.col("place") == F.col("last"), F.lit(False))
+    whole_rows = F.coalesce(F.col("place") < F.col("last"), F.lit(False))
+    if cuts.where("ties > 1").isEmpty():
+        spread = spread.withColumn("extra", F.when(at_edge, _extra(F.col("size"), F.col("left"))).when(whole_rows, F.col("size")).otherwise(F.lit(0)))
+    else:  # rows with one id and text at the edge are taken one after the other
+        nth = F.row_number().over(Window.partitionBy("own", "place").orderBy("size")) - 1
+        tied = spread.where(at_edge).withColumn("extra", _extra(F.col("size"), F.col("left") - nth * F.col("size")))
+        spread = spread.where(~at_edge).withColumn("extra", F.when(whole_rows, F.col("size")).otherwise(F.lit(0))).unionByName(tied)
+    cut = F.col("extra") < F.col("size")
+    times = F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)
+    spread = spread.withColumn("times", times.cast("int")).where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    part = F.array_join(F.slice(F.filter(F.split(F.col(f"row.{text}"), GAP), lambda w: w != ""), F.lit(1), F.col("extra").cast("int")), " ")
+    said = F.when((F.col("time") > F.col("whole")) & cut, part).otherwise(F.col(f"row.{text}"))
+    return spread.select(*[said.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in df.columns])
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
