@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from shelfspark.llm.common import documents, texts_of, with_arrow
 
 #: Entries that a memory of pieces or of token pairs holds before it starts anew.
-PIECES, PAIRS = 250_000, 500_000
+PIECES, PAIRS = 300_000, 400_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -131,6 +131,10 @@ class Codec:
             at -= size[token]
             last = out[-1] if out else -1
 
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.pairs.clear()
+
     def encode(self, text: str | None) -> array:
         out = array("i")
         known = self.pieces
@@ -188,45 +192,65 @@ def _vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(raw)
 
 
+_IDS = T.ArrayType(T.IntegerType(), True)
+
+
+def _encoded(texts: list[str | None], codec: Codec) -> pa.ListArray:
+    flat, ends = array("i"), [0]
+    for t in texts:
+        flat += codec.encode(t)
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
+
+
+def _decoded(rows: pa.ListArray, table: list[bytes | None]) -> pa.Array:
+    offsets, flat = rows.offsets.to_pylist(), rows.values.fill_null(-1).to_numpy(zero_copy_only=False)
+    valid = rows.is_valid().to_pylist()
+    return pa.array([joined(flat[a:b], table) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)], pa.binary())
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add the ids of each whole text, each match of pattern encoded separately, without special tokens."""
     sent = _vocabulary(df.sparkSession, path)
 
     def make():
         codec = _codec(sent.value, pattern)
-
-        def compute(batch: pa.RecordBatch):
-            flat, ends = array("i"), [0]
-            for t in texts_of(batch, text):
-                flat += codec.encode(t)
-                ends.append(len(flat))
-            return [pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))]
-
+        compute = lambda batch: [_encoded(texts_of(batch, text), codec)]
+        compute.close = codec.forget
         return compute
 
-    return with_arrow(df, text, [T.StructField(into, T.ArrayType(T.IntegerType(), True))], make, keep)
+    return with_arrow(df, text, [T.StructField(into, _IDS)], make, keep)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """Add the bytes that the ids of each row stand for."""
     sent = _vocabulary(df.sparkSession, path)
-    size = "__ids_size"  # slices are cut by this column's bytes
+    size = "__ids_size"  # batches are small enough: none of their text is cut
 
     def make():
         table = _table(sent.value)
+        return lambda batch: [_decoded(batch.column(ids), table)]
+
+    kept = [c for c in df.columns if keep is None or c in keep]
+    out = with_arrow(df.withColumn(size, F.lit("")), size, [T.StructField(into, T.BinaryType())], make, [*kept, ids])
+    return out.select(*dict.fromkeys([*kept, into]))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", into: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """encode() and decode() in one pass, which halves the Python workers and what goes to and from them."""
+    sent = _vocabulary(df.sparkSession, path)
+
+    def make():
+        codec, table = _codec(sent.value, pattern), _table(sent.value)
 
         def compute(batch: pa.RecordBatch):
-            rows = batch.column(ids)
-            valid = rows.is_valid().to_pylist()
-            offsets = rows.offsets.to_pylist()
-            flat = rows.values.fill_null(-1).to_numpy(zero_copy_only=False)
-            return [pa.array([joined(flat[a:b], table) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)], pa.binary())]
+            made = _encoded(texts_of(batch, text), codec)
+            return [made, _decoded(made, table)]
 
+        compute.close = codec.forget
         return compute
 
-    kept = [c for c in df.columns if keep is None or c in keep]
-    out = with_arrow(df.withColumn(size, F.lit("")), size, [T.StructField(into, T.BinaryType())], make, [*kept, ids])
-    return out.select(*[c for c in dict.fromkeys([*kept, into])])
+    return with_arrow(df, text, [T.StructField(ids, _IDS), T.StructField(into, T.BinaryType())], make, keep)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,9 +261,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    encoded = encode(docs.select("doc_id", "text"), path, pattern, keep=["doc_id"])
-    both = decode(encoded, path)
-    return both.select(
+    return round_trip(docs.select("doc_id", "text"), path, pattern, keep=["doc_id"]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

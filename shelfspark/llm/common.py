@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,39 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.shipping import ship
+from shelfspark.storage import materialize, shared_dir  # noqa: F401
 
 #: One or more of the six ASCII white-space characters; words are what stands between.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text that an Arrow batch is cut into before it is worked on, so that memory does not follow the batch.
-SLICE_BYTES = 2 << 20
-
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A folder of this machine only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="shelfspark-"))
-    return _own_dir[0]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: what follows reads the same rows however often it runs and whichever
-    executors are lost. The files go when the session's file systems close.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+SLICE_BYTES = 1 << 20
+#: Arrow data that Spark hands over at once; rows are never cut.
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +45,41 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         before, start = int(ends[stop - 1]), stop
 
 
-def with_arrow(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable], keep: list[str] | None = None) -> DataFrame:
+def trim() -> None:
+    """Gives memory that is free back to the system: idle workers stay, and others share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """The function for mapInArrow, with trim() when a task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors and bound the size of Arrow batches in this session."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().rstrip("b")
+    units = {"k": 10, "m": 20, "g": 30}
+    size = int(now[:-1]) << units[now[-1]] if now[-1] in units else int(now)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def with_arrow(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable], keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """Add columns that Python computes from slices of Arrow batches.
 
-    make() runs once a task and returns compute(batch) -> one Arrow array for each of fields.
+    make() runs once a task and returns compute(batch) -> one Arrow array for each of fields; if compute has a function
+    close, it runs when the task ends, for workers live on and would keep what they remember.
     keep: the columns that stay (all by default); one that has the name of a new column is replaced.
     """
     new = [f.name for f in fields]
@@ -79,16 +87,19 @@ def with_arrow(df: DataFrame, text: str, fields: list[T.StructField], make: Call
     names = [f.name for f in kept]
     schema = T.StructType(kept + fields)
     read = df.select(*dict.fromkeys([*names, text]))
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
-            for part in slices(batch, text):
-                columns = [part.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays(columns + list(compute(part)), names=names + new)
-
-    return read.mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for part in slices(batch, text, most):
+                    columns = [part.column(n) for n in names]
+                    yield pa.RecordBatch.from_arrays(columns + list(compute(part)), names=names + new)
+        finally:
+            getattr(compute, "close", lambda: None)()
+
+    return read.mapInArrow(trimmed(run), schema)
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> list[str | None]:

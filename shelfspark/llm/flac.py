@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from shelfspark.llm.common import bytes_of, documents, text_or_empty, with_arrow
 
 BLOCK, RATE, PRECISION, LPC_ORDER, UNIT = 1024, 8000, 10, 4, 64
+#: Bytes whose frames are worked on side by side.
+SLICE = 2 << 20
 
 
 def _table(poly: int, width: int) -> np.ndarray:
@@ -516,7 +518,7 @@ def encode(df: DataFrame, column: str = "payload", into: str = "media", keep: li
 
         return compute
 
-    return with_arrow(df, column, [T.StructField(into, T.BinaryType())], make, keep)
+    return with_arrow(df, column, [T.StructField(into, T.BinaryType())], make, keep, SLICE)
 
 
 def decode(df: DataFrame, column: str = "media", pcm: str = "pcm", offsets: str = "block_offsets", feature: str = "feature", keep: list[str] | None = None) -> DataFrame:
@@ -536,7 +538,7 @@ def decode(df: DataFrame, column: str = "media", pcm: str = "pcm", offsets: str
 
         return compute
 
-    return with_arrow(df, column, fields, make, keep)
+    return with_arrow(df, column, fields, make, keep, SLICE)
 
 
 def seek(media: bytes, sample: int, n: int) -> bytes:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import ship, texts_of, with_arrow
+from shelfspark.llm.common import prepare, texts_of, trimmed, with_arrow
 
 #: Pages that weights are learned from at most; the sample follows the hash of the page's id.
 MAX_PAGES = 2000
@@ -205,7 +205,7 @@ def label_counts(page: str | None) -> Counter:
 
 def fit(df: DataFrame, key: str = "page_id", text: str = "html", max_pages: int = MAX_PAGES) -> dict[str, float]:
     """Weights from the labelled ones of at most max_pages pages, those first by the hash of their ids."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     ids = df.select(key).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(max_pages)
     sample = df.join(F.broadcast(ids.distinct()), key, "left_semi").select(text)  # max_pages ids at most
 
@@ -217,7 +217,7 @@ def fit(df: DataFrame, key: str = "page_id", text: str = "html", max_pages: int
         names = [(n if n in BLOCK or n in VOID or n in DEFAULT or len(n) < 12 else "other", i) for n, i in total]
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in names], pa.string()), pa.array([i for _, i in names], pa.bool_()), pa.array(list(total.values()), pa.int64())], names=["name", "inside", "n"])
 
-    rows = sample.mapInArrow(count, "name string, inside boolean, n bigint").groupBy("name", "inside").agg(F.sum("n").alias("n")).collect()
+    rows = sample.mapInArrow(trimmed(count), "name string, inside boolean, n bigint").groupBy("name", "inside").agg(F.sum("n").alias("n")).collect()
     got = {(r.name, r.inside): r.n for r in rows}
     if not got:
         return dict(DEFAULT)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm import wordhash
-from shelfspark.llm.common import bytes_of, documents, materialize, ship, with_arrow
+from shelfspark.llm.common import bytes_of, documents, materialize, prepare, trimmed, with_arrow
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 24, 7  # trees, and values that a tree's key has
@@ -181,7 +181,7 @@ def meet(rows: DataFrame, depth: int, width: int) -> DataFrame:
         if len(keys):
             yield out(len(keys))
 
-    return rows.select("key", "sketch", "node").mapInArrow(run, "node binary, hub binary")
+    return rows.select("key", "sketch", "node").mapInArrow(trimmed(run), "node binary, hub binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
             out.extend(judge(*current[1:], members))
         yield flush()
 
-    return rows.select("grp", "lo", "hi", "block", "node", "n", "set").mapInArrow(run, "node binary, links bigint, hub binary")
+    return rows.select("grp", "lo", "hi", "block", "node", "n", "set").mapInArrow(trimmed(run), "node binary, links bigint, hub binary")
 
 
 def sent(df: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def sent(df: DataFrame) -> DataFrame:
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """key, class_id (smallest key of the class that links join) and n_links (documents linked to this one, copies included) for each row."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = materialize(signatures(docs, "text", ["id"]), "signatures")
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm import wordhash
-from shelfspark.llm.common import bytes_of, documents, materialize, ship, slices, with_arrow
+from shelfspark.llm.common import bytes_of, documents, materialize, prepare, slices, texts_of, trimmed, with_arrow
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "term")
@@ -125,7 +125,7 @@ def contexts(df: DataFrame, text: str = "text") -> DataFrame:
                 keys = list(found)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["term", "kind", "entity", "n"])
 
-    return df.select(text).mapInArrow(run, "term bigint, kind int, entity bigint, n bigint")
+    return df.select(text).mapInArrow(trimmed(run), "term bigint, kind int, entity bigint, n bigint")
 
 
 def _blocks(terms: DataFrame):
@@ -158,14 +158,14 @@ def occurrences(df: DataFrame, terms: DataFrame, text: str = "text") -> DataFram
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([None, *wanted[some].tolist()], pa.int64()), pa.array([total, *counts[some].tolist()], pa.int64())], names=["term", "n"])
 
-        part = df.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+        part = df.select(text).mapInArrow(trimmed(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def disclosing(df: DataFrame, text: str = "text") -> DataFrame | None:
     """term, kind, share (disclosure) and certain of the words that disclose kinds of entities; None without entities."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     met = contexts(df, text).groupBy("term", "kind", "entity").agg(F.sum("n").alias("n")).groupBy("term", "kind").agg(F.count("*").alias("entities"), F.sum("n").alias("n"))
     met = materialize(met, "contexts")
     of_kind = {r.kind: r.n for r in met.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
@@ -189,10 +189,10 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Stru
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
 
 
-def find(df: DataFrame, text: str = "text", into: str = "spans", keep: list[str] | None = None, terms: DataFrame | None = None) -> DataFrame:
+def find(df: DataFrame, text: str = "text", into: str = "spans", keep: list[str] | None = None, terms: DataFrame | None = None, clean: str | None = None) -> DataFrame:
     """Add the spans of each text: start, kind (place in KINDS), end and the label that replaces it.
 
-    terms: what disclosing() gave for the corpus; found here if not given.
+    terms: what disclosing() gave for the corpus; found here if not given. clean: a column to add with the sanitised text.
     """
     found = disclosing(df, text) if terms is None else terms
     names = [c for c in df.columns if c != into and (keep is None or c in keep)]
@@ -202,11 +202,12 @@ def find(df: DataFrame, text: str = "text", into: str = "spans", keep: list[str]
     out = df
     for i, block in enumerate(sets):
         sent = None if block is None else df.sparkSession.sparkContext.broadcast(block)
-        out = _spans(out, text, into, names if i == len(sets) - 1 else [*names, text], sent, i > 0)
+        last = i == len(sets) - 1
+        out = _spans(out, text, into, names if last else [*names, text], sent, i > 0, clean if last else None)
     return out
 
 
-def _spans(df: DataFrame, text: str, into: str, keep: list[str], sent, again: bool) -> DataFrame:
+def _spans(df: DataFrame, text: str, into: str, keep: list[str], sent, again: bool, clean: str | None = None) -> DataFrame:
     """One pass: the spans by form, or those of the passes before, and the words of one block."""
     earlier = "__earlier"
     source = df.withColumnRenamed(into, earlier) if again else df
@@ -236,11 +237,14 @@ def _spans(df: DataFrame, text: str, into: str, keep: list[str], sent, again: bo
                     if not any(s[0] < y and x < s[2] for s in rows[row]):
                         t = int(at[i])
                         rows[row].append((x, KINDS.index("term"), y, "" if certain[t] else f"[{KINDS[kind[t]].upper()} TERM]"))
-            return [pa.array([[{"start": a, "kind": k, "end": b, "label": x} for a, k, b, x in sorted(r)] for r in rows], _SPAN)]
+            made = [[{"start": a, "kind": k, "end": b, "label": x} for a, k, b, x in sorted(r)] for r in rows]
+            out = [pa.array(made, _SPAN)]
+            return out if clean is None else [*out, pa.array([replaced(t, s) for t, s in zip(texts_of(batch, text), made, strict=True)], pa.string())]
 
         return compute
 
-    out = with_arrow(source, text, [T.StructField(into, SPAN)], make, [*keep, *([earlier] if again else [])])
+    fields = [T.StructField(into, SPAN), *([] if clean is None else [T.StructField(clean, T.StringType())])]
+    out = with_arrow(source, text, fields, make, [*keep, *([earlier] if again else [])])
     return out.drop(earlier)
 
 
@@ -258,18 +262,8 @@ def replaced(text: str | None, spans: list[dict] | None) -> str | None:
 
 def sanitised(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the spans of its texts generalised or removed, and the same columns."""
-    spans = "__spans"
-    found = find(df, text, spans)
-
-    def make():
-        def compute(batch: pa.RecordBatch):
-            column = lambda n: batch.column(n).to_pylist()
-            return [pa.array([replaced(t, s) for t, s in zip(column(text), column(spans), strict=True)], pa.string())]
-
-        return compute
-
-    out = with_arrow(found, text, [T.StructField("__text", T.StringType())], make)
-    return out.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in df.columns])
+    found = find(df, text, "__spans", clean="__text")
+    return found.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in df.columns])
 
 
 def listed(spans: Column) -> Column:
@@ -281,7 +275,8 @@ def listed(spans: Column) -> Column:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    of_kind = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import GAP, documents, materialize, ship, text_or_empty, texts_of, with_arrow
+from shelfspark.llm.common import GAP, documents, materialize, prepare, text_or_empty, texts_of, trimmed, with_arrow
 
 #: At most so many labelled documents are learned from: those first by the hash of their ids.
 MAX_TRAIN = 20_000
@@ -146,7 +146,7 @@ def token_odds(rows: DataFrame) -> dict[str, float]:
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["token", "toxic", "n"])
 
-    counts = rows.select("text", "toxic").mapInArrow(count, "token string, toxic int, n bigint")
+    counts = rows.select("text", "toxic").mapInArrow(trimmed(count), "token string, toxic int, n bigint")
     by = counts.groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("no"))
     # Rare features never count; the null token has the numbers of documents.
     by = materialize(by.where(F.col("token").isNull() | (F.col("yes") >= LEAST_DOCS)), "tokens")
@@ -163,7 +163,7 @@ def token_odds(rows: DataFrame) -> dict[str, float]:
 
 
 def fit(labels: DataFrame, docs: DataFrame, most: int = MAX_TRAIN) -> Model:
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = training(labels, docs, most)
     model = Model(token_odds(rows))
 
@@ -173,7 +173,7 @@ def fit(labels: DataFrame, docs: DataFrame, most: int = MAX_TRAIN) -> Model:
             got = [segments(t, model, words) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([[s for _, _, s in f] for _, f in got], pa.list_(pa.float64())), batch.column(1)], names=["n", "sums", "toxic"])
 
-    seen = rows.select("text", "toxic").mapInArrow(measure, "n bigint, sums array<double>, toxic int")
+    seen = rows.select("text", "toxic").mapInArrow(trimmed(measure), "n bigint, sums array<double>, toxic int")
     # One row for each way that the bounded sample's documents come out, with how many do.
     cells = seen.groupBy("n", F.transform("sums", lambda s: F.round(s, 3)).alias("sums"), "toxic").count().collect()
     clean = [(r.n, max(r.sums), r["count"]) for r in cells if r.sums and r.toxic == 0]
