@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,30 +66,32 @@ def plan(wanted: DataFrame, existing: DataFrame, wireless: bool = False) -> Data
     detail = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("present_at").isNotNull(), F.col("present_at")).when(F.col("occupied") == "failed", "a different file is there").otherwise(F.col("target"))
     alone = rows.where(F.col("component").isNull()).select("id", status.alias("status"), detail.alias("detail"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=pdf["title"].str.lower()).sort_values(["key", "id"], kind="stable")
-        identities: set[str] = set()
-        targets: set[str] = set()
-        out = []
-        for r in pdf.itertuples(index=False):
-            own = set(r.identities)
-            if isinstance(r.present_at, str):
-                row = ("present", r.present_at)
-            elif own & identities:
-                row = ("duplicate", "the same book is sent already")
-            elif r.folded in targets:
-                row = ("failed", "another book has this name")
-            elif r.occupied == "failed":
-                row = ("failed", "a different file is there")
-            else:
-                row = ("repair" if r.occupied == "repair" else "transfer", r.target)
-                identities |= own
-                targets.add(r.folded)
-            out.append((r.id, *row))
-        return pd.DataFrame(out, columns=["id", "status", "detail"])
-
-    together = rows.where(F.col("component").isNotNull()).select("component", "id", "title", "identities", "target", "folded", "present_at", "occupied")
-    return alone.unionByName(together.groupBy("component").applyInPandas(fold, PLAN))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by component and in order; only what is planned of the present component is remembered."""
+        current, identities, targets = None, set(), set()
+        for batch in batches:
+            out = []
+            for component, id_, own, target, folded, present_at, occupied in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if component != current:
+                    current, identities, targets = component, set(), set()
+                if present_at is not None:
+                    row = ("present", present_at)
+                elif not identities.isdisjoint(own):
+                    row = ("duplicate", "the same book is sent already")
+                elif folded in targets:
+                    row = ("failed", "another book has this name")
+                elif occupied == "failed":
+                    row = ("failed", "a different file is there")
+                else:
+                    row = ("repair" if occupied == "repair" else "transfer", target)
+                    identities.update(own)
+                    targets.add(folded)
+                out.append((id_, *row))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.string())], names=["id", "status", "detail"])
+
+    columns = ["component", "id", "identities", "target", "folded", "present_at", "occupied"]
+    together = rows.where(F.col("component").isNotNull()).withColumn("order", F.lower("title")).select(*columns, "order")
+    return alone.unionByName(together.repartition("component").sortWithinPartitions("component", "order", "id").mapInArrow(fold, PLAN))
 
 
 def report(planned: DataFrame) -> DataFrame:

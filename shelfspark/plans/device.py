@@ -11,6 +11,7 @@ from shelfspark.operators import device as D
 from shelfspark.operators import feed as E
 from shelfspark.plans.library import _size
 from shelfspark.sources.adapters import view, with_views
+from shelfspark.streaming import catalogue as W
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +63,7 @@ QUERIES = {
     "log_by_route": lambda s, d: L.by_route(log(s, d)),
     "log_shown": lambda s, d: L.shown(L.tail(log(s, d), 200)),
     "log_compacted": lambda s, d: L.compacted(log(s, d).where("line_no % 2 = 0"), log(s, d).where("line_no % 2 = 1")),
+    "log_windows": lambda s, d: W.counts_by_window(log(s, d)).select(F.unix_seconds("start").alias("start"), "copies", "failed"),
     "best_offer": best,
     "feed_counts": lambda s, d: E.feed_counts(best(s, d)),
     "feed_hidden": lambda s, d: E.hidden(best(s, d)),
@@ -105,6 +107,7 @@ ORACLE = {
     "log_by_route": _LOG + "SELECT from_place, to_place, count(*) AS copies, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failed, CAST(sum(bytes) AS BIGINT) AS bytes FROM log WHERE NOT malformed GROUP BY from_place, to_place",
     "log_shown": _LOG + f"""SELECT line_no, strftime(make_timestamp("at" * 1000000), '%Y-%m-%d %H:%M') AS "when", title, from_place, to_place, {_size('bytes')} AS size, ok FROM (SELECT * FROM log ORDER BY line_no DESC LIMIT 200) WHERE NOT malformed""",
     "log_compacted": _LOG + "SELECT * FROM log ORDER BY line_no DESC LIMIT 5000",
+    "log_windows": _LOG + """SELECT "at" // 600 * 600 AS start, count(*) AS copies, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failed FROM log GROUP BY "at" // 600""",
     "best_offer": _OFFERS + _BEST,
     "feed_counts": _OFFERS + f", b AS ({_BEST}) SELECT count(*) AS entries, CAST(sum(CASE WHEN delivery <> 'unsupported' THEN 1 ELSE 0 END) AS BIGINT) AS shown, CAST(sum(CASE WHEN delivery = 'unsupported' THEN 1 ELSE 0 END) AS BIGINT) AS hidden FROM b",
     "feed_hidden": _OFFERS + _BEST + " AND delivery = 'unsupported'",

@@ -97,5 +97,9 @@ ORACLE = {
     "sentence_counts": """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS paragraph FROM p WHERE regexp_matches(line, '[^\\s]')),
         s AS (SELECT doc_id, paragraph, unnest(list_filter(string_split_regex(regexp_replace(line, '([.!?])(\\s+|$)', '\\1' || chr(1), 'g'), chr(1)), lambda x : regexp_matches(x, '[^\\s]'))) AS s FROM q)
         SELECT doc_id, count(*) AS n_spans, CAST(max(paragraph) AS INT) AS paragraphs FROM s GROUP BY doc_id""",
+    "sentence_spans": """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS paragraph FROM p WHERE regexp_matches(line, '[^\\s]')),
+        l AS (SELECT doc_id, paragraph, list_filter(string_split_regex(regexp_replace(line, '([.!?](?:[ \\t\\n\\f\\r]+|$))', '\\1' || chr(1), 'g'), chr(1)), lambda x : regexp_matches(x, '[^\\s]')) AS s FROM q),
+        u AS (SELECT doc_id, paragraph, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS segment FROM l)
+        SELECT doc_id, CAST(paragraph AS INT) AS paragraph, CAST(segment AS INT) AS segment, 'kobo.' || paragraph || '.' || segment AS id, sentence FROM u""",
     "leader_lines": "SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 10) || '......' || CAST(doc_id AS VARCHAR), '\\.{4,}', ' … ', 'g'), '^\\s+|\\s+$', '', 'g') AS tidy FROM documents",
 }
