@@ -40,7 +40,7 @@ TREES, DEPTH = 24, 7  # trees, and values that a tree's key has
 AGREE = 0.79
 BLOCK = 64  # members of a group in a block
 BUCKET = 4096  # rows with a common prefix that are all compared with each other; more are taken in sorted runs of so many
-HUB = 32  # rows of a set that name the same hub
+HUB = 16  # rows of a set that name the same hub
 MOST_SENT = 2_000_000  # ids that are broadcast at most
 
 _random = np.random.Generator(np.random.PCG64(6))
