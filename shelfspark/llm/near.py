@@ -8,7 +8,8 @@ keys. From the longest matches on, matched prefixes are shortened to the greates
 threshold still meets in some tree with the target recall. Pairs that meet are sifted by a one-bit sketch of the
 whole signature (far below the threshold, so that nothing similar goes) and united, and the united sets of all
 trees make candidate groups. Only links between group members matter after that, never pairs: each row of a tree says
-at most once or twice to which set it belongs.
+at most once or twice to which set it belongs. A prefix with more than BUCKET rows is compared run by run and then
+in pairs of runs, in tasks of at most 2 * BUCKET rows, so that no two of its rows are left out; two sets that meet there are named once.
 
 Verification: members of a candidate group are dealt into blocks, each pair of blocks is one small task, which
 compares the sets themselves and returns a sum for each member and the verified sets within it. The work for a group of n
@@ -39,7 +40,7 @@ TREES, DEPTH = 24, 7  # trees, and values that a tree's key has
 #: A pair at the threshold agrees in 0.9 of the sketch's bits, give or take 0.023.
 AGREE = 0.79
 BLOCK = 64  # members of a group in a block
-BUCKET = 4096  # rows with a common prefix that are all compared with each other; more are taken in sorted runs of so many
+BUCKET = 4096  # rows with a common prefix that are compared at once; more are taken in sorted runs of so many, and pairs of runs
 HUB = 16  # rows of a set that name the same hub
 MOST_SENT = 2_000_000  # ids that are broadcast at most
 
@@ -144,15 +145,79 @@ def _sets(label: np.ndarray, ids: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
                     yield from ((x, hub) for x in part)
 
 
+def _bridges(a: np.ndarray, b: np.ndarray, own_a: list[bytes], own_b: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(row of a, row of b) with like sketches, one for each two sets that they join; own_a and own_b name the set that each row is in."""
+    number = {x: i for i, x in enumerate(dict.fromkeys([*own_a, *own_b]))}
+    at_a, at_b = (np.array([number[x] for x in own]) for own in (own_a, own_b))
+    wide = [np.ascontiguousarray(np.pad(x, ((0, 0), (0, -x.shape[1] % 8)))).view(np.uint64).T.copy() for x in (a, b)]
+    most = int((1 - AGREE) * _N)
+    for i in range(len(a)):
+        far = sum(np.bitwise_count(y ^ x[i]) for x, y in zip(*wide, strict=True))
+        for j in np.flatnonzero((far <= most) & (at_b != at_a[i])).tolist():
+            if at_b[j] != at_a[i]:
+                gone = at_b[j]
+                at_a[at_a == gone] = at_a[i]
+                at_b[at_b == gone] = at_a[i]
+                yield i, j
+
+
+def _between(rows: DataFrame) -> DataFrame:
+    """(node, hub) of like rows in different runs of a prefix; rows: prefix, lo, hi (the pair of runs), run, node, sketch, own, those of a pair together in one partition."""
+
+    def judge(lo: int, members: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        a, b = [m for m in members if m[0] == lo], [m for m in members if m[0] != lo]
+        bits = [np.frombuffer(b"".join(m[2] for m in x), np.uint8).reshape(len(x), -1) for x in (a, b)]
+        for i, j in _bridges(*bits, [m[3] for m in a], [m[3] for m in b]):
+            hub = a[i][1] + b[j][1]
+            yield from ((a[i][1], hub), (b[j][1], hub))
+
+    def run(batches):
+        current, members = None, []
+        for batch in batches:
+            out = []
+            for prefix, lo, hi, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (prefix, lo, hi) != current:
+                    if current is not None:
+                        out.extend(judge(current[1], members))
+                    current, members = (prefix, lo, hi), []
+                members.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in range(2)], names=["node", "hub"])
+        if current is not None:
+            out = list(judge(current[1], members))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in range(2)], names=["node", "hub"])
+
+    return rows.select("prefix", "lo", "hi", "run", "node", "sketch", "own").mapInArrow(trimmed(run), "node binary, hub binary")
+
+
 def meet(rows: DataFrame, depth: int, width: int) -> DataFrame:
-    """(node, hub) of the sets of all trees, from rows (key, sketch, node) sorted by key in each partition."""
+    """(node, hub) of the sets of all trees, from rows (key, sketch, node) sorted by key in each partition.
+
+    All rows with a common prefix are compared: up to BUCKET of them at once; of more, each run of BUCKET within itself, and
+    then each pair of runs as a task of its own, for which the first pass also gives the rows of such prefixes.
+    """
+    names = ["node", "hub", "prefix", "run", "sketch", "own"]
+    kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches):
         keys, sketches, ids = np.zeros((0, 1 + 2 * DEPTH), np.uint8), np.zeros((0, _N // 8), np.uint8), np.zeros((0, width), np.uint8)
-
-        def out(n):
-            found = list(_sets(_unite(keys[:n, : 1 + 2 * depth], sketches[:n]), [x.tobytes() for x in ids[:n]]))
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["node", "hub"])
+        hot, runs = None, 0  # the prefix that takes more than a run, and its runs so far
+
+        def out(n, more=False):
+            nonlocal hot, runs
+            prefix, nodes = keys[:n, : 1 + 2 * depth], [x.tobytes() for x in ids[:n]]
+            label = _unite(prefix, sketches[:n])
+            found = [(*x, None, None, None, None) for x in _sets(label, nodes)]
+            first = prefix[0].tobytes()
+            if more and first != hot:
+                hot, runs = first, 0
+            if first == hot:
+                least: dict[int, bytes] = {}
+                own = np.flatnonzero((prefix == prefix[0]).all(axis=1)).tolist()
+                for i in own:
+                    least[label[i]] = min(least.get(label[i], nodes[i]), nodes[i])
+                found += [(nodes[i], None, first, runs, sketches[i].tobytes(), least[label[i]]) for i in own]
+                runs += 1
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -165,23 +230,30 @@ def meet(rows: DataFrame, depth: int, width: int) -> DataFrame:
                 last = min(len(keys), BUCKET)
                 head = keys[:last, : 1 + 2 * depth]
                 new = np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1
+                more = False
                 if last < len(keys) and (keys[last, : 1 + 2 * depth] != head[-1]).any():
                     n = last
                 elif len(new):
                     n = int(new[-1])
                 elif last == BUCKET and last < len(keys):
-                    n = last
+                    n, more = last, True
                 else:
                     break
-                yield out(n)
-                keep = n - 1 if n == BUCKET and (keys[n : n + 1, : 1 + 2 * depth] == keys[n - 1, : 1 + 2 * depth]).all() else n
-                keys, sketches, ids = keys[keep:], sketches[keep:], ids[keep:]
+                yield out(n, more)
+                keys, sketches, ids = keys[n:], sketches[n:], ids[n:]
                 if len(keys) <= BUCKET // 2:
                     break
         if len(keys):
             yield out(len(keys))
 
-    return rows.select("key", "sketch", "node").mapInArrow(trimmed(run), "node binary, hub binary")
+    met = materialize(rows.select("key", "sketch", "node").mapInArrow(trimmed(run), "node binary, hub binary, prefix binary, run int, sketch binary, own binary"), "met")
+    edges, parts = met.where("prefix IS NULL").select("node", "hub"), met.where("prefix IS NOT NULL").drop("hub")
+    runs = materialize(parts.groupBy("prefix").agg(F.max("run").alias("last")), "runs")
+    if runs.isEmpty():
+        return edges
+    pairs = parts.join(sent(runs), "prefix").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).where("other <> run")
+    pairs = pairs.select("prefix", F.least("run", "other").alias("lo"), F.greatest("run", "other").alias("hi"), "run", "node", "sketch", "own")
+    return edges.unionByName(_between(pairs.repartition("prefix", "lo", "hi").sortWithinPartitions("prefix", "lo", "hi")))
 
 
 def components(edges: DataFrame) -> DataFrame:

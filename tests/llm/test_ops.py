@@ -285,6 +285,41 @@ def test_near_odd_rows(odd):
     assert near.deduplicated(odd.where("false")).count() == 0
 
 
+def test_near_compares_all_rows_of_a_prefix(spark, monkeypatch):
+    """Prefixes of more rows than are compared at once, sets whose members lie far apart in them, and small prefixes between."""
+    monkeypatch.setattr(near, "BUCKET", 8)
+    rng = np.random.default_rng(1)
+    rows, want = [], set()
+    for p, n_sets in enumerate([1, 20, 1, 17, 0, 20, 1, 2, 16]):  # 4 rows a set
+        for k in range(n_sets):
+            base = rng.integers(0, 256, near._N // 8, dtype=np.uint8)
+            nodes = [bytes([p, k, m]) + bytes(21) for m in range(4)]
+            for m, node in enumerate(nodes):
+                sketch = base.copy()
+                sketch[m] ^= 1
+                rows.append((bytes([0]) + bytes([0, p]) * 5 + bytes([m * 40 + k, 0, 0, 0]), sketch.tobytes(), node))
+            want.add(frozenset(nodes))
+    df = spark.createDataFrame(rows, "key binary, sketch binary, node binary").coalesce(1).sortWithinPartitions("key")
+    got = defaultdict(set)
+    for r in near.components(near.meet(df, 5, 24)).collect():
+        got[bytes(r.label)].add(bytes(r.node))
+    assert {frozenset(x) for x in got.values()} == want
+
+
+def test_near_with_small_buckets_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near, "BUCKET", 4)
+    rng = random.Random(2)
+    word = lambda: f"u{rng.randrange(10**6)}"
+    passage, rows = [word() for _ in range(120)], []
+    for _ in range(60):
+        own = [word() for _ in range(100)]
+        rows += [" ".join([*passage, *own]), " ".join([*passage, *own[:-1], word()]), " ".join([*passage, word(), *own[1:]])]
+    whole = dict(enumerate(rows))
+    links, find = brute_links({i: shingles(t) for i, t in whole.items()})
+    got = near.classes(spark.createDataFrame(list(whole.items()), "doc_id bigint, text string")).collect()
+    assert len(got) == len(whole) and all(r.class_id == find(r.doc_id) and r.n_links == links[r.doc_id] for r in got)
+
+
 def test_near_depth():
     assert near.depth_for(0.8, 0.9999) == 5 and near.depth_for(0.8, 1.0) == 1
 
