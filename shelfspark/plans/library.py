@@ -78,7 +78,7 @@ def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = S.target_path(F.col("author"), F.col("title"), F.col("format"))
     rows = c.select("place", F.col("copy_id").alias("id"), "title", own.alias("identities"), target.alias("target"), F.col("size").alias("length"), F.when(F.col("sha") == "", "unreadable").alias("error"), "path")
     there = rows.where("place = 'CrossPoint'").select("path", "identities", "length")
-    return S.plan(rows.where("place = 'Kobo' AND id % 2 = 1").drop("place", "path"), there)
+    return S.plan(rows.where("place = 'Kobo'").drop("place", "path"), there)
 
 
 def inventory_match(spark: SparkSession, sf_dir: str) -> DataFrame:

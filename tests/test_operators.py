@@ -7,6 +7,7 @@ from shelfspark.operators import cache as C
 from shelfspark.operators import copylog as L
 from shelfspark.operators import layout as Y
 from shelfspark.operators import sync as S
+from shelfspark.plans import library as Q
 from shelfspark.streaming import catalogue as G
 
 WANTED = "id bigint, title string, identities array<string>, target string, length bigint, error string"
@@ -44,6 +45,12 @@ def test_sync_report_and_outcomes(spark):
         S.excluded(p, spark.createDataFrame([(9,)], "id bigint"))
 
 
+def test_sync_queries_plan_every_kobo_copy(spark, small):
+    kobo = sorted(r.copy_id for r in Q.copies(spark, small).where("place = 'Kobo'").collect())
+    assert any(i % 2 == 0 for i in kobo) and sorted(r.id for r in Q.sync_plan(spark, small).collect()) == kobo
+    assert sum(Q.sync_report(spark, small).first()) == len(kobo)
+
+
 def test_log_tail_takes_lines_before_it_parses(spark):
     good = lambda at, ok=True: json.dumps({"at": at, "title": f"t{at}", "from": "a", "to": "b", "bytes": 1, "ok": ok, "detail": f"d{at}"})
     text = "\n".join([good(1), "", good(2, False), "junk", good(3), ""])
