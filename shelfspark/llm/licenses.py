@@ -1,7 +1,7 @@
 """Operator 8: license scans by ordered signature rules.
 
-Each rule is a regular expression with a label, a priority and a strength, gated by a keyword: one Aho-Corasick
-scan of the lower-case text says which rules run at all. Of the detections, one that lies within another of
+Each rule is a regular expression with a label, a priority and a strength, gated by keywords: one Aho-Corasick
+scan of the lower-case text, with single blanks, says which rules run at all. Of the detections, one that lies within another of
 the same or a higher priority is suppressed, as is the lower of two that cover the same interval. Phrases of fixed
 words are found besides and always stay.
 
@@ -24,7 +24,7 @@ from shelfspark.llm.common import bytes_of, documents, with_arrow
 
 # Fixed values. Phrases whose words stand one after the other, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Families: label, keyword in lower case, expression of the name, versions.
+# Families: label, keywords in lower case of which any match has one, expression of the name (a blank is any white space), versions.
 FAMILIES = [
     ("apache", "apache", r"apache(?: software)? licen[sc]e", "1.0 1.1 2.0"),
     ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", "1.0 2.0 3.0"),
@@ -45,7 +45,7 @@ FAMILIES = [
     ("sspl", "server side", r"server side public licen[sc]e", "1.0"),
     ("elastic", "elastic", r"elastic licen[sc]e", "1.0 2.0"),
     ("ofl", "open font", r"(?:sil )?open font licen[sc]e", "1.0 1.1"),
-    ("odbl", "open database", r"open (?:data commons )?(?:open )?database licen[sc]e", "1.0"),
+    ("odbl", "database licen", r"open (?:data commons )?(?:open )?database licen[sc]e", "1.0"),
     ("odc-by", "data commons", r"open data commons attribution licen[sc]e", "1.0"),
     ("psf", "python", r"python software foundation licen[sc]e", "2.0"),
     ("zpl", "zope", r"zope public licen[sc]e", "1.1 2.0 2.1"),
@@ -55,12 +55,12 @@ FAMILIES = [
     ("mit", "expat", r"expat licen[sc]e", ""),
     ("isc", "isc licen", r"isc licen[sc]e", ""),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", ""),
-    ("bsd-2-clause", "2-clause", r"(?:2-clause|simplified|freebsd) bsd licen[sc]e", ""),
-    ("bsd-3-clause", "3-clause", r"(?:3-clause|new|modified|revised) bsd licen[sc]e", ""),
+    ("bsd-2-clause", "bsd licen", r"(?:2-clause|simplified|freebsd) bsd licen[sc]e", ""),
+    ("bsd-3-clause", "bsd licen", r"(?:3-clause|new|modified|revised) bsd licen[sc]e", ""),
     ("bsd", "bsd", r"bsd(?:-style)? licen[sc]e", ""),
     ("unlicense", "unlicense", r"(?:the )?unlicense", ""),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public licen[sc]e", "2.0"),
-    ("cc0", "cc0", r"cc0|creative commons zero", "1.0"),
+    ("wtfpl", "wtfpl|want to public", r"wtfpl|do what the fuck you want to public licen[sc]e", "2.0"),
+    ("cc0", "cc0|creative commons", r"cc0|creative commons zero", "1.0"),
     ("public-domain", "public domain", r"(?:dedicated to|released into|placed in|in) the public domain", ""),
     ("openssl", "openssl", r"openssl licen[sc]e", ""),
     ("php", "php licen", r"php licen[sc]e", "3.0 3.01"),
@@ -69,7 +69,7 @@ FAMILIES = [
     ("upl", "universal permissive", r"universal permissive licen[sc]e", "1.0"),
     ("ecl", "educational community", r"educational community licen[sc]e", "1.0 2.0"),
     ("llama", "llama", r"llama (?:[0-9.]+ )?community licen[sc]e", ""),
-    ("openrail", "openrail", r"(?:bigscience |creativeml )?open ?rail(?:-m)?(?: licen[sc]e)?", ""),
+    ("openrail", "openrail|open rail", r"(?:bigscience |creativeml )?open ?rail(?:-m)?(?: licen[sc]e)?", ""),
 ]
 CC = ["", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd"]
 CC_NAMES = {"": "attribution", "-sa": "share-?alike", "-nc": "non-?commercial", "-nd": "no-?deriv(?:ative)?s?"}
@@ -98,7 +98,7 @@ CHAR = rb"[0-9a-z\x80-\xff]"  # of a word, in lower case UTF-8
 
 @lru_cache(1)
 def rules() -> list[tuple[str, str, int, re.Pattern]]:
-    """(label, keyword, priority, expression), highest priority first."""
+    """(label, keywords, priority, expression), highest priority first. A blank of an expression stands for any white space."""
 
     def version(v: str) -> str:
         return r",?[\s-]+(?:version\s+|v\.?\s*)?" + re.escape(v).replace(r"\.0", r"(?:\.0)?") + r"(?![.]?[0-9])"
@@ -119,15 +119,16 @@ def rules() -> list[tuple[str, str, int, re.Pattern]]:
             out += [(label, k, p, g + e + end) for k, e in (("cc", short), ("creative commons", words)) for p, g in ((STATEMENT, GRANT), (VERSIONED, ""))]
             out.append((label, "creativecommons.org", QUOTED, rf"creativecommons\.org/licenses/by{kind}/{re.escape(v)}"))
         out += [(f"cc-by{kind}", k, NAMED, e + r"(?![\s-]+(?:sa|nc|nd)\b)") for k, e in (("cc", short), ("creative commons", words))]
-    out += [(label, keyword, QUOTED, text.replace(" ", r"\s+")) for label, keyword, text in TEXTS]
-    return sorted(((a, b, c, re.compile((r"(?<![0-9a-z])(?:" if d[0] not in "©" else "(?:") + d.replace("public licen", r"public\s+licen") + ")")) for a, b, c, d in out), key=lambda r: -r[2])
+    out += [(label, keyword, QUOTED, text) for label, keyword, text in TEXTS]
+    return sorted(((a, b, c, re.compile((r"(?<![0-9a-z])(?:" if d[0] not in "©" else "(?:") + d.replace(" ?", r"\s*").replace(" ", r"\s+") + ")")) for a, b, c, d in out), key=lambda r: -r[2])
 
 
 @lru_cache(1)
 def _gates() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
     by: dict[str, list[int]] = {}
-    for i, (_, keyword, _, _) in enumerate(rules()):
-        by.setdefault(keyword, []).append(i)
+    for i, (_, keywords, _, _) in enumerate(rules()):
+        for keyword in keywords.split("|"):
+            by.setdefault(keyword, []).append(i)
     machine = ahocorasick.Automaton()
     for keyword in by:
         machine.add_word(keyword, keyword)
@@ -135,14 +136,16 @@ def _gates() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
     return machine, by
 
 
+def gated(text: str) -> list[int]:
+    """Numbers of the rules of which a keyword stands in the text, any white space of which counts as one blank."""
+    machine, by = _gates()
+    return sorted({i for k in {k for _, k in machine.iter(" ".join(text.split()))} for i in by[k]})
+
+
 def detect(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of the detections that stay, in code points of the lower-case text."""
-    machine, by = _gates()
-    keywords = {k for _, k in machine.iter(text)}
-    if not keywords:
-        return []
     found = []
-    for i in sorted({i for k in keywords for i in by[k]}):
+    for i in gated(text):
         label, _, priority, expression = rules()[i]
         found += [(m.start(), m.end(), label, priority, i) for m in expression.finditer(text)]
     # Longest first at each start: what follows is contained in it or begins later.

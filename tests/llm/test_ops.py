@@ -399,6 +399,57 @@ def test_license_rules_are_hundreds_and_ordered():
     assert len(licenses.rules()) > 300 and [r[2] for r in licenses.rules()] == sorted((r[2] for r in licenses.rules()), reverse=True)
 
 
+def some_match(tree, rng):
+    """A text for a parsed expression, with alternatives, repetitions and white space drawn at random."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, what = rng.choice(arg)
+            out += chr(what) if str(kind) == "LITERAL" else chr(rng.randint(*what)) if str(kind) == "RANGE" else rng.choice([" ", "\n", "  ", "\t \r\n", "\u00a0"])
+        elif name == "MAX_REPEAT":
+            low, high, sub = arg
+            out += "".join(some_match(sub, rng) for _ in range(rng.randint(low, min(int(high), low + 1))))
+        elif name == "SUBPATTERN":
+            out += some_match(arg[3], rng)
+        elif name == "BRANCH":
+            out += some_match(rng.choice(arg[1]), rng)
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT", "AT"), name
+    return out
+
+
+def test_license_gates_let_every_match_through():
+    from re import _parser
+
+    rng = random.Random(8)
+    for i, (label, _, _, expression) in enumerate(licenses.rules()):
+        tree, seen = _parser.parse(expression.pattern), 0
+        for _ in range(40):
+            text = some_match(tree, rng)
+            if expression.search(text):
+                seen += 1
+                assert i in licenses.gated(text), (label, text)
+        assert seen, label
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("Permission is hereby granted, free of\ncharge, to any person obtaining a copy", "mit"),
+    ("Redistribution and use in source\n   and binary forms, with or without modification", "bsd"),
+    ("Licensed under the Apache\nLicense, Version 2.0", "apache-2.0"),
+    ("the MIT  License", "mit"),
+    ("GNU General\nPublic License", "gpl"),
+    ("the Simplified BSD License", "bsd-2-clause"),
+    ("made\navailable under the Open\tFont License 1.1", "ofl-1.1"),
+    ("Creative\nCommons Zero", "cc0"),
+])
+def test_license_names_may_be_wrapped(text, label):
+    found = licenses.scan(text.encode())
+    assert label in found[5] and any(s["label"] == label for s in found[7]) and found[6] > 0
+
+
 def test_license_odd_rows(odd):
     out = licenses.find(odd)
     assert out.count() == 10 and out.where("doc_id = 1 AND n_words = 0 AND score = 0 AND first_word IS NULL").count() == 1
