@@ -189,8 +189,13 @@ def _between(rows: DataFrame) -> DataFrame:
     return rows.select("prefix", "lo", "hi", "run", "node", "sketch", "own").mapInArrow(trimmed(run), "node binary, hub binary")
 
 
+def together(rows: DataFrame, depth: int) -> DataFrame:
+    """rows sorted by key, those with a common prefix in one partition; they are streamed there, so a prefix may be long."""
+    return rows.repartitionByRange(F.substring("key", 1, 1 + 2 * depth)).sortWithinPartitions("key")
+
+
 def meet(rows: DataFrame, depth: int, width: int) -> DataFrame:
-    """(node, hub) of the sets of all trees, from rows (key, sketch, node) sorted by key in each partition.
+    """(node, hub) of the sets of all trees, from rows (key, sketch, node) as together() gives them.
 
     All rows with a common prefix are compared: up to BUCKET of them at once; of more, each run of BUCKET within itself, and
     then each pair of runs as a task of its own, for which the first pass also gives the rows of such prefixes.
@@ -371,8 +376,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
     key_of = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.substring(F.col("keys"), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)))
     trees = reps.select("node", "keys", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    trees = trees.select(key_of.alias("key"), "sketch", "node").repartitionByRange("key").sortWithinPartitions("key")
-    groups = components(meet(trees, depth_for(threshold, recall), 24))
+    depth = depth_for(threshold, recall)
+    groups = components(meet(together(trees.select(key_of.alias("key"), "sketch", "node"), depth), depth, 24))
 
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
     grouped = materialize(groups.join(sizes, "label").select("node", F.col("label").alias("grp"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "groups")

@@ -320,6 +320,18 @@ def test_near_with_small_buckets_against_brute_force(spark, monkeypatch):
     assert len(got) == len(whole) and all(r.class_id == find(r.doc_id) and r.n_links == links[r.doc_id] for r in got)
 
 
+def test_near_keeps_a_prefix_in_one_partition(spark):
+    rng = np.random.default_rng(4)
+    rows = [(bytes([0]) + bytes([0, p]) * 5 + rng.bytes(4),) for p in range(3) for _ in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = near.together(spark.createDataFrame(rows, "key binary"), 5).withColumn("part", F.spark_partition_id())
+        got = [(r.part, bytes(r.key)) for r in df.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({(p, k[:11]) for p, k in got}) == 3 and len({p for p, _ in got}) > 1 and got == sorted(got)
+
+
 def test_near_depth():
     assert near.depth_for(0.8, 0.9999) == 5 and near.depth_for(0.8, 1.0) == 1
 
