@@ -4,8 +4,9 @@ A document's set is that of its five-word shingles (of all its words, where it h
 same set are one class of copies, represented by the smallest id; what follows joins representatives.
 
 Forest: each of TREES trees orders the representatives by a prefix trie of their MinHash values, as a sorted run of
-keys. From the longest matches on, matched prefixes are shortened to the greatest length at which a pair at the
-threshold still meets in some tree with the target recall. Pairs that meet are sifted by a one-bit sketch of the
+keys. For one threshold and recall the descent ends at the same length whatever the data: the greatest at which a pair
+at the threshold still meets in some tree with the recall (depth_for). So all tries are joined at that length, which is
+banding over sorted tries; the values behind it only order rows. Pairs that meet are sifted by a one-bit sketch of the
 whole signature (far below the threshold, so that nothing similar goes) and united, and the united sets of all
 trees make candidate groups. Only links between group members matter after that, never pairs: each row of a tree says
 at most once or twice to which set it belongs. A prefix with more than BUCKET rows is compared run by run and then
