@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.storage import materialize
+from shelfspark.storage import discard, materialize
 
 
 def keys_of(copies: DataFrame) -> DataFrame:
@@ -35,10 +35,12 @@ def components(keys: DataFrame, node: str = "copy_id") -> DataFrame:
         jump = labels.select(F.col(node).alias("met"), F.col("component").alias("further"))
         after = met.join(jump, "met", "left").select(node, F.least("met", F.coalesce("further", "met")).alias("component"))
         moved = after.join(labels.select(node, F.col("component").alias("before")), node).withColumn("moved", F.col("component") < F.col("before"))
-        labels = materialize(moved.select(node, "component", "moved"), "components")
-        if labels.where("moved").isEmpty():
-            return labels.select(node, "component")
-        labels = labels.drop("moved")
+        moved = materialize(moved.select(node, "component", "moved"), "components")
+        discard(labels)
+        if moved.where("moved").isEmpty():
+            discard(edges)
+            return moved.select(node, "component")
+        labels = moved
 
 
 def resolved(copies: DataFrame) -> DataFrame:

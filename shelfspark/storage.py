@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_paths: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A folder of this machine only where the cluster names none."""
+    """The folder that all executors share. A folder of this machine only where executors run on it too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="shelfspark-"))
     return _own_dir[0]
@@ -31,4 +35,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of what materialize() gave, once nothing reads them any more. Other DataFrames are left alone."""
+    for df in frames:
+        known, path = _paths.pop(id(df), (None, None))
+        if known is not None and known() is df:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
