@@ -4,21 +4,28 @@ A document's set is that of its five-word shingles (of all its words, where it h
 same set are one class of copies, represented by the smallest id; what follows joins representatives.
 
 Forest: each of TREES trees orders the representatives by a prefix trie of their MinHash values, as a sorted run of
-keys. For one threshold and recall the descent ends at the same length whatever the data: the greatest at which a pair
-at the threshold still meets in some tree with the recall (depth_for). So all tries are joined at that length, which is
-banding over sorted tries; the values behind it only order rows. Pairs that meet are sifted by a one-bit sketch of the
-whole signature (far below the threshold, so that nothing similar goes) and united, and the united sets of all
-trees make candidate groups. Only links between group members matter after that, never pairs: each row of a tree says
-at most once or twice to which set it belongs. A prefix with more than BUCKET rows is compared run by run and then
-in pairs of runs, in tasks of at most 2 * BUCKET rows, so that no two of its rows are left out; two sets that meet there are named once.
-
-Verification: members of a candidate group are dealt into blocks, each pair of blocks is one small task, which
-compares the sets themselves and returns a sum for each member and the verified sets within it. The work for a group of n
-different texts is n * n by nature of the join, but spread over tasks of at most 2 * BLOCK members; rows returned grow by n * n / BLOCK.
-
-Defined results: a document without words (null, empty, only white space) is linked to none and is its own class.
-Rows with the same id and text count as copies. A null id represents a class only if no other id does. Sets are compared by 64-bit
-hashes of shingles.
+keys. The descent starts at the longest matches: rows that agree in all DEPTH values of a tree are compared first and
+united if alike, then rows that agree in one value less, and so on. A prefix whose rows are all one set already isn't
+shortened any more, and rows that were compared under a longer one aren't compared again. Shortening ends at the
+greatest length with which a pair at the threshold still meets in some tree with the target recall (depth_for), if the
+recall measured on this very corpus reaches the target too; as long as it falls short, all prefixes lose one more
+value. It is measured on PROBES documents, held exactly against all documents while those are signed: the share of
+their similar pairs that the forest brought into one group.
+
+Rows that meet are sifted by a one-bit sketch of the whole signature (far below the threshold, so that nothing similar
+goes) and united, and the united sets of all trees make candidate groups. Only links between group members matter after that,
+never pairs: each row of a tree says at most once or twice to which set it belongs. A prefix with more than BUCKET rows is
+compared run by run and then in pairs of runs, in tasks of at most 2 * BUCKET rows, so that no two of its rows are left
+out; two sets that meet there are named once.
+
+Verification: members of a candidate group are dealt into blocks of about BLOCK_BYTES of sets, each pair of blocks is one small
+task, which compares the sets themselves and returns a sum for each member and the verified sets within it. The work for a group of n
+different texts is n * n by nature of the join (a count of links for each), but spread over bounded tasks.
+
+Defined results: a document without words (null, empty, only white space) is linked to none and is its own class; an empty
+table gives no rows. Rows with the same id and text count as copies. A null id represents a class only if no other id does. Very long
+texts are compared whole: a set of n words takes 8 * n bytes, the most that a task holds of one document. Only key and text are read, so
+that other columns may have any names. Sets are compared by 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -35,14 +42,16 @@ from pyspark.sql import types as T
 
 from shelfspark.llm import wordhash
 from shelfspark.llm.common import bytes_of, documents, materialize, prepare, trimmed, with_arrow
+from shelfspark.operators import resolve
+from shelfspark.storage import discard
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 24, 7  # trees, and values that a tree's key has
 #: A pair at the threshold agrees in 0.9 of the sketch's bits, give or take 0.023.
 AGREE = 0.79
-BLOCK = 64  # members of a group in a block
+BLOCK, BLOCK_BYTES = 512, 4 << 20  # members of a group in a block, and bytes of their sets, both on average
 BUCKET = 4096  # rows with a common prefix that are compared at once; more are taken in sorted runs of so many, and pairs of runs
-HUB = 16  # rows of a set that name the same hub
+PROBES, PROBE_BYTES = 256, 100_000  # documents that the recall is measured on, and the longest text among them
 MOST_SENT = 2_000_000  # ids that are broadcast at most
 
 _random = np.random.Generator(np.random.PCG64(6))
@@ -93,18 +102,58 @@ def signature(s: np.ndarray) -> tuple[bytes, bytes]:
     return (mixed >> np.uint64(48)).astype(">u2").tobytes(), np.packbits(((mixed >> np.uint64(20)) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
-def signatures(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Add fp, keys and sketch, null for texts without words."""
+class Probes:
+    """Some texts' sets, to be held exactly against every other set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.fps = [fingerprint(s) for s in sets]
+        grams = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(grams, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order].astype(np.int32)
+        self.grams, self.at = np.unique(grams[order], return_index=True)
+        self.many = np.diff(np.append(self.at, len(grams)))
+
+    def like(self, s: np.ndarray, threshold: float) -> list[int]:
+        """Numbers of the sets that are similar to s."""
+        if not len(self.grams) or not len(s):
+            return []
+        at = np.minimum(np.searchsorted(self.grams, s), len(self.grams) - 1)
+        at = at[self.grams[at] == s]
+        if not len(at):
+            return []
+        many = self.many[at]
+        places = np.repeat(self.at[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        shared = np.bincount(self.owners[places], minlength=len(self.sizes))
+        return np.flatnonzero((shared > 0) & (shared >= threshold * (self.sizes + len(s) - shared) - 1e-9)).tolist()
+
+
+def probes(docs: DataFrame, most: int = PROBES) -> Probes:
+    """The sets of at most so many documents of (id, text), those first by a hash of their ids, none longer than PROBE_BYTES."""
+    some = docs.where(F.octet_length("text").between(1, PROBE_BYTES)).select("text", F.xxhash64("id").alias("h")).orderBy("h", F.xxhash64("text")).limit(most).collect()
+    raw = [r.text.encode() for r in some]
+    sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return Probes([s for s in sets if len(s)])
+
+
+def signatures(df: DataFrame, text: str, keep: list[str], against: Probes | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Add fp, keys and sketch, null for texts without words, n_grams, and alike: numbers of the probes that are similar."""
+    shared = None if against is None else df.sparkSession.sparkContext.broadcast(against)
 
     def make():
+        held = None if shared is None else shared.value
+
         def compute(batch: pa.RecordBatch):
             sets = list(shingle_sets(*bytes_of(batch, text)))
             signed = [signature(s) if len(s) else (None, None) for s in sets]
-            return [pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([k for k, _ in signed], pa.binary()), pa.array([b for _, b in signed], pa.binary())]
+            alike = [None if held is None else held.like(s, threshold) or None for s in sets]
+            fps = [fingerprint(s) if len(s) else None for s in sets]
+            return [pa.array(fps, pa.binary()), pa.array([k for k, _ in signed], pa.binary()), pa.array([b for _, b in signed], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(alike, pa.list_(pa.int32()))]
 
         return compute
 
-    return with_arrow(df, text, [T.StructField(n, T.BinaryType()) for n in ("fp", "keys", "sketch")], make, keep)
+    fields = [*(T.StructField(n, T.BinaryType()) for n in ("fp", "keys", "sketch")), T.StructField("n_grams", T.LongType()), T.StructField("alike", T.ArrayType(T.IntegerType()))]
+    return with_arrow(df, text, fields, make, keep)
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -112,38 +161,45 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
 
 
-def _unite(prefix: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """A number of the set for each of some sorted rows: rows with the same prefix and like sketches are united."""
-    n = len(prefix)
-    label = np.arange(n)
+def _unite(keys: np.ndarray, sketch: np.ndarray, depth: int) -> np.ndarray:
+    """A number of the set for each of some sorted rows, united from the longest matches of keys down to prefixes of depth values."""
+    label = np.arange(len(keys))
     most = int((1 - AGREE) * _N)
-    same = np.cumsum(np.concatenate([[0], (prefix[1:] != prefix[:-1]).any(axis=1)]))  # number of the prefix
-    for k in range(1, n):
-        rows = np.flatnonzero(same[k:] == same[:-k]) + k
-        if not len(rows):
-            break
-        rows = rows[label[rows] != label[rows - k]]
-        if len(rows):
-            far = np.bitwise_count(sketch[rows] ^ sketch[rows - k]).sum(axis=1)
-            for i in rows[far <= most].tolist():
-                a, b = sorted((int(label[i]), int(label[i - k])))
-                if a != b:
-                    label[label == b] = a
+    longer = label  # number of the prefix that is one value longer
+    for length in range(DEPTH, depth - 1, -1):
+        prefix = keys[:, : 1 + 2 * length]
+        first = np.concatenate([[True], (prefix[1:] != prefix[:-1]).any(axis=1)])
+        starts, run = np.flatnonzero(first), np.cumsum(first) - 1
+        whole = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
+        live = np.flatnonzero(~whole[run])  # a prefix of which all rows are one set is done
+        own = run[live]
+        for k in range(1, len(live)):
+            at = np.flatnonzero(own[k:] == own[:-k])
+            if not len(at):
+                break
+            i, j = live[at + k], live[at]
+            new = (label[i] != label[j]) & (longer[i] != longer[j])
+            i, j = i[new], j[new]
+            if len(i):
+                near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most
+                for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                    a, b = sorted((int(label[x]), int(label[y])))
+                    if a != b:
+                        label[label == b] = a
+        longer = run
     return label
 
 
 def _sets(label: np.ndarray, ids: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """(id, hub): members of a set in turn, HUB of them with the smallest id as hub, the last of them also with the next hub."""
+    """(id, hub) for the members of each set: its smallest id is the hub."""
     order = np.argsort(label, kind="stable")
     cuts = np.flatnonzero(np.diff(label[order])) + 1
     for rows in np.split(order, cuts):
         if len(rows) > 1:
-            own = list(dict.fromkeys(ids[i] for i in rows.tolist()))
-            for i in range(0, max(1, len(own) - 1), HUB - 1):
-                part = own[i : i + HUB]
-                if len(part) > 1:
-                    hub = min(part)
-                    yield from ((x, hub) for x in part)
+            own = {ids[i] for i in rows.tolist()}
+            if len(own) > 1:
+                hub = min(own)
+                yield from ((x, hub) for x in own)
 
 
 def _bridges(a: np.ndarray, b: np.ndarray, own_a: list[bytes], own_b: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -153,6 +209,8 @@ def _bridges(a: np.ndarray, b: np.ndarray, own_a: list[bytes], own_b: list[bytes
     wide = [np.ascontiguousarray(np.pad(x, ((0, 0), (0, -x.shape[1] % 8)))).view(np.uint64).T.copy() for x in (a, b)]
     most = int((1 - AGREE) * _N)
     for i in range(len(a)):
+        if (at_b == at_a[i]).all():
+            continue
         far = sum(np.bitwise_count(y ^ x[i]) for x, y in zip(*wide, strict=True))
         for j in np.flatnonzero((far <= most) & (at_b != at_a[i])).tolist():
             if at_b[j] != at_a[i]:
@@ -211,7 +269,7 @@ def meet(rows: DataFrame, depth: int, width: int) -> DataFrame:
         def out(n, more=False):
             nonlocal hot, runs
             prefix, nodes = keys[:n, : 1 + 2 * depth], [x.tobytes() for x in ids[:n]]
-            label = _unite(prefix, sketches[:n])
+            label = _unite(keys[:n], sketches[:n], depth)
             found = [(*x, None, None, None, None) for x in _sets(label, nodes)]
             first = prefix[0].tobytes()
             if more and first != hot:
@@ -263,18 +321,31 @@ def meet(rows: DataFrame, depth: int, width: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node is joined to by shared hubs.
+    """(node, label): the smallest node that each node is joined to by shared hubs, with a pointer jump in each round."""
+    return resolve.components(edges.withColumnRenamed("hub", "key"), "node").withColumnRenamed("component", "label")
 
-    Labels spread by the smallest of each hub, then the smallest of each node, until none moves. A hub
-    has few nodes and a node few hubs, whatever the size of a component.
-    """
-    now = materialize(edges.distinct().withColumn("label", F.col("node")), "labels")
+
+def measured_recall(signed: DataFrame, against: Probes, groups: DataFrame) -> float:
+    """Of the pairs of a probe and a different set similar to it, the share that groups (node, label) hold together; 1 without such pairs."""
+    numbered = signed.sparkSession.createDataFrame([(i, bytearray(x)) for i, x in enumerate(against.fps)], "probe int, probe_fp binary")
+    pairs = signed.where("alike IS NOT NULL").select("fp", F.explode("alike").alias("probe")).distinct()
+    pairs = pairs.join(F.broadcast(numbered), "probe").where("fp <> probe_fp").select("fp", "probe_fp").distinct()  # PROBES rows
+    of = groups.select(F.substring("node", 9, 16).alias("own"), "label")
+    both = pairs.join(of.select(F.col("own").alias("fp"), F.col("label").alias("a")), "fp", "left").join(of.select(F.col("own").alias("probe_fp"), F.col("label").alias("b")), "probe_fp", "left")
+    got = both.agg(F.avg(F.coalesce(F.col("a") == F.col("b"), F.lit(False)).cast("int"))).first()[0]
+    return 1.0 if got is None else got
+
+
+def forest(reps: DataFrame, signed: DataFrame, against: Probes, threshold: float, recall: float) -> DataFrame:
+    """(node, label) of the candidate groups; prefixes are shortened until the recall is reached, as expected and as measured."""
+    key_of = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.substring(F.col("keys"), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)))
+    trees = reps.select("node", "keys", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(key_of.alias("key"), "sketch", "node")
+    depth = depth_for(threshold, recall)
     while True:
-        spread = now.withColumn("least", F.min("label").over(Window.partitionBy("hub")))
-        spread = spread.withColumn("new", F.min("least").over(Window.partitionBy("node")))
-        now = materialize(spread.select("node", "hub", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")), "labels")
-        if now.where("moved").isEmpty():
-            return now.select("node", "label").distinct()
+        groups = components(meet(together(trees, depth), depth, 24))
+        if depth == 1 or not against.fps or measured_recall(signed, against, groups) >= recall:
+            return groups
+        depth -= 1
 
 
 def _id_bytes(key: Column) -> Column:
@@ -295,7 +366,7 @@ def _jaccard_links(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -
         owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
         order = np.argsort(columns, kind="stable")
         columns, owner = columns[order], owner[order]
-        step = 1 << 15
+        step = max(1 << 10, (8 << 20) // (len(a) + len(b)))
         cuts = np.searchsorted(columns, np.arange(0, len(values) + step, step))
         for k in range(len(cuts) - 1):
             part = slice(cuts[k], cuts[k + 1])
@@ -370,19 +441,18 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     """key, class_id (smallest key of the class that links join) and n_links (documents linked to this one, copies included) for each row."""
     prepare(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = materialize(signatures(docs, "text", ["id"]), "signatures")
-
-    copies = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "keys", "sketch")).alias("x"), F.count("*").alias("n"))
-    reps = materialize(copies.select(F.concat(_id_bytes(F.col("x.id")), "fp").alias("node"), "fp", F.col("x.id").alias("rep"), "n", "x.keys", "x.sketch"), "representatives")
+    against = probes(docs)
+    signed = materialize(signatures(docs, "text", ["id"], against, threshold), "signatures")
 
-    key_of = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.substring(F.col("keys"), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)))
-    trees = reps.select("node", "keys", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    depth = depth_for(threshold, recall)
-    groups = components(meet(together(trees.select(key_of.alias("key"), "sketch", "node"), depth), depth, 24))
+    copies = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "keys", "sketch", "n_grams")).alias("x"), F.count("*").alias("n"))
+    reps = materialize(copies.select(F.concat(_id_bytes(F.col("x.id")), "fp").alias("node"), "fp", F.col("x.id").alias("rep"), "n", "x.keys", "x.sketch", "x.n_grams"), "representatives")
+    groups = forest(reps, signed, against, threshold, recall)
 
-    sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    grouped = materialize(groups.join(sizes, "label").select("node", F.col("label").alias("grp"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "groups")
-    members = materialize(grouped.join(reps.select("node", "fp", "rep", "n"), "node"), "members")
+    found = groups.withColumnRenamed("label", "grp").join(reps.select("node", "fp", "rep", "n", "n_grams"), "node")
+    found = materialize(found, "found")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_grams") * 8 / BLOCK_BYTES)).cast("int")
+    members = materialize(found.join(found.groupBy("grp").agg(blocks.alias("blocks")), "grp").drop("n_grams"), "members")
+    discard(found)
 
     # The texts of the members once more, for their sets.
     again = docs.withColumn("rep", F.coalesce("id", F.lit((1 << 63) - 1))).join(sent(members), "rep").select("text", F.col("fp").alias("want"), "node", "n", "grp", "blocks")
@@ -407,6 +477,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     first = F.conv(F.hex(F.substring(F.coalesce("label", "node"), 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
     known = known.select("fp", F.nullif(first.cast("long"), F.lit((1 << 63) - 1)).alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = materialize(known, "classes")
+    discard(checked, members, reps)
     return signed.select("id", "fp").join(known, "fp", "left").select(
         F.col("id").alias(key), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
