@@ -1,11 +1,14 @@
 """Operator 8: license scans by ordered signature rules.
 
 Each rule is a regular expression with a label, a priority and a strength, gated by keywords: one Aho-Corasick
-scan of the lower-case text, with single blanks, says which rules run at all. Of the detections, one that lies within another of
-the same or a higher priority is suppressed, as is the lower of two that cover the same interval. Phrases of fixed
-words are found besides and always stay.
-
-Defined results: a null or empty text has no words, places or labels and the score 0. Rows repeat as they come.
+scan of the lower-case text, with single blanks, says which rules run at all. Rules are signatures written by hand
+(signatures.py: notices, words of the licenses, identifiers) and names of licenses with their versions. Of the detections, one that
+lies within another of the same or a higher priority is suppressed, as is the later rule of two equals that cover the same
+interval. Phrases of fixed words are found besides and always stay.
+
+Defined results: a null or empty text has no words, places or labels and the score 0; an empty table gives no rows. Very long texts are
+scanned whole, one at a time. Rows repeat as they come, each with its own result. A column of the table that has the name of a result
+(n_words, n_base, first_word, last_word, base_labels, labels, score, spans) gives way to it.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm.common import bytes_of, documents, with_arrow
+from shelfspark.llm.signatures import EXCEPTIONS, IDENTIFIERS, NOTICES, TEXTS
 
 # Fixed values. Phrases whose words stand one after the other, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -74,25 +78,16 @@ FAMILIES = [
 CC = ["", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd"]
 CC_NAMES = {"": "attribution", "-sa": "share-?alike", "-nc": "non-?commercial", "-nd": "no-?deriv(?:ative)?s?"}
 CC_VERSIONS = "1.0 2.0 2.5 3.0 4.0"
-TEXTS = [  # label, keyword, words of the license's own text
-    ("mit", "free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", "with or without fee", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee"),
-    ("bsd", "source and binary", r"redistribution and use in source and binary forms, with or without modification"),
-    ("zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty"),
-    ("apache-2.0", "apache.org", r"apache\.org/licenses/license-2\.0"),
-    ("gpl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/(?:old-licenses/)?gpl"),
-    ("lgpl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/(?:old-licenses/)?lgpl"),
-    ("agpl", "gnu.org", r"gnu\.org/(?:licenses|copyleft)/agpl"),
-    ("mpl-2.0", "mozilla.org", r"mozilla\.org/mpl/2\.0"),
-    ("copyright", "copyright", r"copyright\s+(?:\(c\)|©)?\s*(?:1[89]|20)[0-9]{2}"),
-    ("copyright", "©", r"©\s*(?:copyright\s*)?(?:1[89]|20)[0-9]{2}"),
-    ("proprietary", "proprietary", r"(?:confidential and proprietary|proprietary and confidential)"),
-    ("no-reuse", "reproduc", r"no part of this (?:publication|work|book) may be reproduced"),
-]
 SPDX, STATEMENT, VERSIONED, QUOTED, NAMED = 5, 4, 3, 2, 1  # priorities
 STRENGTH = {SPDX: 0.99, STATEMENT: 0.95, VERSIONED: 0.9, QUOTED: 0.8, NAMED: 0.6}
 PHRASE_STRENGTH = 0.5
 GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|made available)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:terms\s+of\s+)?(?:an?\s+|the\s+)?"
+#: Between words: white space, which may hold the mark of a comment at the start of a line.
+GAP = r"\s+(?:(?:\*|#+|//+|;+)\s+)?"
+QUOTE = "[\"'`\u2018\u2019\u201c\u201d]"
+_MARK = re.compile(r" (?:\*|#+|//+|;+) ")
+#: A machine-readable tag, and in an expression what stands before the identifier in question.
+TAG = r"spdx-license-identifier:\s*\(*(?:[a-z0-9.+()\x20\t-]{1,200}[\x20\t](?:and|or|with)[\x20\t]+\(*)?"
 CHAR = rb"[0-9a-z\x80-\xff]"  # of a word, in lower case UTF-8
 
 
@@ -108,9 +103,9 @@ def rules() -> list[tuple[str, str, int, re.Pattern]]:
         for v in versions.split():
             full = f"{label}-{v}"
             out += [(full, keyword, STATEMENT, GRANT + f"(?:{name})" + version(v)), (full, keyword, VERSIONED, f"(?:{name})" + version(v))]
-            out.append((full, "spdx", SPDX, rf"spdx-license-identifier:\s*{re.escape(full)}(?:-only|-or-later|\+)?(?![0-9.])"))
+            out.append((full, "spdx", SPDX, TAG + rf"({re.escape(full)}(?:-only|-or-later|\+)?)(?![0-9.])"))
         out += [(label, keyword, STATEMENT, GRANT + f"(?:{name})"), (label, keyword, NAMED, f"(?:{name})")]
-        out.append((label, "spdx", SPDX, rf"spdx-license-identifier:\s*{re.escape(label)}(?![-0-9.])"))
+        out.append((label, "spdx", SPDX, TAG + rf"({re.escape(label)})(?![-0-9.])"))
     for kind in CC:
         short = r"cc[\s-]+by" + kind.replace("-", r"[\s-]+")
         words = r"creative commons\s+" + r"[\s-]+".join(CC_NAMES[x] for x in dict.fromkeys(["", *(f"-{k}" for k in kind.split("-") if k)]))
@@ -119,8 +114,15 @@ def rules() -> list[tuple[str, str, int, re.Pattern]]:
             out += [(label, k, p, g + e + end) for k, e in (("cc", short), ("creative commons", words)) for p, g in ((STATEMENT, GRANT), (VERSIONED, ""))]
             out.append((label, "creativecommons.org", QUOTED, rf"creativecommons\.org/licenses/by{kind}/{re.escape(v)}"))
         out += [(f"cc-by{kind}", k, NAMED, e + r"(?![\s-]+(?:sa|nc|nd)\b)") for k, e in (("cc", short), ("creative commons", words))]
+    out += [(label, keyword, STATEMENT, text) for label, keyword, text in NOTICES]
     out += [(label, keyword, QUOTED, text) for label, keyword, text in TEXTS]
-    return sorted(((a, b, c, re.compile((r"(?<![0-9a-z])(?:" if d[0] not in "©" else "(?:") + d.replace(" ?", r"\s*").replace(" ", r"\s+") + ")")) for a, b, c, d in out), key=lambda r: -r[2])
+    out += [(label, "spdx", SPDX, TAG + f"({re.escape(label)})" + r"(?![-.]?[0-9a-z])") for label in (*IDENTIFIERS, *EXCEPTIONS)]
+
+    def compiled(expression: str) -> re.Pattern:
+        before = "(?<![0-9a-z])" if expression[0] != "©" else ""
+        return re.compile(f"{before}(?:{expression.replace(' ?', chr(92) + 's*').replace(' ', GAP).replace('~', QUOTE)})")
+
+    return sorted(((label, keywords, priority, compiled(e)) for label, keywords, priority, e in out), key=lambda r: -r[2])
 
 
 @lru_cache(1)
@@ -137,9 +139,20 @@ def _gates() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
 
 
 def gated(text: str) -> list[int]:
-    """Numbers of the rules of which a keyword stands in the text, any white space of which counts as one blank."""
+    """Numbers of the rules of which a keyword stands in the text, any gap of which counts as one blank."""
     machine, by = _gates()
-    return sorted({i for k in {k for _, k in machine.iter(" ".join(text.split()))} for i in by[k]})
+    return sorted({i for k in {k for _, k in machine.iter(_MARK.sub(" ", " ".join(text.split())))} for i in by[k]})
+
+
+def suppressed(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, int, str, int, int]]:
+    """Those of (start, end, label, priority, rule) that lie within no other of the same or a higher priority; of equals, the first rule stays."""
+    reach = dict.fromkeys(range(SPDX + 1), -1)  # how far what began before, or with it and longer, reaches, by priority
+    kept = []
+    for f in sorted(set(found), key=lambda f: (f[0], -f[1], -f[3], f[4])):
+        if all(reach[p] < f[1] for p in range(f[3], SPDX + 1)):
+            kept.append(f)
+        reach[f[3]] = max(reach[f[3]], f[1])
+    return kept
 
 
 def detect(text: str) -> list[tuple[int, int, str, int]]:
@@ -147,16 +160,8 @@ def detect(text: str) -> list[tuple[int, int, str, int]]:
     found = []
     for i in gated(text):
         label, _, priority, expression = rules()[i]
-        found += [(m.start(), m.end(), label, priority, i) for m in expression.finditer(text)]
-    # Longest first at each start: what follows is contained in it or begins later.
-    found.sort(key=lambda f: (f[0], -f[1], -f[3], f[4]))
-    kept: list[tuple[int, int, str, int, int]] = []
-    for f in found:
-        while kept and kept[-1][0] >= f[0] and kept[-1][1] <= f[1] and kept[-1][3] < f[3]:
-            kept.pop()
-        if not any(k[0] <= f[0] and k[1] >= f[1] and k[3] >= f[3] for k in kept[-8:]):
-            kept.append(f)
-    return [k[:4] for k in kept]
+        found += [(*m.span(m.lastindex or 0), label, priority, i) for m in expression.finditer(text)]
+    return [k[:4] for k in suppressed(found)]
 
 
 _PHRASES = {label: re.compile(rb"(?<!" + CHAR + rb")" + (rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+").join(w.encode() for w in phrase.split()) + rb"(?!" + CHAR + rb")") for phrase, label in PHRASES.items()}
