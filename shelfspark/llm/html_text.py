@@ -1,13 +1,15 @@
 """Operator 7: the main text of a page as its best-scoring run of words and tags.
 
-A page is read as a sequence of words, which score positive, and tags, which score negative; one linear scan
-finds the contiguous run with the largest sum. The weights are log-odds of standing inside or outside the main
-element, counted on labelled pages (those with a single article or main element). The run then grows to the
-element that encloses it, as far as that is a container of an article and not the page itself, and what stands in
-it as menu, header, footer, sidebar, notice, advert, form or comment is left out.
-
-Defined results: a null, empty or text-free page gives an empty text. Unclosed and truncated markup is read as
-far as it goes. Without labelled pages, fixed weights are taken. Rows repeat as they come.
+A page is read as a sequence of words, which score positive, and tags, which score negative; one linear scan finds the
+contiguous run with the largest sum, and the blocks of text that this run reaches are the main text, whole where it
+ends inside one. The weights are log-odds of standing inside or outside the main element, counted on labelled pages
+(those with a single article or main element), in units of a word's. What the page itself marks counts besides: no run leaves
+or enters an article or main element, whose inner tags cost a fiftieth; and elements that are by name, role or class a menu, header, footer, sidebar,
+notice, advert, form or comment neither score nor give text, but cost a little where a run passes them.
+
+Defined results: a null, empty or text-free page gives an empty text; an empty table gives no rows. Unclosed and truncated markup is read as
+far as it goes. Without labelled pages, fixed weights are taken. Very long and deeply nested pages are read whole, in linear time. Rows
+repeat as they come. A column of the table that has the name of the result (text) gives way to it, unless it is the page itself.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from shelfspark.llm.common import prepare, texts_of, trimmed, with_arrow
 MAX_PAGES = 2000
 
 # Elements by what they do to text.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -36,7 +38,6 @@ BLOCK = {
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 ASIDE = {"nav", "footer", "aside", "form", "menu", "select", "button", "dialog", "head", "fieldset"}
-CONTAINER = {"article", "main", "section", "div", "td", "blockquote", "center"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "html", "article", "main", "section", "div", "aside", "nav", "footer", "header", "form", "blockquote"}
 NAMED = re.compile(
@@ -44,11 +45,15 @@ NAMED = re.compile(
     r"|newsletter|notices?|notification|pager|pagination|popup|promo\w*|recommend\w*|related|repl(?:y|ies)|respond|shar(?:e|ing)|sidebar|side|site-header|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])"
 )
 ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu")
-DEFAULT = {"word": 1.0, "link": -0.5, "a": -2.0, "li": -2.0, "ul": -3.0, "div": -2.0, "p": -0.2, "": -1.0}
-OUT = -50.0  # what entering or leaving an element that is beside the text costs
+INLINE = dict.fromkeys(("b", "i", "em", "strong", "span", "h1", "h2", "h3", "h4", "br", "p", "sup", "sub", "code", "u", "small"), -0.1)
+DEFAULT = {"word": 1.0, "link": -0.5, "a": -2.0, "li": -0.5, "ul": -1.5, "ol": -1.5, "div": -2.0, "": -1.0} | INLINE
+EDGE, PASSED, VOUCHED = -1e9, -1.0, 0.02  # an article's edge; an edge of what stands beside the text; the share that tags in an article cost
+MAIN = ("article", "main")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|[^<]+|<", re.S)
 SPECIAL = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*)")
+HIDDEN = re.compile(r"(?<![^\s/])hidden(?![^\s/])")
 SPACE = re.compile(r"\s+")
 
 
@@ -64,30 +69,45 @@ def beside(tag: str, attributes: str, inside: bool) -> bool:
                 return True
             if not inside and re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", value):
                 return True
-    return re.search(r"\bhidden\b", attributes) is not None and "=" not in attributes
+    return "hidden" in attributes.lower() and HIDDEN.search(VALUE.sub("", attributes.lower())) is not None
 
 
 def parse(page: str) -> tuple[list[tuple[str, int]], list[dict]]:
-    """The scored sequence (name of a tag, or word or, in links and beside the text, link and how many), and the blocks of text in page order.
+    """The scored sequence and the blocks of text in page order.
 
-    A block: text, first and last place in the sequence, the elements that enclose it as (number, name), and whether
+    An item of the sequence: word or, in links outside articles, link, and how many; or the name of a tag, for both its ends. A tilde before a tag: inside an
+    article or main element. "|": an edge of such an element, and "/beside" of one beside the text, whose items begin with "!".
+    A block: text, first and last place in the sequence, the number of the outermost article or main element around it (or none), and whether
     it stands beside the main text.
     """
     items: list[tuple[str, int]] = []
     blocks: list[dict] = []
-    stack: list[tuple[str, int, bool]] = []  # name, number, beside
+    stack: list[tuple[str, bool]] = []  # name, beside
+    opened: Counter = Counter()  # names in the stack
     pieces: list[str] = []
-    first, number, links, asides = 0, 0, 0, 0
+    first, tops, links, asides = 0, 0, 0, 0
     pos, lowered = 0, ""
 
+    def inside() -> int:
+        return opened["article"] + opened["main"]
+
     def close() -> None:
-        nonlocal first
         if pieces:
             text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                blocks.append({"text": text, "first": first, "last": len(items) - 1, "path": [(n, t) for t, n, _ in stack], "beside": any(b for _, _, b in stack)})
+                blocks.append({"text": text, "first": first, "last": len(items) - 1, "top": tops if inside() else None, "beside": asides > 0})
             pieces.clear()
 
+    def leave() -> str:
+        nonlocal links, asides
+        name, aside = stack.pop()
+        opened[name] -= 1
+        links -= name == "a"
+        asides -= aside
+        if aside and not asides:
+            items.append(("~/beside" if inside() else "/beside", 1))
+        return name
+
     while pos < len(page):
         m = TOKEN.match(page, pos)
         pos = m.end()
@@ -99,7 +119,7 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[dict]]:
                 pieces.append(m[0])
                 n = len(m[0].split())
                 if n:
-                    items.append(("link" if links or asides else "word", n))
+                    items.append(("!word" if asides else "link" if links and not inside() else "word", n))
             continue
         tag = tag.lower()
         opening = not m[1]
@@ -114,38 +134,37 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[dict]]:
         elif tag == "br":
             pieces.append(" ") if pieces else None
             continue
-        items.append((tag, 1))
+        known = opened[tag] > 0
+        if tag in MAIN:
+            if opening or known:
+                items.append(("|", 1))
+        else:
+            items.append((("!" if asides else "~" if inside() else "") + tag, 1))
         if tag in VOID:
             continue
         if opening:
-            if tag in BLOCK:
-                drop = CLOSES.get(tag)
+            drop = CLOSES.get(tag, ())
+            if tag in BLOCK and (opened["p"] or any(opened[d] for d in drop)):
                 for i in range(len(stack) - 1, -1, -1):
                     name = stack[i][0]
-                    if name == "p" or drop and name in drop:
-                        links -= sum(x[0] == "a" for x in stack[i:])
-                        asides -= sum(x[2] for x in stack[i:])
-                        del stack[i:]
+                    if name == "p" or name in drop:
+                        while len(stack) > i:
+                            leave()
                         if name != "p":
                             break
                     elif name in SCOPE:
                         break
-            number += 1
-            aside = beside(tag, m[3], any(x[0] in ("article", "main") for x in stack))
-            stack.append((tag, number, aside))
+            aside = beside(tag, m[3], inside() > 0)
+            tops += tag in MAIN and not inside()
+            if aside and not asides:
+                items.append(("~/beside" if inside() else "/beside", 1))
+            stack.append((tag, aside))
+            opened[tag] += 1
             links += tag == "a"
             asides += aside
-            if aside:
-                items.append(("/beside", 1))
-        elif any(x[0] == tag for x in stack):
-            while True:
-                name, _, aside = stack.pop()
-                links -= name == "a"
-                asides -= aside
-                if aside:
-                    items.append(("/beside", 1))
-                if name == tag:
-                    break
+        elif known:
+            while leave() != tag:
+                pass
     close()
     return items, blocks
 
@@ -153,9 +172,14 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[dict]]:
 def best_run(items: list[tuple[str, int]], weights: dict[str, float]) -> tuple[int, int] | None:
     """First and last place of the run with the largest sum; the earliest among equals."""
     best, found, total, start = 0.0, None, 0.0, 0
-    other = weights.get("", DEFAULT[""])
+    costs = {"|": EDGE, "/beside": PASSED, "~/beside": VOUCHED * PASSED}
     for i, (name, n) in enumerate(items):
-        total += n * (OUT if name == "/beside" else weights.get(name, other))
+        cost = costs.get(name)
+        if cost is None:
+            plain = name.lstrip("!~")
+            share = 0.0 if name[0] == "!" else VOUCHED if name[0] == "~" else 1.0
+            cost = costs[name] = share * weights.get(plain, weights.get("", DEFAULT[""]))
+        total += n * cost
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -168,38 +192,20 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     run = best_run(items, weights)
     if run is None:
         return ""
-    inside = [b for b in blocks if b["first"] >= run[0] and b["last"] <= run[1] and not b["beside"]] or [b for b in blocks if b["last"] >= run[0] and b["first"] <= run[1] and not b["beside"]]
-    if not inside:
-        return ""
-    path = inside[0]["path"]
-    for b in inside[1:]:
-        path = [x for x, y in zip(path, b["path"], strict=False) if x == y]
-    articles = [x for x in path if x[1] in ("article", "main")]
-    holders = [x for x in path if x[1] in CONTAINER]
-    holder = articles[-1] if articles else holders[-1] if holders else None
-    if holder is not None:
-        inside = [b for b in blocks if holder in b["path"] and not b["beside"]]
-    else:  # straight in the page: the headings above the run belong to it
-        at = blocks.index(inside[0])
-        while at and not blocks[at - 1]["beside"] and blocks[at - 1]["path"] and blocks[at - 1]["path"][-1][1] in ("h1", "h2", "h3"):
-            at -= 1
-            inside.insert(0, blocks[at])
-    return "\n".join(b["text"] for b in inside)
+    return "\n".join(b["text"] for b in blocks if b["last"] >= run[0] and b["first"] <= run[1] and not b["beside"])
 
 
 def label_counts(page: str | None) -> Counter:
     """(name, inside) of each tag and word of a page with a single article or main element; else nothing."""
     out: Counter = Counter()
     items, blocks = parse(page or "")
-    tops = {next((x for x in b["path"] if x[1] in ("article", "main")), None) for b in blocks} - {None}
-    if len(tops) != 1:
+    if len({b["top"] for b in blocks} - {None}) != 1:
         return out
-    (top,) = tops
-    span = [b for b in blocks if top in b["path"]]
-    first, last = span[0]["first"], span[-1]["last"]
+    edges = [i for i, (name, _) in enumerate(items) if name == "|"]
+    first, last = edges[0], edges[-1] if len(edges) > 1 else len(items)
     for i, (name, n) in enumerate(items):
-        if name != "/beside":
-            out[name, first <= i <= last] += n
+        if name != "|" and not name.endswith("/beside"):
+            out[name.lstrip("!~"), first <= i <= last and name[0] != "!"] += n
     return out
 
 
@@ -221,12 +227,11 @@ def fit(df: DataFrame, key: str = "page_id", text: str = "html", max_pages: int
     got = {(r.name, r.inside): r.n for r in rows}
     if not got:
         return dict(DEFAULT)
-    words = {i: got.get(("word", i), 0) + got.get(("link", i), 0) + 1 for i in (True, False)}
-    out = dict(DEFAULT)
-    for name in {n for n, _ in got}:
-        odds = math.log((got.get((name, True), 0) + 0.5) / words[True]) - math.log((got.get((name, False), 0) + 0.5) / words[False])
-        out[name] = min(3.0, max(0.5, odds)) if name == "word" else min(-0.1, max(-2.0, odds - 1.0))
-    return out
+    whole = {i: sum(n for (_, x), n in got.items() if x == i) + 1 for i in (True, False)}
+    odds = {name: math.log((got.get((name, True), 0) + 0.5) / whole[True]) - math.log((got.get((name, False), 0) + 0.5) / whole[False]) for name in {n for n, _ in got}}
+    unit = max(0.3, odds.get("word", 0.3))
+    scaled = {name: x / unit for name, x in odds.items() if name != "word"}
+    return DEFAULT | {name: min(0.5, max(-3.0, x)) if name == "link" else min(-0.1, max(-12.0, x)) for name, x in scaled.items()}
 
 
 def extract(df: DataFrame, weights: dict[str, float], text: str = "html", into: str = "text", keep: list[str] | None = None) -> DataFrame:
