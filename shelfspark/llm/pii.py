@@ -1,25 +1,33 @@
 """Operator 9: information-theoretic sanitisation of personal data.
 
-Protected entities are found by form: e-mail, address, card and phone, and secrets (long runs of hexadecimal
-digits). How strongly a word discloses a kind of entity is estimated from co-occurrence in the whole corpus: with the
-words within WINDOW words of an entity as its context, the pointwise mutual information of word and kind is held
-against the information content of the kind; 1 means that the word gives the kind away. A word whose share passes
-DISCLOSURE, and that stands beside at least ENTITIES different entities of the kind (so that copies of one document prove
-nothing), is a span of its own: removed if nearly always beside an entity, else generalised to its kind.
-
-Counting takes three passes that each send little: contexts of entities, occurrences in the corpus of the words that
-have enough different entities, and the spans. Sets of words are sent to executors in blocks of at most BLOCK hashes,
-with a pass for each block, so that their size does not follow the vocabulary.
-
-Defined results: a null or empty text has no spans. Spans count code points, ends exclusive, and come in order
-of start, then kind. Rows repeat as they come. A corpus without entities has no disclosing words.
+Protected entities are found by form: e-mail, address, card and phone, and secrets (long hexadecimal digits and tokens with a
+known beginning). How strongly a word discloses them is estimated from co-occurrence in the whole corpus: the words within
+WINDOW words of an entity are its context, left and right apart, and the pointwise mutual information of a word and what it
+stands beside is held against the information content of that: 1 means that the word gives it away. This is done for kinds of
+entities (a word that stands beside many different ones) and for single entities (a word that keeps coming back beside the same one).
+
+A word is a span of its own if its share passes the threshold and its company is no chance: the likelihood ratio against
+independence, of different entities or different contexts only (copies of one document prove nothing), must outweigh the number of words
+tried. The threshold is DISCLOSURE or, if higher, what words get beside random places of the same documents, as many as there are entities.
+Such a word is replaced by the most specific generalisation that discloses less than the threshold, from the kind over its group to any
+personal data (GROUPS), and removed if there is none.
+
+Counting takes passes that each send little: contexts of entities, occurrences in the corpus of the candidates, and the spans. Up
+to BLOCK words are sent to executors as one array; more are joined by hash, for counting as sums of each task, and for
+spans as the list of each different text.
+
+Defined results: a null or empty text has no spans; an empty table gives no rows. Spans count code points, ends exclusive, and come in order
+of start, then kind. Very long texts are read whole, in time linear but for a logarithm. Rows repeat as they come, each with its own spans. A
+corpus without entities has no disclosing words. A column of the table that has the name of the result gives way to it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +41,10 @@ from shelfspark.llm.common import bytes_of, documents, materialize, prepare, sli
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "term")
-WINDOW, ENTITIES, DISCLOSURE, CERTAIN, BLOCK = 3, 5, 0.85, 0.9, 1_000_000
+#: Words on each side; the least disclosure; the chance of a false word, over all; different contexts that tell of a single entity; words that are broadcast.
+WINDOW, DISCLOSURE, CHANCE, CONTEXTS, BLOCK = 8, 0.75, 0.001, 3, 1_000_000
+LEFT, RIGHT = 0, 1
+GROUPS = {"email": "contact", "phone": "contact", "ip": "device", "card": "finance", "secret": "credential"}
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,7 +53,10 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _PART = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SECRET = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])[0-9a-f]{32,}(?![0-9A-Za-z])")
+_SECRET = re.compile(
+    r"(?<![0-9A-Za-z])(?:(?=[a-f]*[0-9])[0-9a-f]{32,}|(?=[A-F]*[0-9])[0-9A-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|glpat-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}"
+    r"|AIza[0-9A-Za-z_-]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,})(?![0-9A-Za-z])"
+)
 _ANY = re.compile(r"[@0-9]")
 
 
@@ -101,8 +115,24 @@ def _texts(batch: pa.RecordBatch, text: str):
     return raw, offsets, [(i, whole[offsets[i] : offsets[i + 1]].decode()) for i in rows.tolist()]
 
 
+_MARKS = np.zeros(256, bool)
+_MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def terms_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words without punctuation around them, the number of words before each text, and hashes in lower case."""
+    starts, ends, _ = wordhash.words(raw, offsets)
+    for at, step in ((starts, 1), (ends, -1)):
+        live = np.arange(len(starts))
+        while len(live := live[(starts[live] < ends[live]) & _MARKS[raw[np.minimum(at[live] - (step < 0), len(raw) - 1)]]]):
+            at[live] += step
+    some = starts < ends
+    starts, ends = starts[some], ends[some]
+    return starts, ends, np.searchsorted(starts, offsets), wordhash.hashes(wordhash.lower(raw), starts, ends).astype(np.int64)
+
+
 def contexts(df: DataFrame, text: str = "text") -> DataFrame:
-    """term (hash of a word), kind, entity (hash) and how often the term stands in the entity's contexts."""
+    """term (hash of a word), kind, side, chance (beside a random place instead), entity (hash), place (hash of the word on the other side) and how often."""
 
     def run(batches):
         for whole in batches:
@@ -113,76 +143,100 @@ def contexts(df: DataFrame, text: str = "text") -> DataFrame:
                     spans = base_spans(t)
                     if not spans:
                         continue
-                    own = wordhash.lower(raw[offsets[row] : offsets[row + 1]])
-                    starts, ends, _ = wordhash.words(own, np.array([0, len(own)]))
-                    hashed = wordhash.hashes(own, starts, ends).astype(np.int64)
-                    for a, kind, b in spans:
-                        x, y = len(t[:a].encode()), len(t[:b].encode())
-                        i, j = int(np.searchsorted(ends, x, side="right")), int(np.searchsorted(starts, y))
-                        near = np.concatenate([hashed[max(0, i - WINDOW) : i], hashed[j : j + WINDOW]])
+                    own = raw[offsets[row] : offsets[row + 1]]
+                    starts, ends, _, hashed = terms_of(own, np.array([0, len(own)]))
+                    byte = np.append(np.flatnonzero((own & 0xC0) != 0x80), len(own))  # of each code point
+                    at = [(int(np.searchsorted(ends, byte[a], side="right")), int(np.searchsorted(starts, byte[b]))) for a, _, b in spans]
+                    inside = np.zeros(len(hashed) + 1, int)
+                    for i, j in at:
+                        inside[i] += 1
+                        inside[j] -= 1
+                    free, hashes = (np.cumsum(inside)[:-1] == 0).tolist(), hashed.tolist()
+                    for (a, kind, b), (i, j) in zip(spans, at, strict=True):
                         entity = xxhash.xxh64_intdigest(t[a:b]) - (1 << 63)
-                        found.update((h, kind, entity) for h in near.tolist())
-                keys = list(found)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["term", "kind", "entity", "n"])
+                        random = (entity + len(hashes)) % max(1, len(hashes))
+                        for null, x, y in ((False, i, j), (True, random, random + 1)):
+                            before, after = hashes[x - 1] if x else 0, hashes[y] if y < len(hashes) else 0
+                            found.update((hashes[w], kind, LEFT, null, entity, after) for w in range(max(0, x - WINDOW), x) if free[w])
+                            found.update((hashes[w], kind, RIGHT, null, entity, before) for w in range(y, min(len(hashes), y + WINDOW)) if free[w])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+                columns = [pa.array([k[i] for k in found], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], names=["term", "kind", "side", "chance", "entity", "place", "n"])
+
+    return df.select(text).mapInArrow(trimmed(run), "term bigint, kind int, side int, chance boolean, entity bigint, place bigint, n bigint")
 
-    return df.select(text).mapInArrow(trimmed(run), "term bigint, kind int, entity bigint, n bigint")
 
+def occurrences(df: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """term, n: how often each of the different terms stands in the corpus; the null term counts all words."""
+    few = terms.count() <= BLOCK
+    sent = df.sparkSession.sparkContext.broadcast(np.sort(terms.toPandas()["term"].to_numpy(np.int64))) if few else None
 
-def _blocks(terms: DataFrame):
-    """The terms of a DataFrame as sorted arrays of about BLOCK hashes at most, one after the other."""
-    n = terms.count()
-    parts = -(-n // BLOCK) if n else 0
-    for i in range(parts):
-        own = terms if parts == 1 else terms.where(F.pmod("term", F.lit(parts)) == i)
-        yield own.toPandas()
+    def run(batches):
+        wanted = None if sent is None else sent.value
+        for whole in batches:
+            for batch in slices(whole, text):
+                _, _, _, h = terms_of(*bytes_of(batch, text))
+                total = len(h)
+                if wanted is not None:
+                    h = h[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h] if len(wanted) else h[:0]
+                found, counts = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([None, *found.tolist()], pa.int64()), pa.array([total, *counts.tolist()], pa.int64())], names=["term", "n"])
 
+    counts = df.select(text).mapInArrow(trimmed(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return counts if few else counts.join(terms.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("long").alias("term"))), counts["term"].eqNullSafe(terms["term"]), "left_semi")
 
-def occurrences(df: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """term, n: how often each term of terms stands in the corpus; the null term counts all words, in each block."""
-    spark, out = df.sparkSession, None
-    for block in _blocks(terms.select("term").distinct()):
-        sent = spark.sparkContext.broadcast(np.sort(block["term"].to_numpy(np.int64)))
-
-        def run(batches, sent=sent):
-            wanted = sent.value
-            total, counts = 0, np.zeros(len(wanted), np.int64)
-            for whole in batches:
-                for batch in slices(whole, text):
-                    raw, offsets = bytes_of(batch, text)
-                    raw = wordhash.lower(raw)
-                    starts, ends, _ = wordhash.words(raw, offsets)
-                    h = wordhash.hashes(raw, starts, ends).astype(np.int64)
-                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    counts += np.bincount(at[wanted[at] == h], minlength=len(wanted))
-                    total += len(h)
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([None, *wanted[some].tolist()], pa.int64()), pa.array([total, *counts[some].tolist()], pa.int64())], names=["term", "n"])
-
-        part = df.select(text).mapInArrow(trimmed(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def shares(met: DataFrame, counts: DataFrame, words: int, tried: int) -> DataFrame:
+    """met (term, total: context words of what it stands beside, n: of them the term, different) with share, where the company is no chance."""
+    both = met.alias("c").join(counts.alias("t"), F.col("c.term") == F.col("t.term")).select("c.*", F.col("t.n").alias("all"))
+    given, base = F.least(F.lit(1.0), F.col("n") / F.col("all")), F.col("total") / F.lit(float(words))
+    ratio = F.col("different") * F.log(given / base)  # natural logarithm of the likelihood ratio
+    share = F.when(base < 1, 1 + F.log(given) / -F.log(base)).otherwise(F.lit(0.0))
+    return both.withColumn("share", share).where((given > base) & (ratio >= math.log(max(1, tried) / CHANCE)))
 
 
 def disclosing(df: DataFrame, text: str = "text") -> DataFrame | None:
-    """term, kind, share (disclosure) and certain of the words that disclose kinds of entities; None without entities."""
+    """term, kind, share (disclosure) and label (generalisation, empty if removed) of the words that disclose entities; None without entities."""
     prepare(df.sparkSession)
-    met = contexts(df, text).groupBy("term", "kind", "entity").agg(F.sum("n").alias("n")).groupBy("term", "kind").agg(F.count("*").alias("entities"), F.sum("n").alias("n"))
-    met = materialize(met, "contexts")
-    of_kind = {r.kind: r.n for r in met.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    candidates = met.where(F.col("entities") >= ENTITIES)
-    counts = occurrences(df, candidates, text)
-    if counts is None:
-        return None
-    counts = materialize(counts, "occurrences")
-    words = counts.where(F.col("term").isNull()).agg(F.max("n")).first()[0]
-    if not words:
+    key = ["term", "kind", "side", "chance"]
+    pairs = contexts(df, text).groupBy(*key, "entity", "place").agg(F.sum("n").alias("n")).groupBy(*key, "entity").agg(F.sum("n").alias("n"), F.count("*").alias("places"))
+    pairs = materialize(pairs, "pairs")
+    of_kind = {(r.kind, r.side): r.n for r in pairs.where("NOT chance").groupBy("kind", "side").agg(F.sum("n").alias("n")).collect()}  # a few kinds
+    if not of_kind:
         return None
-    content = F.create_map(*[F.lit(x) for k, n in of_kind.items() for x in (k, math.log2(words / n) if n < words else 0.0)])
-    given = F.least(F.lit(1.0), F.col("c.n") / F.col("t.n"))
-    both = candidates.alias("c").join(counts.alias("t"), F.col("c.term") == F.col("t.term"))
-    shares = both.select("c.term", "c.kind", given.alias("given"), F.when(content[F.col("kind")] > 0, 1 + F.log2(given) / content[F.col("kind")]).otherwise(F.lit(0.0)).alias("share"))
-    best = shares.where(F.col("share") >= DISCLOSURE).groupBy("term").agg(F.max(F.struct("share", "kind", "given")).alias("x"))
-    return materialize(best.select("term", "x.kind", "x.share", (F.col("x.given") >= CERTAIN).alias("certain")), "disclosing")
+    total = F.create_map(*[F.lit(x) for k, n in of_kind.items() for x in (k[0] * 2 + k[1], n)])[F.col("kind") * 2 + F.col("side")]
+    by_kind = pairs.groupBy(*key).agg(F.sum("n").alias("n"), F.count("*").alias("different")).where("different >= 2").withColumn("total", total)
+    # Single entities: contexts that mostly differ, so that they are no copies of one.
+    whole = pairs.where("NOT chance").groupBy("entity", "side").agg(F.sum("n").alias("total"))
+    own = pairs.where((F.col("places") >= CONTEXTS) & (2 * F.col("places") >= F.col("n"))).join(whole, ["entity", "side"])
+    own = own.groupBy("term", "entity", "kind", "side", "chance").agg(F.max("n").alias("n"), F.max("places").alias("different"), F.max("total").alias("total")).drop("entity")
+    met = materialize(by_kind.withColumn("single", F.lit(False)).unionByName(own.withColumn("single", F.lit(True))), "met")
+    tried = met.where("NOT chance").count()
+    counts = materialize(occurrences(df, materialize(met.select("term").distinct(), "terms"), text), "occurrences")
+    words = counts.where("term IS NULL").agg(F.max("n")).first()[0] or 1
+    found = shares(met, counts, words, tried)
+    noise = {r.kind: r.most for r in found.where("chance").groupBy("kind").agg(F.max("share").alias("most")).collect()}
+    limits = {k: max(DISCLOSURE, noise.get(k, 0.0)) for k, _ in of_kind}
+
+    def information(of) -> float:
+        n = sum(n for (k, _), n in of_kind.items() if of(KINDS[k]))
+        return -math.log(min(0.999, max(n, 1) / words))
+
+    content = {k: information(lambda x, k=k: x == KINDS[k]) for k in limits}
+    groups = {g: information(lambda x, g=g: GROUPS[x] == g) for g in GROUPS.values()}
+    root = information(lambda x: True)
+
+    label = F.lit("")
+    for k, limit in limits.items():
+        disclosed = F.lit(content[k])  # by what a single entity or the kind holds
+        mine = F.when(F.col("single"), F.greatest(disclosed, -F.log(F.col("total") / float(words)))).otherwise(disclosed)
+        general = F.lit("")
+        for name, held in (("personal", root), (GROUPS[KINDS[k]], groups[GROUPS[KINDS[k]]]), (KINDS[k], content[k])):
+            general = F.when(F.lit(held) / mine < limit, F.lit(f"[{name.upper()} TERM]")).otherwise(general)
+        label = F.when(F.col("kind") == k, general).otherwise(label)
+    limit = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)])[F.col("kind")]
+    best = found.where(~F.col("chance") & (F.col("share") >= limit)).withColumn("label", label).groupBy("term").agg(F.max(F.struct("share", "kind", "label")).alias("x"))
+    return materialize(best.select("term", "x.kind", "x.share", "x.label"), "disclosing")
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType())]))
@@ -195,48 +249,31 @@ def find(df: DataFrame, text: str = "text", into: str = "spans", keep: list[str]
     terms: what disclosing() gave for the corpus; found here if not given. clean: a column to add with the sanitised text.
     """
     found = disclosing(df, text) if terms is None else terms
-    names = [c for c in df.columns if c != into and (keep is None or c in keep)]
-    sets = [None]
-    if found is not None:
-        sets = [tuple(b[c].to_numpy() for c in ("term", "kind", "certain")) for b in _blocks(found.sort("term").select("term", "kind", "certain"))] or [None]
-    out = df
-    for i, block in enumerate(sets):
-        sent = None if block is None else df.sparkSession.sparkContext.broadcast(block)
-        last = i == len(sets) - 1
-        out = _spans(out, text, into, names if last else [*names, text], sent, i > 0, clean if last else None)
-    return out
-
-
-def _spans(df: DataFrame, text: str, into: str, keep: list[str], sent, again: bool, clean: str | None = None) -> DataFrame:
-    """One pass: the spans by form, or those of the passes before, and the words of one block."""
-    earlier = "__earlier"
-    source = df.withColumnRenamed(into, earlier) if again else df
+    new = [into, *([] if clean is None else [clean])]
+    names = [c for c in df.columns if c not in new and (keep is None or c in keep)]
+    n = 0 if found is None else found.count()
+    sent = None
+    if 0 < n <= BLOCK:
+        block = found.select("term", "kind", "label").toPandas().sort_values("term")
+        sent = df.sparkSession.sparkContext.broadcast((block["term"].to_numpy(np.int64), block["kind"].tolist(), block["label"].tolist()))
+    source = _told(df, text, found) if n > BLOCK else df
 
     def make():
         def compute(batch: pa.RecordBatch):
             raw, offsets, some = _texts(batch, text)
             rows: list[list] = [[] for _ in range(batch.num_rows)]
-            if again:
-                for i, x in enumerate(batch.column(earlier).to_pylist()):
-                    rows[i] = [(s["start"], s["kind"], s["end"], s["label"]) for s in x]
-            else:
-                for i, t in some:
-                    rows[i] = [(a, k, b, LABELS[KINDS[k]]) for a, k, b in base_spans(t)]
-            if sent is not None:
-                wanted, kind, certain = sent.value
-                order = np.argsort(wanted)
-                wanted, kind, certain = wanted[order], kind[order], certain[order]
-                starts, ends, before = wordhash.words(raw, offsets)
-                h = wordhash.hashes(wordhash.lower(raw), starts, ends).astype(np.int64)
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                hits = np.flatnonzero(wanted[at] == h)
-                points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]) if len(hits) else None
-                for i in hits.tolist():
-                    row = int(np.searchsorted(before, i, side="right")) - 1
-                    x, y = (int(points[p] - points[offsets[row]]) for p in (starts[i], ends[i]))
-                    if not any(s[0] < y and x < s[2] for s in rows[row]):
-                        t = int(at[i])
-                        rows[row].append((x, KINDS.index("term"), y, "" if certain[t] else f"[{KINDS[kind[t]].upper()} TERM]"))
+            for i, t in some:
+                rows[i] = [(a, k, b, LABELS[KINDS[k]]) for a, k, b in base_spans(t)]
+            if n:
+                starts, ends, before, h = terms_of(raw, offsets)
+                points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                if sent is not None:
+                    _mark(rows, range(len(rows)), sent.value, starts, ends, before, h, points, offsets)
+                else:
+                    for i, told in enumerate(batch.column(TOLD).to_pylist()):
+                        if told:
+                            told = sorted(told, key=lambda x: x["term"])
+                            _mark(rows, [i], (np.array([x["term"] for x in told], np.int64), [x["kind"] for x in told], [x["label"] for x in told]), starts, ends, before, h, points, offsets)
             made = [[{"start": a, "kind": k, "end": b, "label": x} for a, k, b, x in sorted(r)] for r in rows]
             out = [pa.array(made, _SPAN)]
             return out if clean is None else [*out, pa.array([replaced(t, s) for t, s in zip(texts_of(batch, text), made, strict=True)], pa.string())]
@@ -244,8 +281,56 @@ def _spans(df: DataFrame, text: str, into: str, keep: list[str], sent, again: bo
         return compute
 
     fields = [T.StructField(into, SPAN), *([] if clean is None else [T.StructField(clean, T.StringType())])]
-    out = with_arrow(source, text, fields, make, [*keep, *([earlier] if again else [])])
-    return out.drop(earlier)
+    out = with_arrow(source, text, fields, make, [*names, TOLD])
+    return out.select(*names, *new)
+
+
+TOLD = "__told"
+
+
+def _told(df: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """df with the disclosing words that each text holds: joined by hash for each different text, then by the text's own hash."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, text):
+                raw, offsets = bytes_of(batch, text)
+                _, _, before, h = terms_of(raw, offsets)
+                rows = [np.unique(h[a:b]) for a, b in zip(before[:-1], before[1:], strict=True)]
+                fps = [_fingerprint(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                some = [f for f, r in zip(fps, rows, strict=True) for _ in range(len(r))]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]), pa.int64())], names=["fp", "term"])
+
+    held = df.select(text).mapInArrow(trimmed(run), "fp binary, term bigint").distinct().join(terms.select("term", "kind", "label"), "term")
+    lists = materialize(held.groupBy("fp").agg(F.collect_list(F.struct("term", "kind", "label")).alias(TOLD)), "told")  # at most the different words of one text
+    marked = with_arrow(df, text, [T.StructField("__fp", T.BinaryType())], lambda: lambda batch: [pa.array(_fingerprints(*bytes_of(batch, text)), pa.binary())])
+    return marked.join(lists, marked["__fp"] == lists["fp"], "left").drop("__fp", "fp")
+
+
+def _fingerprint(raw: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(raw.tobytes())
+
+
+def _fingerprints(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    return [_fingerprint(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _mark(rows: list[list], which, block: tuple, starts, ends, before, h, points, offsets) -> None:
+    """Add the spans of the block's words to the rows in question, where they touch no span by form."""
+    wanted, kind, label = block
+    a, b = int(before[which[0]]) if len(which) else 0, int(before[which[-1] + 1]) if len(which) else 0
+    at = np.minimum(np.searchsorted(wanted, h[a:b]), len(wanted) - 1)
+    hits = np.flatnonzero(wanted[at] == h[a:b])
+    owner = np.searchsorted(before, hits + a, side="right") - 1
+    known, begin, reach = -1, [], []
+    for i, row, t in zip((hits + a).tolist(), owner.tolist(), at[hits].tolist(), strict=True):
+        if row != known:  # where the spans by form begin, and how far those up to there reach
+            known, forms = row, sorted((s[0], s[2]) for s in rows[row])
+            begin, reach = [s[0] for s in forms], list(accumulate((s[1] for s in forms), max))
+        x, y = (int(points[p] - points[offsets[row]]) for p in (starts[i], ends[i]))
+        n = bisect_left(begin, y)
+        if not n or reach[n - 1] <= x:
+            rows[row].append((x, KINDS.index("term"), y, label[t]))
 
 
 def replaced(text: str | None, spans: list[dict] | None) -> str | None:
