@@ -108,6 +108,31 @@ def test_pdf_text_and_information():
         pdf.Document(b"no")
 
 
+def test_pdf_text_moves_by_what_is_shown():
+    """Widths of A and B are 0.6 and 0.7 em; spacing, stretch, rise and leading as the standard has them."""
+
+    def at(body):
+        d = pdf.Document(make_pdf(body))
+        return [(p["text"], *(round(p[k], 6) for k in ("x", "y", "size", "advance"))) for p in pdf.placed(d, d.pages()[0])[0]]
+
+    assert at(b"BT /F1 10 Tf 5 5 Td (A) Tj (B) Tj ET") == [("A", 5, 5, 10, 6), ("B", 11, 5, 10, 7)]
+    assert at(b"BT /F1 10 Tf 1 Tc 200 Tz (AB) Tj (A) Tj ET") == [("AB", 0, 0, 10, 30), ("A", 30, 0, 10, 14)]
+    assert at(b"BT /F1 10 Tf 12 TL 3 Ts (A) Tj T* 0 Ts (B) Tj (A) ' 2 1 (B) \" ET") == [("A", 0, 3, 10, 6), ("B", 0, -12, 10, 7), ("A", 0, -24, 10, 6), ("B", 0, -36, 10, 8)]
+    assert at(b"2 0 0 2 10 20 cm BT /F1 10 Tf 0 1 -1 0 5 5 Tm (A) Tj (B) Tj ET") == [("A", 20, 30, 20, 12), ("B", 20, 42, 20, 14)]
+    assert at(b"q BT /F1 10 Tf ET 3 0 0 3 0 0 cm Q BT (A) Tj /F1 8 Tf (A) Tj ET") == [("A", 0, 0, 0, 0), ("A", 0, 0, 8, 4.8)]
+    assert at(b"Q Q cm Td Tf 1 cm BT /F1 10 Tf 4 2 TD (A) Tj T* (B) Tj ET") == [("A", 4, 2, 10, 6), ("B", 4, 4, 10, 7)]
+
+
+def test_pdf_forms_have_a_matrix_and_never_draw_themselves():
+    form = lambda n, body, more=b"": b"%d 0 obj\n<< /Subtype /Form /Matrix [2 0 0 2 1 1] /Length %d %s >>\nstream\n%s\nendstream\nendobj\n" % (n, len(body), more, body)
+    whole = make_pdf(b"1 0 0 1 10 10 cm /X Do q 5 0 0 7 0 0 cm /Im Do Q")
+    whole = whole.replace(b"/Resources << ", b"/Resources << /XObject << /X 8 0 R >> ").replace(b"trailer", form(8, b"BT /F1 10 Tf (A) Tj ET /X Do /Y Do", b"/Resources << /Font << /F1 6 0 R >> /XObject << /X 8 0 R /Y 9 0 R >> >>") + form(9, b"BT /F1 10 Tf (B) Tj ET") + b"trailer")
+    d = pdf.Document(whole)
+    pieces, drawn = pdf.placed(d, d.pages()[0])
+    assert [(p["text"], p["x"], p["y"], p["size"]) for p in pieces] == [("A", 11, 11, 20), ("B", 13, 13, 40)]
+    assert drawn == [{"name": "Im", "top": 17.0, "height": 7.0, "width": 5.0}]
+
+
 def test_pdf_pieces_become_lines(spark):
     lines = b"BT /F1 11 Tf 1 0 0 1 50 700 Tm (Hello) Tj 60 0 Td (world) Tj -60 -14 Td (again) Tj ET"
     files = spark.createDataFrame([("a.pdf", bytearray(make_pdf(lines))), ("b.pdf", bytearray(b"x"))], "path string, content binary")
