@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,34 +58,62 @@ def card_files(spark: SparkSession, root: str) -> DataFrame:
 def read(spark: SparkSession, root: str, todo: DataFrame) -> DataFrame:
     """todo (path, below, length, format) with what each file says and is; one that can't be read says why and has an empty sha.
 
-    Contents are read only for the paths of todo, each by the task that needs it, and go no further than that task.
+    Only the files of todo are opened, each by the task that has its row, and no more of one is read than was listed.
     """
     ship(spark)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    rows = todo.select("path", "below", "length", "format").join(content, "path")
-    names = ["path", "below", "length", "format"]
+    rows = todo.select("path", "below", "length", "format")
+    names = rows.columns
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in (*names, "content")}
-                got = describe(row["content"], row["format"], row["below"], row["length"])
-                yield pa.RecordBatch.from_pylist([{n: row[n] for n in names} | got], schema=schema)
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([row | describe(opened(row["path"], row["length"]), row["format"], row["below"], row["length"])], schema=schema)
 
     kinds = {"title": pa.string(), "author": pa.string(), "series": pa.string(), "series_index": pa.float32(), "identifiers": pa.list_(pa.string()), "sha": pa.string(), "resources": pa.string(), "optimized": pa.bool_(), "unreadable": pa.string()}
     schema = pa.schema([("path", pa.string()), ("below", pa.string()), ("length", pa.int64()), ("format", pa.string()), *kinds.items()])
     return rows.mapInArrow(run, T.StructType([f for f in rows.schema.fields if f.name in names] + BOOK.fields))
 
 
+def opened(path: str, length: int) -> bytes | str:
+    """The bytes of a file, one more than listed at most, or why it can't be opened."""
+    scheme, rest = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path, re.S).groups()
+    try:
+        if scheme in (None, "file"):
+            source, name = fs.LocalFileSystem(), re.sub("^/+", "/", rest)
+        else:
+            source, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+        with source.open_input_stream(name) as f:
+            return f.read(length + 1)
+    except (OSError, ValueError) as e:
+        return str(e).partition("'")[0].strip() or type(e).__name__
+
+
+def existing_roots(spark: SparkSession, roots: list[str]) -> tuple[list[str], list[str]]:
+    """The roots that can be listed, and a warning for each that can't; an error if there is none."""
+    kept, warnings = [], []
+    for root in roots:
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        try:
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+            kept.append(root)
+        except Py4JJavaError as e:
+            warnings.append(f"{root}: {e.java_exception.getClass().getSimpleName()}")
+    if not kept:
+        raise FileNotFoundError("; ".join(warnings) or "no folder of books is set")
+    return kept, warnings
+
+
 def name_title(path: str) -> str:
     name = re.split(r"[/\\]", path)[-1].rstrip().rstrip(".").rstrip()
     return (name.rpartition(".")[0] if "." in name else name).strip() or "Untitled"
 
 
-def describe(content: bytes, format_: str, below: str, length: int) -> dict:
+def describe(content: bytes | str, format_: str, below: str, length: int) -> dict:
     """Title, author, series, identities of a file; or why it can't be read."""
     out = dict.fromkeys((f.name for f in BOOK.fields)) | {"identifiers": [], "sha": "", "optimized": False}
     try:
+        if isinstance(content, str):
+            raise epub.BadBook(content)
         if len(content) != length:
             raise epub.BadBook("it changed while it was read")
         epub.validate_as(format_, content)

@@ -1,64 +1,110 @@
 """The catalogue kept up to date from a stream of listed copies.
 
-Batches of copies arrive as files. Each is upserted by (place, path) into a versioned table of copies, which is written beside
-the one that is read and then named as the current one, so that readers always see a whole version and a failed or
-repeated batch changes nothing. Places are independent: what one reports does not touch the rows of others.
+Batches of copies arrive as files. Each is upserted by (place, path) into a versioned table of copies, dealt into buckets by the
+hash of that key: only the buckets that a batch touches are written anew, beside those that are read. A manifest for each
+batch names the folders of all buckets. It is written under another name and then renamed to a name that didn't exist, which is
+atomic; the manifest with the highest number counts. So readers always see a whole version, and a batch that fails at any point, or comes
+again, changes nothing. Places are independent: what one reports does not touch the rows of others.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.operators import resolve as R
 
+#: Buckets of a new table, and versions that readers may still hold.
+BUCKETS, KEPT = 64, 3
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def current(spark: SparkSession, table: str) -> tuple[int, str | None]:
-    """The last batch that is in the table, and the folder that holds it; -1 and None before the first."""
-    p, fs = _fs(spark, f"{table}/CURRENT")
-    if not fs.exists(p):
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    p, fs = _fs(spark, folder)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def manifests(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the batches that have been named, in order."""
+    return sorted(int(n.removeprefix("CURRENT-")) for n in _names(spark, table) if n.startswith("CURRENT-"))
+
+
+def current(spark: SparkSession, table: str) -> tuple[int, dict | None]:
+    """The last batch that is in the table, and its manifest (buckets, folders by bucket, schema); -1 and None before the first."""
+    known = manifests(spark, table)
+    if not known:
         return -1, None
-    said = json.loads("\n".join(r.value for r in spark.read.text(f"{table}/CURRENT").collect()))
-    return said["batch"], f"{table}/{said['folder']}"
+    return known[-1], _manifest(spark, table, known[-1])
 
 
-def _name(spark: SparkSession, table: str, batch: int, folder: str) -> None:
-    """Names a folder as the current one, by a rename, which is atomic."""
-    new, fs = _fs(spark, f"{table}/CURRENT.new")
-    old, _ = _fs(spark, f"{table}/CURRENT")
+def _manifest(spark: SparkSession, table: str, batch: int) -> dict:
+    return json.loads("\n".join(r.value for r in spark.read.text(f"{table}/CURRENT-{batch:012d}").collect()))  # an entry for each bucket
+
+
+def _name(spark: SparkSession, table: str, batch: int, manifest: dict) -> None:
+    """Makes a version the current one, by a rename to a new name."""
+    new, fs = _fs(spark, f"{table}/_naming-{batch}")
     out = fs.create(new, True)
-    out.write(bytearray(json.dumps({"batch": batch, "folder": folder}).encode()))
+    out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
-    if fs.exists(old):
-        fs.delete(old, False)
-    fs.rename(new, old)
+    if not fs.rename(new, _fs(spark, f"{table}/CURRENT-{batch:012d}")[0]):
+        raise RuntimeError(f"batch {batch} can't be named in {table}")
+
+
+def _forget(spark: SparkSession, table: str) -> None:
+    """Deletes what none of the last versions names."""
+    known = manifests(spark, table)
+    held = {f for n in known[-KEPT:] for f in _manifest(spark, table, n)["folders"].values()}
+    for n in known[:-KEPT]:
+        p, fs = _fs(spark, f"{table}/CURRENT-{n:012d}")
+        fs.delete(p, False)
+    for version in (x for x in _names(spark, table) if x.startswith("v") and int(x[1:]) < known[-1]):
+        used = {f.partition("/")[2] for f in held if f.startswith(f"{version}/")}
+        for name in ([version] if not used else [f"{version}/{x}" for x in _names(spark, f"{table}/{version}") if x not in used]):
+            p, fs = _fs(spark, f"{table}/{name}")
+            fs.delete(p, True)
+
+
+def bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("place", "path"), F.lit(buckets)).cast("int")
 
 
 def upsert(copies: DataFrame, batch: int, table: str) -> None:
     """Puts one batch into the table; a batch that is in it already is left alone."""
     spark = copies.sparkSession
-    done, folder = current(spark, table)
+    done, known = current(spark, table)
     if batch <= done:
         return
+    known = known or {"buckets": BUCKETS, "folders": {}, "schema": copies.schema.json()}
     newest = Window.partitionBy("place", "path").orderBy(F.col("seen").desc(), "copy_id")
-    rows = copies.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n")
-    if folder is not None:
-        rows = spark.read.parquet(folder).join(rows.select("place", "path"), ["place", "path"], "left_anti").select(*rows.columns).unionByName(rows)
-    rows.where(~F.col("gone")).write.mode("overwrite").parquet(f"{table}/v{batch}")
-    _name(spark, table, batch, f"v{batch}")
+    rows = copies.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n").withColumn("__bucket", bucket(known["buckets"]))
+    touched = [str(r[0]) for r in rows.select("__bucket").distinct().collect()]  # the number of buckets at most
+    held = [f"{table}/{known['folders'][b]}" for b in touched if b in known["folders"]]
+    if held:
+        old = spark.read.schema(copies.schema).parquet(*held).withColumn("__bucket", bucket(known["buckets"]))
+        rows = old.join(rows.select("place", "path"), ["place", "path"], "left_anti").select(*rows.columns).unionByName(rows)
+    rows.where(~F.col("gone")).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{table}/v{batch}")
+    written = {n.partition("=")[2]: f"v{batch}/{n}" for n in _names(spark, f"{table}/v{batch}") if n.startswith("__bucket=")}
+    folders = {b: f for b, f in known["folders"].items() if b not in touched} | written
+    _name(spark, table, batch, known | {"folders": folders})
+    _forget(spark, table)
 
 
 def copies(spark: SparkSession, table: str) -> DataFrame | None:
-    _, folder = current(spark, table)
-    return None if folder is None else spark.read.parquet(folder)
+    _, known = current(spark, table)
+    if known is None:
+        return None
+    schema = T.StructType.fromJson(json.loads(known["schema"]))
+    folders = [f"{table}/{f}" for f in known["folders"].values()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def books(spark: SparkSession, table: str) -> DataFrame | None:
@@ -67,12 +113,36 @@ def books(spark: SparkSession, table: str) -> DataFrame | None:
 
 
 def follow(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Upserts what arrives in source; all that is there and then stops, or on and on every so often."""
+    """Upserts what arrives in source; all that is there and then stops, or on and on every so often.
+
+    With `every` ("200 milliseconds", say), what arrives in the meantime is one batch, and so one new version for readers.
+    """
     rows = spark.readStream.schema(schema).parquet(source)
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, batch: upsert(df, batch, table))
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
+def states(reports: DataFrame) -> DataFrame:
+    """place, operation, state and inventory of each place, from its scans' reports (place, operation, event, seq).
+
+    event: started, row, finished, unavailable or not connected. Operations count up; only reports of a place's latest one say how it
+    is, so that a late answer of an older one never does. The inventory is that of the latest operation that finished (null
+    before the first): it stays while another one runs, and if that fails.
+    """
+    latest = reports.groupBy("place").agg(F.max("operation").alias("operation"))
+    ends = F.max(F.when(F.col("event").isin("finished", "unavailable", "not connected"), F.struct("seq", "event")))["event"]
+    told = reports.join(latest, ["place", "operation"]).groupBy("place", "operation").agg(ends.alias("end"))
+    state = F.when(F.col("end") == "finished", "Ready").when(F.col("end") == "unavailable", "Unavailable").when(F.col("end") == "not connected", "Not connected").otherwise("Checking")
+    whole = reports.where("event = 'finished'").groupBy("place").agg(F.max("operation").alias("inventory"))
+    return told.join(whole, "place", "left").select("place", "operation", state.alias("state"), "inventory")
+
+
+def inventory(reports: DataFrame) -> DataFrame:
+    """The rows that count: those of each place's inventory."""
+    held = states(reports).where("inventory IS NOT NULL").select("place", F.col("inventory").alias("operation"))
+    return reports.where("event = 'row'").join(held, ["place", "operation"], "left_semi")
+
+
 def counts_by_window(events: DataFrame, minutes: int = 10, late: str = "30 minutes") -> DataFrame:
     """Copies logged in each window of time and how many failed; what is later than `late` is left out."""
     timed = events.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", late)

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from shelfspark import config, sinks
 from shelfspark.operators import convert
-from shelfspark.sources import epub, reader
+from shelfspark.sources import books, epub, reader
+from shelfspark.streaming import catalogue
 from tests.test_sources import make_pdf
 
 
@@ -65,3 +66,78 @@ def test_figures_stand_among_lines(spark):
     lines = spark.createDataFrame([(1, 0, 0, 700.0, "a"), (1, 0, 1, 500.0, "b")], "doc_id int, page int, line int, y float, text string")
     figures = spark.createDataFrame([(1, 0, 600.0, 7)], "doc_id int, page int, top float, figure int")
     assert [(r.text, r.figure) for r in convert.interleaved(lines, figures).collect()] == [("a", None), (None, 7), ("b", None)]
+
+
+COPY = "copy_id bigint, place string, place_rank int, path string, format string, title string, author string, series string, series_index float, sha string, resources string, variant_resources string, size bigint, optimized boolean, seen bigint, gone boolean"
+
+
+def a_copy(i, place="Local", path=None, gone=False, seen=1):
+    return (i, place, 0, path or f"{i}.epub", "epub", f"T{i}", "A", None, None, f"s{i}", None, None, 5, False, seen, gone)
+
+
+def test_a_version_is_named_at_once(spark, tmp_path, monkeypatch):
+    """A batch that stops before its manifest is renamed changes nothing for readers, and can come again."""
+    table = str(tmp_path / "table")
+    rows = lambda *x: spark.createDataFrame(list(x), COPY)
+    paths = lambda: sorted(r.path for r in catalogue.copies(spark, table).collect())
+    assert catalogue.current(spark, table) == (-1, None) and catalogue.copies(spark, table) is None
+    catalogue.upsert(rows(a_copy(1), a_copy(2)), 0, table)
+    before = catalogue.current(spark, table)
+    name = catalogue._name
+
+    def stopped(*_):
+        raise OSError("stopped between writing and naming")
+
+    monkeypatch.setattr(catalogue, "_name", stopped)
+    with pytest.raises(OSError):
+        catalogue.upsert(rows(a_copy(1, gone=True, seen=2), a_copy(3)), 1, table)
+    assert catalogue.current(spark, table) == before and paths() == ["1.epub", "2.epub"]
+    monkeypatch.setattr(catalogue, "_name", name)
+    for _ in range(2):
+        catalogue.upsert(rows(a_copy(1, gone=True, seen=2), a_copy(3)), 1, table)
+        assert paths() == ["2.epub", "3.epub"]
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    table = str(tmp_path / "table")
+    catalogue.upsert(spark.createDataFrame([a_copy(i) for i in range(200)], COPY), 0, table)
+    first = catalogue.current(spark, table)[1]["folders"]
+    for batch in range(1, 6):
+        catalogue.upsert(spark.createDataFrame([a_copy(1, seen=batch + 1)], COPY), batch, table)
+    last = catalogue.current(spark, table)[1]["folders"]
+    assert sum(first[b] != last[b] for b in first) == 1 and catalogue.copies(spark, table).count() == 200
+    assert catalogue.manifests(spark, table) == [3, 4, 5]  # versions that readers may hold; older folders go
+    assert not (tmp_path / "table" / "v1").exists() and (tmp_path / "table" / "v0").exists()
+    catalogue.upsert(spark.createDataFrame([a_copy(i, gone=True, seen=9) for i in range(200)], COPY), 6, table)
+    assert catalogue.copies(spark, table).count() == 0
+
+
+def test_places_answer_for_themselves(spark):
+    reports = [("Kobo", 1, "started", 1), ("Kobo", 1, "row", 2), ("Kobo", 1, "finished", 3), ("Kobo", 2, "started", 4), ("Kobo", 1, "row", 5), ("Kobo", 2, "unavailable", 6), ("Local", 1, "started", 1), ("Local", 1, "row", 2), ("Card", 3, "started", 1), ("Card", 3, "not connected", 2)]
+    df = spark.createDataFrame(reports, "place string, operation int, event string, seq int")
+    assert {r.place: (r.operation, r.state, r.inventory) for r in catalogue.states(df).collect()} == {"Kobo": (2, "Unavailable", 1), "Local": (1, "Checking", None), "Card": (3, "Not connected", None)}
+    assert sorted((r.place, r.seq) for r in catalogue.inventory(df).collect()) == [("Kobo", 2), ("Kobo", 5)]
+
+
+def test_only_what_the_cache_lacks_is_opened(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.epub").write_bytes(b"no book" * (i + 1))
+    found = books.book_files(books.listing(spark, str(tmp_path)))
+    rows = found.collect()
+    todo = spark.createDataFrame([r for r in rows if r.below in ("1.epub", "2.epub")], found.schema)
+    for i in (0, 3, 4, 5):
+        (tmp_path / f"{i}.epub").unlink()  # would fail if it were opened
+    (tmp_path / "2.epub").write_bytes(b"another size")
+    got = {r.below: r.unreadable for r in books.read(spark, str(tmp_path), todo).collect()}
+    assert set(got) == {"1.epub", "2.epub"} and "changed" in got["2.epub"] and got["1.epub"]
+    (tmp_path / "1.epub").unlink()
+    got = {r.below: r.unreadable for r in books.read(spark, str(tmp_path), todo).collect()}
+    assert got["1.epub"]
+    assert "binaryFile" not in books.read(spark, str(tmp_path), todo)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_roots_that_cannot_be_listed(spark, tmp_path):
+    kept, warnings = books.existing_roots(spark, [str(tmp_path), str(tmp_path / "none")])
+    assert kept == [str(tmp_path)] and len(warnings) == 1 and "none" in warnings[0]
+    with pytest.raises(FileNotFoundError):
+        books.existing_roots(spark, [str(tmp_path / "none")])
