@@ -22,11 +22,10 @@ REFUSALS = {
 OTHER_REFUSAL = "a format this program does not read"
 
 
-def _chosen(x: Column, table: dict, otherwise: Column) -> Column:
-    out = otherwise
-    for k, v in table.items():
-        out = F.when(x == k, F.lit(v)).otherwise(out)
-    return out
+def _chosen(x: Column, table: dict, otherwise: Column | None = None) -> Column:
+    """Looked up in a map of constants, so that x is worked out once."""
+    found = F.try_element_at(F.create_map(*[F.lit(y) for pair in table.items() for y in pair]), x)
+    return found if otherwise is None else F.coalesce(found, otherwise)
 
 
 def base_type(media_type: Column) -> Column:
@@ -34,21 +33,22 @@ def base_type(media_type: Column) -> Column:
     return F.regexp_replace(F.trim(F.substring_index(media_type, ";", 1)), "/+$", "")
 
 
-def readable_format(media_type: Column) -> Column:
-    return _chosen(base_type(media_type), FORMATS, F.lit(None).cast("string"))
+def readable_format(base: Column) -> Column:
+    """The format of a base type, if it is one that is read."""
+    return _chosen(base, FORMATS)
 
 
-def refusal(media_type: Column) -> Column:
-    return _chosen(base_type(media_type), REFUSALS, F.lit(OTHER_REFUSAL))
+def refusal(base: Column) -> Column:
+    return _chosen(base, REFUSALS, F.lit(OTHER_REFUSAL))
 
 
 def kind_of(rel: Column) -> Column:
-    return _chosen(rel, {ACQUISITION + k: v[0] for k, v in KINDS.items()}, F.lit(None).cast("string"))
+    return _chosen(rel, {ACQUISITION + k: v[0] for k, v in KINDS.items()})
 
 
 def kind_rank(kind: Column) -> Column:
-    return _chosen(kind, {v[0]: v[1] for v in KINDS.values()}, F.lit(None).cast("int"))
+    return _chosen(kind, {v[0]: v[1] for v in KINDS.values()})
 
 
 def kind_label(kind: Column) -> Column:
-    return _chosen(kind, {v[0]: v[2] for v in KINDS.values()}, F.lit(None).cast("string"))
+    return _chosen(kind, {v[0]: v[2] for v in KINDS.values()})

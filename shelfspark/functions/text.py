@@ -163,10 +163,6 @@ def form_encoded(x: Column) -> Column:
     return F.url_encode(x)
 
 
-#: Stands between parts while a text is cut; a text that holds it itself is cut there too.
-MARK = "\u0001\u0002\u0001"
-
-
 def sentences(x: Column) -> Column:
     """Parts that end after . ! or ? and the white space behind it; together they are the whole text."""
-    return F.filter(F.split(F.regexp_replace(x, r"([.!?](?:[ \t\n\f\r]+|$))", f"$1{MARK}"), MARK), lambda s: s != "")
+    return F.regexp_extract_all(x, F.lit(r"[\s\S]*?[.!?](?:[ \t\n\f\r]+|\z)|[\s\S]+\z"), F.lit(0))

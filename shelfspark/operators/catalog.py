@@ -57,8 +57,9 @@ def to_transfer(books: DataFrame, source: str, target: str) -> DataFrame:
     return books.where(has(source) & ~has(target) & (F.col("preferred.sha") != ""))
 
 
-def required_space(books: DataFrame, free: DataFrame | None = None) -> DataFrame:
-    """For each place: the books it misses, what their best copies take, and whether that fits (null if free space is unknown)."""
+def required_space(books: DataFrame, free: DataFrame | None = None, request: Column | None = None) -> DataFrame:
+    """For each place: the books it misses, what their best copies take, and whether that fits (null if free space is unknown). Requests take none."""
+    books = books if request is None else books.where(~F.coalesce(request, F.lit(False)))
     asked = books.select(F.explode(F.array(*[F.struct(F.lit(p).alias("place"), (~has(p)).alias("misses"), F.col("preferred.size").alias("size")) for p in PLACES])).alias("x"))
     out = asked.select("x.*").groupBy("place").agg(F.sum(F.col("misses").cast("bigint")).alias("books"), F.sum(F.when(F.col("misses"), F.col("size")).otherwise(0)).alias("bytes"))
     out = out.withColumn("shown", X.human_size(F.col("bytes")))
@@ -98,14 +99,17 @@ def listing(books: DataFrame) -> DataFrame:
     return books.select(*[X.printable(F.col(c)).alias(c) for c in ("title", "author")], "places", source_label().alias("source"), F.col("preferred.size").alias("bytes"), "book_id")
 
 
-def destination(books: DataFrame, target: str, verdict: Column | None = None, ready: bool = True, connected: bool = True, busy: bool = False, refreshing: bool = False, loading: bool = False) -> DataFrame:
+def destination(books: DataFrame, target: str, verdict: Column | None = None, ready: bool = True, connected: bool = True, busy: bool = False, refreshing: bool = False, loading: bool = False, request: Column | None = None) -> DataFrame:
     """book_id, decision (ready, ask or blocked) and why, of copying each book to target; the first rule that holds decides.
 
-    verdict: how well a book's PDF converts, one of good, poor, impossible, or null if it has not been read.
+    request: whether the entry is no book yet but a request for one, which is fulfilled locally. verdict: how well a book's PDF converts, one of good, poor, impossible, or null if it has not been read.
     """
     verdict = F.lit(None).cast("string") if verdict is None else verdict
     rule = F.when(F.lit(busy), "blocked: busy").when(F.lit(refreshing), "blocked: refreshing").when(F.lit(not connected), "blocked: not connected")
-    rule = rule.when(F.lit(target != "Local" and not ready), "blocked: unavailable").when(has(target), "blocked: already here")
+    rule = rule.when(F.lit(target != "Local" and not ready), "blocked: unavailable")
+    if request is not None:
+        rule = rule.when(request, "ready: fulfil ACSM" if target == "Local" else "blocked: local first")
+    rule = rule.when(has(target), "blocked: already here")
     rule = rule.when(F.lit(loading) & (F.col("preferred.optimized") | (F.col("preferred.place") == "CrossPoint")), "blocked: wait for discovery")
     if target == "CrossPoint":
         kind = F.col("preferred.format")
@@ -150,7 +154,9 @@ def toggled(shown: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def located(names: DataFrame, roots: DataFrame) -> DataFrame:
-    """Each source with the root that is its longest prefix, and the path below it; roots are a handful."""
-    pair = names.join(F.broadcast(roots), F.col("source").startswith(F.concat(F.col("root"), F.lit("/"))), "left")
+    """Each source with the root that is its longest prefix, and the path below it: the folders above it are joined by equality."""
+    parts = F.split("source", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    pair = names.select("source", F.explode(above).alias("root")).join(roots.select("root", F.col("root").alias("is_root")), "root", "left").drop("root").withColumnRenamed("is_root", "root")
     best = pair.groupBy("source").agg(F.max_by("root", F.length("root")).alias("root"))
     return best.withColumn("below", F.when(F.col("root").isNotNull(), F.expr("substring(source, length(root) + 2)")))

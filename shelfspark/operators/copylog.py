@@ -42,8 +42,9 @@ def compacted(lines: DataFrame, new: DataFrame) -> DataFrame:
 
 def summary(outcomes: DataFrame) -> DataFrame:
     """Copied of how many, failures, and the first two messages, with an ellipsis if there are more."""
-    messages = F.transform(F.array_sort(F.array_compact(F.collect_list(F.when(~F.col("ok"), F.struct("line_no", "detail"))))), lambda x: x["detail"])
-    rows = outcomes.agg(F.sum(F.col("ok").cast("bigint")).alias("copied"), F.count("*").alias("total"), F.sum((~F.col("ok")).cast("bigint")).alias("failures"), messages.alias("m"))
+    counts = outcomes.agg(F.sum(F.col("ok").cast("bigint")).alias("copied"), F.count("*").alias("total"), F.sum((~F.col("ok")).cast("bigint")).alias("failures"))
+    first = outcomes.where(~F.col("ok")).orderBy("line_no").limit(3).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "detail"))), lambda x: x["detail"]).alias("m"))
+    rows = counts.withColumn("one", F.lit(1)).join(first.withColumn("one", F.lit(1)), "one")  # a row each
     return rows.select("copied", "total", "failures", F.concat(F.array_join(F.slice("m", 1, 2), "; "), F.when(F.size("m") > 2, "; …").otherwise("")).alias("messages"))
 
 

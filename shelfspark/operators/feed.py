@@ -13,17 +13,18 @@ def offers(rows: DataFrame) -> DataFrame:
 
     rows: entry_id, ord, rel, media_type and, where a feed declares chains, `chain` (delivery and format of its best end or a refusal).
     """
-    format_ = M.readable_format(F.col("media_type"))
-    adept = M.base_type(F.col("media_type")) == M.ADEPT
+    rows = rows.withColumn("base", M.base_type(F.col("media_type")))
+    rows = rows.withColumns({"readable": M.readable_format(F.col("base")), "kind": M.kind_of(F.col("rel"))}).where(F.col("kind").isNotNull())
+    format_, adept = F.col("readable"), F.col("base") == M.ADEPT
     chained = F.col("chain") if "chain" in rows.columns else F.lit(None).cast("struct<delivery:string,format:string,reason:string,inner:string>")
     delivery = F.when(format_.isNotNull(), "book").when(adept, "acsm").otherwise(F.coalesce(chained["delivery"], F.lit("unsupported")))
-    out = rows.withColumn("kind", M.kind_of(F.col("rel"))).where(F.col("kind").isNotNull()).withColumns({
+    out = rows.withColumns({
         "delivery": delivery,
         "format": F.coalesce(format_, F.when(adept, F.coalesce(chained["inner"], F.lit("epub"))).otherwise(chained["format"])),
     })
     name = F.upper("format")
-    shown = F.when(F.col("delivery") == "book", name).when(F.col("delivery") == "acsm", F.concat(name, F.lit(" via Adobe DRM"))).otherwise(F.coalesce(chained["reason"], M.refusal(F.col("media_type"))))
-    return out.withColumn("shown", shown)
+    shown = F.when(F.col("delivery") == "book", name).when(F.col("delivery") == "acsm", F.concat(name, F.lit(" via Adobe DRM"))).otherwise(F.coalesce(chained["reason"], M.refusal(F.col("base"))))
+    return out.withColumn("shown", shown).drop("base", "readable")
 
 
 def rank():

@@ -47,16 +47,18 @@ def lines(pieces: DataFrame, width: float = 595.0) -> DataFrame:
     """doc_id, page, line (0, 1, ... in reading order), y, left_edge, right_edge, size, text.
 
     Down a page, a piece belongs to the line whose first piece is close enough; that anchor makes it a fold over
-    the page's pieces in order, which is bounded by a page.
+    the page's pieces in order, which is bounded by a page. It notes only where lines begin.
     """
     item = F.struct((-F.col("y")).alias("down"), F.col("ord"), F.col("x"), F.col("y"), F.col("size"), F.col("advance"), F.col("text"))
     pages = banded(pieces, width).groupBy("doc_id", "page", "band").agg(F.array_sort(F.collect_list(item)).alias("items"))
     step = lambda a, p: F.when(
-        (F.size(a["of"]) > 0) & (F.abs(a["anchor"] - p["y"]) <= F.greatest(p["size"], f32(1.0)) * f32(SAME_LINE)),
-        F.struct(a["anchor"].alias("anchor"), F.concat(a["of"], F.array(F.element_at(a["of"], -1))).alias("of")),
-    ).otherwise(F.struct(p["y"].alias("anchor"), F.concat(a["of"], F.array(F.coalesce(F.try_element_at(a["of"], F.lit(-1)), F.lit(-1)) + 1)).alias("of")))
-    numbers = F.aggregate("items", F.struct(f32(0.0).alias("anchor"), F.array().cast("array<int>").alias("of")), step, lambda a: a["of"])
-    placed = pages.select("doc_id", "page", "band", F.explode(F.arrays_zip(numbers.alias("n"), F.col("items").alias("i"))).alias("z")).select("doc_id", "page", "band", F.col("z.n").alias("n"), "z.i.*")
+        (F.size(a["begins"]) > 0) & (F.abs(a["anchor"] - p["y"]) <= F.greatest(p["size"], f32(1.0)) * f32(SAME_LINE)),
+        F.struct(a["anchor"].alias("anchor"), (a["at"] + 1).alias("at"), a["begins"].alias("begins")),
+    ).otherwise(F.struct(p["y"].alias("anchor"), (a["at"] + 1).alias("at"), F.concat(a["begins"], F.array(a["at"])).alias("begins")))
+    begins = F.aggregate("items", F.struct(f32(0.0).alias("anchor"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")), step, lambda a: a["begins"])
+    runs = pages.select("doc_id", "page", "band", "items", F.posexplode(begins).alias("n", "first"), begins.alias("begins"))
+    until = F.coalesce(F.get("begins", F.col("n") + 1), F.size("items"))
+    placed = runs.select("doc_id", "page", "band", "n", F.explode(F.slice("items", F.col("first") + 1, until - F.col("first"))).alias("i")).select("doc_id", "page", "band", "n", "i.*")
     return _joined(placed).withColumn("line", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("band", "n")) - 1).drop("band", "n")
 
 
@@ -95,8 +97,10 @@ def flow(rows: DataFrame) -> DataFrame:
 
 def margins(rows: DataFrame) -> DataFrame:
     """Left margin, right margin (the line at 85 per cent of the right ends) and whether a document is justified."""
-    got = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("right_edge")).alias("r"), F.min("left_edge").alias("left_margin"))
-    got = got.withColumn("right_margin", F.element_at("r", F.floor(F.size("r") * 85 / 100).cast("int") + 1)).drop("r")
+    own = Window.partitionBy("doc_id")
+    nth = F.floor(F.count("*").over(own) * 85 / 100) + 1
+    ranked = rows.select("doc_id", "left_edge", "right_edge", nth.alias("nth"), F.row_number().over(own.orderBy("right_edge")).alias("n"))
+    got = ranked.groupBy("doc_id").agg(F.min("left_edge").alias("left_margin"), F.max(F.when(F.col("n") == F.col("nth"), F.col("right_edge"))).alias("right_margin"))
     near = rows.join(got, "doc_id").groupBy("doc_id").agg(F.avg((F.col("right_edge") > F.col("right_margin") - F.col("size") * f32(JUSTIFIED)).cast("float")).alias("near"))
     return got.join(near, "doc_id").select("doc_id", "left_margin", "right_margin", F.round("near", 6).alias("near"), (F.col("near") > MOSTLY).alias("justified"))
 

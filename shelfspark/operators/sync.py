@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfspark.functions import text as X
-from shelfspark.operators.resolve import components
-from shelfspark.shipping import ship
-
-PLAN = T.StructType([T.StructField("id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("detail", T.StringType())])
+from shelfspark.storage import discard, materialize
 
 
 def target_path(author: Column, title: Column, extension: Column) -> Column:
@@ -21,6 +14,17 @@ def target_path(author: Column, title: Column, extension: Column) -> Column:
     return F.concat(X.component(author, "Unknown author"), F.lit("/"), X.component(title, "Untitled"), F.lit("."), extension)
 
 
+def targets(rows: DataFrame, folders: DataFrame, organised: bool = True) -> DataFrame:
+    """rows (id, author, title, name, extension) with target: by author and title, in a folder (name) that is there in whatever case; or, flat, the name of the file."""
+    if not organised:
+        return rows.withColumn("target", F.col("name"))
+    folder = X.component(F.col("author"), "Unknown author")
+    known = folders.groupBy(F.lower("name").alias("folded")).agg(F.min("name").alias("there"))
+    placed = rows.withColumn("folder", folder).join(known, F.lower("folder") == F.col("folded"), "left")
+    path = F.concat(F.coalesce("there", "folder"), F.lit("/"), X.component(F.col("title"), "Untitled"), F.lit("."), F.col("extension"))
+    return placed.select(*rows.columns, path.alias("target"))
+
+
 def case_collisions(paths: DataFrame) -> DataFrame:
     """Paths that differ only in case or not at all, which abort an inventory."""
     return paths.groupBy(F.lower("path").alias("folded")).agg(F.count("*").alias("n_paths")).where("n_paths > 1")
@@ -48,50 +52,49 @@ def plan(wanted: DataFrame, existing: DataFrame, wireless: bool = False) -> Data
     """id, status (present, duplicate, failed, repair, transfer) and detail of each wanted row.
 
     wanted: id, title, identities, target, length, head (a prefix test's value), error (why it can't be read, or null).
-    existing: path, identities, length. A row's fate depends on those planned before it only where they share an identity or
-    a folded target, so components of these are folded independently, in order of title and id. Rows that are alone, which
-    are nearly all, are decided without Python.
+    existing: path, identities, length. Rows are taken in order of title and id. One that is neither there nor blocked is sent unless one
+    that is sent before it has one of its identities or its target; so of the rows that are left, each that comes first under all of
+    its keys is sent, and those that share a key with it are not; what is left goes round again. No row waits for another
+    task's, however many have one name.
     """
-    ship(wanted.sparkSession)
     found = inventory_match(wanted, existing).withColumnRenamed("path", "present_at")
-    at = existing.select(F.lower("path").alias("folded"), F.col("length").alias("there_length"), F.col("prefix_of").alias("there_prefix")) if "prefix_of" in existing.columns else existing.select(F.lower("path").alias("folded"), F.col("length").alias("there_length"), F.lit(None).cast("string").alias("there_prefix"))
+    there = existing if "prefix_of" in existing.columns else existing.withColumn("prefix_of", F.lit(None).cast("string"))
+    at = there.groupBy(F.lower("path").alias("folded")).agg(F.min_by(F.struct("length", "prefix_of"), "path").alias("there"))
     rows = wanted.withColumn("folded", F.lower("target")).join(found, "id", "left").join(at, "folded", "left")
-    keys = wanted.where(F.col("error").isNull()).select("id", F.explode(F.array_distinct(F.concat(F.transform("identities", lambda x: F.concat(F.lit("i:"), x)), F.array(F.concat(F.lit("t:"), F.lower("target")))))).alias("key"))
-    group = components(keys, "id")
-    rows = rows.join(group, "id", "left")
-    repairable = F.lit(wireless) & (F.col("there_prefix") == F.col("id").cast("string")) & (F.col("there_length") < F.col("length"))
-    occupied = F.when(F.col("there_length").isNull(), None).when(repairable, "repair").otherwise("failed")
-    rows = rows.withColumn("occupied", occupied)
-    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("present_at").isNotNull(), "present").when(F.col("occupied").isNotNull(), F.col("occupied")).otherwise("transfer")
-    detail = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("present_at").isNotNull(), F.col("present_at")).when(F.col("occupied") == "failed", "a different file is there").otherwise(F.col("target"))
-    alone = rows.where(F.col("component").isNull()).select("id", status.alias("status"), detail.alias("detail"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by component and in order; only what is planned of the present component is remembered."""
-        current, identities, targets = None, set(), set()
-        for batch in batches:
-            out = []
-            for component, id_, own, target, folded, present_at, occupied in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if component != current:
-                    current, identities, targets = component, set(), set()
-                if present_at is not None:
-                    row = ("present", present_at)
-                elif not identities.isdisjoint(own):
-                    row = ("duplicate", "the same book is sent already")
-                elif folded in targets:
-                    row = ("failed", "another book has this name")
-                elif occupied == "failed":
-                    row = ("failed", "a different file is there")
-                else:
-                    row = ("repair" if occupied == "repair" else "transfer", target)
-                    identities.update(own)
-                    targets.add(folded)
-                out.append((id_, *row))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.string())], names=["id", "status", "detail"])
-
-    columns = ["component", "id", "identities", "target", "folded", "present_at", "occupied"]
-    together = rows.where(F.col("component").isNotNull()).withColumn("order", F.lower("title")).select(*columns, "order")
-    return alone.unionByName(together.repartition("component").sortWithinPartitions("component", "order", "id").mapInArrow(fold, PLAN))
+    repairable = F.lit(wireless) & F.coalesce(F.col("there.prefix_of") == F.col("id").cast("string"), F.lit(False)) & (F.col("there.length") < F.col("length"))
+    occupied = F.when(F.col("there").isNull(), None).when(repairable, "repair").otherwise("failed")
+    own = F.concat(F.transform("identities", lambda x: F.concat(F.lit("i:"), x)), F.array(F.concat(F.lit("t:"), "folded")))
+    rows = materialize(rows.select("id", F.struct(F.lower("title").alias("title"), "id").alias("order"), "target", "error", "present_at", occupied.alias("occupied"), F.array_distinct(own).alias("keys")), "wanted")
+    asked = rows.where("error IS NULL AND present_at IS NULL").select("id", "order", "occupied", F.explode("keys").alias("key"))
+    sent = first_come(asked.where("occupied IS NULL OR occupied = 'repair'"))
+
+    taken = asked.join(sent, "id", "left_semi").select("key", F.col("order").alias("earlier"))  # no two of them share a key
+    blocked = asked.join(sent, "id", "left_anti").join(taken, "key").where(F.col("earlier") < F.col("order"))
+    blocked = blocked.groupBy("id").agg(F.max((F.substring("key", 1, 2) == "i:").cast("int")).alias("twin"))
+    rows = rows.join(blocked, "id", "left").join(sent.withColumn("sent", F.lit(True)), "id", "left")
+    said = lambda status, detail: F.struct((status if isinstance(status, Column) else F.lit(status)).alias("status"), (F.col(detail) if detail in rows.columns else F.lit(detail)).alias("detail"))
+    rule = F.when(F.col("error").isNotNull(), said("failed", "error")).when(F.col("present_at").isNotNull(), said("present", "present_at"))
+    rule = rule.when(F.col("sent"), said(F.coalesce("occupied", F.lit("transfer")), "target")).when(F.col("twin") == 1, said("duplicate", "the same book is sent already"))
+    rule = rule.when(F.col("twin") == 0, said("failed", "another book has this name")).otherwise(said("failed", "a different file is there"))
+    return rows.select("id", rule.alias("rule")).select("id", "rule.status", "rule.detail")
+
+
+def first_come(asked: DataFrame) -> DataFrame:
+    """(id) of the rows that are taken when rows (id, order, key) come in order, and one is taken unless one of its keys is."""
+    left = materialize(asked.select("id", "order", "key"), "asked")
+    taken = None
+    while True:
+        firsts = left.groupBy("key").agg(F.min("order").alias("first"))
+        won = left.join(firsts, "key").groupBy("id").agg(F.min((F.col("order") == F.col("first")).cast("int")).alias("first")).where("first = 1").select("id")
+        won = materialize(won, "taken")
+        taken = won if taken is None else taken.unionByName(won)
+        closed = left.join(won, "id", "left_semi").select("key").distinct()
+        gone = left.join(closed, "key", "left_semi").select("id").distinct()
+        rest = materialize(left.join(gone, "id", "left_anti"), "asked")
+        discard(left)
+        left = rest
+        if left.isEmpty():
+            return taken
 
 
 def report(planned: DataFrame) -> DataFrame:
@@ -115,3 +118,11 @@ def transfer_check(books: DataFrame, target: str) -> DataFrame:
 def plan_table(planned: DataFrame, apply: bool = False) -> DataFrame:
     """id and the printed outcome: planned, a message or `failed: ...`."""
     return planned.select("id", F.when(F.col("status") == "failed", F.concat(F.lit("failed: "), "detail")).when(F.lit(not apply) & F.col("status").isin("transfer", "repair"), "planned").otherwise(F.col("status")).alias("outcome"))
+
+
+def plan_summary(planned: DataFrame, place: str, apply: bool = False) -> DataFrame:
+    """What stands below a plan's table: how many would be copied or were, how many failed, and that a dry run changes nothing."""
+    n = planned.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("status") == "failed").cast("bigint")), F.lit(0)).alias("failed"))
+    done = F.concat((F.col("n") - F.col("failed")).cast("string"), F.lit(f" book(s) {'copied' if apply else 'would be copied'} to {place}"), F.when(F.col("failed") > 0, F.concat(F.lit("; "), F.col("failed").cast("string"), F.lit(" failed"))).otherwise(""))
+    said = done if apply else F.concat(done, F.lit("\nThis was a dry run. Add --apply to copy them."))
+    return n.select(F.when(F.col("n") == 0, F.lit(f"Nothing to copy: every book is already at {place}.")).otherwise(said).alias("summary"))
