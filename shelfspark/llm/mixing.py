@@ -1,8 +1,9 @@
 """Operator 4: mixing sources to target weights by capped water-filling. DataFrame functions only.
 
-Sources are ordered by code point, nulls last, and weighed 1, 2, 3 and over again. The level at which
-weight times level gives each source its target rises until the targets share all words, where no target may pass
-a number of epochs of its source; what capped sources leave goes to the others by weight. A source is then
+Sources are ordered by code point, nulls last, and weighed 1, 2, 3 and over again. Each gets its share of all words by
+weight; sources that this would repeat more often than a number of epochs are clamped to that, and what they leave goes to
+the others by weight, until none passes its cap. Each round is one aggregation over a narrow table of sources, which
+is numbered by a range exchange and never gathered, so that sources may be as many as hosts. A source is then
 repeated whole as often as fits, and a seeded order of its documents says which are taken once more; the last
 of these is taken as far as the target reaches, so that each source gives its target to the word.
 
@@ -11,7 +12,7 @@ buckets of a source, and a running sum inside a bucket does the rest, so that a
 
 Defined results: a null or empty text has size 0 and is never taken. Null sources are one source. Equal ids
 fall in the same bucket and are ordered by their text's hash; rows equal in all of it are interchangeable. An
-empty table gives no rows. Other columns do not matter here; mix() keeps them.
+empty table gives no rows. Very long texts are counted whole. Other columns do not matter here, whatever their names; mix() keeps them.
 """
 
 from __future__ import annotations
@@ -30,29 +31,35 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def numbered(sizes: DataFrame, into: str = "nth") -> DataFrame:
+    """sizes, a row for each source, with the place of the source among all, from 0: by partitions that hold a range of them each."""
+    parts = materialize(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return parts.join(F.broadcast(counts.select("part", before.alias("before"))), "part").withColumn(into, F.col("before") + within).drop("part", "before")
+
+
 def targets(sizes: DataFrame, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """source, source_size, weight, target from a row (source, source_size) for each source.
 
-    Sorted by how early a source meets its cap, the capped ones come first. With the sums of those before it, each
-    source tells whether the level that would fill it has been passed; the first that stands sets the level.
+    left and weight_left are the words and the weight of the sources that aren't clamped; their quotient rises from round to
+    round, so that a clamped source stays so. Rounds end when they clamp no more.
     """
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (nth % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("weight", weight)
-    meets = (F.col("source_size") * epochs / F.col("weight")).cast("double")
-    earlier = Window.orderBy(meets, F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    summed = ranked.withColumns({
-        "left": F.sum("source_size").over(whole) - F.coalesce(F.sum(F.col("source_size") * epochs).over(earlier), F.lit(0)),
-        "weight_left": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)),
-    })
-    capped = F.col("source_size") * epochs * F.col("weight_left") <= F.col("left") * F.col("weight")
-    level = F.max(F.when(~capped, F.struct("weight_left", "left"))).over(whole)  # the first that is not capped has the most weight left
-    filled = summed.withColumns({"capped": capped, "level": level})
-    target = F.when(F.col("capped"), (F.col("source_size") * epochs).cast("double")).otherwise(
-        F.col("weight").cast("double") * (F.col("level.left").cast("double") / F.col("level.weight_left").cast("double"))
-    )
-    return filled.select("source", "source_size", "weight", target.alias("target"))
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    known = materialize(numbered(sizes).withColumn("weight", weight).drop("nth"), "weighed")
+    wide = lambda x: x.cast("decimal(38,0)")
+    whole = known.agg(F.sum("source_size").alias("left"), F.sum("weight").alias("weight")).first()
+    left, weight_left = whole.left or 0, whole.weight or 0
+    while True:
+        clamped = wide(F.col("source_size") * epochs) * F.lit(weight_left) <= wide(F.lit(left)) * F.col("weight")
+        gone = known.where(clamped).agg(F.sum(F.col("source_size") * epochs).alias("words"), F.sum("weight").alias("weight")).first()
+        now = ((whole.left or 0) - (gone.words or 0), (whole.weight or 0) - (gone.weight or 0))
+        if now == (left, weight_left) or not now[1]:
+            break
+        left, weight_left = now
+    target = F.when(clamped, (F.col("source_size") * epochs).cast("double")).otherwise(F.col("weight").cast("double") * F.lit(float(left) / float(max(weight_left, 1))))
+    return known.select("source", "source_size", "weight", target.alias("target"))
 
 
 def _drawn(key: Column, seed: int) -> Column:
