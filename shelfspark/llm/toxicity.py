@@ -8,9 +8,10 @@ better one). Karlin-Altschul statistics, fitted to the other training documents,
 by chance in a text of that length; the significant ones' surplus over chance, in nats, is summed and turned into a
 probability by logistic regression on the training documents.
 
-Defined results: a null or empty text, or one without a scoring token, has no segment and the score of surplus 0. Without
-training documents of both labels all scores are the prior's. Rows repeat as they come; labels of
-one document that disagree count as toxic. Label, language, source and id are no inputs of a score.
+Defined results: a null or empty text, or one without a scoring token, has no segment and the score of surplus 0; an empty table
+gives no rows. Without training documents of both labels all scores are the prior's. Very long texts are scanned whole, in linear time. Rows
+repeat as they come; labels of one document that disagree count as toxic. Label, language, source and id are no inputs of a score. A
+column of the table that has the name of a result (score, passages) gives way to it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from shelfspark.llm.common import GAP, documents, materialize, prepare, text_or_
 
 #: At most so many labelled documents are learned from: those first by the hash of their ids.
 MAX_TRAIN = 20_000
+#: Hash functions by which near copies among the training documents are told.
+LIKE = 4
 #: The prior weighs this share of the training tokens; a token scores if its log-odds are CLEAR standard errors above 0.
 PRIOR, CLEAR, STRONG, LEAST_DOCS, SIGNIFICANT, FOLDS = 0.1, 2.5, 2.0, 3, 0.05, 5
 OTHER, STEMS, MEMORY = -0.02, range(3, 8), 200_000
@@ -124,9 +127,10 @@ def training(labels: DataFrame, docs: DataFrame, most: int = MAX_TRAIN) -> DataF
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0))
     ids = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    # One hash in common of all word triples: near copies nearly always share the smallest.
+    # Near copies share the smallest of the word triples' hashes by each of LIKE functions; texts of similarity s do so with s ** LIKE.
     words = F.split(text_or_empty(), GAP)
-    least = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.xxhash64(F.slice("w", i, F.lit(3)))))
+    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.xxhash64(F.slice("w", i, F.lit(3))))
+    least = F.array(*[F.array_min(F.transform(triples, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(LIKE)])
     rows = rows.withColumn("w", words).select("doc_id", "text", "toxic", least.alias("like"))
     rows = materialize(rows, "training")
     first = rows.groupBy("like").agg(F.min(F.struct(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id")).alias("x")).select(F.col("x.doc_id").alias("doc_id"))
