@@ -8,7 +8,8 @@ A place that was given up is never entered again, which makes the work linear in
 Whether two tokens may stand side by side is found once by their merges and remembered.
 
 Defined results: a null or empty text has no ids; decoding null ids or an id that the
-vocabulary lacks gives null. Rows repeat as they come; a column named like the result is replaced.
+vocabulary lacks gives null; an empty table gives no rows. Very long texts are encoded whole, in linear time and memory. Rows repeat as they
+come, equal texts with equal ids; a column of the table that is named like a result (ids, decoded) gives way to it.
 """
 
 from __future__ import annotations

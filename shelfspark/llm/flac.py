@@ -11,7 +11,8 @@ coefficients come from whole-number correlations by element-wise arithmetic, so
 
 Defined results: a null payload has a null stream; an empty one is a stream without frames. What is not an
 8-bit mono FLAC stream, or fails a checksum, raises ValueError. payload() pads a text with bytes 0 to a positive
-multiple of 64, a null text like an empty one.
+multiple of 64, a null text like an empty one. An empty table gives no rows. Very long payloads are cut into frames and stored whole. Equal
+rows repeat with equal streams. A column of the table that is named like a result (media; pcm, block_offsets, feature) gives way to it.
 """
 
 from __future__ import annotations

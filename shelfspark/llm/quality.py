@@ -9,8 +9,9 @@ Repeated words are found without leaving the row: the hashes of the three-word w
 their places, neighbours of equal hash are compared word by word, and the places of those that agree are merged.
 
 Defined results: a null or empty text has no words and fails the base rules. A null language is a language of its
-own; one without a list of common words is judged by characters only. Rows repeat as they come, and other columns do
-not matter: filtered() gives back those that df has.
+own; one without a list of common words is judged by characters only. An empty table gives no rows. Very long texts are judged whole, by
+arrays as long as the text's words. Rows repeat as they come, equal ones with equal verdicts, and other columns do not matter, whatever their
+names: filtered() gives back those that df has.
 """
 
 from __future__ import annotations
