@@ -132,7 +132,10 @@ def terms_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def contexts(df: DataFrame, text: str = "text") -> DataFrame:
-    """term (hash of a word), kind, side, chance (beside a random place instead), entity (hash), place (hash of the word on the other side) and how often."""
+    """term (hash of a word), kind, side, chance (beside a random place instead), entity (hash), place (hash of the word on the other side) and how often.
+
+    Where all of these are null, n counts the bytes of the texts.
+    """
 
     def run(batches):
         for whole in batches:
@@ -159,6 +162,7 @@ def contexts(df: DataFrame, text: str = "text") -> DataFrame:
                             before, after = hashes[x - 1] if x else 0, hashes[y] if y < len(hashes) else 0
                             found.update((hashes[w], kind, LEFT, null, entity, after) for w in range(max(0, x - WINDOW), x) if free[w])
                             found.update((hashes[w], kind, RIGHT, null, entity, before) for w in range(y, min(len(hashes), y + WINDOW)) if free[w])
+                found[(None,) * 6] = len(raw)
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
                 columns = [pa.array([k[i] for k in found], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], names=["term", "kind", "side", "chance", "entity", "place", "n"])
@@ -171,16 +175,25 @@ def occurrences(df: DataFrame, terms: DataFrame, text: str = "text") -> DataFram
     few = terms.count() <= BLOCK
     sent = df.sparkSession.sparkContext.broadcast(np.sort(terms.toPandas()["term"].to_numpy(np.int64))) if few else None
 
+    def told(total: int, found: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([None, *found.tolist()], pa.int64()), pa.array([total, *counts.tolist()], pa.int64())], names=["term", "n"])
+
     def run(batches):
         wanted = None if sent is None else sent.value
+        total, sums = 0, np.zeros(0 if wanted is None else len(wanted), np.int64)
         for whole in batches:
             for batch in slices(whole, text):
                 _, _, _, h = terms_of(*bytes_of(batch, text))
-                total = len(h)
-                if wanted is not None:
-                    h = h[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h] if len(wanted) else h[:0]
-                found, counts = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([None, *found.tolist()], pa.int64()), pa.array([total, *counts.tolist()], pa.int64())], names=["term", "n"])
+                if wanted is None:  # too many words to remember for all of a task
+                    yield told(len(h), *np.unique(h, return_counts=True))
+                    continue
+                total += len(h)
+                if len(wanted):
+                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                    sums += np.bincount(at[wanted[at] == h], minlength=len(wanted))
+        if wanted is not None:
+            some = np.flatnonzero(sums)
+            yield told(total, wanted[some], sums[some])
 
     counts = df.select(text).mapInArrow(trimmed(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     return counts if few else counts.join(terms.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("long").alias("term"))), counts["term"].eqNullSafe(terms["term"]), "left_semi")
@@ -205,14 +218,17 @@ def disclosing(df: DataFrame, text: str = "text") -> DataFrame | None:
     if not of_kind:
         return None
     total = F.create_map(*[F.lit(x) for k, n in of_kind.items() for x in (k[0] * 2 + k[1], n)])[F.col("kind") * 2 + F.col("side")]
-    by_kind = pairs.groupBy(*key).agg(F.sum("n").alias("n"), F.count("*").alias("different")).where("different >= 2").withColumn("total", total)
+    by_kind = pairs.groupBy(*key).agg(F.sum("n").alias("n"), F.count("*").alias("different")).where("term IS NOT NULL AND different >= 2").withColumn("total", total)
     # Single entities: contexts that mostly differ, so that they are no copies of one.
     whole = pairs.where("NOT chance").groupBy("entity", "side").agg(F.sum("n").alias("total"))
     own = pairs.where((F.col("places") >= CONTEXTS) & (2 * F.col("places") >= F.col("n"))).join(whole, ["entity", "side"])
     own = own.groupBy("term", "entity", "kind", "side", "chance").agg(F.max("n").alias("n"), F.max("places").alias("different"), F.max("total").alias("total")).drop("entity")
     met = materialize(by_kind.withColumn("single", F.lit(False)).unionByName(own.withColumn("single", F.lit(True))), "met")
     tried = met.where("NOT chance").count()
-    counts = materialize(occurrences(df, materialize(met.select("term").distinct(), "terms"), text), "occurrences")
+    # Before occurrences are counted: what couldn't pass if it stood nowhere else. A word takes two bytes with its gap.
+    most = (pairs.where("term IS NULL").agg(F.sum("n")).first()[0] or 0) / 2 + 1
+    able = F.col("different") * F.log(F.greatest(F.lit(1.0), most / F.col("total"))) >= math.log(max(1, tried) / CHANCE)
+    counts = materialize(occurrences(df, materialize(met.where(able).select("term").distinct(), "terms"), text), "occurrences")
     words = counts.where("term IS NULL").agg(F.max("n")).first()[0] or 1
     found = shares(met, counts, words, tried)
     noise = {r.kind: r.most for r in found.where("chance").groupBy("kind").agg(F.max("share").alias("most")).collect()}
