@@ -49,12 +49,13 @@ def summary(outcomes: DataFrame) -> DataFrame:
 
 
 def lines_of(path_text: DataFrame) -> DataFrame:
-    """line_no, the fields and whether a line is malformed, from whole files (column value, in file order)."""
-    rows = path_text.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    """line_no, the fields and whether a line is malformed, from whole files (column value, in file order; path, if there, stays)."""
+    kept = [c for c in path_text.columns if c == "path"]
+    rows = path_text.select(*kept, F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
     fields = "at BIGINT, title STRING, author STRING, from STRING, to STRING, bytes BIGINT, ok BOOLEAN, detail STRING"
     parsed = rows.withColumn("e", F.from_json("line", fields, {"mode": "PERMISSIVE"}))
     bad = F.col("e").isNull() | F.col("e.at").isNull() | F.col("e.title").isNull() | F.col("e.ok").isNull()
     return parsed.select(
-        F.col("line_no").cast("bigint").alias("line_no"), F.col("e.at").alias("at"), F.col("e.title").alias("title"), F.coalesce("e.author", F.lit("")).alias("author"), F.col("e.from").alias("from_place"), F.col("e.to").alias("to_place"),
+        *kept, F.col("line_no").cast("bigint").alias("line_no"), F.col("e.at").alias("at"), F.col("e.title").alias("title"), F.coalesce("e.author", F.lit("")).alias("author"), F.col("e.from").alias("from_place"), F.col("e.to").alias("to_place"),
         F.coalesce("e.bytes", F.lit(0)).alias("bytes"), F.col("e.ok").alias("ok"), F.coalesce("e.detail", F.lit("")).alias("detail"), bad.alias("malformed"),
     )

@@ -60,14 +60,23 @@ def read(spark: SparkSession, root: str, todo: DataFrame) -> DataFrame:
 
     Only the files of todo are opened, each by the task that has its row, and no more of one is read than was listed.
     """
-    ship(spark)
-    rows = todo.select("path", "below", "length", "format")
-    names = rows.columns
+    return _described(todo.select("path", "below", "length", "format"))
+
+
+def described(files: DataFrame) -> DataFrame:
+    """The same of files whose content is at hand: path, below, length (as listed), format, content."""
+    return _described(files.select("path", "below", "length", "format", "content"))
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    ship(rows.sparkSession)
+    names = ["path", "below", "length", "format"]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([row | describe(opened(row["path"], row["length"]), row["format"], row["below"], row["length"])], schema=schema)
+                content = row["content"] if "content" in row else opened(row["path"], row["length"])
+                yield pa.RecordBatch.from_pylist([{n: row[n] for n in names} | describe(content, row["format"], row["below"], row["length"])], schema=schema)
 
     kinds = {"title": pa.string(), "author": pa.string(), "series": pa.string(), "series_index": pa.float32(), "identifiers": pa.list_(pa.string()), "sha": pa.string(), "resources": pa.string(), "optimized": pa.bool_(), "unreadable": pa.string()}
     schema = pa.schema([("path", pa.string()), ("below", pa.string()), ("length", pa.int64()), ("format", pa.string()), *kinds.items()])

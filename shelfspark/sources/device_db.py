@@ -8,8 +8,11 @@ import sqlite3
 import tempfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from shelfspark.shipping import ship
@@ -80,14 +83,37 @@ class Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with tempfile.TemporaryDirectory() as folder:  # this task's own copy, gone with it
             db = sqlite3.connect(snapshot(self.path, folder))
-            there = {r[1].lower() for r in db.execute(f'PRAGMA table_info("{self.table}")')}
-            if there:
-                asked = ", ".join(f'"{n}"' if n.lower() in there else "NULL" for n in self.names)
-                for row in db.execute(f'SELECT {asked} FROM "{self.table}"'):
-                    yield tuple(None if x is None else float(x) if k == "double" else str(x) for x, k in zip(row, self.kinds, strict=True))
+            yield from columns_of(db, self.table, self.names, self.kinds)
             db.close()
 
 
+def columns_of(db: sqlite3.Connection, name: str, columns: list[str], kinds: list[str]) -> Iterator[tuple]:
+    """The rows of a table; a column that the device's version lacks is null, a table it lacks is empty."""
+    there = {r[1].lower() for r in db.execute(f'PRAGMA table_info("{name}")')}
+    if there:
+        asked = ", ".join(f'"{n}"' if n.lower() in there else "NULL" for n in columns)
+        for row in db.execute(f'SELECT {asked} FROM "{name}"'):
+            yield tuple(None if x is None else float(x) if k == "double" else str(x) for x, k in zip(row, kinds, strict=True))
+
+
+def tables(files: DataFrame, name: str) -> DataFrame:
+    """The rows of a table of many databases at once, whose bytes are at hand: path, content."""
+    ship(files.sparkSession)
+    schema = T._parse_datatype_string("path STRING, " + TABLES[name])
+    kinds = [f.dataType.typeName() for f in schema.fields[1:]]
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                db = sqlite3.connect(":memory:")
+                db.deserialize(content)
+                rows = [(path, *r) for r in columns_of(db, name, schema.names[1:], kinds)]
+                db.close()
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=to_arrow_schema(schema))
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     ship(spark)
     spark.dataSource.register(DeviceDatabase)
