@@ -155,7 +155,7 @@ def xml_escaped(x: Column) -> Column:
 
 
 def looks_like_web_page(x: Column) -> Column:
-    head = F.lower(F.ltrim(F.substring(x, 1, 200)))
+    head = F.lower(F.substring(F.regexp_replace(x, r"(?U)^[\s\x{FEFF}]+", ""), 1, 200))
     return head.startswith("<!doctype html") | head.startswith("<html")
 
 

@@ -16,7 +16,7 @@ TRIES = 100
 def tsv(df: DataFrame, path: str) -> None:
     """A header and one line for each row; control characters in texts become spaces."""
     clean = [X.printable(F.col(c)).alias(c) if t == "string" else F.col(c).cast("string").alias(c) for c, t in df.dtypes]
-    df.select(*clean).write.mode("error").csv(path, sep="\t", header=True, quote="", escape="", emptyValue="", nullValue="")
+    df.select(*clean).write.mode("error").csv(path, sep="\t", header=True, quote="", escape="", emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
