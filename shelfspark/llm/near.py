@@ -49,7 +49,7 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 24, 7  # trees, and values that a tree's key has
 #: A pair at the threshold agrees in 0.9 of the sketch's bits, give or take 0.023.
 AGREE = 0.79
-BLOCK, BLOCK_BYTES = 512, 4 << 20  # members of a group in a block, and bytes of their sets, both on average
+BLOCK, BLOCK_BYTES = 128, 1 << 20  # members of a group in a block, and bytes of their sets, both on average
 BUCKET = 4096  # rows with a common prefix that are compared at once; more are taken in sorted runs of so many, and pairs of runs
 PROBES, PROBE_BYTES = 256, 100_000  # documents that the recall is measured on, and the longest text among them
 MOST_SENT = 2_000_000  # ids that are broadcast at most
@@ -130,7 +130,9 @@ class Probes:
 
 def probes(docs: DataFrame, most: int = PROBES) -> Probes:
     """The sets of at most so many documents of (id, text), those first by a hash of their ids, none longer than PROBE_BYTES."""
-    some = docs.where(F.octet_length("text").between(1, PROBE_BYTES)).select("text", F.xxhash64("id").alias("h")).orderBy("h", F.xxhash64("text")).limit(most).collect()
+    able = docs.where(F.octet_length("text").between(1, PROBE_BYTES)).select("text", F.xxhash64("id").alias("h"))
+    first = [r.h for r in able.select("h").distinct().orderBy("h").limit(most).collect()]
+    some = able.where(F.col("h") <= (first[-1] if first else 0)).dropDuplicates(["h"]).collect()  # a text of each id
     raw = [r.text.encode() for r in some]
     sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     return Probes([s for s in sets if len(s)])
@@ -191,7 +193,7 @@ def _unite(keys: np.ndarray, sketch: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _sets(label: np.ndarray, ids: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """(id, hub) for the members of each set: its smallest id is the hub."""
+    """(id, hub) for the members of each set: its smallest id is the hub. So a hub has TREES * BUCKET nodes at most, whatever the size of a group."""
     order = np.argsort(label, kind="stable")
     cuts = np.flatnonzero(np.diff(label[order])) + 1
     for rows in np.split(order, cuts):
