@@ -76,6 +76,20 @@ _FURNITURE = _LINES + f""", edges AS (SELECT *, min(line) OVER w AS f, max(line)
   furniture AS (SELECT e.doc_id, {_KEY} AS key, count(*) AS n, any_value(pages) AS pages FROM edges e JOIN n_pages p ON e.doc_id = p.doc_id WHERE line = f OR line = l GROUP BY e.doc_id, {_KEY} HAVING any_value(pages) >= 2 AND count(*) >= greatest(any_value(pages) // 3, 2) AND {_KEY} <> '') """
 _FLOW = _FURNITURE + f""", flow AS (SELECT l.* FROM lines l JOIN n_pages p ON l.doc_id = p.doc_id WHERE NOT (pages > 1 AND {_KEY} = '') AND NOT EXISTS (SELECT 1 FROM furniture f WHERE f.doc_id = l.doc_id AND f.key = {_KEY.replace("text", "l.text")})) """
 _WORD = "lower(regexp_replace(w, '^[^\\p{L}\\p{N}-]+|[^\\p{L}\\p{N}-]+$', '', 'g'))"
+_LEADERS = "CASE WHEN contains(text, '....') THEN regexp_replace(regexp_replace(regexp_replace(text, '\\.{4,}$', ' …'), '\\.{4,}', ' … ', 'g'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') ELSE text END"
+_PARAGRAPHS = _FLOW + f""", bodies AS (SELECT doc_id, max_by(s, w * 100 + s) AS body FROM (SELECT doc_id, CAST(round(size) AS INT) AS s, sum(octet_length(encode(text))) AS w FROM flow GROUP BY 1, 2) GROUP BY doc_id),
+  ends AS (SELECT doc_id, list_sort(list(right_edge)) AS r, min(left_edge) AS left_margin FROM flow GROUP BY doc_id), edges2 AS (SELECT doc_id, left_margin, r[CAST(len(r) * 85 // 100 AS INT) + 1] AS right_margin FROM ends),
+  justified AS (SELECT f.doc_id, avg(CASE WHEN right_edge > right_margin - size * 2.0 THEN 1.0 ELSE 0.0 END) > 0.6 AS justified FROM flow f JOIN edges2 m ON f.doc_id = m.doc_id GROUP BY f.doc_id),
+  looked AS (SELECT f.*, body, left_margin, right_margin, justified, lag(size) OVER o AS p_size, lag(right_edge) OVER o AS p_right, lag(y) OVER o AS p_y, lead(text) OVER o AS next_line
+    FROM flow f JOIN bodies b ON b.doc_id = f.doc_id JOIN edges2 m ON m.doc_id = f.doc_id JOIN justified j ON j.doc_id = f.doc_id WINDOW o AS (PARTITION BY f.doc_id ORDER BY page, line)),
+  headed AS (SELECT *, size > body * 1.15 AND NOT contains(text, '....') AS heading FROM looked),
+  started AS (SELECT *, heading OR p_size IS NULL OR p_size > body * 1.15 OR size > body * 1.15 OR left_edge > left_margin + size * 0.6 OR (justified AND p_right < right_margin - p_size * 1.5) OR (p_y > y AND p_y - y > size * 1.8) AS starts FROM headed),
+  known AS (SELECT DISTINCT doc_id, {_WORD} AS word FROM (SELECT doc_id, unnest(CASE WHEN ends_with(text, '-') THEN string_split_regex(text, '\\s+')[:-2] ELSE string_split_regex(text, '\\s+') END) AS w FROM flow)),
+  broken AS (SELECT *, regexp_matches(text, '[^\\s]-$') AS dashed, {_WORD.replace("w,", "regexp_extract(text, '(\\S+)-$', 1),")} || '-' || {_WORD.replace("w,", "regexp_extract(next_line, '^(\\S+)', 1),")} AS whole_word FROM started),
+  blocks AS (SELECT *, CAST(sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page, line) - 1 AS BIGINT) AS block, regexp_matches(next_line, '^\\p{{Ll}}') AND dashed AND EXISTS (SELECT 1 FROM known k WHERE k.doc_id = broken.doc_id AND k.word = broken.whole_word) AS keeps FROM broken),
+  followed AS (SELECT *, lead(text) OVER (PARTITION BY doc_id, block ORDER BY page, line) AS following, {_LEADERS} AS tidy FROM blocks),
+  said AS (SELECT *, CASE WHEN following IS NULL THEN tidy WHEN regexp_matches(following, '^\\p{{Ll}}') AND dashed AND coalesce(keeps, false) THEN tidy WHEN regexp_matches(following, '^\\p{{Ll}}') AND dashed THEN regexp_replace(tidy, '-$', '') ELSE tidy || ' ' END AS part2 FROM followed),
+  paragraphs AS (SELECT doc_id, block, CASE WHEN bool_or(heading) THEN 'heading' ELSE 'paragraph' END AS kind, string_agg(part2, '' ORDER BY page, line) AS text FROM said GROUP BY doc_id, block) """
 
 ORACLE = {
     "body_size": _PIECES + ", w AS (SELECT doc_id, CAST(round(size) AS INT) AS s, sum(n) AS w FROM pieces GROUP BY 1, 2) SELECT doc_id, max_by(s, w * 100 + s) AS body FROM w GROUP BY doc_id",
@@ -101,5 +115,8 @@ ORACLE = {
         l AS (SELECT doc_id, paragraph, list_filter(string_split_regex(regexp_replace(line, '([.!?](?:[ \\t\\n\\f\\r]+|$))', '\\1' || chr(1), 'g'), chr(1)), lambda x : regexp_matches(x, '[^\\s]')) AS s FROM q),
         u AS (SELECT doc_id, paragraph, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS segment FROM l)
         SELECT doc_id, CAST(paragraph AS INT) AS paragraph, CAST(segment AS INT) AS segment, 'kobo.' || paragraph || '.' || segment AS id, sentence FROM u""",
+    "paragraphs": _PARAGRAPHS + "SELECT doc_id, block, kind, text FROM paragraphs",
+    "chapters": _PARAGRAPHS + """, b AS (SELECT *, CASE WHEN kind = 'heading' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY block) = 'paragraph' THEN 1 ELSE 0 END AS begins FROM paragraphs)
+        SELECT doc_id, block, kind, text, CAST(sum(begins) OVER (PARTITION BY doc_id ORDER BY block) AS BIGINT) AS chapter FROM b""",
     "leader_lines": "SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 10) || '......' || CAST(doc_id AS VARCHAR), '\\.{4,}', ' … ', 'g'), '^\\s+|\\s+$', '', 'g') AS tidy FROM documents",
 }
