@@ -93,6 +93,52 @@ def component(x: Column, fallback: str) -> Column:
     return F.when((kept == "") | F.lower(kept).isin("system volume information", "xtcache"), F.lit(fallback)).otherwise(kept)
 
 
+#: Characters that take two cells of a table, and none.
+WIDE, NARROWEST = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1FAFF}\x{20000}-\x{3FFFD}]", r"[\p{Mn}\p{Me}\x{200B}-\x{200F}]"
+
+
+def cells(x: Column) -> Column:
+    """How many cells of a table a text takes."""
+    return F.length(x) + F.regexp_count(x, F.lit(WIDE)) - F.regexp_count(x, F.lit(NARROWEST))
+
+
+def _beginning(characters: Column, most: int) -> Column:
+    """The characters from the first on that fit in so many cells."""
+    state = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"), F.lit(True).alias("open"))
+
+    def step(a: Column, c: Column) -> Column:
+        fits = a["open"] & (a["used"] + cells(c) <= most)
+        return F.struct((a["used"] + cells(c)).alias("used"), F.when(fits, F.concat(a["kept"], F.array(c))).otherwise(a["kept"]).alias("kept"), fits.alias("open"))
+
+    return F.aggregate(characters, state, step, lambda a: a["kept"])
+
+
+def shortened(x: Column, limit: int) -> Column:
+    """The beginning of a text that fits in so many cells, with an ellipsis if that is not all."""
+    clean = printable(x)
+    return F.when(cells(clean) <= limit, clean).otherwise(F.concat(F.array_join(_beginning(F.split(F.substring(clean, 1, limit), ""), limit - 1), ""), F.lit("…")))
+
+
+def ending(x: Column, limit: int) -> Column:
+    """The end of a path that fits, behind an ellipsis if that is not all: a file is known by its name."""
+    clean = printable(x)
+    last = F.reverse(F.split(F.substring(clean, -limit, limit), ""))
+    return F.when(cells(clean) <= limit, clean).otherwise(F.concat(F.lit("…"), F.array_join(F.reverse(_beginning(last, limit - 1)), "")))
+
+
+def wrapped(x: Column, limit: int) -> Column:
+    """Lines of whole words that fit in so many cells, where a word by itself does."""
+    words = F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
+
+    def step(lines: Column, w: Column) -> Column:
+        last = F.element_at(lines, -1)
+        joined = F.concat(last, F.lit(" "), w)
+        return F.when(F.size(lines) == 0, F.array(w)).when(cells(F.try_element_at(lines, F.lit(-1))) + cells(w) + 1 > max(limit, 8), F.concat(lines, F.array(w))).otherwise(F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(joined)))
+
+    step_ = lambda a, w: F.when(F.size(a) == 0, F.array(w)).otherwise(step(a, w))
+    return F.aggregate(words, F.array().cast("array<string>"), step_)
+
+
 def output_name(title: Column, identity: Column, extension: Column, fallback: str = "Book") -> Column:
     """`Title [hash].ext`: at most 80 characters and 180 bytes of the title, and 12 digits of the identity's SHA-256."""
     short = cut_bytes(F.substring(F.regexp_replace(title, ILLEGAL, "_"), 1, 80), 180)

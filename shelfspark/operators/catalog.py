@@ -142,6 +142,23 @@ def several_at_one_place(copies: DataFrame) -> DataFrame:
     return copies.groupBy("book_id", "place").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
 
 
+def scroll(current: int, selected: int, rows: int, visible: int) -> int:
+    """The first row to show, so that the selected one is in sight with two rows around it where there is room, and nothing moves needlessly."""
+    if visible <= 0 or rows <= visible:
+        return 0
+    margin = min((visible - 1) // 2, 2)
+    lowest, highest = selected + margin + 1 - visible, selected - margin
+    at = min(current, rows - visible)
+    at = max(highest, 0) if at > highest else at
+    return min(max(at, lowest), rows - visible)
+
+
+def viewport(shown: DataFrame, order: list, current: int, selected: int, visible: int) -> DataFrame:
+    """The rows of an ordered list that are in sight; a top-n and an offset."""
+    first = scroll(current, selected, shown.count(), visible)
+    return shown.orderBy(*order).offset(first).limit(visible)
+
+
 def marked(books: DataFrame, marks: DataFrame, copies: DataFrame) -> DataFrame:
     """Books any of whose copies is marked by (place, path)."""
     return books.join(copies.join(marks, ["place", "path"], "left_semi").select("book_id"), "book_id", "left_semi")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import sqlite3
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -22,7 +23,7 @@ from shelfspark.operators import feed as E
 from shelfspark.plans.device import _BEST, _NOTES, _OFFERS, _SHELVES, log
 from shelfspark.plans.library import copies
 from shelfspark.shipping import ship
-from shelfspark.sources import books, device_db, epub, opds, pdf, reader
+from shelfspark.sources import books, device_db, epub, figures, opds, pdf, reader
 from shelfspark.sources.adapters import view, with_views
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="a%20b/book.opf"/></rootfiles></container>'.replace("%20", " ")
@@ -147,6 +148,47 @@ def pdf_text(spark: SparkSession, d: str) -> DataFrame:
     return got.where("text IS NOT NULL").select(F.col("doc").cast("bigint").alias("doc_id"), "page", rounded("y"), rounded("size"), rounded("width"), rounded("height"), "text")
 
 
+def picture_files(spark: SparkSession, d: str) -> DataFrame:
+    """path, content: a PDF for each part, which draws a gray, a CMYK, an indexed and a half transparent picture, one of them within a form, and one that is cut."""
+    ship(spark)
+
+    def one(k: int, size: int) -> bytes:
+        image = lambda space, bits, body, more="": f"<< /Subtype /Image /Width 3 /Height 1 /BitsPerComponent {bits} /ColorSpace {space} /Filter /ASCIIHexDecode {more} /Length {len(body)} >>\nstream\n{body}\nendstream"
+        form = "q 40 0 0 20 0 0 cm /I3 Do Q"
+        draw = f"q 100 0 0 80 20 30 cm /I1 Do Q q 30 0 0 {size} 0 5 cm /I2 Do Q 1 0 0 1 7 9 cm /X Do /I4 Do /I5 Do"
+        objects = {
+            1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R] >>", 3: "<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /XObject << /I1 11 0 R /I2 12 0 R /I3 13 0 R /I4 14 0 R /I5 15 0 R /X 20 0 R >> >> >>",
+            4: f"<< /Length {len(draw)} >>\nstream\n{draw}\nendstream", 11: image("/DeviceGray", 8, f"{k % 256:02x}{size:02x}ff>"), 12: image("/DeviceCMYK", 8, f"{size:02x}000000" + "00" * 4 + "000000ff>"),
+            13: image("[/Indexed /DeviceRGB 3 <" + f"{k % 256:02x}{size:02x}01" + "aabbcc" + "102030" + "ffffff>]", 2, f"{k % 4 << 6 | 0x18:02x}>"), 14: image("/DeviceRGB", 8, "000000" * 3 + ">", "/SMask 16 0 R"),
+            15: image("/DeviceRGB", 8, "0000>"), 16: image("/DeviceGray", 8, f"{size:02x}00ff>"), 20: f"<< /Subtype /Form /Length {len(form)} >>\nstream\n{form}\nendstream",
+        }
+        return ("%PDF-1.7\n" + "".join(f"{n} 0 obj\n{o}\nendobj\n" for n, o in objects.items()) + "trailer << /Root 1 0 R >>\n%%EOF\n").encode("latin-1")
+
+    def run(batches):
+        for batch in batches:
+            made = [{"path": str(r["p_partkey"]), "content": one(r["p_partkey"], r["p_size"])} for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size").mapInArrow(run, "path string, content binary")
+
+
+def pictures(spark: SparkSession, d: str) -> DataFrame:
+    """The first pixel of each picture as its PNG holds it."""
+    rows = figures.pictures(picture_files(spark, d))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                body = r.pop("picture")
+                at = -1 if body is None else body.index(b"IDAT")
+                raw = b"" if body is None else zlib.decompress(body[at + 4 : at + 4 + int.from_bytes(body[at - 4 : at], "big")])
+                rgb = None if body is None else raw[1:4].hex()
+                yield pa.RecordBatch.from_pylist([{"p_partkey": int(r["doc"]), "n": r["n"], "top": r["top"], "height": r["height"], "first": rgb, "error": r["error"]}], schema=schema)
+
+    schema = pa.schema([("p_partkey", pa.int64()), ("n", pa.int32()), ("top", pa.float64()), ("height", pa.float64()), ("first", pa.string()), ("error", pa.string())])
+    return rows.mapInArrow(run, "p_partkey bigint, n int, top double, height double, first string, error string")
+
+
 FEED_HOST = "http://books.example.org"
 
 
@@ -253,6 +295,7 @@ def log_summary(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "files_read": files_read,
     "pdf_text": pdf_text,
+    "pictures": pictures,
     "feed_entries": feed_entries,
     "feed_pages": feed_pages,
     "feed_best": feed_best,
@@ -278,6 +321,10 @@ ORACLE = {
         l AS (SELECT doc_id, pos // 8 AS line, string_agg(w, ' ' ORDER BY pos) AS text FROM words GROUP BY doc_id, pos // 8)
         SELECT doc_id, CAST(line // 30 AS INT) AS page, CAST(700 - 12 * (line % 30) AS DOUBLE) AS y, 11.0 AS size, CASE WHEN line // 30 % 3 = 2 THEN 300.0 WHEN doc_id % 2 = 1 THEN 400.0 ELSE 595.0 END AS width,
         CASE WHEN line // 30 % 3 = 2 THEN 500.0 WHEN doc_id % 2 = 1 THEN 600.0 ELSE 842.0 END AS height, text FROM l WHERE text <> ''""",
+    "pictures": """WITH p AS (SELECT p_partkey, p_size, printf('%02x', CAST(p_partkey % 256 AS INT)) AS k, printf('%02x', p_size) AS s, printf('%02x', 255 - p_size) AS t FROM part)
+        SELECT p_partkey, CAST(0 AS INT) AS n, 110.0 AS top, 80.0 AS height, k || k || k AS first, CAST(NULL AS VARCHAR) AS error FROM p UNION ALL SELECT p_partkey, 1, 5.0 + p_size, p_size, t || 'ffff', NULL FROM p
+        UNION ALL SELECT p_partkey, 2, 29.0, 20.0, CASE p_partkey % 4 WHEN 0 THEN k || s || '01' WHEN 1 THEN 'aabbcc' WHEN 2 THEN '102030' ELSE 'ffffff' END, NULL FROM p UNION ALL SELECT p_partkey, 3, 10.0, 1.0, t || t || t, NULL FROM p
+        UNION ALL SELECT p_partkey, 4, 10.0, 1.0, NULL, 'fewer samples than pixels' FROM p""",
     "feed_entries": with_views("offers") + f""" SELECT {_PAGE} AS address, entry_id, CASE WHEN entry_id % 5 > 0 THEN 'Order ' || entry_id ELSE 'Untitled' END AS title,
         CASE entry_id % 3 WHEN 0 THEN 'Unknown author' WHEN 1 THEN 'Author 0 of ' || entry_id ELSE 'Author 0 of ' || entry_id || ' and others' END AS author, CASE WHEN entry_id % 7 = 0 THEN '{FEED_HOST}/feeds/more' END AS subsection,
         CAST(count(*) AS INT) AS n_offers, '{FEED_HOST}/get/' || entry_id || '/' || min(ord) AS first FROM offers WHERE {_SHOWN} GROUP BY entry_id""",

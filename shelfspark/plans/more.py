@@ -223,7 +223,32 @@ def placed_figures(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("doc_id", "page").agg(F.sum(F.when(F.col("line").isNotNull() & (F.col("at") >= 580), 1).otherwise(0)).alias("above"), F.count("line").alias("lines"), F.count("figure").alias("figures"))
 
 
+def archived(spark: SparkSession, d: str) -> DataFrame:
+    c = copies(spark, d).select(F.concat(F.lit("in"), (F.col("copy_id") % 5).cast("string"), F.lit("/r"), (F.col("copy_id") % 30).cast("string"), F.lit(".acsm")).alias("below"), F.concat(F.lit("h"), (F.col("copy_id") % 420 % 97).cast("string")).alias("sha"), F.col("copy_id").alias("seq"))
+    return B.archive_names(c)
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    t = copies(spark, d)
+    return t.select("copy_id", X.shortened(F.col("title"), 12).alias("short"), X.ending(F.col("path"), 9).alias("ending"), X.cells(F.concat("title", F.lit("日本"))).alias("cells"))
+
+
+def wrapped(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences a b c of known widths, folded at 10 cells: words of 3 characters stand two to a line."""
+    c = copies(spark, d)
+    return c.select("copy_id", F.array_join(X.wrapped(F.array_join(F.transform(F.sequence(F.lit(1), F.col("copy_id").cast("int") % 7 + 1), lambda i: F.concat(F.lit("ab"), i.cast("string"))), "  "), 10), "|").alias("lines"))
+
+
+def in_sight(spark: SparkSession, d: str) -> DataFrame:
+    b = books(spark, d).select("book_id", "title")
+    return K.viewport(b, [F.lower("title"), "book_id"], 0, 40, 20)
+
+
 QUERIES = {
+    "archive_names": archived,
+    "cells": cells,
+    "wrapped_words": wrapped,
+    "viewport": in_sight,
     "organised_targets": lambda s, d: targets(s, d, True),
     "flat_targets": lambda s, d: targets(s, d, False),
     "sync_outcomes": outcomes,
@@ -267,6 +292,13 @@ def _request_sql() -> str:
 
 
 ORACLE = {
+    "archive_names": _COPIES + """, r AS (SELECT 'in' || (copy_id % 5) || '/' AS folder, 'r' || (copy_id % 30) AS stem, 'h' || (copy_id % 420 % 97) AS sha, copy_id AS seq FROM copies),
+        f AS (SELECT folder, stem, sha, row_number() OVER (PARTITION BY folder, stem ORDER BY min(seq)) - 1 AS nth FROM r GROUP BY folder, stem, sha)
+        SELECT r.folder || r.stem || '.acsm' AS below, r.sha, seq, r.folder || 'archive/' || r.stem || CASE WHEN nth > 0 THEN '-' || nth ELSE '' END || '.acsm' AS archived FROM r JOIN f ON f.folder = r.folder AND f.stem = r.stem AND f.sha = r.sha""",
+    "cells": _COPIES + """, t AS (SELECT copy_id, regexp_replace(title, '\\p{Cc}', ' ', 'g') AS title, path FROM copies) SELECT copy_id, CASE WHEN length(title) <= 12 THEN title ELSE substr(title, 1, 11) || '…' END AS short,
+        CASE WHEN length(path) <= 9 THEN path ELSE '…' || right(path, 8) END AS ending, CAST(length(title) + 4 AS INT) AS cells FROM t""",
+    "wrapped_words": _COPIES + "SELECT copy_id, (SELECT string_agg('ab' || i || CASE WHEN i = n THEN '' WHEN i % 2 = 1 THEN ' ' ELSE '|' END, '' ORDER BY i) FROM (SELECT unnest(range(1, copy_id % 7 + 2)) AS i, copy_id % 7 + 1 AS n)) AS lines FROM copies",
+    "viewport": _BOOKS + "SELECT book_id, title FROM books ORDER BY lower(title), book_id LIMIT 20 OFFSET 23",
     "sync_plan": _PLAN + "SELECT id, status, detail FROM planned",
     "sync_report": _PLAN + "SELECT " + ", ".join(f"CAST(count(*) FILTER (WHERE status = '{s}') AS BIGINT) AS {s}" for s in ("present", "duplicate", "failed", "repair", "transfer")) + " FROM planned",
     "sync_outcomes": _PLAN + "SELECT id, CASE WHEN status = 'transfer' AND id % 5 = 0 THEN 'failed' WHEN status = 'transfer' THEN 'sent' ELSE status END AS status, CASE WHEN status = 'transfer' AND id % 5 = 0 THEN 'the card is full' ELSE detail END AS detail FROM planned",

@@ -56,7 +56,6 @@ QUERIES = {
     "pdf_verdict": verdicts,
     "sentence_spans": sentence_spans,
     "sentence_counts": lambda s, d: sentence_spans(s, d).groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.max("paragraph").alias("paragraphs")),
-    "leader_lines": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", X.leaders_collapsed(F.concat(F.substring("text", 1, 10), F.lit("......"), F.col("doc_id").cast("string"))).alias("tidy")),
 }
 
 _PIECES = """WITH words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents),
@@ -118,5 +117,4 @@ ORACLE = {
     "paragraphs": _PARAGRAPHS + "SELECT doc_id, block, kind, text FROM paragraphs",
     "chapters": _PARAGRAPHS + """, b AS (SELECT *, CASE WHEN kind = 'heading' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY block) = 'paragraph' THEN 1 ELSE 0 END AS begins FROM paragraphs)
         SELECT doc_id, block, kind, text, CAST(sum(begins) OVER (PARTITION BY doc_id ORDER BY block) AS BIGINT) AS chapter FROM b""",
-    "leader_lines": "SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 10) || '......' || CAST(doc_id AS VARCHAR), '\\.{4,}', ' … ', 'g'), '^\\s+|\\s+$', '', 'g') AS tidy FROM documents",
 }

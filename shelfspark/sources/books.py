@@ -8,7 +8,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,17 @@ def spent(open_requests: DataFrame, archived: DataFrame) -> DataFrame:
     return open_requests.where(~F.col("below").rlike("(^|/)archive/")).withColumn("folder", folder).join(done, ["folder", "sha"], "left_anti").drop("folder")
 
 
+def archive_names(done: DataFrame) -> DataFrame:
+    """done (below, sha, seq) with archived: where each fulfilled request goes. A name that another one has taken before gets a number; the same bytes go to one place."""
+    folder, name = F.regexp_extract("below", r"^(.*?)[^/]*$", 1), F.regexp_extract("below", r"([^/]*)$", 1)
+    rows = done.withColumns({"folder": folder, "name": name})
+    first = rows.groupBy("folder", "name", "sha").agg(F.min("seq").alias("first"))
+    nth = F.row_number().over(Window.partitionBy("folder", "name").orderBy("first")) - 1
+    stem, extension = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    numbered = first.withColumn("nth", nth).withColumn("archived", F.concat("folder", F.lit("archive/"), stem, F.when(F.col("nth") > 0, F.concat(F.lit("-"), F.col("nth").cast("string"))).otherwise(""), extension))
+    return rows.join(numbered.select("folder", "name", "sha", "archived"), ["folder", "name", "sha"]).select("below", "sha", "seq", "archived")
+
+
 def card_files(spark: SparkSession, root: str) -> DataFrame:
     """What a mounted card holds, folders (size 0) included, in order of path; system folders are left out."""
     kept = listing(spark, root).where(~F.lower("below").rlike(r"(^|/)(\.|xtcache(/|$)|system volume information(/|$))"))

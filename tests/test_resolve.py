@@ -76,3 +76,18 @@ def test_toggling_marks(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], COPY)
     assert R.books(R.resolved(empty)).count() == 0 and K.presence(R.resolved(empty)).count() == 0
+
+
+def test_scrolling_keeps_two_rows_around_what_is_selected():
+    from shelfspark.operators.catalog import scroll
+
+    assert scroll(0, 0, 100, 0) == 0 and scroll(5, 3, 4, 10) == 0  # nothing to see, or all of it
+    for current in range(0, 90, 7):
+        for selected in range(100):
+            for visible in (1, 2, 3, 5, 20):
+                at, margin = scroll(current, selected, 100, visible), min((visible - 1) // 2, 2)
+                assert 0 <= at <= 100 - visible and at <= selected < at + visible
+                assert selected - at >= margin or at == 0
+                assert at + visible - 1 - selected >= margin or at == 100 - visible
+                if margin <= selected - min(current, 100 - visible) <= visible - 1 - margin:
+                    assert at == min(current, 100 - visible)

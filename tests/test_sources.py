@@ -224,3 +224,28 @@ def test_device_database(spark, tmp_path, old):
     db.commit()
     assert t("Bookmark").count() == 0
     db.close()
+
+
+def test_samples_of_pictures():
+    import numpy as np
+
+    from shelfspark.sources import figures
+
+    assert figures.samples(b"\xa0\x40", 3, 2, 1, 1)[..., 0].tolist() == [[1, 0, 1], [0, 1, 0]]  # a row begins at a byte
+    assert figures.samples(b"\x1b\xe4", 4, 2, 1, 2)[..., 0].tolist() == [[0, 1, 2, 3], [3, 2, 1, 0]]
+    assert figures.samples(b"\x01\x00\xff\xff", 2, 1, 1, 16)[..., 0].tolist() == [[256, 65535]]
+    with pytest.raises(epub.BadBook):
+        figures.samples(b"\x00", 3, 1, 3, 8)
+    whole = make_pdf(b"")
+    body = b"87cURDZ~>"
+    image = lambda n, more, raw: b"%d 0 obj\n<< /Subtype /Image %s /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (n, more, len(raw), raw)
+    whole = whole.replace(b"trailer", image(20, b"/Width 5 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceGray /Filter [/ASCII85Decode]", body) + image(21, b"/Width 4 /Height 1 /ColorSpace /DeviceGray /BitsPerComponent 8 /Decode [1 0] /Filter /RunLengthDecode", b"\xfe\x10\x00\x05\x80")
+                          + image(22, b"/Width 2 /Height 1 /ImageMask true", b"\x40") + image(23, b"/Filter [/ASCIIHexDecode /DCTDecode]", b"FFD8>") + image(24, b"/Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /Lab", b"abc") + b"trailer")
+    d = pdf.Document(whole)
+    of = lambda n: figures.pixels(d, d.get(pdf.Ref(n)))[0, :, 0].tolist()
+    assert of(20) == list(b"Hello") and of(21) == [239, 239, 239, 250] and of(22) == [0, 255]
+    assert figures.picture(d, d.get(pdf.Ref(23))) == ("image/jpeg", b"\xff\xd8")
+    with pytest.raises(epub.BadBook):
+        figures.picture(d, d.get(pdf.Ref(24)))
+    made = figures.png(np.arange(18, dtype=np.uint8).reshape(2, 3, 3))
+    assert made.startswith(b"\x89PNG") and zlib.decompress(made[made.index(b"IDAT") + 4 : made.index(b"IEND") - 8])[1:10] == bytes(range(9))
