@@ -3,6 +3,12 @@
 Each stage takes all that its predecessor kept, reread from Parquet, and its decisions take effect: documents that the
 quality rules reject go, one document of each class of near copies stays, spans of personal data and disclosing words are
 replaced, sources are repeated or thinned to their target weights, and what is left is encoded.
+
+Odd rows, stage by stage. Null, empty and blank texts: fail the quality rules; to the others a null text is an empty one (alone in
+its class, without personal data, of size 0 and so never mixed, without ids). Very long texts are worked on whole. Repeated rows: each is judged;
+of equal ids or texts one row stays after the join; later stages take each row for itself. Ties (equal ids or draws) are broken by the hash of the text. A null
+language or source is one of its own. An empty table gives an empty table. Columns besides doc_id, text, lang and source stay, whatever their names, up
+to the last stage, which returns its own; n_chars, where there is one, is counted anew.
 """
 
 from __future__ import annotations
