@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from shelfspark.functions import media as M
 from shelfspark.shipping import ship
+from shelfspark.storage import discard, materialize
 
 ATOM, OPDS, DCTERMS, SEARCH = "{http://www.w3.org/2005/Atom}", "{http://opds-spec.org/2010/catalog}", "{http://purl.org/dc/terms/}", "{http://a9.com/-/spec/opensearch/1.1/}"
 AUTH = "http://opds-spec.org/auth/document"
@@ -155,10 +156,14 @@ def captured(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages(made: DataFrame, start: str, most: int) -> list[str]:
-    """Addresses of the feeds from start on by their links to the next, at most max(most, 1)."""
-    links = {r.address: r.next for r in made.select("address", "next").collect()}  # feeds, not their entries
+    """Addresses of the feeds from start on by their links to the next, at most max(most, 1); each step looks up one."""
+    links = materialize(made.select("address", "next"), "links")
     out, at = [], start
-    while at in links and len(out) < max(most, 1) and at not in out:
+    while at is not None and len(out) < max(most, 1) and at not in out:
+        found = links.where(F.col("address") == at).first()
+        if found is None:
+            break
         out.append(at)
-        at = links[at]
+        at = found.next
+    discard(links)
     return out
