@@ -5,10 +5,15 @@ pieces: doc_id, page, ord (order of drawing), x, y, size, advance (all float but
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfspark.functions import text as X
+from shelfspark.shipping import ship
 from shelfspark.storage import materialize
 
 SAME_LINE, GAP, HEADING, SHORT, INDENT, JUSTIFIED, MOSTLY, LEADING, GUTTER = 0.4, 0.18, 1.15, 1.5, 0.6, 2.0, 0.6, 1.8, 0.42
@@ -43,39 +48,58 @@ def banded(pieces: DataFrame, width: float = 595.0) -> DataFrame:
     return rows.withColumn("x", moved.cast("float")).drop("m0", "m1", "two_columns")
 
 
+#: White space as Unicode has it, which is what is taken off the ends of lines.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def lines(pieces: DataFrame, width: float = 595.0) -> DataFrame:
-    """doc_id, page, line (0, 1, ... in reading order), y, left_edge, right_edge, size, text.
+    """doc_id, page, y, left_edge, right_edge, size, text, line (0, 1, ... in reading order).
 
     Down a page, a piece belongs to the line whose first piece is close enough; that anchor makes it a fold over
-    the page's pieces in order, which is bounded by a page. It notes only where lines begin.
+    the page's pieces in order, which has no relational form. So each page is one group, read in the order of its pieces, in linear time.
     """
-    item = F.struct((-F.col("y")).alias("down"), F.col("ord"), F.col("x"), F.col("y"), F.col("size"), F.col("advance"), F.col("text"))
-    pages = banded(pieces, width).groupBy("doc_id", "page", "band").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    step = lambda a, p: F.when(
-        (F.size(a["begins"]) > 0) & (F.abs(a["anchor"] - p["y"]) <= F.greatest(p["size"], f32(1.0)) * f32(SAME_LINE)),
-        F.struct(a["anchor"].alias("anchor"), (a["at"] + 1).alias("at"), a["begins"].alias("begins")),
-    ).otherwise(F.struct(p["y"].alias("anchor"), (a["at"] + 1).alias("at"), F.concat(a["begins"], F.array(a["at"])).alias("begins")))
-    begins = F.aggregate("items", F.struct(f32(0.0).alias("anchor"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")), step, lambda a: a["begins"])
-    runs = pages.select("doc_id", "page", "band", "items", F.posexplode(begins).alias("n", "first"), begins.alias("begins"))
-    until = F.coalesce(F.get("begins", F.col("n") + 1), F.size("items"))
-    placed = runs.select("doc_id", "page", "band", "n", F.explode(F.slice("items", F.col("first") + 1, until - F.col("first"))).alias("i")).select("doc_id", "page", "band", "n", "i.*")
-    return _joined(placed).withColumn("line", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("band", "n")) - 1).drop("band", "n")
-
-
-def _joined(placed: DataFrame) -> DataFrame:
-    """Pieces of a line from left to right, a space where they stand apart."""
-    along = Window.partitionBy("doc_id", "page", "band", "n").orderBy("x", "down", "ord")
-    before_end, before = F.lag(F.col("x") + F.col("advance")).over(along), F.lag("text").over(along)
-    apart = before.isNotNull() & (F.col("x") - before_end > F.col("size") * f32(GAP)) & ~F.coalesce(before, F.lit("")).endswith(" ") & ~F.col("text").startswith(" ")
-    rows = placed.withColumns({"part": F.when(apart, F.concat(F.lit(" "), "text")).otherwise(F.col("text")), "along": F.row_number().over(along)})
-    item = F.struct("along", "part", "x", "advance", "y", "size", F.octet_length("text").alias("bytes"), "down", "ord")
-    grouped = rows.groupBy("doc_id", "page", "band", "n").agg(F.array_sort(F.collect_list(item)).alias("p"), F.min(F.struct("down", "ord", "y")).alias("top"), F.max(F.struct(F.octet_length("text").alias("b"), "along", "size")).alias("long"))
-    last = F.element_at("p", -1)
-    out = grouped.select(
-        "doc_id", "page", "band", "n", F.col("top.y").alias("y"), F.array_min(F.transform("p", lambda q: q["x"])).alias("left_edge"), (last["x"] + last["advance"]).alias("right_edge"), F.col("long.size").alias("size"),
-        X.trimmed(F.array_join(F.transform("p", lambda q: q["part"]), "")).alias("text"),
-    )
-    return out.where("text <> ''")
+    ship(pieces.sparkSession)
+    rows = banded(pieces, width).select("doc_id", "page", "band", "ord", "x", "y", "size", "advance", "text")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    names = ["doc_id", "page", "y", "left_edge", "right_edge", "size", "text", "line"]
+    schema = T.StructType([T.StructField(n, kinds.get(n, T.FloatType() if n.endswith("edge") else T.IntegerType())) for n in names])
+    arrow = to_arrow_schema(schema)
+    return rows.groupBy("doc_id", "page").applyInArrow(lambda page: page_lines(page, arrow), schema)
+
+
+def page_lines(page: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The lines of one page."""
+    values = lambda n: page.column(n).combine_chunks().to_numpy(zero_copy_only=False)
+    band, ord_, x, y, size, advance = (values(n) for n in ("band", "ord", "x", "y", "size", "advance"))
+    order = np.lexsort((ord_, -y, band))
+    close = np.maximum(size, np.float32(1)) * np.float32(SAME_LINE)
+    number, n, anchor, now = np.zeros(len(order), np.int64), -1, None, None
+    for at, b, height, near in zip(order.tolist(), band[order].tolist(), y[order], close[order], strict=True):
+        if b != now or abs(anchor - height) > near:
+            now, anchor, n = b, height, n + 1
+        number[at] = n
+    top = order[np.searchsorted(number[order], np.arange(n + 1))]  # the first piece of each line
+    along = np.lexsort((ord_, -y, x, number))
+    text = np.array(page.column("text").to_pylist(), dtype=object)[along]
+    x, size, ends, number = x[along], size[along], (x + advance)[along], number[along]
+    same = np.concatenate([[False], number[1:] == number[:-1]])
+    wide = np.concatenate([[False], x[1:] - ends[:-1] > size[1:] * np.float32(GAP)]) & same
+    starts = np.flatnonzero(~same).tolist()
+    wide = wide.tolist()
+    out = []
+    for line, (first, last) in enumerate(zip(starts, [*starts[1:], len(text)], strict=True)):
+        parts, longest, most = [], first, -1
+        for i in range(first, last):
+            t = text[i]
+            parts.append(" " + t if wide[i] and not text[i - 1].endswith(" ") and not t.startswith(" ") else t)
+            bytes_ = len(t) if t.isascii() else len(t.encode())
+            if bytes_ >= most:
+                longest, most = i, bytes_
+        whole = "".join(parts).strip(SPACES)
+        if whole:
+            out.append((y[top[line]], x[first], ends[last - 1], size[longest], whole, len(out)))
+    key = [page.column(c)[0].as_py() for c in ("doc_id", "page")]
+    return pa.Table.from_arrays([*(pa.array([k] * len(out), schema.field(i).type) for i, k in enumerate(key)), *(pa.array([r[i] for r in out], schema.field(i + 2).type) for i in range(6))], schema=schema)
 
 
 def furniture(rows: DataFrame) -> DataFrame:

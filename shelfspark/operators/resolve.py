@@ -27,8 +27,8 @@ def components(keys: DataFrame, node: str = "copy_id") -> DataFrame:
     """
     shared = keys.groupBy("key").agg(F.min(node).alias("a"), F.max(node).alias("b")).where(F.col("a") < F.col("b")).select("key")
     edges = materialize(keys.join(shared, "key", "left_semi").distinct(), "edges")
-    labels = edges.groupBy(node).agg(F.min(node).alias("component"))
-    labels = materialize(labels, "components")
+    firsts = edges.groupBy("key").agg(F.min(node).alias("least"))  # before anything has spread, a node's label is itself
+    labels = materialize(edges.join(firsts, "key").groupBy(node).agg(F.min("least").alias("component")), "components")
     while True:
         least = edges.join(labels, node).groupBy("key").agg(F.min("component").alias("least"))
         met = edges.join(least, "key").groupBy(node).agg(F.min("least").alias("met"))

@@ -25,6 +25,7 @@ from shelfspark.plans.library import copies
 from shelfspark.shipping import ship
 from shelfspark.sources import books, device_db, epub, figures, opds, pdf, reader
 from shelfspark.sources.adapters import view, with_views
+from shelfspark.storage import spread
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="a%20b/book.opf"/></rootfiles></container>'.replace("%20", " ")
 #: What ails a book file, by the number of its copy modulo WAYS; other numbers have whole files.
@@ -79,7 +80,7 @@ def made_cbz(n: int) -> bytes:
 def book_files(spark: SparkSession, d: str) -> DataFrame:
     """path, below, length, format, content: a file for each copy."""
     ship(spark)
-    rows = copies(spark, d).select("copy_id", "path", "format", "title", "author").join(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("copy_id"), "text"), "copy_id")
+    rows = copies(spark, d).select("copy_id", "path", "format", "title", "author").join(spread(spark.read.parquet(f"{d}/documents.parquet")).select(F.col("doc_id").alias("copy_id"), "text"), "copy_id")
     schema = pa.schema([("path", pa.string()), ("below", pa.string()), ("length", pa.int64()), ("format", pa.string()), ("content", pa.binary())])
 
     def run(batches):
@@ -119,7 +120,7 @@ def pdf_files(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     words = F.split("text", " ")
     lines = F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / 8).cast("int") - 1), lambda i: F.array_join(F.slice(words, i * 8 + 1, F.lit(8)), " "))
-    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", lines.alias("lines"))
+    rows = spread(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", lines.alias("lines"))
     font = "<< /Type /Font /Subtype /Type0 /DescendantFonts [7 0 R] /ToUnicode 8 0 R >>"
     units = "1 beginbfrange <0000> <FFFF> <0000> endbfrange"
 
@@ -169,7 +170,7 @@ def picture_files(spark: SparkSession, d: str) -> DataFrame:
             made = [{"path": str(r["p_partkey"]), "content": one(r["p_partkey"], r["p_size"])} for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size").mapInArrow(run, "path string, content binary")
+    return spread(spark.read.parquet(f"{d}/part.parquet")).select("p_partkey", "p_size").mapInArrow(run, "path string, content binary")
 
 
 def pictures(spark: SparkSession, d: str) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from shelfspark.functions import text as X
 from shelfspark.operators import layout as Y
 from shelfspark.operators import segment as G
+from shelfspark.storage import spread
 
 
 def pieces(spark: SparkSession, d: str) -> DataFrame:
     """The words of documents set in lines of 8 on pages of 30, odd pages in two columns."""
-    words = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    words = spread(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
     page, line, at = F.expr("pos div 240"), F.expr("(pos % 240) div 8"), F.col("pos") % 8
     second = (page % 2 == 1) & (line >= 15)
     return words.select(
@@ -35,7 +36,7 @@ def numbers(df: DataFrame) -> DataFrame:
 
 
 def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
-    return G.sentence_spans(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    return G.sentence_spans(spread(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", "text"))
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:

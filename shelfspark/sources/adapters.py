@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfspark.storage import spread
+
 # {sha}: hexadecimal SHA-256 of a text; {seconds}: whole seconds of a timestamp.
 _DIALECTS = {
     "spark": {"sha": lambda x: f"sha2({x}, 256)", "seconds": lambda x: f"unix_seconds(CAST({x} AS TIMESTAMP))", "text": "STRING", "right": lambda x, n: f"right({x}, {n})"},
@@ -69,7 +71,7 @@ TABLES = ("region", "nation", "part", "lineitem", "events", "documents", "conver
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables of sf_dir."""
     sql, tables = _views(_DIALECTS["spark"])[name]
-    return spark.sql(_in_braces(sql, tables), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    return spark.sql(_in_braces(sql, tables), **{t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in tables})
 
 
 def _in_braces(sql: str, tables: tuple[str, ...]) -> str:

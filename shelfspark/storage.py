@@ -40,6 +40,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Inputs up to so many bytes are dealt out; a shuffle of them is nothing beside the work on them.
+SMALL = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is small and its files give fewer tasks than that, as one file of one row group does.
+
+    Larger inputs have more splits than there are cores and are read as they are. The rows are the same either way.
+    """
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.optimizedPlan().stats().sizeInBytes() > SMALL or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of what materialize() gave, once nothing reads them any more. Other DataFrames are left alone."""
     for df in frames:
