@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.shipping import ship
-from shelfspark.storage import materialize, shared_dir  # noqa: F401
+from shelfspark.storage import materialize, shared_dir, spread  # noqa: F401
 
 #: One or more of the six ASCII white-space characters; words are what stands between.
 GAP = r"[\x20\x09-\x0D]+"
@@ -27,7 +27,7 @@ BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def text_or_empty(name: str = "text") -> Column:

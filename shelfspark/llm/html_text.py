@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import prepare, texts_of, trimmed, with_arrow
+from shelfspark.llm.common import prepare, spread, texts_of, trimmed, with_arrow
 
 #: Pages that weights are learned from at most; the sample follows the hash of the page's id.
 MAX_PAGES = 2000
@@ -244,7 +244,7 @@ def extract(df: DataFrame, weights: dict[str, float], text: str = "html", into:
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     out = extract(pages, fit(pages), keep=["page_id", "url"])
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
