@@ -20,7 +20,7 @@ from shelfspark.plans.text import _LINES, lines
 from shelfspark.sources import books as B
 from shelfspark.sources import reader as N
 from shelfspark.sources.adapters import view
-from shelfspark.storage import shared_dir
+from shelfspark.storage import fresh
 from shelfspark.streaming import catalogue as W
 
 # Planning -------------------------------------------------------------------------------------------------------------------------------
@@ -94,7 +94,7 @@ def scan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def cache_after(spark: SparkSession, d: str) -> DataFrame:
     listing, cache = scan(spark, d)
     used, read = C.known(listing, cache), C.todo(listing, cache).where("key IS NOT NULL").select("key")
-    path = f"{shared_dir(spark)}/cache-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    path = fresh(spark, "cache")
     C.save(C.refreshed(cache, used, read, C.TTL + 500), path, C.TTL + 500)
     return C.load(spark, path, "key string, seen bigint")
 
@@ -122,7 +122,7 @@ _REPORTS = """WITH r AS (SELECT 'place' || (user_id % 7) AS place, event_id // 4
 
 def streamed(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue after its copies came in two batches, of which the second renames some and takes some away."""
-    table = f"{shared_dir(spark)}/catalogue-{spark.sparkContext.applicationId}-{abs(hash(d))}-{len(d)}"
+    table = fresh(spark, "catalogue")
     c = copies(spark, d).withColumns({"series_index": F.col("series_index").cast("double"), "locked": F.lit(False), "seen": F.lit(1).cast("bigint"), "gone": F.lit(False)})
     W.upsert(c.withColumn("title", F.concat(F.lit("old "), "title")), 0, table)
     W.upsert(c.withColumns({"seen": F.lit(2).cast("bigint"), "gone": F.col("copy_id") % 13 == 0}).where("copy_id % 2 = 0 OR copy_id % 13 = 0"), 1, table)
@@ -150,7 +150,7 @@ def spent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tsv_lines(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tsv-{spark.sparkContext.applicationId}-{len(spark.sparkContext.applicationId + d)}-{id(d)}"
+    path = fresh(spark, "tsv")
     sinks.tsv(K.listing(books(spark, d)).select("title", "author", "places", "source", "bytes"), path)
     return spark.read.text(path).where("value <> 'title\tauthor\tplaces\tsource\tbytes'").select(F.col("value").alias("line"))
 

@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def fresh(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has; what is written there goes when the session's file systems close."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts the lineage.
 
@@ -31,10 +39,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     session's file systems close.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh(spark, label)
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
     return out
