@@ -7,6 +7,7 @@ out, from the tables.
 from __future__ import annotations
 
 import io
+import re
 import sqlite3
 import zipfile
 import zlib
@@ -16,10 +17,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from shelfspark import sinks
 from shelfspark.operators import copylog as L
 from shelfspark.operators import device as D
 from shelfspark.operators import feed as E
+from shelfspark.operators import segment
 from shelfspark.plans.device import _BEST, _NOTES, _OFFERS, _SHELVES, log
 from shelfspark.plans.library import copies
 from shelfspark.shipping import ship
@@ -98,6 +103,74 @@ def files_read(spark: SparkSession, d: str) -> DataFrame:
     return out.select("path", "title", "author", "series", F.col("series_index").cast("double").alias("series_index"), "resources", "optimized", F.col("sha") != "", "unreadable").toDF("path", "title", "author", "series", "series_index", "resources", "optimized", "readable", "unreadable")
 
 
+def each(df: DataFrame, schema: str, make) -> DataFrame:
+    """A row for each row of df, a dictionary that make gives."""
+    ship(df.sparkSession)
+    target = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(target)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([make(r) for r in batch.to_pylist()], schema=arrow)
+
+    return df.mapInArrow(run, target)
+
+
+def corrected(spark: SparkSession, d: str) -> DataFrame:
+    """What book files say after a correction of title, author and series, and whether their resources are the same."""
+
+    def make(r: dict) -> dict:
+        n = r["copy_id"]
+        old = made_epub(n * WAYS + n % 3, r["title"], r["author"], r["text"])
+        new = epub.corrected(old, title=f" Book <{n}> & more ", author=None if n % 2 else "", series="Ring" if n % 4 else "", series_index="7" if n % 4 else None)
+        said = epub.metadata(new)
+        return {"copy_id": n, "title": said.title, "author": said.author, "series": said.series, "series_index": said.series_index, "same": epub.identity(new)[1] == epub.identity(old)[1], "sha": epub.identity(new)[0] != epub.identity(old)[0]}
+
+    rows = copies(spark, d).select("copy_id", "title", "author").join(spread(spark.read.parquet(f"{d}/documents.parquet")).select(F.col("doc_id").alias("copy_id"), "text"), "copy_id")
+    return each(rows, "copy_id bigint, title string, author string, series string, series_index double, same boolean, sha boolean", make)
+
+
+def spanned(spark: SparkSession, d: str) -> DataFrame:
+    """How many numbered spans a book's chapter has, the last of them, and whether it reads as before without them."""
+
+    def make(r: dict) -> dict:
+        old = made_epub(WAYS * 20, "T", "A", r["text"] or "")
+        chapter = lambda b: zipfile.ZipFile(io.BytesIO(b)).read("a b/ch one.xhtml").decode()
+        new = chapter(epub.with_spans(old))
+        ids = re.findall(r'id="(kobo\.[0-9.]+)"', new)
+        return {"doc_id": r["doc_id"], "spans": len(ids), "last": ids[-1] if ids else None, "same": segment.unspanned(new) == chapter(old)}
+
+    return each(spread(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", "text"), "doc_id bigint, spans bigint, last string, same boolean", make)
+
+
+def free_names(spark: SparkSession, d: str) -> DataFrame:
+    """The name of a correction beside those that are there."""
+    there = ["BOOK.epub", "Book (Corrected).EPUB", "book (corrected 2).epub", "Book (corrected 3).epub"]
+    return each(copies(spark, d).select("copy_id"), "copy_id bigint, name string", lambda r: {"copy_id": r["copy_id"], "name": sinks.free_name("Book.epub", there[: r["copy_id"] % 5])})
+
+
+def search_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """The address that asks a catalogue for a nation's name."""
+    described = '<OpenSearchDescription xmlns="http://a9.com/-/spec/opensearch/1.1/"><Url type="text/html" template="/no"/><Url type="application/atom+xml;profile=opds-catalog" template="../find?q={searchTerms}&amp;n=1"/></OpenSearchDescription>'
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")
+    return each(rows, "n_nationkey int, address string", lambda r: {"n_nationkey": r["n_nationkey"], "address": opds.search_address(described, f"{FEED_HOST}/a/b/search.xml", f"{r['n_name']} & é*")})
+
+
+_REFERENCES = [("", "a.xhtml", "a.xhtml"), ("OPS", "text/c%C3%A9%20d.xhtml#p1", "OPS/text/cé d.xhtml"), ("OPS/text", "../img/./x.png", "OPS/img/x.png"), ("OPS", "../../out", None), ("OPS", "/abs", None), ("", "x%zz", None), ("", "%ff", None), ("OPS", "http://x/y", None), ("a", "..\\b", None)]
+
+
+def references(spark: SparkSession, d: str) -> DataFrame:
+    """Where references in a book's documents lead, or nothing."""
+
+    def make(r: dict) -> dict:
+        try:
+            return r | {"path": epub.resolve(r["base"], r["href"])}
+        except epub.BadBook:
+            return r | {"path": None}
+
+    return each(spark.createDataFrame([(b, h) for b, h, _ in _REFERENCES], "base string, href string"), "base string, href string, path string", make)
+
+
 def _le(n: str) -> str:
     """SQL for the eight bytes of a number, least first."""
     return "unhex(" + " || ".join(f"printf('%02x', CAST(({n}) // {256**i} % 256 AS INT))" for i in range(8)) + ")"
@@ -297,6 +370,11 @@ QUERIES = {
     "files_read": files_read,
     "pdf_text": pdf_text,
     "pictures": pictures,
+    "corrected_books": corrected,
+    "spanned_books": spanned,
+    "free_names": free_names,
+    "search_addresses": search_addresses,
+    "resolved_references": references,
     "feed_entries": feed_entries,
     "feed_pages": feed_pages,
     "feed_best": feed_best,
@@ -322,6 +400,13 @@ ORACLE = {
         l AS (SELECT doc_id, pos // 8 AS line, string_agg(w, ' ' ORDER BY pos) AS text FROM words GROUP BY doc_id, pos // 8)
         SELECT doc_id, CAST(line // 30 AS INT) AS page, CAST(700 - 12 * (line % 30) AS DOUBLE) AS y, 11.0 AS size, CASE WHEN line // 30 % 3 = 2 THEN 300.0 WHEN doc_id % 2 = 1 THEN 400.0 ELSE 595.0 END AS width,
         CASE WHEN line // 30 % 3 = 2 THEN 500.0 WHEN doc_id % 2 = 1 THEN 600.0 ELSE 842.0 END AS height, text FROM l WHERE text <> ''""",
+    "corrected_books": with_views("copies") + """ SELECT copy_id, 'Book <' || copy_id || '> & more' AS title, CASE WHEN copy_id % 2 = 1 THEN author ELSE '' END AS author, CASE WHEN copy_id % 4 > 0 THEN 'Ring' END AS series,
+        CASE WHEN copy_id % 4 > 0 THEN 7.0 END AS series_index, true AS same, true AS sha FROM copies""",
+    "spanned_books": f"""WITH t AS (SELECT doc_id, {_ESCAPED.format("text")} AS t FROM documents), s AS (SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?s).*?[.!?](?:[ \\t\\n\\f\\r]+|\\z)|.+\\z'), lambda x : regexp_matches(x, '[^\\s]'))) AS n FROM t)
+        SELECT doc_id, n AS spans, CASE WHEN n > 0 THEN 'kobo.1.' || n END AS last, true AS same FROM s""",
+    "free_names": with_views("copies") + """ SELECT copy_id, CASE copy_id % 5 WHEN 0 THEN 'Book.epub' WHEN 1 THEN 'Book (corrected).epub' ELSE 'Book (corrected ' || (copy_id % 5) || ').epub' END AS name FROM copies""",
+    "search_addresses": f"SELECT n_nationkey, '{FEED_HOST}/a/find?q=' || replace(n_name, ' ', '+') || '+%26+%C3%A9*&n=1' AS address FROM nation",
+    "resolved_references": "SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{h}', " + ("NULL" if p is None else f"'{p}'") + ")" for b, h, p in _REFERENCES) + ") AS t(base, href, path)",
     "pictures": """WITH p AS (SELECT p_partkey, p_size, printf('%02x', CAST(p_partkey % 256 AS INT)) AS k, printf('%02x', p_size) AS s, printf('%02x', 255 - p_size) AS t FROM part)
         SELECT p_partkey, CAST(0 AS INT) AS n, 110.0 AS top, 80.0 AS height, k || k || k AS first, CAST(NULL AS VARCHAR) AS error FROM p UNION ALL SELECT p_partkey, 1, 5.0 + p_size, p_size, t || 'ffff', NULL FROM p
         UNION ALL SELECT p_partkey, 2, 29.0, 20.0, CASE p_partkey % 4 WHEN 0 THEN k || s || '01' WHEN 1 THEN 'aabbcc' WHEN 2 THEN '102030' ELSE 'ffffff' END, NULL FROM p UNION ALL SELECT p_partkey, 3, 10.0, 1.0, t || t || t, NULL FROM p
