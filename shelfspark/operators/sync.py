@@ -108,6 +108,23 @@ def applied(planned: DataFrame, outcomes: DataFrame) -> DataFrame:
     return planned.join(outcomes, "id", "left").select("id", done.alias("status"), F.coalesce("error", "detail").alias("detail"))
 
 
+def copy_check(wanted: DataFrame, existing: DataFrame, free: int | None) -> DataFrame:
+    """id, outcome and path of copying files to a card, where nothing is ever overwritten.
+
+    wanted: id, folder, name, sha, size. existing: folder, name, sha, directory. A name that is there in any case is taken: by a folder, by another
+    file, or by the same bytes, which is a success. free: bytes on the card, or None if they can't be measured, which fails.
+    """
+    there = existing.groupBy("folder", F.lower("name").alias("folded")).agg(F.min_by(F.struct("name", "sha", "directory"), "name").alias("there"))  # the first of several that differ in case
+    rows = wanted.withColumn("folded", F.lower("name")).join(there, ["folder", "folded"], "left")
+    fits = F.lit(False) if free is None else F.col("size") <= free
+    path = lambda name: F.concat("folder", F.lit("/"), name)
+    suitable = X.format_of(F.col("name")).isNotNull() & ~F.col("name").startswith(".") & ~F.col("name").rlike(X.ILLEGAL)
+    outcome = F.when(~suitable, "not a suitable name").when(F.col("there.directory"), "the name is taken by a folder").when(F.col("there.sha") == F.col("sha"), "already there").when(F.col("there").isNotNull(), "a different file is there")
+    outcome = outcome.when(~fits, "free space is unknown" if free is None else "not enough space").otherwise("copied")
+    rows = rows.withColumn("outcome", outcome)
+    return rows.select("id", "outcome", F.when(F.col("outcome") == "copied", path(F.col("name"))).when(F.col("outcome") == "already there", path(F.col("there.name"))).alias("path"))
+
+
 def transfer_check(books: DataFrame, target: str) -> DataFrame:
     """book_id and why a book can't be transferred before any byte moves, or ready."""
     p = F.col("preferred")

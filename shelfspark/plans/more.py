@@ -52,6 +52,15 @@ def outcomes(spark: SparkSession, d: str) -> DataFrame:
     return S.applied(planned, planned.where("id % 5 = 0 AND status = 'transfer'").select("id", F.lit("the card is full").alias("error")))
 
 
+def copied(spark: SparkSession, d: str) -> DataFrame:
+    """Kobo's copies on their way to a card that has some of their names already."""
+    odd = F.when(F.col("copy_id") % 31 == 0, F.lit("a:b.epub")).when(F.col("copy_id") % 37 == 0, F.lit(".hidden.epub")).when(F.col("copy_id") % 41 == 0, F.lit("notes.txt"))
+    name = F.coalesce(odd, F.concat(F.lit("n"), F.col("copy_id").cast("string"), F.lit("."), F.col("format")))
+    rows = copies(spark, d).where("place = 'Kobo'").select(F.col("copy_id").alias("id"), F.lit("Books").alias("folder"), name.alias("name"), "sha", "size", odd.isNull().alias("plain"))
+    there = rows.where("plain AND id % 4 < 2").select("folder", F.when(F.col("id") % 4 == 0, F.upper("name")).otherwise(F.col("name")).alias("name"), F.when(F.col("id") % 4 == 0, F.col("sha")).otherwise(F.lit("other")).alias("sha"), (F.col("id") % 43 == 0).alias("directory"))
+    return S.copy_check(rows, there, 600_000)
+
+
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Decisions where every eleventh book is a request for one."""
     b = books(spark, d)
@@ -254,6 +263,7 @@ QUERIES = {
     "sync_outcomes": outcomes,
     "plan_rows": lambda s, d: S.plan_table(sync_plan(s, d)),
     "plan_summary": lambda s, d: S.plan_summary(sync_plan(s, d), "CrossPoint"),
+    "copy_outcomes": copied,
     "request_rules": requests,
     "free_space": space,
     "marked_books": marked,
@@ -308,6 +318,9 @@ ORACLE = {
     "organised_targets": _COPIES + f""", named AS (SELECT *, {_PART.format("author")} AS folder, {_PART.format("title")} AS stem FROM copies)
         SELECT copy_id AS id, CASE lower(folder) WHEN 'src1' THEN 'SRC1' WHEN 'src2' THEN 'Src2' WHEN 'other' THEN 'other' ELSE {_NAME.format("folder", "Unknown author")} END || '/' || {_NAME.format("stem", "Untitled")} || '.' || format AS target FROM named""",
     "flat_targets": _COPIES + " SELECT copy_id AS id, copy_id || '.' || format AS target FROM copies",
+    "copy_outcomes": _COPIES + """, w AS (SELECT copy_id AS id, copy_id % 31 = 0 OR copy_id % 37 = 0 OR copy_id % 41 = 0 AS odd, 'n' || copy_id || '.' || format AS name, size FROM copies WHERE place = 'Kobo'),
+        o AS (SELECT *, CASE WHEN odd THEN 'not a suitable name' WHEN id % 4 < 2 AND id % 43 = 0 THEN 'the name is taken by a folder' WHEN id % 4 = 0 THEN 'already there' WHEN id % 4 = 1 THEN 'a different file is there' WHEN size > 600000 THEN 'not enough space' ELSE 'copied' END AS outcome FROM w)
+        SELECT id, outcome, CASE outcome WHEN 'copied' THEN 'Books/' || name WHEN 'already there' THEN 'Books/' || upper(name) END AS path FROM o""",
     "request_rules": _BOOKS + _request_sql(),
     "free_space": _BOOKS + f""", asked AS ({' UNION ALL '.join(f"SELECT '{p}' AS place, NOT on_{p.lower()} AS misses, best_size FROM books WHERE book_id % 11 <> 0" for p in K.PLACES)}),
         summed AS (SELECT place, CAST(sum(CASE WHEN misses THEN 1 ELSE 0 END) AS BIGINT) AS books, CAST(sum(CASE WHEN misses THEN best_size ELSE 0 END) AS BIGINT) AS bytes FROM asked GROUP BY place)
