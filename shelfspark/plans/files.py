@@ -24,9 +24,10 @@ from shelfspark import sinks
 from shelfspark.operators import copylog as L
 from shelfspark.operators import device as D
 from shelfspark.operators import feed as E
-from shelfspark.operators import segment
+from shelfspark.operators import convert, segment
 from shelfspark.plans.device import _BEST, _NOTES, _OFFERS, _SHELVES, log
 from shelfspark.plans.library import copies
+from shelfspark.plans.text import _PARAGRAPHS
 from shelfspark.shipping import ship
 from shelfspark.sources import books, device_db, epub, figures, opds, pdf, reader
 from shelfspark.sources.adapters import view, with_views
@@ -222,6 +223,41 @@ def pdf_text(spark: SparkSession, d: str) -> DataFrame:
     return got.where("text IS NOT NULL").select(F.col("doc").cast("bigint").alias("doc_id"), "page", rounded("y"), rounded("size"), rounded("width"), rounded("height"), "text")
 
 
+def set_files(spark: SparkSession, d: str) -> DataFrame:
+    """path, content: a PDF for each document, whose words stand where plans.text.pieces puts them."""
+    head = {1: "<< /Type /Catalog /Pages 2 0 R >>", 6: "<< /Type /Font /Subtype /Type0 /DescendantFonts [7 0 R] /ToUnicode 8 0 R >>", 7: "<< /Type /Font /DW 454.5454545 >>"}
+    units = "1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+
+    def one(r: dict) -> dict:
+        pages: dict[int, list[str]] = {}
+        for pos, word in enumerate((r["text"] or "").split(" ")):
+            page, line, at = pos // 240, pos % 240 // 8, pos % 8
+            second = page % 2 == 1 and line >= 15
+            font = "/F1 14 Tf 78.5714286 Tz" if page == line == 0 else "/F1 11 Tf 100 Tz"
+            pages.setdefault(page, []).append(f"{font} 1 0 0 1 {50 + 30 * at + 250 * second} {700 - 12 * (line - 15 * second)} Tm <{word.encode('utf-16-be', 'replace').hex()}> Tj")
+        objects = head | {2: f"<< /Type /Pages /Kids [{' '.join(f'{10 + 2 * i} 0 R' for i in pages)}] /Resources << /Font << /F1 6 0 R >> >> >>", 8: f"<< /Length {len(units)} >>\nstream\n{units}\nendstream"}
+        for i, own in pages.items():
+            body = "BT\n" + "\n".join(own) + "\nET"
+            objects |= {10 + 2 * i: f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * i} 0 R >>", 11 + 2 * i: f"<< /Length {len(body)} >>\nstream\n{body}\nendstream"}
+        made = "%PDF-1.7\n" + "".join(f"{n} 0 obj\n{o}\nendobj\n" for n, o in objects.items()) + "trailer << /Root 1 0 R >>\n%%EOF\n"
+        return {"path": str(r["doc_id"]), "content": made.encode("latin-1")}
+
+    return each(spread(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", "text"), "path string, content binary", one)
+
+
+def converted(spark: SparkSession, d: str) -> DataFrame:
+    """Title and chapters of the books that PDF files become, or why there are none."""
+    about = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Document "), F.col("doc_id").cast("string"))).alias("title"), F.col("source").alias("author"))
+
+    def make(r: dict) -> dict:
+        if r["epub"] is None:
+            return {"doc_id": int(r["doc"]), "title": None, "author": None, "chapters": None, "error": r["error"]}
+        said = epub.metadata(r["epub"])
+        return {"doc_id": int(r["doc"]), "title": said.title, "author": said.author, "chapters": len(epub.spine(epub.inspect(r["epub"]))), "error": None}
+
+    return each(convert.converted(set_files(spark, d), about), "doc_id bigint, title string, author string, chapters bigint, error string", make)
+
+
 def picture_files(spark: SparkSession, d: str) -> DataFrame:
     """path, content: a PDF for each part, which draws a gray, a CMYK, an indexed and a half transparent picture, one of them within a form, and one that is cut."""
     ship(spark)
@@ -370,6 +406,7 @@ QUERIES = {
     "files_read": files_read,
     "pdf_text": pdf_text,
     "pictures": pictures,
+    "converted_books": converted,
     "corrected_books": corrected,
     "spanned_books": spanned,
     "free_names": free_names,
@@ -400,6 +437,10 @@ ORACLE = {
         l AS (SELECT doc_id, pos // 8 AS line, string_agg(w, ' ' ORDER BY pos) AS text FROM words GROUP BY doc_id, pos // 8)
         SELECT doc_id, CAST(line // 30 AS INT) AS page, CAST(700 - 12 * (line % 30) AS DOUBLE) AS y, 11.0 AS size, CASE WHEN line // 30 % 3 = 2 THEN 300.0 WHEN doc_id % 2 = 1 THEN 400.0 ELSE 595.0 END AS width,
         CASE WHEN line // 30 % 3 = 2 THEN 500.0 WHEN doc_id % 2 = 1 THEN 600.0 ELSE 842.0 END AS height, text FROM l WHERE text <> ''""",
+    "converted_books": _PARAGRAPHS + """, b AS (SELECT *, CASE WHEN kind = 'heading' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY block) = 'paragraph' THEN 1 ELSE 0 END AS begins FROM paragraphs),
+        t AS (SELECT doc_id, sum(begins) + 1 AS chapters, min_by(text, block) FILTER (WHERE kind = 'heading') AS heading, bool_or(kind = 'paragraph' AND octet_length(encode(text)) > 40) AS prose FROM b GROUP BY doc_id)
+        SELECT t.doc_id, CASE WHEN prose THEN CASE WHEN t.doc_id % 2 = 0 THEN 'Document ' || t.doc_id ELSE coalesce(heading, 'Untitled') END END AS title, CASE WHEN prose THEN source END AS author, CAST(CASE WHEN prose THEN chapters END AS BIGINT) AS chapters,
+        CASE WHEN NOT prose THEN 'no prose to make a book from' END AS error FROM t JOIN documents d ON d.doc_id = t.doc_id""",
     "corrected_books": with_views("copies") + """ SELECT copy_id, 'Book <' || copy_id || '> & more' AS title, CASE WHEN copy_id % 2 = 1 THEN author ELSE '' END AS author, CASE WHEN copy_id % 4 > 0 THEN 'Ring' END AS series,
         CASE WHEN copy_id % 4 > 0 THEN 7.0 END AS series_index, true AS same, true AS sha FROM copies""",
     "spanned_books": f"""WITH t AS (SELECT doc_id, {_ESCAPED.format("text")} AS t FROM documents), s AS (SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?s).*?[.!?](?:[ \\t\\n\\f\\r]+|\\z)|.+\\z'), lambda x : regexp_matches(x, '[^\\s]'))) AS n FROM t)
