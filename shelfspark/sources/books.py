@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from urllib.parse import quote
 
@@ -11,6 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfspark.functions import text as X
 from shelfspark.shipping import ship
@@ -94,14 +96,18 @@ def _described(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([f for f in rows.schema.fields if f.name in names] + BOOK.fields))
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """Where a path leads, and its name there."""
+    scheme, rest = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path, re.S).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem(), re.sub("^/+", "/", rest)
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+
+
 def opened(path: str, length: int) -> bytes | str:
     """The bytes of a file, one more than listed at most, or why it can't be opened."""
-    scheme, rest = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path, re.S).groups()
     try:
-        if scheme in (None, "file"):
-            source, name = fs.LocalFileSystem(), re.sub("^/+", "/", rest)
-        else:
-            source, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+        source, name = filesystem(path)
         with source.open_input_stream(name) as f:
             return f.read(length + 1)
     except (OSError, ValueError) as e:
@@ -123,6 +129,58 @@ def existing_roots(spark: SparkSession, roots: list[str]) -> tuple[list[str], li
     return kept, warnings
 
 
+WALKED = "root string, path string, below string, length bigint, modified timestamp, warning string"
+
+
+def walked(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The files of folders (root, path, below, length, modified) and, with nothing but path, a warning for each folder that can't be listed.
+
+    Unlike listing() it doesn't fail for one such folder. Hidden names are left out with all below them, and so are links that lead
+    out of their root. A task walks what is below one folder of a root.
+    """
+    ship(spark)
+    kept, refused = existing_roots(spark, roots)
+    first = []
+    for root in kept:
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        first += [(root, x.getPath().toString()) for x in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where) if not x.getPath().getName().startswith(".")]
+    schema = T._parse_datatype_string(WALKED)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                source, top = filesystem(r["root"])
+                _, start = filesystem(r["start"])
+                rows = [{"root": r["root"], **x} for x in walk(source, top, start)]
+                yield pa.RecordBatch.from_pylist([{"length": None, "modified": None, "below": None, "warning": None, **x} for x in rows], schema=arrow)
+
+    files = spark.createDataFrame(first, "root string, start string").repartition(max(1, min(len(first), 1000))).mapInArrow(run, schema)
+    if not refused:
+        return files
+    return files.unionByName(spark.createDataFrame([(w.partition(": ")[0], w.partition(": ")[0], None, None, None, w.partition(": ")[2]) for w in refused], schema))
+
+
+def walk(source: fs.FileSystem, top: str, start: str):
+    """What stands at start and below it, folders last in, first out."""
+    local = isinstance(source, fs.LocalFileSystem)
+    inside = lambda p: not local or os.path.realpath(p) == os.path.realpath(top) or os.path.realpath(p).startswith(os.path.realpath(top).rstrip("/") + "/")
+    stack = [source.get_file_info(start)]
+    while stack:
+        info = stack.pop()
+        if not inside(info.path):
+            continue
+        if info.type == fs.FileType.File:
+            yield {"path": info.path, "below": info.path[len(top.rstrip("/")) + 1 :], "length": info.size, "modified": info.mtime}
+        elif info.type == fs.FileType.Directory:
+            try:
+                found = source.get_file_info(fs.FileSelector(info.path))
+            except OSError as e:
+                yield {"path": info.path, "warning": str(e).partition(".")[0]}
+                continue
+            stack += sorted((x for x in found if not x.base_name.startswith(".")), key=lambda x: x.path, reverse=True)
+
+
 def name_title(path: str) -> str:
     name = re.split(r"[/\\]", path)[-1].rstrip().rstrip(".").rstrip()
     return (name.rpartition(".")[0] if "." in name else name).strip() or "Untitled"

@@ -141,3 +141,31 @@ def test_roots_that_cannot_be_listed(spark, tmp_path):
     assert kept == [str(tmp_path)] and len(warnings) == 1 and "none" in warnings[0]
     with pytest.raises(FileNotFoundError):
         books.existing_roots(spark, [str(tmp_path / "none")])
+
+
+def test_a_folder_that_cannot_be_listed_is_a_warning(spark, tmp_path):
+    from pyarrow import fs
+
+    root = tmp_path / "books"
+    for name in ("a.epub", "deep/er/b.pdf", ".hidden/c.epub", "deep/.d.epub", "shut/e.epub"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * 3)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "f.epub").write_bytes(b"x")
+    (root / "deep" / "link").symlink_to(tmp_path / "out")
+    rows = books.walked(spark, [str(root), str(tmp_path / "none")]).collect()
+    assert {(r.below, r.length) for r in rows if r.warning is None} == {("a.epub", 3), ("deep/er/b.pdf", 3), ("shut/e.epub", 3)}
+    assert [r.path for r in rows if r.warning] == [str(tmp_path / "none")]
+    assert {r.below for r in books.book_files(books.walked(spark, [str(root)])).collect()} == {"a.epub", "deep/er/b.pdf", "shut/e.epub"}
+
+    class Shut:
+        def __init__(self):
+            self.own = fs.LocalFileSystem()
+
+        def get_file_info(self, what):
+            if isinstance(what, fs.FileSelector) and what.base_dir.endswith("shut"):
+                raise PermissionError("Cannot list. Permission denied")
+            return self.own.get_file_info(what)
+
+    got = list(books.walk(Shut(), str(root), str(root)))
+    assert [x["warning"] for x in got if "warning" in x] == ["Cannot list"] and "deep/er/b.pdf" in {x.get("below") for x in got}
