@@ -51,6 +51,7 @@ TREES, DEPTH = 24, 7  # trees, and values that a tree's key has
 AGREE = 0.79
 BLOCK, BLOCK_BYTES = 128, 1 << 20  # members of a group in a block, and bytes of their sets, both on average
 BUCKET = 4096  # rows with a common prefix that are compared at once; more are taken in sorted runs of so many, and pairs of runs
+HUBS = 16  # hubs that a large set is dealt over
 PROBES, PROBE_BYTES = 256, 100_000  # documents that the recall is measured on, and the longest text among them
 MOST_SENT = 2_000_000  # ids that are broadcast at most
 
@@ -129,10 +130,10 @@ class Probes:
 
 
 def probes(docs: DataFrame, most: int = PROBES) -> Probes:
-    """The sets of at most so many documents of (id, text), those first by a hash of their ids, none longer than PROBE_BYTES."""
-    able = docs.where(F.octet_length("text").between(1, PROBE_BYTES)).select("text", F.xxhash64("id").alias("h"))
-    first = [r.h for r in able.select("h").distinct().orderBy("h").limit(most).collect()]
-    some = able.where(F.col("h") <= (first[-1] if first else 0)).dropDuplicates(["h"]).collect()  # a text of each id
+    """The sets of at most so many documents of (id, text), of those that come first by a hash of their ids the ones up to PROBE_BYTES."""
+    hashed = docs.select("text", F.xxhash64("id").alias("h"))
+    first = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(most).collect()]  # reads no text
+    some = hashed.where(F.col("h").isin(first) & F.octet_length("text").between(1, PROBE_BYTES)).dropDuplicates(["h"]).collect()  # a text of each id
     raw = [r.text.encode() for r in some]
     sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     return Probes([s for s in sets if len(s)])
@@ -193,7 +194,7 @@ def _unite(keys: np.ndarray, sketch: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _sets(label: np.ndarray, ids: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """(id, hub) for the members of each set: its smallest id is the hub. So a hub has TREES * BUCKET nodes at most, whatever the size of a group."""
+    """(id, hub) for the members of each set: its smallest id is the hub. Large sets are dealt over HUBS hubs, each of which the smallest id shares."""
     order = np.argsort(label, kind="stable")
     cuts = np.flatnonzero(np.diff(label[order])) + 1
     for rows in np.split(order, cuts):
@@ -201,7 +202,11 @@ def _sets(label: np.ndarray, ids: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
             own = {ids[i] for i in rows.tolist()}
             if len(own) > 1:
                 hub = min(own)
-                yield from ((x, hub) for x in own)
+                if len(own) <= 4 * HUBS:
+                    yield from ((x, hub) for x in own)
+                else:
+                    yield from ((x, hub + bytes([x[-1] % HUBS])) for x in own)
+                    yield from ((hub, hub + bytes([i])) for i in range(HUBS))
 
 
 def _bridges(a: np.ndarray, b: np.ndarray, own_a: list[bytes], own_b: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -314,9 +319,9 @@ def meet(rows: DataFrame, depth: int, width: int) -> DataFrame:
 
     met = materialize(rows.select("key", "sketch", "node").mapInArrow(trimmed(run), "node binary, hub binary, prefix binary, run int, sketch binary, own binary"), "met")
     edges, parts = met.where("prefix IS NULL").select("node", "hub"), met.where("prefix IS NOT NULL").drop("hub")
-    runs = materialize(parts.groupBy("prefix").agg(F.max("run").alias("last")), "runs")
-    if runs.isEmpty():
+    if parts.isEmpty():
         return edges
+    runs = materialize(parts.groupBy("prefix").agg(F.max("run").alias("last")), "runs")
     pairs = parts.join(sent(runs), "prefix").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).where("other <> run")
     pairs = pairs.select("prefix", F.least("run", "other").alias("lo"), F.greatest("run", "other").alias("hi"), "run", "node", "sketch", "own")
     return edges.unionByName(_between(pairs.repartition("prefix", "lo", "hi").sortWithinPartitions("prefix", "lo", "hi")))
@@ -448,13 +453,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
     copies = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "keys", "sketch", "n_grams")).alias("x"), F.count("*").alias("n"))
     reps = materialize(copies.select(F.concat(_id_bytes(F.col("x.id")), "fp").alias("node"), "fp", F.col("x.id").alias("rep"), "n", "x.keys", "x.sketch", "x.n_grams"), "representatives")
+    wide, signed = signed, materialize(signed.select("id", "fp", "alike"), "signed")
+    discard(wide)
     groups = forest(reps, signed, against, threshold, recall)
 
     found = groups.withColumnRenamed("label", "grp").join(reps.select("node", "fp", "rep", "n", "n_grams"), "node")
-    found = materialize(found, "found")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_grams") * 8 / BLOCK_BYTES)).cast("int")
     members = materialize(found.join(found.groupBy("grp").agg(blocks.alias("blocks")), "grp").drop("n_grams"), "members")
-    discard(found)
 
     # The texts of the members once more, for their sets.
     again = docs.withColumn("rep", F.coalesce("id", F.lit((1 << 63) - 1))).join(sent(members), "rep").select("text", F.col("fp").alias("want"), "node", "n", "grp", "blocks")
