@@ -23,7 +23,7 @@ task, which compares the sets themselves and returns a sum for each member and t
 different texts is n * n by nature of the join (a count of links for each), but spread over bounded tasks.
 
 Defined results: a document without words (null, empty, only white space) is linked to none and is its own class; an empty
-table gives no rows. Rows with the same id and text count as copies. A null id represents a class only if no other id does. Very long
+table gives no rows. Rows with the same id and text count as copies. Ids of any type that sorts do, in its own order. A null id represents a class only if no other id does. Very long
 texts are compared whole: a set of n words takes 8 * n bytes, the most that a task holds of one document. Only key and text are read, so
 that other columns may have any names. Sets are compared by 64-bit hashes of shingles.
 """
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +53,7 @@ BLOCK, BLOCK_BYTES = 128, 1 << 20  # members of a group in a block, and bytes of
 BUCKET = 4096  # rows with a common prefix that are compared at once; more are taken in sorted runs of so many, and pairs of runs
 HUBS = 16  # hubs that a large set is dealt over
 PROBES, PROBE_BYTES = 256, 100_000  # documents that the recall is measured on, and the longest text among them
-MOST_SENT = 2_000_000  # ids that are broadcast at most
+MOST_SENT = 64 << 20  # bytes that are broadcast at most
 
 _random = np.random.Generator(np.random.PCG64(6))
 _N = TREES * DEPTH
@@ -337,7 +337,7 @@ def measured_recall(signed: DataFrame, against: Probes, groups: DataFrame) -> fl
     numbered = signed.sparkSession.createDataFrame([(i, bytearray(x)) for i, x in enumerate(against.fps)], "probe int, probe_fp binary")
     pairs = signed.where("alike IS NOT NULL").select("fp", F.explode("alike").alias("probe")).distinct()
     pairs = pairs.join(F.broadcast(numbered), "probe").where("fp <> probe_fp").select("fp", "probe_fp").distinct()  # PROBES rows
-    of = groups.select(F.substring("node", 9, 16).alias("own"), "label")
+    of = groups.select(F.col("node").alias("own"), "label")
     both = pairs.join(of.select(F.col("own").alias("fp"), F.col("label").alias("a")), "fp", "left").join(of.select(F.col("own").alias("probe_fp"), F.col("label").alias("b")), "probe_fp", "left")
     got = both.agg(F.avg(F.coalesce(F.col("a") == F.col("b"), F.lit(False)).cast("int"))).first()[0]
     return 1.0 if got is None else got
@@ -349,17 +349,12 @@ def forest(reps: DataFrame, signed: DataFrame, against: Probes, threshold: float
     trees = reps.select("node", "keys", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(key_of.alias("key"), "sketch", "node")
     depth = depth_for(threshold, recall)
     while True:
-        groups = components(meet(together(trees, depth), depth, 24))
+        groups = components(meet(together(trees, depth), depth, 16))
         if depth == 1 or not against.fps or measured_recall(signed, against, groups) >= recall:
             return groups
         depth -= 1
 
 
-def _id_bytes(key: Column) -> Column:
-    """Eight bytes that sort like the number, null last."""
-    return F.unhex(F.lpad(F.hex(F.coalesce(key.cast("long"), F.lit((1 << 63) - 1)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
-
-
 def _jaccard_links(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which sets of a and b are similar, by exact intersection."""
     sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
@@ -440,39 +435,39 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def sent(df: DataFrame) -> DataFrame:
-    """A hint to broadcast df if it has at most MOST_SENT rows; df should be materialised."""
-    return F.broadcast(df) if df.count() <= MOST_SENT else df
+    """A hint to broadcast df if its values have at most MOST_SENT bytes; df should be materialised."""
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(8) for f in df.schema.fields), F.lit(8))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= MOST_SENT else df
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """key, class_id (smallest key of the class that links join) and n_links (documents linked to this one, copies included) for each row."""
-    prepare(df.sparkSession)
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    against = probes(docs)
-    signed = materialize(signatures(docs, "text", ["id"], against, threshold), "signatures")
+def representatives(signed: DataFrame, names: list[str]) -> DataFrame:
+    """node (the set's fingerprint), rep (the smallest id, null only if all are), n (copies) and the named columns, for each set of signed rows (id, fp, names)."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *names)).alias("x")
+    copies = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(first, F.count("*").alias("n"))
+    return copies.select(F.col("fp").alias("node"), F.col("x.id").alias("rep"), "n", *(f"x.{c}" for c in names))
 
-    copies = signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "keys", "sketch", "n_grams")).alias("x"), F.count("*").alias("n"))
-    reps = materialize(copies.select(F.concat(_id_bytes(F.col("x.id")), "fp").alias("node"), "fp", F.col("x.id").alias("rep"), "n", "x.keys", "x.sketch", "x.n_grams"), "representatives")
-    wide, signed = signed, materialize(signed.select("id", "fp", "alike"), "signed")
-    discard(wide)
-    groups = forest(reps, signed, against, threshold, recall)
 
-    found = groups.withColumnRenamed("label", "grp").join(reps.select("node", "fp", "rep", "n", "n_grams"), "node")
+def verified(docs: DataFrame, signed: DataFrame, reps: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """id, class_id and n_links of each row of signed (id, fp), from candidate groups (node, label) of reps (node, rep, n, n_grams) whose sets decide.
+
+    docs: (id, text), for the sets of the members.
+    """
+    found = groups.withColumnRenamed("label", "grp").join(reps.select("node", "rep", "n", "n_grams"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_grams") * 8 / BLOCK_BYTES)).cast("int")
     members = materialize(found.join(found.groupBy("grp").agg(blocks.alias("blocks")), "grp").drop("n_grams"), "members")
 
     # The texts of the members once more, for their sets.
-    again = docs.withColumn("rep", F.coalesce("id", F.lit((1 << 63) - 1))).join(sent(members), "rep").select("text", F.col("fp").alias("want"), "node", "n", "grp", "blocks")
+    again = docs.join(sent(members), F.col("id").eqNullSafe(F.col("rep"))).select("text", "node", "n", "grp", "blocks")
 
     def make():
         def compute(batch: pa.RecordBatch):
             sets = list(shingle_sets(*bytes_of(batch, "text")))
-            want = batch.column("want").to_pylist()
+            want = batch.column("node").to_pylist()
             return [pa.array([s.tobytes() if len(s) and fingerprint(s) == w else None for s, w in zip(sets, want, strict=True)], pa.binary())]
 
         return compute
 
-    sets = with_arrow(again, "text", [T.StructField("set", T.BinaryType())], make, ["want", "node", "n", "grp", "blocks"]).where(F.col("set").isNotNull())
+    sets = with_arrow(again, "text", [T.StructField("set", T.BinaryType())], make, ["node", "n", "grp", "blocks"]).where(F.col("set").isNotNull())
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "set")
@@ -480,14 +475,27 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
     linked = checked.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(checked.select("node", "hub"))
-    known = reps.select("node", "fp", "n").join(linked, "node", "left").join(labels, "node", "left")
-    first = F.conv(F.hex(F.substring(F.coalesce("label", "node"), 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
-    known = known.select("fp", F.nullif(first.cast("long"), F.lit((1 << 63) - 1)).alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    known = materialize(known, "classes")
-    discard(checked, members, reps)
-    return signed.select("id", "fp").join(known, "fp", "left").select(
-        F.col("id").alias(key), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    firsts = labels.join(reps.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))  # of each class with links, in the keys' own order
+    known = reps.select("node", "rep", "n").join(linked, "node", "left").join(labels.join(firsts, "label"), "node", "left")
+    own = F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("class_id"))
+    known = materialize(known.select(F.col("node").alias("fp"), own.alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    discard(checked, members)
+    return signed.join(known, "fp", "left").select("id", F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """key, class_id (smallest key of the class that links join) and n_links (documents linked to this one, copies included) for each row."""
+    prepare(df.sparkSession)
+    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    against = probes(docs)
+    signed = materialize(signatures(docs, "text", ["id"], against, threshold), "signatures")
+    reps = materialize(representatives(signed, ["keys", "sketch", "n_grams"]), "representatives")
+    wide, signed = signed, materialize(signed.select("id", "fp", "alike"), "signed")
+    discard(wide)
+    groups = forest(reps, signed, against, threshold, recall)
+    out = verified(docs, signed.select("id", "fp"), reps, groups, threshold)
+    discard(reps)
+    return out.withColumnRenamed("id", key)
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
