@@ -86,14 +86,18 @@ GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|cover
 GAP = r"\s+(?:(?:\*|#+|//+|;+)\s+)?"
 QUOTE = "[\"'`\u2018\u2019\u201c\u201d]"
 _MARK = re.compile(r" (?:\*|#+|//+|;+) ")
-#: A machine-readable tag, and in an expression what stands before the identifier in question.
-TAG = r"spdx-license-identifier:\s*\(*(?:[a-z0-9.+()\x20\t-]{1,200}[\x20\t](?:and|or|with)[\x20\t]+\(*)?"
+#: A machine-readable tag with its expression, as far as that may go, and in an expression the identifiers: at its start or behind an operator.
+TAGGED = re.compile(r"(?<![0-9a-z])spdx-license-identifier:\s*+([a-z0-9.+()\x20\t-]*+)")
+OPERAND = re.compile(r"(?:^|(?<=[\x20\t])(?:and|or|with)[\x20\t]+)\(*([a-z0-9][a-z0-9.+-]*+)")
 CHAR = rb"[0-9a-z\x80-\xff]"  # of a word, in lower case UTF-8
 
 
 @lru_cache(1)
 def rules() -> list[tuple[str, str, int, re.Pattern]]:
-    """(label, keywords, priority, expression), highest priority first. A blank of an expression stands for any white space."""
+    """(label, keywords, priority, expression), highest priority first. A blank of an expression stands for any white space.
+
+    Those of identifiers match one operand of a tagged expression, which identified() hands to them.
+    """
 
     def version(v: str) -> str:
         return r",?[\s-]+(?:version\s+|v\.?\s*)?" + re.escape(v).replace(r"\.0", r"(?:\.0)?") + r"(?![.]?[0-9])"
@@ -103,9 +107,9 @@ def rules() -> list[tuple[str, str, int, re.Pattern]]:
         for v in versions.split():
             full = f"{label}-{v}"
             out += [(full, keyword, STATEMENT, GRANT + f"(?:{name})" + version(v)), (full, keyword, VERSIONED, f"(?:{name})" + version(v))]
-            out.append((full, "spdx", SPDX, TAG + rf"({re.escape(full)}(?:-only|-or-later|\+)?)(?![0-9.])"))
+            out.append((full, "spdx", SPDX, rf"{re.escape(full)}(?:-only|-or-later|\+)?(?![0-9.])"))
         out += [(label, keyword, STATEMENT, GRANT + f"(?:{name})"), (label, keyword, NAMED, f"(?:{name})")]
-        out.append((label, "spdx", SPDX, TAG + rf"({re.escape(label)})(?![-0-9.])"))
+        out.append((label, "spdx", SPDX, rf"{re.escape(label)}(?![-0-9.])"))
     for kind in CC:
         short = r"cc[\s-]+by" + kind.replace("-", r"[\s-]+")
         words = r"creative commons\s+" + r"[\s-]+".join(CC_NAMES[x] for x in dict.fromkeys(["", *(f"-{k}" for k in kind.split("-") if k)]))
@@ -116,7 +120,7 @@ def rules() -> list[tuple[str, str, int, re.Pattern]]:
         out += [(f"cc-by{kind}", k, NAMED, e + r"(?![\s-]+(?:sa|nc|nd)\b)") for k, e in (("cc", short), ("creative commons", words))]
     out += [(label, keyword, STATEMENT, text) for label, keyword, text in NOTICES]
     out += [(label, keyword, QUOTED, text) for label, keyword, text in TEXTS]
-    out += [(label, "spdx", SPDX, TAG + f"({re.escape(label)})" + r"(?![-.]?[0-9a-z])") for label in (*IDENTIFIERS, *EXCEPTIONS)]
+    out += [(label, "spdx", SPDX, re.escape(label) + r"(?![-.]?[0-9a-z])") for label in (*IDENTIFIERS, *EXCEPTIONS)]
 
     def compiled(expression: str) -> re.Pattern:
         before = "(?<![0-9a-z])" if expression[0] != "©" else ""
@@ -155,12 +159,39 @@ def suppressed(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, i
     return kept
 
 
+@lru_cache(1)
+def _identifiers() -> tuple[dict[str, list[int]], int]:
+    """Numbers of the rules of identifiers by label, and the longest label."""
+    by: dict[str, list[int]] = {}
+    for i, (label, _, priority, _) in enumerate(rules()):
+        if priority == SPDX:
+            by.setdefault(label, []).append(i)
+    return by, max(map(len, by))
+
+
+def identified(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, rule) of the identifiers in tagged expressions, each of which is read once, operand by operand, however long it is."""
+    by, longest = _identifiers()
+    out = []
+    for tag in TAGGED.finditer(text):
+        for m in OPERAND.finditer(tag[1]):
+            start = tag.start(1) + m.start(1)
+            for n in range(1, min(len(m[1]), longest) + 1):
+                for i in by.get(m[1][:n], ()):
+                    hit = rules()[i][3].match(text, start)
+                    if hit:
+                        out.append((*hit.span(), i))
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of the detections that stay, in code points of the lower-case text."""
     found = []
     for i in gated(text):
         label, _, priority, expression = rules()[i]
-        found += [(*m.span(m.lastindex or 0), label, priority, i) for m in expression.finditer(text)]
+        if priority != SPDX:
+            found += [(*m.span(m.lastindex or 0), label, priority, i) for m in expression.finditer(text)]
+    found += [(start, end, rules()[i][0], SPDX, i) for start, end, i in identified(text)]
     return [k[:4] for k in suppressed(found)]
 
 

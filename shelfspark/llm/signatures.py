@@ -98,7 +98,7 @@ TEXTS = [
     ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice"),
     ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
     ("bsd", "disclaimed", r"the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
-    ("bsd-3-clause", "endorse", r"neither the names? of [a-z0-9\s,.&<>-]{0,80}nor the names of (?:its|their|any) contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", "endorse", r"neither the names? of (?:(?!nor the names? of|neither the names? of)[^:;{}])*+nor the names of (?:its|their|any) contributors may be used to endorse or promote products"),
     ("bsd-3-clause", "endorse", r"the name of the author may not be used to endorse or promote products derived from this software"),
     ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("bsd-4-clause-uc", "california", r"this product includes software developed by the university of california, berkeley and its contributors"),
@@ -111,7 +111,7 @@ TEXTS = [
     ("libpng", "png", r"the png reference library is supplied ~as is~"),
     ("curl", "fee", r"permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
     ("ijg", "jpeg", r"this software is based in part on the work of the independent jpeg group"),
-    ("ftl", "freetype", r"portions of this software are copyright [a-z0-9\s(),.-]{0,40}the freetype project"),
+    ("ftl", "freetype", r"portions of this software are copyright (?:(?!the freetype project|portions of this)[^:;{}])*+the freetype project"),
     ("openssl", "openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
     ("ssleay", "eric", r"this product includes cryptographic software written by eric young"),
     ("php", "php", r"products derived from this software may not be called ~php~"),
@@ -205,10 +205,10 @@ TEXTS = [
     ("copyright", "copyrighted", r"this (?:work|material|document|publication) is copyrighted"),
     ("proprietary", "proprietary", r"(?:confidential and proprietary|proprietary and confidential)"),
     ("proprietary", "trade", r"contains (?:confidential information and )?trade secrets of"),
-    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)[a-z,\s]{0,60} (?:is )?(?:strictly )?prohibited"),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)(?:(?!prohibited|unauthorized)[a-z,\s])*+prohibited"),
     ("proprietary", "license", r"use of this software is (?:governed by|subject to) (?:the terms of )?(?:a|the) (?:commercial )?license agreement"),
     ("no-reuse", "reproduced", r"no part of this (?:publication|work|book) may be reproduced"),
-    ("no-reuse", "reproduced", r"may not be reproduced, (?:stored|distributed|transmitted)[a-z,\s]{0,80} without (?:the )?(?:prior )?written (?:permission|consent)"),
+    ("no-reuse", "reproduced", r"may not be reproduced, (?:stored|distributed|transmitted)(?:(?!without (?:the )?(?:prior )?written|may not be reproduced)[a-z,\s])*+without (?:the )?(?:prior )?written (?:permission|consent)"),
     ("no-reuse", "personal", r"for personal(?:,| and) non-?commercial use only"),
     ("no-training", "used", r"may not be used (?:to train|for (?:the )?training(?: of)?) (?:any )?(?:machine learning|artificial intelligence|ai|large language)"),
     ("no-training", "mining|scraping", r"(?:text and data mining|data mining|scraping) (?:is|are) (?:strictly |expressly )?(?:prohibited|forbidden|not permitted|reserved)"),

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -97,3 +98,32 @@ def test_clashing_columns_and_empty_tables(spark):
     out = licenses.find(df)
     assert sorted(out.columns) == sorted({*df.columns, "n_words", "n_base", "first_word", "last_word", "base_labels", "spans"}) and out.first().labels == ["mit"]
     assert licenses.find(df.where("false")).count() == 0
+
+
+def labels(text):
+    return {label for _, _, label, _ in licenses.detect(text.lower())}
+
+
+def test_expressions_of_any_length():
+    many = [*signatures.IDENTIFIERS] * (500 // len(signatures.IDENTIFIERS) + 1)
+    text = "SPDX-License-Identifier: " + " OR ".join(f"({x}" if i % 3 == 0 else x for i, x in enumerate(many)) + " AND MPL-2.0"
+    assert labels(text) >= {"mpl-2.0"} and len(labels(text)) > 0.9 * len(set(signatures.IDENTIFIERS))
+    spans = [(s, e) for s, e, label, _ in licenses.detect(text.lower()) if label == "mpl-2.0"]
+    assert spans[-1] == (len(text) - 7, len(text))
+    assert labels("SPDX-License-Identifier: MIT\nOR Apache-2.0") == {"mit"}  # an expression ends with its line
+    assert labels("spdx-license-identifier: mit-or-gpl-2.0") <= {"mit"}
+
+
+@pytest.mark.parametrize("n", [10, 200, 3000])
+def test_holders_of_any_length(n):
+    name = "Example Holder of Rights, " * (n // 26 + 1)
+    assert labels(f"Neither the name of {name} nor the names of its contributors may be used to endorse or promote products") == {"bsd-3-clause"}
+    assert "ftl" in labels(f"Portions of this software are copyright {name} The FreeType Project")
+    assert "proprietary" in labels(f"Unauthorized copying {'of this file, ' * n} is strictly prohibited")
+
+
+@pytest.mark.parametrize("text", ["SPDX-License-Identifier: " * 30_000, "spdx-license-identifier: " + "mit or " * 100_000, "spdx-license-identifier: " + "a" * 700_000, "neither the name of " * 30_000 + "endorse", "unauthorized copying " * 30_000 + " " * 100_000, "may not be reproduced, stored " * 20_000 + "without " * 20_000])
+def test_linear(text):
+    began = time.process_time()
+    licenses.scan(text.encode())
+    assert time.process_time() - began < 10
