@@ -4,8 +4,10 @@ A page is read as a sequence of words, which score positive, and tags, which sco
 contiguous run with the largest sum, and the blocks of text that this run reaches are the main text, whole where it
 ends inside one. The weights are log-odds of standing inside or outside the main element, counted on labelled pages
 (those with a single article or main element), in units of a word's. What the page itself marks counts besides: no run leaves
-or enters an article or main element, whose inner tags cost a fiftieth; and elements that are by name, role or class a menu, header, footer, sidebar,
-notice, advert, form or comment neither score nor give text, but cost a little where a run passes them.
+or enters an article or main element, whose inner tags cost a fiftieth (an article within an article is part of it; one within a main element has edges that enough words
+outweigh); elements that are by tag, role or a whole class or id a menu, header, footer, sidebar,
+notice, advert, form or comment neither score nor give text, but cost a little where a run passes them. A class that only holds such a word
+(related-work) costs as much and gives its text. If all of a page is named so, names tell nothing.
 
 Defined results: a null, empty or text-free page gives an empty text; an empty table gives no rows. Unclosed and truncated markup is read as
 far as it goes. Without labelled pages, fixed weights are taken. Very long and deeply nested pages are read whole, in linear time. Rows
@@ -40,15 +42,23 @@ BLOCK = {
 ASIDE = {"nav", "footer", "aside", "form", "menu", "select", "button", "dialog", "head", "fieldset"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "html", "article", "main", "section", "div", "aside", "nav", "footer", "header", "form", "blockquote"}
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|discussion|disqus|footer|gdpr|masthead|menus?|modal|nav|navbar|navigation"
-    r"|newsletter|notices?|notification|pager|pagination|popup|promo\w*|recommend\w*|related|repl(?:y|ies)|respond|shar(?:e|ing)|sidebar|side|site-header|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])"
-)
+#: Words that as a whole class or id name what stands beside the text; the first also together with words of layout.
+ALWAYS = {
+    "adsense", "advert", "adverts", "advertisement", "advertising", "banner", "banners", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "gdpr",
+    "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "pagination", "popup", "promo", "promotion", "share", "sharing", "sidebar", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+}
+ALONE = {"ad", "ads", "adv", "disclaimer", "discussion", "notice", "notices", "notification", "pager", "recommend", "recommended", "recommendations", "related", "replies", "reply", "respond", "side", "skip", "social"}
+LAYOUT = {
+    "area", "bar", "block", "bottom", "box", "buttons", "container", "content", "form", "global", "header", "icons", "inner", "item", "items", "left", "link", "links", "list", "local", "main", "page", "panel", "posts",
+    "primary", "right", "secondary", "section", "signup", "site", "slot", "top", "widget", "wrap", "wrapper",
+}
 ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu")
 INLINE = dict.fromkeys(("b", "i", "em", "strong", "span", "h1", "h2", "h3", "h4", "br", "p", "sup", "sub", "code", "u", "small"), -0.1)
-DEFAULT = {"word": 1.0, "link": -0.5, "a": -2.0, "li": -0.5, "ul": -1.5, "ol": -1.5, "div": -2.0, "": -1.0} | INLINE
-EDGE, PASSED, VOUCHED = -1e9, -1.0, 0.02  # an article's edge; an edge of what stands beside the text; the share that tags in an article cost
+#: About what labelled pages teach.
+DEFAULT = {"word": 1.0, "link": -0.5, "a": -12.0, "li": -6.0, "ul": -10.0, "ol": -10.0, "div": -10.0, "body": -10.0, "html": -10.0, "": -5.0} | INLINE
+EDGE, INNER, PASSED, VOUCHED = -1e9, -15.0, -1.0, 0.02  # an article's edge; that of an article in main; an edge of what stands beside the text; the share that tags in an article cost
 MAIN = ("article", "main")
+ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|[^<]+|<", re.S)
 SPECIAL = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -57,36 +67,44 @@ HIDDEN = re.compile(r"(?<![^\s/])hidden(?![^\s/])")
 SPACE = re.compile(r"\s+")
 
 
-def beside(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element stands beside the main text: by its name, its role or the words of its class and id."""
+def standing(tag: str, attributes: str, inside: bool) -> str:
+    """How an element stands to the main text: "beside" it, by its name, its role or a class or id that says so as a whole; "passed", where only a part of one does; or ""."""
     if tag in ASIDE or tag == "header" and not inside:
-        return True
-    if "=" in attributes and tag not in ("body", "html", "article", "main"):
-        lowered = attributes.lower()
-        for m in SPECIAL.finditer(lowered):
-            value = m[1] or m[2] or m[3] or ""
-            if m[0].startswith("role") and ROLES.fullmatch(value) or NAMED.search(value):
-                return True
-            if not inside and re.search(r"(?:^|[\s_-])header(?:$|[\s_-])", value):
-                return True
-    return "hidden" in attributes.lower() and HIDDEN.search(VALUE.sub("", attributes.lower())) is not None
-
-
-def parse(page: str) -> tuple[list[tuple[str, int]], list[dict]]:
-    """The scored sequence and the blocks of text in page order.
+        return "beside"
+    found = ""
+    if "=" in attributes and tag not in ("body", "html", *MAIN):
+        for m in SPECIAL.finditer(attributes):
+            value = (m[1] or m[2] or m[3] or "").lower()
+            if m[0][:4].lower() == "role":
+                if ROLES.fullmatch(value):
+                    return "beside"
+                continue
+            for token in value.split():
+                words = [w for w in re.split(r"[_-]+", token) if w]
+                told = [w for w in words if w in ALWAYS]
+                if token in ALONE or told and all(w in ALWAYS or w in LAYOUT for w in words) or not inside and words and words[-1] == "header" and all(w in LAYOUT for w in words):
+                    return "beside"
+                if told or any(w in ALONE for w in words):
+                    found = "passed"
+    return "beside" if "hidden" in attributes.lower() and HIDDEN.search(VALUE.sub("", attributes.lower())) is not None else found
+
+
+def parse(page: str, names: bool = True) -> tuple[list[tuple[str, int]], list[dict]]:
+    """The scored sequence and the blocks of text in page order; without names, classes and ids tell nothing.
 
     An item of the sequence: word or, in links outside articles, link, and how many; or the name of a tag, for both its ends. A tilde before a tag: inside an
-    article or main element. "|": an edge of such an element, and "/beside" of one beside the text, whose items begin with "!".
+    article or main element. "|": an edge of such an element ("|in": of an article in main; one within an article has none), and "/beside" of one beside the text, whose
+    items begin with "!", or of one whose class or id only holds a word for such elements.
     A block: text, first and last place in the sequence, the number of the outermost article or main element around it (or none), and whether
     it stands beside the main text.
     """
     items: list[tuple[str, int]] = []
     blocks: list[dict] = []
-    stack: list[tuple[str, bool]] = []  # name, beside
+    stack: list[tuple[str, str]] = []  # name, standing
     opened: Counter = Counter()  # names in the stack
     pieces: list[str] = []
     first, tops, links, asides = 0, 0, 0, 0
-    pos, lowered = 0, ""
+    pos = 0
 
     def inside() -> int:
         return opened["article"] + opened["main"]
@@ -100,14 +118,19 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[dict]]:
 
     def leave() -> str:
         nonlocal links, asides
-        name, aside = stack.pop()
+        name, how = stack.pop()
         opened[name] -= 1
         links -= name == "a"
-        asides -= aside
-        if aside and not asides:
+        asides -= how == "beside"
+        if how and not asides:
             items.append(("~/beside" if inside() else "/beside", 1))
         return name
 
+    def edge(tag: str) -> None:
+        """Where an article or main element begins or has ended, unless it stands in an article."""
+        if not opened["article"] and (tag == "article" or not opened["main"]):
+            items.append(("|in" if opened["main"] else "|", 1))
+
     while pos < len(page):
         m = TOKEN.match(page, pos)
         pos = m.end()
@@ -125,9 +148,8 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[dict]]:
         opening = not m[1]
         if tag in RAW:
             if opening and not m[3].endswith("/"):
-                lowered = lowered or page.lower()
-                end = lowered.find("</" + tag, pos)
-                pos = len(page) if end < 0 else end
+                end = ENDS[tag].search(page, pos)
+                pos = len(page) if end is None else end.start()
             continue
         if tag in BLOCK:
             close()
@@ -135,10 +157,7 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[dict]]:
             pieces.append(" ") if pieces else None
             continue
         known = opened[tag] > 0
-        if tag in MAIN:
-            if opening or known:
-                items.append(("|", 1))
-        else:
+        if tag not in MAIN:
             items.append((("!" if asides else "~" if inside() else "") + tag, 1))
         if tag in VOID:
             continue
@@ -149,22 +168,28 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[dict]]:
                     name = stack[i][0]
                     if name == "p" or name in drop:
                         while len(stack) > i:
-                            leave()
+                            leave()  # no article or main element: the scope ends there
                         if name != "p":
                             break
                     elif name in SCOPE:
                         break
-            aside = beside(tag, m[3], inside() > 0)
+            how = standing(tag, m[3] if names else "", inside() > 0)
             tops += tag in MAIN and not inside()
-            if aside and not asides:
+            if how and not asides:
                 items.append(("~/beside" if inside() else "/beside", 1))
-            stack.append((tag, aside))
+            if tag in MAIN:
+                edge(tag)
+            stack.append((tag, how))
             opened[tag] += 1
             links += tag == "a"
-            asides += aside
+            asides += how == "beside"
         elif known:
-            while leave() != tag:
-                pass
+            while True:
+                left = leave()
+                if left in MAIN:
+                    edge(left)
+                if left == tag:
+                    break
     close()
     return items, blocks
 
@@ -172,7 +197,7 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[dict]]:
 def best_run(items: list[tuple[str, int]], weights: dict[str, float]) -> tuple[int, int] | None:
     """First and last place of the run with the largest sum; the earliest among equals."""
     best, found, total, start = 0.0, None, 0.0, 0
-    costs = {"|": EDGE, "/beside": PASSED, "~/beside": VOUCHED * PASSED}
+    costs = {"|": EDGE, "|in": INNER, "/beside": PASSED, "~/beside": VOUCHED * PASSED}
     for i, (name, n) in enumerate(items):
         cost = costs.get(name)
         if cost is None:
@@ -190,6 +215,9 @@ def best_run(items: list[tuple[str, int]], weights: dict[str, float]) -> tuple[i
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     items, blocks = parse(page or "")
     run = best_run(items, weights)
+    if run is None:  # all of it is named as something beside a text
+        items, blocks = parse(page or "", names=False)
+        run = best_run(items, weights)
     if run is None:
         return ""
     return "\n".join(b["text"] for b in blocks if b["last"] >= run[0] and b["first"] <= run[1] and not b["beside"])
@@ -201,10 +229,10 @@ def label_counts(page: str | None) -> Counter:
     items, blocks = parse(page or "")
     if len({b["top"] for b in blocks} - {None}) != 1:
         return out
-    edges = [i for i, (name, _) in enumerate(items) if name == "|"]
+    edges = [i for i, (name, _) in enumerate(items) if name[0] == "|"]
     first, last = edges[0], edges[-1] if len(edges) > 1 else len(items)
     for i, (name, n) in enumerate(items):
-        if name != "|" and not name.endswith("/beside"):
+        if name[0] != "|" and not name.endswith("/beside"):
             out[name.lstrip("!~"), first <= i <= last and name[0] != "!"] += n
     return out
 

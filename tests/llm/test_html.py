@@ -82,3 +82,56 @@ def test_odd_rows(spark):
     got = html_text.extract(df, html_text.DEFAULT).collect()
     assert sorted((r.page_id, len(r.text)) for r in got) == [(1, 0), (2, 0), (3, len(LONG) - 1), (3, len(LONG) - 1), (4, 7)]
     assert html_text.extract(df.where("false"), html_text.DEFAULT).count() == 0
+
+
+def test_default_weights_find_plain_articles(pages):
+    whole = [p for p in (r.html for r in pages.select("html").collect()) if "</article>" in p]
+    assert sum(html_text.main_text(bare(p), html_text.DEFAULT) == article(p) for p in whole) >= 0.95 * len(whole)
+
+
+def test_scaled_weights_change_what_is_found(pages, weights):
+    whole = [bare(p) for p in (r.html for r in pages.select("html").limit(60).collect()) if "</article>" in p]
+    got = [html_text.main_text(p, weights) for p in whole]
+    for share, least in ((0.1, 20), (30, 5)):
+        other = [html_text.main_text(p, {k: share * v if v < 0 else v for k, v in weights.items()}) for p in whole]
+        assert sum(a != b for a, b in zip(got, other, strict=True)) >= least
+
+
+def phrases(n, word="phrase"):
+    return [f"{word} number {i} of this text" for i in range(n)]
+
+
+@pytest.mark.parametrize("named", ['id="related-work"', 'class="social-policy"', 'class="ad-hoc"', 'id="side-effects"', 'class="skip-list"', 'class="notice-board"', 'id="menu-recipes"', 'class="text commentary"', 'class="share-price"', 'id="article-header"'])
+def test_class_words_take_no_text_away(named):
+    page = f"<article><h1>Title</h1><p>{LONG}</p><section {named}>{''.join(f'<p>{x}.</p>' for x in phrases(40))}</section></article>"
+    assert html_text.main_text(page, html_text.DEFAULT) == "\n".join(["Title", LONG.strip(), *(f"{x}." for x in phrases(40))])
+
+
+@pytest.mark.parametrize("named", ['class="ad"', 'class="x notice"', 'id="comments"', 'class="comment-list"', 'class="site-footer"', 'class="cookie-banner"', 'class="share-buttons"', 'role="navigation"', 'ID="Sidebar"', "hidden"])
+def test_what_a_whole_class_names_stands_beside(named):
+    page = f"<article><p>{LONG}</p><div {named}><p>Not of the text.</p></div><p>End.</p></article>"
+    assert html_text.main_text(page, html_text.DEFAULT) == f"{LONG.strip()}\nEnd."
+
+
+def test_articles_within_articles():
+    outer, inner = phrases(60, "outer"), phrases(10, "inner")
+    paragraphs = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    for quote in ("<blockquote><article>{}</article></blockquote>", "<section><article>{}</article></section>", "<article><article>{}</article></article>"):
+        page = f"<div><a href='/'>Home</a></div><article>{paragraphs(outer[:30])}{quote.format(paragraphs(inner))}{paragraphs(outer[30:])}</article><div><a href='/x'>Next</a></div>"
+        assert html_text.main_text(page, html_text.DEFAULT) == "\n".join([*outer[:30], *inner, *outer[30:]])
+    page = f"<main><p>One short teaser.</p><article>{paragraphs(outer)}</article></main>"
+    assert html_text.main_text(page, html_text.DEFAULT) == "\n".join(outer)
+    page = f"<main>{paragraphs(outer[:30])}<article>{paragraphs(inner)}</article>{paragraphs(outer[30:])}</main>"
+    assert html_text.main_text(page, html_text.DEFAULT) == "\n".join([*outer[:30], *inner, *outer[30:]])
+
+
+@pytest.mark.parametrize("letter", ["I", "\u0130", "\u1e9e", "\ufb03"])
+@pytest.mark.parametrize("raw", ["<script>if (a < b) x();</SCRIPT >", "<STYLE>p{}</style>", "<textarea>x</TextArea>"])
+def test_letters_that_grow_in_lower_case(letter, raw):
+    page = f"<article><p>{letter * 200}</p>{raw}{''.join(f'<p>{x}</p>' for x in phrases(20))}</article>"
+    assert html_text.main_text(page, html_text.DEFAULT) == "\n".join([letter * 200, *phrases(20)])
+
+
+def test_a_page_of_which_all_is_named():
+    page = f'<body><div id="menu"><h2>Soups</h2><p>{LONG}</p></div></body>'
+    assert html_text.main_text(page, html_text.DEFAULT) == f"Soups\n{LONG.strip()}"
