@@ -1,110 +1,52 @@
 """The catalogue kept up to date from a stream of listed copies.
 
-Batches of copies arrive as files. Each is upserted by (place, path) into a versioned table of copies, dealt into buckets by the
-hash of that key: only the buckets that a batch touches are written anew, beside those that are read. A manifest for each
-batch names the folders of all buckets. It is written under another name and then renamed to a name that didn't exist, which is
-atomic; the manifest with the highest number counts. So readers always see a whole version, and a batch that fails at any point, or comes
-again, changes nothing. Places are independent: what one reports does not touch the rows of others.
+Batches of copies arrive as files. Each is upserted by (place, path) into a versioned table of copies in buckets (streaming/buckets.py): only the buckets that
+a batch touches are written anew. A row is taken unless what is held was seen later, so that a late answer changes nothing; copies that are gone
+stay as marks of when they were seen last. Places are independent: what one reports does not touch the rows of others.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.operators import resolve as R
+from shelfspark.streaming import buckets
 
-#: Buckets of a new table, and versions that readers may still hold.
-BUCKETS, KEPT = 64, 3
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    p, fs = _fs(spark, folder)
-    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
-
-
-def manifests(spark: SparkSession, table: str) -> list[int]:
-    """Numbers of the batches that have been named, in order."""
-    return sorted(int(n.removeprefix("CURRENT-")) for n in _names(spark, table) if n.startswith("CURRENT-"))
+manifests = buckets.manifests
+_name = buckets.name
 
 
 def current(spark: SparkSession, table: str) -> tuple[int, dict | None]:
-    """The last batch that is in the table, and its manifest (buckets, folders by bucket, schema); -1 and None before the first."""
-    known = manifests(spark, table)
-    if not known:
-        return -1, None
-    return known[-1], _manifest(spark, table, known[-1])
-
-
-def _manifest(spark: SparkSession, table: str, batch: int) -> dict:
-    return json.loads("\n".join(r.value for r in spark.read.text(f"{table}/CURRENT-{batch:012d}").collect()))  # an entry for each bucket
-
-
-def _name(spark: SparkSession, table: str, batch: int, manifest: dict) -> None:
-    """Makes a version the current one, by a rename to a new name."""
-    new, fs = _fs(spark, f"{table}/_naming-{batch}")
-    out = fs.create(new, True)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
-    if not fs.rename(new, _fs(spark, f"{table}/CURRENT-{batch:012d}")[0]):
-        raise RuntimeError(f"batch {batch} can't be named in {table}")
-
-
-def _forget(spark: SparkSession, table: str) -> None:
-    """Deletes what none of the last versions names."""
-    known = manifests(spark, table)
-    held = {f for n in known[-KEPT:] for f in _manifest(spark, table, n)["folders"].values()}
-    for n in known[:-KEPT]:
-        p, fs = _fs(spark, f"{table}/CURRENT-{n:012d}")
-        fs.delete(p, False)
-    for version in (x for x in _names(spark, table) if x.startswith("v") and int(x[1:]) < known[-1]):
-        used = {f.partition("/")[2] for f in held if f.startswith(f"{version}/")}
-        for name in ([version] if not used else [f"{version}/{x}" for x in _names(spark, f"{table}/{version}") if x not in used]):
-            p, fs = _fs(spark, f"{table}/{name}")
-            fs.delete(p, True)
+    """The last batch that is in the table, and what its manifest says (folders and rows by bucket, schema); -1 and None before the first."""
+    batch, tables = buckets.current(spark, table)
+    return batch, tables.get("copies")
 
 
-def bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("place", "path"), F.lit(buckets)).cast("int")
+def newest(copies: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """One row for each (place, path): the one seen last, of equals the one of copies. With what is held, only rows of copies that are not older."""
+    rows = copies.withColumn("__held", F.lit(False))
+    if held is not None:
+        rows = rows.unionByName(held.withColumn("__held", F.lit(True)))
+    order = Window.partitionBy("place", "path").orderBy(F.col("seen").desc_nulls_last(), "__held", "copy_id")
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1 AND NOT __held").drop("__n", "__held")
 
 
 def upsert(copies: DataFrame, batch: int, table: str) -> None:
-    """Puts one batch into the table; a batch that is in it already is left alone."""
+    """Puts one batch into the table, but for rows that are older than what is held; a batch that is in it already is left alone."""
     spark = copies.sparkSession
     done, known = current(spark, table)
     if batch <= done:
         return
-    known = known or {"buckets": BUCKETS, "folders": {}, "schema": copies.schema.json()}
-    newest = Window.partitionBy("place", "path").orderBy(F.col("seen").desc(), "copy_id")
-    rows = copies.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n").withColumn("__bucket", bucket(known["buckets"]))
-    touched = [str(r[0]) for r in rows.select("__bucket").distinct().collect()]  # the number of buckets at most
-    held = [f"{table}/{known['folders'][b]}" for b in touched if b in known["folders"]]
-    if held:
-        old = spark.read.schema(copies.schema).parquet(*held).withColumn("__bucket", bucket(known["buckets"]))
-        rows = old.join(rows.select("place", "path"), ["place", "path"], "left_anti").select(*rows.columns).unionByName(rows)
-    rows.where(~F.col("gone")).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{table}/v{batch}")
-    written = {n.partition("=")[2]: f"v{batch}/{n}" for n in _names(spark, f"{table}/v{batch}") if n.startswith("__bucket=")}
-    folders = {b: f for b, f in known["folders"].items() if b not in touched} | written
-    _name(spark, table, batch, known | {"folders": folders})
-    _forget(spark, table)
+    held = None if known is None else buckets.lookup(copies.select("place", "path"), table, known).select(*copies.columns)
+    rows = newest(copies, held)
+    buckets.apply(spark, table, batch, {"copies": buckets.Change(["place", "path"], rows.select("place", "path"), rows)}, _name)
 
 
 def copies(spark: SparkSession, table: str) -> DataFrame | None:
-    _, known = current(spark, table)
-    if known is None:
-        return None
-    schema = T.StructType.fromJson(json.loads(known["schema"]))
-    folders = [f"{table}/{f}" for f in known["folders"].values()]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    rows = buckets.read(spark, table, "copies")
+    return None if rows is None else rows.where(~F.col("gone"))
 
 
 def books(spark: SparkSession, table: str) -> DataFrame | None:
