@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text as X
+from shelfspark.operators import resolve as R
+from shelfspark.shipping import ship
 from shelfspark.storage import discard, materialize
 
+#: Rows of one range that a task folds.
+FOLDED = 200_000
+
 
 def target_path(author: Column, title: Column, extension: Column) -> Column:
     """Author/Title.ext in components that a FAT file system takes."""
@@ -53,9 +59,7 @@ def plan(wanted: DataFrame, existing: DataFrame, wireless: bool = False) -> Data
 
     wanted: id, title, identities, target, length, head (a prefix test's value), error (why it can't be read, or null).
     existing: path, identities, length. Rows are taken in order of title and id. One that is neither there nor blocked is sent unless one
-    that is sent before it has one of its identities or its target; so of the rows that are left, each that comes first under all of
-    its keys is sent, and those that share a key with it are not; what is left goes round again. No row waits for another
-    task's, however many have one name.
+    that is sent before it has one of its identities or its target (first_come).
     """
     found = inventory_match(wanted, existing).withColumnRenamed("path", "present_at")
     there = existing if "prefix_of" in existing.columns else existing.withColumn("prefix_of", F.lit(None).cast("string"))
@@ -79,11 +83,16 @@ def plan(wanted: DataFrame, existing: DataFrame, wireless: bool = False) -> Data
     return rows.select("id", rule.alias("rule")).select("id", "rule.status", "rule.detail")
 
 
-def first_come(asked: DataFrame) -> DataFrame:
-    """(id) of the rows that are taken when rows (id, order, key) come in order, and one is taken unless one of its keys is."""
+def first_come(asked: DataFrame, rounds: int = 2, most: int = FOLDED) -> DataFrame:
+    """(id) of the rows that are taken when rows (id, order, key) come in order, and one is taken unless one of its keys is.
+
+    In each of some rounds, all rows that come first under all of their keys are taken, and those that share one with them go; that is all there is to do
+    where many rows have one key. What is left, such as chains, is folded in order: rows that are connected by keys follow each other in ranges of about `most` rows, each range is a
+    task, and only connected rows that go over the end of one wait for it, so that there are as many further rounds as one such component has ranges.
+    """
     left = materialize(asked.select("id", "order", "key"), "asked")
     taken = None
-    while True:
+    for _ in range(rounds):
         firsts = left.groupBy("key").agg(F.min("order").alias("first"))
         won = left.join(firsts, "key").groupBy("id").agg(F.min((F.col("order") == F.col("first")).cast("int")).alias("first")).where("first = 1").select("id")
         won = materialize(won, "taken")
@@ -95,6 +104,55 @@ def first_come(asked: DataFrame) -> DataFrame:
         left = rest
         if left.isEmpty():
             return taken
+    found = _folded(left, most)
+    return found if taken is None else taken.unionByName(found)
+
+
+def _folded(left: DataFrame, most: int) -> DataFrame:
+    """(id) of those that are taken of rows that are still open, component by component."""
+    ship(left.sparkSession)
+    groups = R.components(left.select("id", "key"), "id")
+    rows = left.groupBy("id", "order").agg(F.collect_list("key").alias("keys")).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = materialize(rows, "open")
+    ranges = -(-rows.count() // most)
+    placed = rows.repartitionByRange(ranges, "component", "order").withColumn("range", F.spark_partition_id())
+    rows, unplaced = materialize(placed, "ranges"), rows
+    discard(unplaced)
+    begins = rows.groupBy("component").agg(F.min("range").alias("begins"))
+    rows, plain = materialize(rows.join(begins, "component").withColumn("turn", F.col("range") - F.col("begins")), "turns"), rows
+    discard(plain)
+    out, closed = None, None
+    for turn in range((rows.agg(F.max("turn")).first()[0] or 0) + 1):
+        live = rows.where(F.col("turn") == turn)
+        if closed is not None:
+            gone = live.select("id", F.explode("keys").alias("key")).join(closed, "key", "left_semi").select("id").distinct()
+            live = live.join(gone, "id", "left_anti")
+        won = materialize(_in_order(live), "taken")
+        out = won if out is None else out.unionByName(won)
+        further = rows.where(F.col("turn") > turn).select("component").distinct()
+        keys = rows.where(F.col("turn") == turn).join(won, "id", "left_semi").join(further, "component", "left_semi").select(F.explode("keys").alias("key"))
+        closed = keys if closed is None else closed.unionByName(keys)
+    return out
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """(id) of those of rows (id, order, keys, component, range) that are taken, each component of a range in its order."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        current, held = None, set()
+        for batch in batches:
+            won = []
+            for i, (component, keys) in enumerate(zip(batch.column("component").to_pylist(), batch.column("keys").to_pylist(), strict=True)):
+                if component != current:
+                    current, held = component, set()
+                if held.isdisjoint(keys):
+                    held.update(keys)
+                    won.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(won, pa.int64()))], names=["id"])
+
+    dealt = rows.repartition("range").sortWithinPartitions("range", "component", "order")
+    return dealt.select("id", "component", "keys").mapInArrow(run, f"id {kind}")
 
 
 def report(planned: DataFrame) -> DataFrame:
