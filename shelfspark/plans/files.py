@@ -332,12 +332,13 @@ def feed_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reader_listing(spark: SparkSession, d: str) -> DataFrame:
-    """captured listings (folder, json) of a reader that has a folder for each nation and a file for each supplier."""
+    """What readers list that have a folder for each nation and a file for each supplier, 5,000 of them on each reader."""
+    number = F.expr("s_suppkey div 5000").cast("string")
     name = F.concat(F.when(F.col("s_suppkey") % 9 == 0, F.lit(".")).otherwise(""), F.col("s_name"), F.when(F.col("s_suppkey") % 4 == 0, F.lit(".pdf")).when(F.col("s_suppkey") % 4 == 1, F.lit(".EPUB")).otherwise(".epub"))
-    files = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("/books/n"), F.col("s_nationkey").cast("string"), F.lit("/")).alias("folder"), F.struct(name.alias("name"), F.col("s_suppkey").cast("bigint").alias("size"), F.lit(False).alias("isDirectory")).alias("e"))
-    folders = spark.read.parquet(f"{d}/nation.parquet").select(F.lit("books").alias("folder"), F.struct(F.concat(F.when(F.col("n_nationkey") % 8 == 7, F.lit(".")).otherwise(""), F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("isDirectory")).alias("e"))
-    captured = files.unionByName(folders).groupBy("folder").agg(F.to_json(F.collect_list("e")).alias("json"))
-    return reader.files(captured)
+    files = spark.read.parquet(f"{d}/supplier.parquet").select(number.alias("reader"), F.concat(F.lit("/books/n"), F.col("s_nationkey").cast("string"), F.lit("/")).alias("folder"), F.struct(name.alias("name"), F.col("s_suppkey").cast("bigint").alias("size"), F.lit(False).alias("isDirectory")).alias("e"))
+    folders = spark.read.parquet(f"{d}/nation.parquet").select(F.lit("0").alias("reader"), F.lit("books").alias("folder"), F.struct(F.concat(F.when(F.col("n_nationkey") % 8 == 7, F.lit(".")).otherwise(""), F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("isDirectory")).alias("e"))
+    captured = files.unionByName(folders).groupBy("reader", "folder").agg(F.to_json(F.collect_list("e")).alias("json"))
+    return reader.files(captured).drop("reader")
 
 
 _READER = """WITH f AS (SELECT 'books/n' || s_nationkey || '/' || CASE WHEN s_suppkey % 9 = 0 THEN '.' ELSE '' END || s_name || CASE s_suppkey % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.EPUB' ELSE '.epub' END AS path, CAST(s_suppkey AS BIGINT) AS size, false AS directory FROM supplier

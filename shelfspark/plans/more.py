@@ -15,13 +15,15 @@ from shelfspark.operators import convert as V
 from shelfspark.operators import layout as Y
 from shelfspark.operators import sync as S
 from shelfspark.plans.device import _STORE, store
-from shelfspark.plans.library import _BOOKS, _COPIES, _PLACES, books, copies, resolved, sync_plan
+from shelfspark.plans.library import _BOOKS, _COPIES, _KEYS, _PLACES, books, copies, resolved, sync_plan
 from shelfspark.plans.text import _LINES, lines
 from shelfspark.sources import books as B
 from shelfspark.sources import reader as N
 from shelfspark.sources.adapters import view
 from shelfspark.storage import fresh
 from shelfspark.streaming import catalogue as W
+from shelfspark.streaming import places as P
+from shelfspark.streaming import resolution as I
 
 # Planning -------------------------------------------------------------------------------------------------------------------------------
 
@@ -104,7 +106,9 @@ def cache_after(spark: SparkSession, d: str) -> DataFrame:
     listing, cache = scan(spark, d)
     used, read = C.known(listing, cache), C.todo(listing, cache).where("key IS NOT NULL").select("key")
     path = fresh(spark, "cache")
-    C.save(C.refreshed(cache, used, read, C.TTL + 500), path, C.TTL + 500)
+    C.scanned(cache, used, read, path, C.TTL + 500)
+    again = C.load(spark, path, "key string, seen bigint")
+    C.save(again, path, C.TTL + 500)  # over what it came from, as scan after scan does
     return C.load(spark, path, "key string, seen bigint")
 
 
@@ -129,6 +133,29 @@ _REPORTS = """WITH r AS (SELECT 'place' || (user_id % 7) AS place, event_id // 4
   s AS (SELECT l.place, l.operation, coalesce((SELECT CASE max_by(event, seq) WHEN 'finished' THEN 'Ready' WHEN 'unavailable' THEN 'Unavailable' WHEN 'not connected' THEN 'Not connected' END FROM r WHERE r.place = l.place AND r.operation = l.operation AND event NOT IN ('row', 'started')), 'Checking') AS state, inventory FROM l LEFT JOIN i ON i.place = l.place) """
 
 
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The last snapshot of each place after its reports came as a stream, in files of some hundred events."""
+    arrived = fresh(spark, "reports")
+    rows = reports(spark, d)
+    rows.repartitionByRange(8, "seq").write.parquet(arrived)
+    into = fresh(spark, "snapshots")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(arrived)
+    query = P.follow(stream, into, fresh(spark, "places"))
+    P.stopped(query, spark.read.parquet(arrived).count())
+    return P.latest(spark.read.parquet(into)).select("place", "operation", "state", "inventory", "rows")
+
+
+def kept_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Which book each copy belongs to, after copies came, changed, went and came again in four batches, of which one holds late answers."""
+    root = fresh(spark, "resolved")
+    c = copies(spark, d).withColumns({"series_index": F.col("series_index").cast("double"), "seen": F.lit(1).cast("bigint"), "gone": F.lit(False)})
+    I.upsert(c.where("copy_id % 3 > 0"), 0, root)
+    I.upsert(c.withColumns({"seen": F.lit(3).cast("bigint"), "gone": F.col("copy_id") % 5 == 0}).where("copy_id % 3 = 0 OR copy_id % 5 = 0"), 1, root)
+    I.upsert(c.withColumns({"seen": F.lit(2).cast("bigint"), "gone": F.col("copy_id") % 2 == 0}).where("copy_id % 3 = 0 OR copy_id % 5 = 0"), 2, root)  # late
+    I.upsert(c.withColumns({"seen": F.lit(4).cast("bigint"), "sha": F.concat("sha", F.when(F.col("sha") != "", F.lit("x")).otherwise("")), "resources": F.lit(None).cast("string"), "variant_resources": F.lit(None).cast("string")}).where("copy_id % 35 = 0 OR copy_id % 11 = 0"), 3, root)
+    return I.resolved(spark, root).select("copy_id", "book_id")
+
+
 def streamed(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue after its copies came in two batches, of which the second renames some and takes some away."""
     table = fresh(spark, "catalogue")
@@ -273,6 +300,8 @@ QUERIES = {
     "cache_after": cache_after,
     "place_states": lambda s, d: W.states(reports(s, d)),
     "place_inventory": lambda s, d: W.inventory(reports(s, d)),
+    "place_snapshots": snapshots,
+    "kept_resolved": kept_resolved,
     "streamed_copies": streamed,
     "incomplete_uploads": uploads,
     "spent_requests": spent,
@@ -333,6 +362,9 @@ ORACLE = {
     "cache_after": _SCAN + """, after AS (SELECT key, 7776500 AS seen FROM listing WHERE key IS NOT NULL UNION ALL SELECT key, seen FROM cache WHERE starts_with(key, 'gone'))
         SELECT key, CAST(seen AS BIGINT) AS seen FROM after WHERE seen >= 500 ORDER BY seen DESC, key LIMIT 20000""",
     "place_states": _REPORTS + "SELECT place, operation, state, inventory FROM s",
+    "place_snapshots": _REPORTS + "SELECT s.place, s.operation, state, inventory, (SELECT count(*) FROM r WHERE r.place = s.place AND r.operation = s.operation AND event = 'row') AS rows FROM s",
+    "kept_resolved": _COPIES.rstrip() + """, changed AS (SELECT * REPLACE (CASE WHEN copy_id % 35 = 0 OR copy_id % 11 = 0 THEN CASE WHEN sha = '' THEN '' ELSE sha || 'x' END ELSE sha END AS sha, CASE WHEN copy_id % 35 > 0 AND copy_id % 11 > 0 THEN resources END AS resources,
+        CASE WHEN copy_id % 35 > 0 AND copy_id % 11 > 0 THEN variant_resources END AS variant_resources) FROM copies WHERE copy_id % 5 > 0 OR copy_id % 35 = 0 OR copy_id % 11 = 0), """ + _KEYS.replace("FROM copies", "FROM changed").replace("copies.*", "changed.*").replace("JOIN (SELECT a", "JOIN (SELECT a").replace("ON r.a = copies.copy_id", "ON r.a = changed.copy_id") + " SELECT copy_id, book_id FROM resolved",
     "place_inventory": _REPORTS + "SELECT r.place, r.operation, r.event, r.seq FROM r JOIN s ON s.place = r.place AND s.inventory = r.operation WHERE event = 'row'",
     "streamed_copies": _COPIES + "SELECT copy_id, place, path, CASE WHEN copy_id % 2 = 0 THEN title ELSE 'old ' || title END AS title, CAST(CASE WHEN copy_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS seen FROM copies WHERE copy_id % 13 <> 0",
     "incomplete_uploads": "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 4 = 1 AND octet_length(encode(text)) > 0 OR doc_id % 4 = 2 AND octet_length(encode(text)) > 2 AND regexp_matches(text, '^#+$')",

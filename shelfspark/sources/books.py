@@ -28,7 +28,8 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """path, below (the path under root), length, modified and fingerprint of the files under root, without reading any."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     top = root.rstrip("/").rpartition(":")[2]
-    below = F.regexp_replace(F.expr(f"substring(path, locate('{top}', path) + {len(top)} + 1)"), "^/", "")
+    behind = F.locate(top, F.col("path")) + F.char_length(F.lit(top))
+    below = F.regexp_replace(F.substring(F.col("path"), behind, F.char_length("path")), "^/+", "")
     return files.select("path", below.alias("below"), "length", F.col("modificationTime").alias("modified"), X.fingerprint(F.col("length"), F.col("modificationTime")).alias("fingerprint"))
 
 

@@ -126,14 +126,14 @@ def lookup(keys: DataFrame, root: str, table: dict, seen: set[str] | None = None
     return _read(keys.sparkSession, root, table, touched).join(keys.select(*table["by"]).distinct(), table["by"], "left_semi")
 
 
-def apply(spark: SparkSession, root: str, version: int, changes: dict[str, Change], naming: Callable = name, most: int = MOST) -> None:
-    """Puts a version's changes into their tables, all at once; a version that is there already is left alone."""
+def apply(spark: SparkSession, root: str, version: int, changes: dict[str, Change], naming: Callable = name, most: int = MOST, depth: int = DEPTH) -> None:
+    """Puts a version's changes into their tables, all at once; a version that is there already is left alone. New tables begin with 2 ** depth buckets."""
     done, tables = current(spark, root)
     if version <= done:
         return
     tables = dict(tables)
     for table, change in changes.items():
-        first = {"schema": change.added.schema.jsonValue(), "by": change.by, "folders": {}, "rows": {f"{DEPTH}-{v}": 0 for v in range(1 << DEPTH)}}
+        first = {"schema": change.added.schema.jsonValue(), "by": change.by, "folders": {}, "rows": {f"{depth}-{v}": 0 for v in range(1 << depth)}}
         tables[table] = _changed(spark, root, f"v{version}/{table}", tables.get(table, first), change, most)
     naming(spark, root, version, tables)
     forget(spark, root)

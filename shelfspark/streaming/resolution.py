@@ -78,7 +78,7 @@ def upsert(copies: DataFrame, batch: int, root: str, most: int = buckets.MOST) -
         "members": buckets.Change(["component"], no_longer, rows),
         "keys": buckets.Change(["key"], R.keys_of(apart).select("key").unionByName(keyed.select("key")), keyed.select("key", "component").distinct()),
     }
-    buckets.apply(spark, root, batch, changes, most=most)
+    buckets.apply(spark, root, batch, changes, most=most, depth=0)
     discard(*made)
     return read
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark import config, sinks
-from shelfspark.operators import convert
+from shelfspark.operators import cache, convert
 from shelfspark.sources import books, epub, reader
 from shelfspark.streaming import catalogue
 from tests.test_sources import make_pdf
@@ -169,3 +169,56 @@ def test_a_folder_that_cannot_be_listed_is_a_warning(spark, tmp_path):
 
     got = list(books.walk(Shut(), str(root), str(root)))
     assert [x["warning"] for x in got if "warning" in x] == ["Cannot list"] and "deep/er/b.pdf" in {x.get("below") for x in got}
+
+
+def test_listings_of_many_readers(spark):
+    entry = lambda name: f'{{"name":"{name}","size":5,"isDirectory":false}}'
+    rows = [("a", "/", f"[{entry('x.epub')}]"), ("b", "/", f"[{entry('x.epub')},{entry('y.pdf')}]")]
+    got = reader.files(spark.createDataFrame(rows, "reader string, folder string, json string"))
+    assert sorted((r.reader, r.path) for r in got.collect()) == [("a", "x.epub"), ("b", "x.epub"), ("b", "y.pdf")]
+    many = spark.range(reader.MANY + 1).select(F.format_string('{"name":"%d.epub","size":5,"isDirectory":false}', "id").alias("e")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("e"), ","), F.lit("]")).alias("json"))
+    half = lambda name: many.select(F.lit(name).alias("reader"), F.lit("/").alias("folder"), "json")
+    with pytest.raises(Exception, match="a: too many entries"):
+        reader.files(half("a").unionByName(spark.createDataFrame(rows[1:], "reader string, folder string, json string"))).collect()
+    fewer = many.select(F.regexp_replace("json", r'^\[[^}]*\},', "[").alias("json"))
+    both = fewer.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("reader"), F.lit("/").alias("folder"), "json")
+    assert reader.files(both).count() == 2 * reader.MANY  # as many as a reader may have, on each of two
+    with pytest.raises(Exception, match="not a listing"):
+        reader.files(spark.createDataFrame([("a", "/", '[{"name":"x\\\\y","size":0,"isDirectory":false}]')], "reader string, folder string, json string")).collect()
+
+
+def test_a_folder_with_quotes_is_listed(spark, tmp_path):
+    root = tmp_path / "o'brien's \"new\" books"
+    (root / "deep").mkdir(parents=True)
+    (root / "deep" / "it's.epub").write_bytes(b"x")
+    assert [r.below for r in books.listing(spark, str(root)).collect()] == ["deep/it's.epub"]
+
+
+def test_a_cache_is_saved_over_itself(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "cache"), "key string, seen bigint"
+    held = lambda: sorted((r.key, r.seen) for r in cache.load(spark, path, schema).collect())
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], schema)
+    cache.save(rows, path, 3)
+    cache.save(cache.load(spark, path, schema), path, 3)
+    assert held() == [("a", 1), ("b", 2)]
+    none, new = spark.createDataFrame([], "key string"), spark.createDataFrame([("c",)], "key string")
+    reader_of_old = cache.load(spark, path, schema)
+    assert not cache.scanned(cache.load(spark, path, schema), rows.select("key"), none, path, 9) and held() == [("a", 1), ("b", 2)]  # hits alone
+    assert cache.scanned(cache.load(spark, path, schema), rows.select("key"), new, path, 9) and held() == [("a", 9), ("b", 9), ("c", 9)]
+    assert reader_of_old.count() == 2  # its files are still there
+    monkeypatch.setattr(cache, "kept", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        cache.save(rows, path, 9)
+    assert len(held()) == 3
+    monkeypatch.undo()
+    for i in range(4):
+        cache.save(cache.load(spark, path, schema), path, 9 + i)
+    assert len(held()) == 3 and len(list((tmp_path / "cache").glob("saved-*"))) == cache.HELD
+
+
+def test_a_cache_that_was_written_straight_to_its_path(spark, tmp_path):
+    path, schema = str(tmp_path / "cache"), "key string, seen bigint"
+    spark.createDataFrame([("a", 1)], schema).withColumn("version", F.lit(cache.VERSION)).write.parquet(path)
+    assert cache.load(spark, path, schema).count() == 1
+    cache.save(cache.load(spark, path, schema), path, 2)
+    assert cache.load(spark, path, schema).count() == 1 and not list((tmp_path / "cache").glob("part-*"))

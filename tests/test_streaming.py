@@ -2,10 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.streaming import buckets, catalogue, resolution
+from shelfspark.streaming import buckets, catalogue, places, resolution
 from tests.test_ends import COPY, a_copy
 
 
@@ -110,3 +111,71 @@ def test_a_batch_looks_only_where_it_must(spark, tmp_path):
     assert (got[9000], got[9001], got[9002], got[5299]) == (14, 5000, 5000, 5000)
     read = resolution.upsert(copies(spark, [(9000, "new", "s7", None, 3, True)]), 3, root, most=50)
     assert len(read["members"]) == 1 and len(read["keys"]) == 0
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+class Handle:
+    """One key's state and timers, as a stream keeps them."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_snapshots_of_a_place(spark):
+    handle, place = Handle(), places.Places(200)
+    place.init(handle)
+
+    def arrive(now, *reports):
+        rows = pd.DataFrame(list(reports), columns=["operation", "event", "seq"])
+        return [tuple(r) for df in place.handleInputRows(("Kobo",), iter([rows, rows.iloc[:0]]), Clock(now)) for r in df[["operation", "state", "inventory", "rows", "forced"]].astype(object).where(df[["operation", "state", "inventory", "rows", "forced"]].notna(), None).values.tolist()]
+
+    def due(now):
+        handle.timers = [t for t in handle.timers if t > now]
+        return [r for df in place.handleExpiredTimer(("Kobo",), Clock(now), None) for r in df["rows"].tolist()]
+
+    assert arrive(1000, (1, "started", 1)) == [(1, "Checking", None, 0, False)]  # the first at once
+    assert arrive(1050, (1, "row", 2), (1, "row", 3)) == [] and arrive(1100, (1, "row", 4)) == []
+    assert handle.timers == [1200] and due(1200) == [3]  # one in 200 ms, by the timer
+    assert arrive(1210, (1, "row", 5)) == [] and handle.timers == [1400]
+    assert arrive(1220, (1, "finished", 6)) == [(1, "Ready", 1, 4, True)]  # the last by force
+    assert due(1400) == []  # nothing waited any more
+    assert arrive(1500, (2, "started", 7)) == [(2, "Checking", 1, 0, False)]  # the inventory stays
+    assert arrive(1800, (1, "row", 8), (1, "unavailable", 9), (2, "row", 10)) == [(2, "Checking", 1, 1, False)]  # what is late doesn't count
+    assert arrive(1850, (2, "unavailable", 12)) == [(2, "Unavailable", 1, 1, True)]
+    assert arrive(1900, (2, "not connected", 11)) == []  # came later, was said earlier
+
+
+def test_order_of_reports_does_not_matter():
+    rng = random.Random(3)
+    reports = [(rng.randrange(4), rng.choice(["row", "started", *places.ENDS]), i) for i in range(200)]
+    ends = set()
+    for _ in range(20):
+        rng.shuffle(reports)
+        state = None
+        for i in range(0, 200, 17):
+            state, *_ = places.merged(state, pd.DataFrame(reports[i : i + 17], columns=["operation", "event", "seq"]))
+        ends.add(state)
+    # Rows of the latest operation count from when it is heard of; those are all of them.
+    assert len(ends) == 1 and ends.pop()[4] == sum(o == 3 and e == "row" for o, e, _ in reports)
