@@ -29,7 +29,7 @@ from shelfspark.plans.device import _BEST, _NOTES, _OFFERS, _SHELVES, log
 from shelfspark.plans.library import copies
 from shelfspark.plans.text import _PARAGRAPHS
 from shelfspark.shipping import ship
-from shelfspark.sources import books, device_db, epub, figures, opds, pdf, reader
+from shelfspark.sources import books, device_db, epub, figures, opds, packing, pdf, reader
 from shelfspark.sources.adapters import view, with_views
 from shelfspark.storage import spread
 
@@ -385,6 +385,12 @@ def device_shelves(spark: SparkSession, d: str) -> DataFrame:
     return D.shelved(device_db.tables(files, "Shelf").drop("path"), device_db.tables(files, "ShelfContent").drop("path"), view(spark, d, "shelf_titles"))
 
 
+def packed_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Which task would read each document, were it a file of its text, at 480,000 bytes of claims for a task."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) * 7).cast("bigint").alias("length"))
+    return packing.packs(rows, 60_000 * 8, "doc_id")
+
+
 def log_files(spark: SparkSession, d: str) -> DataFrame:
     """path, value: the log in files of 1,000 lines of JSON, some of them blank or no JSON."""
     row = F.struct("at", "title", F.col("from_place").alias("from"), F.col("to_place").alias("to"), "bytes", "ok")
@@ -421,6 +427,7 @@ QUERIES = {
     "device_books": device_books,
     "device_notes": device_notes,
     "device_shelves": device_shelves,
+    "packed_reads": packed_reads,
     "log_read": log_read,
     "log_summary": log_summary,
 }
@@ -464,6 +471,9 @@ ORACLE = {
     "device_books": with_views("store") + " SELECT ContentID AS id, coalesce(nullif(Title, ''), ContentID) AS title, coalesce(Attribution, '') AS author, coalesce(TRY_CAST(Accessibility AS BIGINT) = 6, false) AS preview, has_keys AS encrypted FROM store WHERE downloaded",
     "device_notes": _NOTES + "SELECT * FROM kept",
     "device_shelves": _SHELVES + "SELECT shelf, id, title FROM shelves s WHERE id IS NOT NULL OR NOT EXISTS (SELECT 1 FROM shelves o WHERE o.shelf = s.shelf AND o.id IS NOT NULL)",
+    "packed_reads": """WITH f AS (SELECT doc_id, CAST(7 * octet_length(encode(coalesce(text, ''))) AS BIGINT) AS length FROM documents), c AS (SELECT *, greatest(3 * length, 65536) AS claim FROM f),
+        s AS (SELECT *, sum(CASE WHEN claim <= 240000 THEN claim ELSE 0 END) OVER w AS to_here, sum(CASE WHEN claim > 240000 THEN 1 ELSE 0 END) OVER w AS nth, sum(CASE WHEN claim <= 240000 THEN claim ELSE 0 END) OVER () AS total FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, length ROWS UNBOUNDED PRECEDING))
+        SELECT doc_id, length, CAST(CASE WHEN claim > 240000 THEN ceil(total / 240000) + nth - 1 ELSE (to_here - 1) // 240000 END AS BIGINT) AS pack FROM s""",
     "log_read": with_views("log") + """ SELECT 'log' || (line_no // 1000) AS path, malformed, CASE WHEN NOT malformed THEN "at" END AS at, CASE WHEN NOT malformed THEN title END AS title, CASE WHEN NOT malformed THEN from_place END AS from_place,
         CASE WHEN NOT malformed THEN to_place END AS to_place, CASE WHEN NOT malformed THEN bytes END AS bytes, CASE WHEN NOT malformed THEN ok END AS ok FROM log""",
     "log_summary": with_views("log") + """, f AS (SELECT 'failed: ' || title AS detail, row_number() OVER (ORDER BY line_no) AS n FROM log WHERE NOT ok)

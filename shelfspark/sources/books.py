@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfspark.functions import text as X
 from shelfspark.shipping import ship
-from shelfspark.sources import epub, pdf
+from shelfspark.sources import epub, packing, pdf
 
 BOOK = T.StructType([T.StructField(n, t) for n, t in (
     ("title", T.StringType()), ("author", T.StringType()), ("series", T.StringType()), ("series_index", T.FloatType()), ("identifiers", T.ArrayType(T.StringType())), ("sha", T.StringType()),
@@ -24,6 +24,10 @@ BOOK = T.StructType([T.StructField(n, t) for n, t in (
 )])
 
 
+#: Described rows that make one batch.
+GATHERED = 256
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path, below (the path under root), length, modified and fingerprint of the files under root, without reading any."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
@@ -72,9 +76,9 @@ def card_files(spark: SparkSession, root: str) -> DataFrame:
 def read(spark: SparkSession, root: str, todo: DataFrame) -> DataFrame:
     """todo (path, below, length, format) with what each file says and is; one that can't be read says why and has an empty sha.
 
-    Only the files of todo are opened, each by the task that has its row, and no more of one is read than was listed.
+    Only the files of todo are opened, by tasks that are given so many bytes at most or one file that is larger (packing.py), and no more of one is read than was listed.
     """
-    return _described(todo.select("path", "below", "length", "format"))
+    return _described(packing.packed(todo.select("path", "below", "length", "format")))
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -87,10 +91,16 @@ def _described(rows: DataFrame) -> DataFrame:
     names = ["path", "below", "length", "format"]
 
     def run(batches):
+        done = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # the content of one row at a time
+                (row,) = batch.slice(i, 1).to_pylist()
                 content = row["content"] if "content" in row else opened(row["path"], row["length"])
-                yield pa.RecordBatch.from_pylist([{n: row[n] for n in names} | describe(content, row["format"], row["below"], row["length"])], schema=schema)
+                done.append({n: row[n] for n in names} | describe(content, row["format"], row["below"], row["length"]))
+                if len(done) == GATHERED:
+                    yield pa.RecordBatch.from_pylist(done, schema=schema)
+                    done = []
+        yield pa.RecordBatch.from_pylist(done, schema=schema)
 
     kinds = {"title": pa.string(), "author": pa.string(), "series": pa.string(), "series_index": pa.float32(), "identifiers": pa.list_(pa.string()), "sha": pa.string(), "resources": pa.string(), "optimized": pa.bool_(), "unreadable": pa.string()}
     schema = pa.schema([("path", pa.string()), ("below", pa.string()), ("length", pa.int64()), ("format", pa.string()), *kinds.items()])
