@@ -345,13 +345,18 @@ _READER = """WITH f AS (SELECT 'books/n' || s_nationkey || '/' || CASE WHEN s_su
   UNION ALL SELECT 'books/' || CASE WHEN n_nationkey % 8 = 7 THEN '.' ELSE '' END || 'n' || n_nationkey, 0, true FROM nation), kept AS (SELECT * FROM f WHERE NOT regexp_matches(path, '(^|/)\\.')) """
 
 
+#: Rows of a device's database, on average.
+DEVICE_ROWS = 20_000
+
+
 def databases(spark: SparkSession, d: str) -> DataFrame:
-    """path, content: the databases of eight devices, each with a part of the store's books, the marks and the shelves."""
+    """path, content: the databases of eight devices or, of many rows, one for each DEVICE_ROWS, each with a part of the store's books, the marks and the shelves."""
     ship(spark)
-    eighth = lambda c: F.concat(F.lit("device"), F.pmod(F.xxhash64(c), F.lit(8)).cast("string"))
     text = lambda *names: [F.col(n).cast("string").alias(f"c{i}") for i, n in enumerate(names)]
-    shape = lambda df, kind, by, *names: df.select(eighth(by).alias("path"), F.lit(kind).alias("kind"), *text(*names), *[F.lit(None).cast("string").alias(f"c{i}") for i in range(len(names), 6)])
+    shape = lambda df, kind, by, *names: df.select(part(by).alias("path"), F.lit(kind).alias("kind"), *text(*names), *[F.lit(None).cast("string").alias(f"c{i}") for i in range(len(names), 6)])
     store, marks = view(spark, d, "store"), view(spark, d, "marks")
+    devices = max(8, -(-(store.count() + marks.count()) // DEVICE_ROWS))
+    part = lambda c: F.concat(F.lit("device"), F.pmod(F.xxhash64(c), F.lit(devices)).cast("string"))
     rows = shape(store, "content", "ContentID", "ContentID", "Title", "Attribution", "Accessibility").unionByName(shape(store.where("has_keys"), "content_keys", "ContentID", "ContentID", "Title"))
     rows = rows.unionByName(shape(marks, "Bookmark", "VolumeID", "VolumeID", "Text", "Annotation", "DateCreated", "ChapterProgress", "Hidden"))
     rows = rows.unionByName(shape(view(spark, d, "shelf"), "Shelf", "Name", "InternalName", "Name", "_IsDeleted")).unionByName(shape(view(spark, d, "shelf_content"), "ShelfContent", "ContentId", "ShelfName", "ContentId", "_IsDeleted"))

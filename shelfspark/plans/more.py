@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark import config, sinks
@@ -13,6 +13,7 @@ from shelfspark.operators import cache as C
 from shelfspark.operators import catalog as K
 from shelfspark.operators import convert as V
 from shelfspark.operators import layout as Y
+from shelfspark.operators import ranks
 from shelfspark.operators import sync as S
 from shelfspark.plans.device import _STORE, store
 from shelfspark.plans.library import _BOOKS, _COPIES, _KEYS, _PLACES, books, copies, resolved, sync_plan
@@ -315,7 +316,7 @@ QUERIES = {
     "leaders": leaders,
     "drawings_worth": drawings,
     "placed_figures": placed_figures,
-    "device_order": lambda s, d: store(s, d).select("id", F.row_number().over(Window.orderBy(X.fold_ascii(F.col("title")), "id")).alias("place")),
+    "device_order": lambda s, d: ranks.numbered(store(s, d).select("id", X.fold_ascii(F.col("title")).alias("folded")), [F.col("folded"), F.col("id")]).select("id", F.col("place").cast("int").alias("place")),
 }
 _TITLE_NAME = "regexp_replace(regexp_replace(title, '[\\p{Cc}<>:\"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g')"
 _SOURCE = "best_place || ' (' || CASE WHEN best_sha = '' THEN 'unreadable' WHEN best_optimized THEN 'device copy' ELSE 'original' END || ')'"

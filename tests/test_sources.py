@@ -4,6 +4,7 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from shelfspark.operators import device as D
@@ -249,3 +250,41 @@ def test_samples_of_pictures():
         figures.picture(d, d.get(pdf.Ref(24)))
     made = figures.png(np.arange(18, dtype=np.uint8).reshape(2, 3, 3))
     assert made.startswith(b"\x89PNG") and zlib.decompress(made[made.index(b"IDAT") + 4 : made.index(b"IEND") - 8])[1:10] == bytes(range(9))
+
+
+def test_a_database_is_read_in_parts_and_filters_reach_it(spark, tmp_path):
+    path = str(tmp_path / "big.sqlite")
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE Bookmark (VolumeID TEXT, Text, Annotation TEXT, DateCreated TEXT, ChapterProgress REAL, Hidden TEXT)")
+    rows = [(f"v{i % 7}", [None, "", "t", 5, 2.5, b"x"][i % 6] if i % 6 < 5 else "z", None, "2025", i / 1000, ["true", "false", None, "1", 0][i % 5]) for i in range(1000)]
+    db.executemany("INSERT INTO Bookmark VALUES (?, ?, ?, ?, ?, ?)", rows)
+    db.execute("DELETE FROM Bookmark WHERE rowid BETWEEN 300 AND 420")
+    db.commit()
+    db.close()
+    del rows[299:420]
+    t = device_db.table(spark, path, "Bookmark", rows=100)
+    assert t.rdd.getNumPartitions() == 9 and t.count() == len(rows)
+    as_read = [tuple(None if x is None else x if i == 4 else str(x) for i, x in enumerate(r)) for r in rows]
+    key = lambda r: tuple(map(str, r))
+    for where, holds in (
+        ([ds.EqualTo(("Hidden",), "true"), ds.In(("VolumeID",), ("v1", "v3"))], lambda r: r[5] == "true" and r[0] in ("v1", "v3")), ([ds.IsNull(("Text",))], lambda r: r[1] is None), ([ds.EqualTo(("Text",), "5")], lambda r: r[1] == "5"),
+        ([ds.In(("Text",), ("2.5", "t"))], lambda r: r[1] in ("2.5", "t")), ([ds.StringStartsWith(("Text",), "2")], lambda r: (r[1] or "").startswith("2")), ([ds.IsNotNull(("Hidden",)), ds.EqualTo(("Hidden",), "0")], lambda r: r[5] == "0"),
+    ):
+        some = device_db.table(spark, path, "Bookmark", where, 100)
+        assert sorted(map(tuple, some.collect()), key=key) == sorted(filter(holds, as_read), key=key), where
+        db = sqlite3.connect(path)
+        sent = list(device_db.columns_of(db, "Bookmark", ["VolumeID", "Text", "Annotation", "DateCreated", "ChapterProgress", "Hidden"], ["string"] * 4 + ["double", "string"], where))
+        db.close()
+        assert len(sent) < len(rows) / 2  # what SQLite gives up at all
+    assert sorted(map(tuple, t.where("Hidden = 'true'").collect()), key=key) == sorted((r for r in as_read if r[5] == "true"), key=key) and t.count() == len(rows)
+    assert device_db.table(spark, path, "Shelf", [ds.EqualTo(("Name",), "x")]).count() == 0  # no such table
+    with pytest.raises(ValueError):
+        device_db.table(spark, path, "Bookmark", [ds.GreaterThan(("ChapterProgress",), 0.5)])
+
+
+def test_places_of_rows(spark):
+    from shelfspark.operators import ranks
+
+    df = spark.range(997).select(((F.col("id") * 7919) % 997).alias("id")).repartition(9)
+    assert {(r.id, r.place) for r in ranks.numbered(df, [F.col("id").desc()]).collect()} == {(i, 997 - i) for i in range(997)}
+    assert ranks.numbered(df.where("false"), [F.col("id")]).count() == 0
