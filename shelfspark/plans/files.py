@@ -390,6 +390,17 @@ def device_shelves(spark: SparkSession, d: str) -> DataFrame:
     return D.shelved(device_db.tables(files, "Shelf").drop("path"), device_db.tables(files, "ShelfContent").drop("path"), view(spark, d, "shelf_titles"))
 
 
+def page_order(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a catalogue for all parts, which go up by the odd numbers and down by the even ones, and lead back to the first."""
+    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey > 0").select(F.col("p_partkey").alias("k"))
+    last = p.agg(F.max("k").alias("last"))
+    at = lambda n: F.concat(F.lit(f"{FEED_HOST}/parts/"), n.cast("string"))
+    up = F.when(F.col("k") + 2 <= F.col("last"), F.col("k") + 2).otherwise(F.col("last") - F.col("last") % 2)
+    down = F.when(F.col("k") > 2, F.col("k") - 2).otherwise(1)
+    made = p.withColumn("one", F.lit(1)).join(last.withColumn("one", F.lit(1)), "one").select(at(F.col("k")).alias("address"), at(F.when(F.col("k") % 2 == 1, up).otherwise(down)).alias("next"))  # a row
+    return opds.page_numbers(made, f"{FEED_HOST}/parts/1")
+
+
 def packed_reads(spark: SparkSession, d: str) -> DataFrame:
     """Which task would read each document, were it a file of its text, at 480,000 bytes of claims for a task."""
     rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) * 7).cast("bigint").alias("length"))
@@ -432,6 +443,7 @@ QUERIES = {
     "device_books": device_books,
     "device_notes": device_notes,
     "device_shelves": device_shelves,
+    "page_order": page_order,
     "packed_reads": packed_reads,
     "log_read": log_read,
     "log_summary": log_summary,
@@ -476,6 +488,8 @@ ORACLE = {
     "device_books": with_views("store") + " SELECT ContentID AS id, coalesce(nullif(Title, ''), ContentID) AS title, coalesce(Attribution, '') AS author, coalesce(TRY_CAST(Accessibility AS BIGINT) = 6, false) AS preview, has_keys AS encrypted FROM store WHERE downloaded",
     "device_notes": _NOTES + "SELECT * FROM kept",
     "device_shelves": _SHELVES + "SELECT shelf, id, title FROM shelves s WHERE id IS NOT NULL OR NOT EXISTS (SELECT 1 FROM shelves o WHERE o.shelf = s.shelf AND o.id IS NOT NULL)",
+    "page_order": f"""WITH p AS (SELECT p_partkey AS k, max(p_partkey) OVER () AS last FROM part) SELECT '{FEED_HOST}/parts/' || k AS address,
+        CAST(CASE WHEN k % 2 = 1 THEN (k - 1) // 2 ELSE (last + 1) // 2 + (last - last % 2 - k) // 2 END AS BIGINT) AS page FROM p WHERE k > 0""",
     "packed_reads": """WITH f AS (SELECT doc_id, CAST(7 * octet_length(encode(coalesce(text, ''))) AS BIGINT) AS length FROM documents), c AS (SELECT *, greatest(3 * length, 65536) AS claim FROM f),
         s AS (SELECT *, sum(CASE WHEN claim <= 240000 THEN claim ELSE 0 END) OVER w AS to_here, sum(CASE WHEN claim > 240000 THEN 1 ELSE 0 END) OVER w AS nth, sum(CASE WHEN claim <= 240000 THEN claim ELSE 0 END) OVER () AS total FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, length ROWS UNBOUNDED PRECEDING))
         SELECT doc_id, length, CAST(CASE WHEN claim > 240000 THEN ceil(total / 240000) + nth - 1 ELSE (to_here - 1) // 240000 END AS BIGINT) AS pack FROM s""",

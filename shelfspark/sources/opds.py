@@ -155,15 +155,34 @@ def captured(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("wholetext", "true").text(folder).select(F.input_file_name().alias("address"), F.col("value").alias("text"))
 
 
-def pages(made: DataFrame, start: str, most: int) -> list[str]:
-    """Addresses of the feeds from start on by their links to the next, at most max(most, 1); each step looks up one."""
-    links = materialize(made.select("address", "next"), "links")
-    out, at = [], start
-    while at is not None and len(out) < max(most, 1) and at not in out:
-        found = links.where(F.col("address") == at).first()
-        if found is None:
+def page_numbers(made: DataFrame, start: str, most: int | None = None) -> DataFrame:
+    """(address, page): the feeds from start (page 0) on by their links to the next, as far as they are there, and before the first that comes again.
+
+    By doubling: in each round, every page that is known says where the one 2, 4, 8, ... links behind it is, and every link grows as long. So a list
+    takes as many rounds as its length has binary digits. Of several feeds with one address the smallest link counts.
+    """
+    spark = made.sparkSession
+    links = materialize(made.where("address IS NOT NULL").groupBy("address").agg(F.min("next").alias("next")), "links")
+    there = links.select(F.col("address").alias("next"))
+    jumps = materialize(links.join(there, "next").select("address", F.col("next").alias("to")), "jumps")
+    first = spark.createDataFrame([(start, 0)], "address string, page bigint")
+    reached = materialize(first.join(links.select("address"), "address"), "pages")
+    step = 1
+    while most is None or step < most:
+        ahead = reached.join(jumps, "address").groupBy(F.col("to").alias("address")).agg((F.min("page") + step).alias("page"))
+        new = materialize(ahead.join(reached.select("address"), "address", "left_anti"), "pages")
+        if new.isEmpty():
             break
-        out.append(at)
-        at = found.next
-    discard(links)
-    return out
+        held, reached = reached, materialize(reached.unionByName(new), "pages")
+        further = jumps.select(F.col("address").alias("to"), F.col("to").alias("beyond"))
+        longer = materialize(jumps.join(further, "to").select("address", F.col("beyond").alias("to")), "jumps")
+        discard(held, new, jumps)
+        jumps, step = longer, 2 * step
+    discard(links, jumps)
+    return reached if most is None else reached.where(F.col("page") < most)
+
+
+def pages(made: DataFrame, start: str, most: int) -> list[str]:
+    """Addresses of the feeds from start on by their links to the next, at most max(most, 1)."""
+    rows = page_numbers(made, start, max(most, 1)).orderBy("page").collect()  # as many as are asked for
+    return [r.address for r in rows]
