@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from shelfspark.functions import text as X
 from shelfspark.shipping import ship
 from shelfspark.sources import epub, packing, pdf
+from shelfspark.storage import materialize
 
 BOOK = T.StructType([T.StructField(n, t) for n, t in (
     ("title", T.StringType()), ("author", T.StringType()), ("series", T.StringType()), ("series_index", T.FloatType()), ("identifiers", T.ArrayType(T.StringType())), ("sha", T.StringType()),
@@ -141,55 +142,96 @@ def existing_roots(spark: SparkSession, roots: list[str]) -> tuple[list[str], li
 
 
 WALKED = "root string, path string, below string, length bigint, modified timestamp, warning string"
+#: Folders that a task lists before it hands what is left back, to be dealt anew.
+LISTED = 1000
 
 
-def walked(spark: SparkSession, roots: list[str]) -> DataFrame:
+def walked(spark: SparkSession, roots: list[str], most: int = LISTED) -> DataFrame:
     """The files of folders (root, path, below, length, modified) and, with nothing but path, a warning for each folder that can't be listed.
 
     Unlike listing() it doesn't fail for one such folder. Hidden names are left out with all below them, and so are links that lead
-    out of their root. A task walks what is below one folder of a root.
+    out of their root or back to a folder that they stand in; a folder that several links lead to is walked by one of its names, the first of those that are met in the same round. The walk goes by rounds: in each,
+    the open folders are dealt over all tasks, and a task lists up to `most` of them and what is below, last in, first out.
     """
     ship(spark)
     kept, refused = existing_roots(spark, roots)
-    first = []
-    for root in kept:
-        where = spark._jvm.org.apache.hadoop.fs.Path(root)
-        first += [(root, x.getPath().toString()) for x in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where) if not x.getPath().getName().startswith(".")]
-    schema = T._parse_datatype_string(WALKED)
+    schema = T._parse_datatype_string(_VISITED)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 source, top = filesystem(r["root"])
-                _, start = filesystem(r["start"])
-                rows = [{"root": r["root"], **x} for x in walk(source, top, start)]
-                yield pa.RecordBatch.from_pylist([{"length": None, "modified": None, "below": None, "warning": None, **x} for x in rows], schema=arrow)
-
-    files = spark.createDataFrame(first, "root string, start string").repartition(max(1, min(len(first), 1000))).mapInArrow(run, schema)
+                rows = [{"root": r["root"], "length": None, "modified": None, "below": None, "warning": None, "via": None, "crossed": None, **x} for x in visited(source, top, r["path"], r["crossed"] or [], most)]
+                for i in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_pylist(rows[i : i + 10_000], schema=arrow)
+
+    frontier = spark.createDataFrame([(root, filesystem(root)[1], []) for root in kept], "root string, path string, crossed array<string>")
+    seen, out = None, None
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    while True:
+        round_ = materialize(frontier.repartition(tasks).mapInArrow(run, schema), "walk")
+        # Each real folder is walked once: by the one that came in an earlier round, or else has the first path.
+        folders = round_.where("kind = 'folder'").groupBy("root", "via").agg(F.min("path").alias("path"))
+        if seen is not None:
+            folders = folders.join(seen, ["root", "via"], "left_anti")
+        folders = materialize(folders, "folders")
+        own = folders.select("root", F.col("path").alias("within"))
+        found = round_.where("kind IN ('file', 'warning')").join(own, ["root", "within"], "left_semi").select("root", "path", "below", "length", "modified", "warning")
+        out = found if out is None else out.unionByName(found)
+        seen = folders.select("root", "via") if seen is None else seen.unionByName(folders.select("root", "via"))
+        frontier = round_.where("kind = 'open'").join(own, ["root", "within"], "left_semi").join(seen, ["root", "via"], "left_anti")
+        frontier = materialize(frontier.groupBy("root", "via").agg(F.min(F.struct("path", "crossed")).alias("x")).select("root", "x.path", "x.crossed"), "frontier")
+        if frontier.isEmpty():
+            break
     if not refused:
-        return files
-    return files.unionByName(spark.createDataFrame([(w.partition(": ")[0], w.partition(": ")[0], None, None, None, w.partition(": ")[2]) for w in refused], schema))
+        return out
+    return out.unionByName(spark.createDataFrame([(w.partition(": ")[0], w.partition(": ")[0], None, None, None, w.partition(": ")[2]) for w in refused], WALKED))
 
 
-def walk(source: fs.FileSystem, top: str, start: str):
-    """What stands at start and below it, folders last in, first out."""
-    local = isinstance(source, fs.LocalFileSystem)
-    inside = lambda p: not local or os.path.realpath(p) == os.path.realpath(top) or os.path.realpath(p).startswith(os.path.realpath(top).rstrip("/") + "/")
-    stack = [source.get_file_info(start)]
+#: kind: folder (walked; via: its real path), open (a folder still to be walked), file or warning; within: the folder it stands in; crossed: the real folders whose links led here.
+_VISITED = "root string, kind string, path string, within string, via string, crossed array<string>, below string, length bigint, modified timestamp, warning string"
+
+
+def visited(source: fs.FileSystem, top: str, start: str, crossed: list[str], most: int):
+    """What stands at start and below it, folders last in, first out; after so many folders the rest of them as open."""
+    local = isinstance(source, fs.LocalFileSystem) or not isinstance(source, fs.FileSystem)
+    real = (lambda p: os.path.realpath(p)) if local else (lambda p: p)
+    under = lambda p, q: p == q or p.startswith(q.rstrip("/") + "/")
+    own_top, stack, done, n = real(top), [(start, start.rpartition("/")[0], list(crossed))], set(), 0
     while stack:
-        info = stack.pop()
-        if not inside(info.path):
+        path, within, links = stack.pop()
+        where = real(path)
+        if where in done:
+            continue
+        if n >= most:
+            yield {"kind": "open", "path": path, "within": within, "via": where, "crossed": links}
             continue
-        if info.type == fs.FileType.File:
-            yield {"path": info.path, "below": info.path[len(top.rstrip("/")) + 1 :], "length": info.size, "modified": info.mtime}
-        elif info.type == fs.FileType.Directory:
-            try:
-                found = source.get_file_info(fs.FileSelector(info.path))
-            except OSError as e:
-                yield {"path": info.path, "warning": str(e).partition(".")[0]}
-                continue
-            stack += sorted((x for x in found if not x.base_name.startswith(".")), key=lambda x: x.path, reverse=True)
+        done.add(where)
+        n += 1
+        yield {"kind": "folder", "path": path, "within": within, "via": where}
+        try:
+            found = source.get_file_info(fs.FileSelector(path))
+        except OSError as e:
+            yield {"kind": "warning", "path": path, "within": path, "warning": str(e).partition(".")[0]}
+            continue
+        for info in sorted((x for x in found if not x.base_name.startswith(".")), key=lambda x: x.path, reverse=True):
+            to = real(info.path)
+            if not under(to, own_top):
+                continue  # a link out of the root
+            if info.type == fs.FileType.File:
+                yield {"kind": "file", "path": info.path, "within": path, "below": info.path[len(top.rstrip("/")) + 1 :], "length": info.size, "modified": info.mtime}
+            elif info.type == fs.FileType.Directory:
+                crossing = to != f"{where.rstrip('/')}/{info.base_name}"
+                if not crossing or not any(under(q, to) for q in (*links, where)):
+                    stack.append((info.path, path, [*links, where] if crossing else links))
+
+
+def walk(source: fs.FileSystem, top: str, start: str):
+    """What stands at start and below it, all at once."""
+    for x in visited(source, top, start, [], 1 << 62):
+        if x["kind"] in ("file", "warning"):
+            yield {k: v for k, v in x.items() if k not in ("kind", "within")}
 
 
 def name_title(path: str) -> str:
