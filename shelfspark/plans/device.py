@@ -9,8 +9,10 @@ from shelfspark.functions import media as M
 from shelfspark.operators import copylog as L
 from shelfspark.operators import device as D
 from shelfspark.operators import feed as E
+from shelfspark.operators import segments as G
 from shelfspark.plans.library import _size
 from shelfspark.sources.adapters import view, with_views
+from shelfspark.storage import fresh
 from shelfspark.streaming import catalogue as W
 
 
@@ -38,6 +40,18 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "log")
 
 
+def segmented(spark: SparkSession, d: str) -> DataFrame:
+    """The last readable lines of the log after it came in ten appends, of which one came twice, and was compacted on the way."""
+    lines, path = log(spark, d), fresh(spark, "log")
+    width = lines.agg(F.max("line_no")).first()[0] // 10 + 1
+    for batch in range(10):
+        G.append(lines.where(F.expr(f"line_no div {width}") == batch), path, batch, [F.col("line_no")])
+        if batch in (4, 8):
+            G.compact(spark, path)
+            G.append(lines, path, batch, [F.col("line_no")])  # comes again
+    return L.tail(G.tail(spark, path, 1000).drop("seq"), 1000)
+
+
 def offers(spark: SparkSession, d: str) -> DataFrame:
     return E.offers(view(spark, d, "offers"))
 
@@ -59,6 +73,7 @@ QUERIES = {
     "device_footer": lambda s, d: D.list_footer(store(s, d)),
     "encrypted_twin": encrypted_twin,
     "log_tail": lambda s, d: L.tail(log(s, d), 20),
+    "log_segments": segmented,
     "log_failed": lambda s, d: L.failed(log(s, d), 20),
     "log_by_route": lambda s, d: L.by_route(log(s, d)),
     "log_shown": lambda s, d: L.shown(L.tail(log(s, d), 200)),
@@ -103,6 +118,7 @@ ORACLE = {
     "device_footer": _STORE + "SELECT count(*) AS entries, CAST(sum(CASE WHEN preview THEN 0 ELSE 1 END) AS BIGINT) AS books, CAST(sum(CASE WHEN preview THEN 1 ELSE 0 END) AS BIGINT) AS previews FROM device",
     "encrypted_twin": with_views("store") + " SELECT '/side/' || ContentID AS path, ContentID AS id FROM store WHERE has_keys AND CAST(ContentID AS BIGINT) % 3 <> 0",
     "log_tail": _LOG + "SELECT * FROM (SELECT * FROM log ORDER BY line_no DESC LIMIT 20) WHERE NOT malformed",
+    "log_segments": _LOG + "SELECT * FROM (SELECT * FROM log ORDER BY line_no DESC LIMIT 1000) WHERE NOT malformed",
     "log_failed": _LOG + "SELECT * FROM (SELECT * FROM (SELECT * FROM log ORDER BY line_no DESC LIMIT 1000) WHERE NOT malformed AND NOT ok ORDER BY line_no DESC LIMIT 20)",
     "log_by_route": _LOG + "SELECT from_place, to_place, count(*) AS copies, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failed, CAST(sum(bytes) AS BIGINT) AS bytes FROM log WHERE NOT malformed GROUP BY from_place, to_place",
     "log_shown": _LOG + f"""SELECT line_no, strftime(make_timestamp("at" * 1000000), '%Y-%m-%d %H:%M') AS "when", title, from_place, to_place, {_size('bytes')} AS size, ok FROM (SELECT * FROM log ORDER BY line_no DESC LIMIT 200) WHERE NOT malformed""",
