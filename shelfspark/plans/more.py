@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import config, sinks
 from shelfspark.functions import text as X
+from shelfspark.operators import bulk as Q
 from shelfspark.operators import cache as C
 from shelfspark.operators import catalog as K
 from shelfspark.operators import convert as V
@@ -64,6 +65,21 @@ def copied(spark: SparkSession, d: str) -> DataFrame:
     return S.copy_check(rows, there, 600_000)
 
 
+def bulk_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of copying all books, in a job that stops after its first wave and another that goes on."""
+
+    def act(row: dict) -> str:
+        if row["id"] % 13 == 0:
+            raise OSError("the card is full")
+        return f"{row['path']}: {row['size']}"
+
+    items, ledger = copies(spark, d).select(F.col("copy_id").alias("id"), "path", "size"), fresh(spark, "ledger")
+    wave = max(50, items.count() // 3)
+    Q.run(items, act, ledger, wave, waves=1)
+    Q.run(items, act, ledger, wave)
+    return Q.outcomes(spark, ledger)
+
+
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Decisions where every eleventh book is a request for one."""
     b = books(spark, d)
@@ -292,6 +308,7 @@ QUERIES = {
     "plan_rows": lambda s, d: S.plan_table(sync_plan(s, d)),
     "plan_summary": lambda s, d: S.plan_summary(sync_plan(s, d), "CrossPoint"),
     "copy_outcomes": copied,
+    "bulk_outcomes": bulk_outcomes,
     "request_rules": requests,
     "free_space": space,
     "marked_books": marked,
@@ -351,6 +368,7 @@ ORACLE = {
     "copy_outcomes": _COPIES + """, w AS (SELECT copy_id AS id, copy_id % 31 = 0 OR copy_id % 37 = 0 OR copy_id % 41 = 0 AS odd, 'n' || copy_id || '.' || format AS name, size FROM copies WHERE place = 'Kobo'),
         o AS (SELECT *, CASE WHEN odd THEN 'not a suitable name' WHEN id % 4 < 2 AND id % 43 = 0 THEN 'the name is taken by a folder' WHEN id % 4 = 0 THEN 'already there' WHEN id % 4 = 1 THEN 'a different file is there' WHEN size > 600000 THEN 'not enough space' ELSE 'copied' END AS outcome FROM w)
         SELECT id, outcome, CASE outcome WHEN 'copied' THEN 'Books/' || name WHEN 'already there' THEN 'Books/' || upper(name) END AS path FROM o""",
+    "bulk_outcomes": _COPIES + "SELECT copy_id AS id, copy_id % 13 <> 0 AS ok, CASE WHEN copy_id % 13 = 0 THEN 'the card is full' ELSE path || ': ' || size END AS detail FROM copies",
     "request_rules": _BOOKS + _request_sql(),
     "free_space": _BOOKS + f""", asked AS ({' UNION ALL '.join(f"SELECT '{p}' AS place, NOT on_{p.lower()} AS misses, best_size FROM books WHERE book_id % 11 <> 0" for p in K.PLACES)}),
         summed AS (SELECT place, CAST(sum(CASE WHEN misses THEN 1 ELSE 0 END) AS BIGINT) AS books, CAST(sum(CASE WHEN misses THEN best_size ELSE 0 END) AS BIGINT) AS bytes FROM asked GROUP BY place)
