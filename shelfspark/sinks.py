@@ -43,10 +43,3 @@ def free_name(name: str, taken: Iterable[str]) -> str:
         if tried.lower() not in there:
             return tried
     raise FileExistsError(f"{TRIES} corrections of {name} are there already")
-
-
-def appended(log: DataFrame, new: DataFrame, path: str, keep: int) -> DataFrame:
-    """Writes the newest `keep` lines of log and new beside the old log, at path, and gives what was written."""
-    rows = log.unionByName(new).orderBy(F.col("line_no").desc()).limit(keep)
-    rows.write.mode("error").parquet(path)
-    return log.sparkSession.read.parquet(path)
