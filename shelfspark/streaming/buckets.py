@@ -46,7 +46,13 @@ def manifests(spark: SparkSession, root: str) -> list[int]:
 
 
 def manifest(spark: SparkSession, root: str, version: int) -> dict:
-    return json.loads("\n".join(r.value for r in spark.read.text(f"{root}/CURRENT-{version:012d}").collect()))  # an entry for each bucket
+    """What a version says of its tables: an entry for each bucket."""
+    p, fs = file_system(spark, f"{root}/CURRENT-{version:012d}")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def current(spark: SparkSession, root: str) -> tuple[int, dict]:
