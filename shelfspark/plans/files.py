@@ -393,11 +393,11 @@ def device_shelves(spark: SparkSession, d: str) -> DataFrame:
 def page_order(spark: SparkSession, d: str) -> DataFrame:
     """Pages of a catalogue for all parts, which go up by the odd numbers and down by the even ones, and lead back to the first."""
     p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey > 0").select(F.col("p_partkey").alias("k"))
-    last = p.agg(F.max("k").alias("last"))
+    last = p.agg(F.max("k")).first()[0] or 0
     at = lambda n: F.concat(F.lit(f"{FEED_HOST}/parts/"), n.cast("string"))
-    up = F.when(F.col("k") + 2 <= F.col("last"), F.col("k") + 2).otherwise(F.col("last") - F.col("last") % 2)
+    up = F.when(F.col("k") + 2 <= last, F.col("k") + 2).otherwise(last - last % 2)
     down = F.when(F.col("k") > 2, F.col("k") - 2).otherwise(1)
-    made = p.withColumn("one", F.lit(1)).join(last.withColumn("one", F.lit(1)), "one").select(at(F.col("k")).alias("address"), at(F.when(F.col("k") % 2 == 1, up).otherwise(down)).alias("next"))  # a row
+    made = p.select(at(F.col("k")).alias("address"), at(F.when(F.col("k") % 2 == 1, up).otherwise(down)).alias("next"))
     return opds.page_numbers(made, f"{FEED_HOST}/parts/1")
 
 
