@@ -6,6 +6,10 @@ import json
 from dataclasses import asdict, dataclass, fields
 from urllib.parse import urlsplit
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from shelfspark.functions import text as X
 from shelfspark.plans.library import PROFILES
 
 
@@ -68,3 +72,33 @@ def address(text: str) -> tuple[str, int]:
     if parts.scheme != "http" or not parts.hostname or parts.username or parts.query or parts.fragment or parts.path not in ("", "/"):
         raise ValueError(f"no address of a reader: {text}")
     return parts.hostname, parts.port or 80
+
+
+NAMES = sorted(f.name for f in fields(Settings))
+FOLDERS = ("books", "imports", "kobo", "card", "reader_folder")
+
+
+def _fits(said: Column) -> Column:
+    """Whether settings as a struct can hold."""
+    known = [squashed(n) for d, aliases in PROFILES.items() for n in (d, *aliases)]
+    rules = [
+        *[said[n].startswith("/") | F.contains(said[n], F.lit("://")) for n in FOLDERS], X.squashed(said["screen"]).isin(known), said["catalogue"].rlike(r"(?i)^https?://[^/?#]+"),
+        said["reader"].rlike(r"(?i)^(?:http://)?(?:[^/?#@:\[\]\s]+|\[[0-9a-f:.]+\])(?::[0-9]{1,5})?/?$"),
+    ]
+    out = F.lit(True)
+    for rule in rules:
+        out = out & F.coalesce(rule, F.lit(True))
+    return out
+
+
+def layered(over: Column, under: Column) -> Column:
+    """As `load(over).over(load(under))` for columns of JSON: the settings as JSON by name, or null where a layer can't hold."""
+    schema = ", ".join(f"{n} {'boolean' if n == 'show_previews' else 'string'}" for n in NAMES)
+    layers, holds = [], F.lit(True)
+    for text in (over, under):
+        text = F.when(F.coalesce(X.trimmed(text), F.lit("")) == "", F.lit("{}")).otherwise(text)
+        said = F.from_json(text, schema)
+        names = F.json_object_keys(text)
+        layers.append(said)
+        holds = holds & names.isNotNull() & (F.size(F.array_except(names, F.array(*map(F.lit, NAMES)))) == 0) & _fits(said)
+    return F.when(holds, F.to_json(F.struct(*[F.coalesce(layers[0][n], layers[1][n]).alias(n) for n in NAMES])))

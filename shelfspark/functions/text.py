@@ -205,6 +205,20 @@ def looks_like_web_page(x: Column) -> Column:
     return head.startswith("<!doctype html") | head.startswith("<html")
 
 
+def resolved_reference(base: Column, href: Column) -> Column:
+    """A path in an archive from a reference in a document of folder base; null if it leads out of it or is no reference to a file."""
+    raw = F.substring_index(href, "#", 1)
+    path = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+    refused = raw.rlike("%(?![0-9A-Fa-f]{2})") | path.rlike(r"^/|[\\:]") | (F.contains(path, F.lit("\ufffd")) & ~F.contains(raw, F.lit("\ufffd")) & ~F.contains(F.lower(raw), F.lit("%ef%bf%bd")))
+    steps = F.filter(F.split(F.concat_ws("/", base, path), "/"), lambda s: ~s.isin("", "."))
+
+    def step(at: Column, s: Column) -> Column:
+        return F.when(s != "..", F.concat(at, F.array(s))).when(F.size(at) > 0, F.slice(at, 1, F.size(at) - 1))
+
+    way = F.aggregate(steps, F.array().cast("array<string>"), step)
+    return F.when(~refused & way.isNotNull(), F.when(F.size(way) == 0, F.lit(".")).otherwise(F.array_join(way, "/")))
+
+
 def form_encoded(x: Column) -> Column:
     return F.url_encode(x)
 

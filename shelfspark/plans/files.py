@@ -21,12 +21,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfspark import sinks
+from shelfspark.functions import text as X
 from shelfspark.operators import copylog as L
 from shelfspark.operators import device as D
 from shelfspark.operators import feed as E
 from shelfspark.operators import convert, segment
 from shelfspark.plans.device import _BEST, _NOTES, _OFFERS, _SHELVES, log
 from shelfspark.plans.library import copies
+from shelfspark.plans.names import _NAME, _PART
 from shelfspark.plans.text import _PARAGRAPHS
 from shelfspark.shipping import ship
 from shelfspark.sources import books, device_db, epub, figures, opds, packing, pdf, reader
@@ -145,31 +147,30 @@ def spanned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def free_names(spark: SparkSession, d: str) -> DataFrame:
-    """The name of a correction beside those that are there."""
-    there = ["BOOK.epub", "Book (Corrected).EPUB", "book (corrected 2).epub", "Book (corrected 3).epub"]
-    return each(copies(spark, d).select("copy_id"), "copy_id bigint, name string", lambda r: {"copy_id": r["copy_id"], "name": sinks.free_name("Book.epub", there[: r["copy_id"] % 5])})
+    """Names of copies in folders of their authors, where a third of all copies has its names already, some of them corrections."""
+    c = copies(spark, d).withColumn("name", F.concat(X.component(F.col("title"), "Untitled"), F.when(F.col("copy_id") % 9 == 0, F.lit(" (corrected)")).when(F.col("copy_id") % 9 == 3, F.lit(" (Corrected 3)")).otherwise(""), F.lit("."), "format"))
+    c = c.select(F.col("copy_id").alias("id"), F.col("author").alias("folder"), F.when(F.col("copy_id") % 2 == 0, F.translate("name", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.col("name")).alias("name"))
+    return sinks.free_names(c.where("id % 3 > 0"), c.where("id % 3 = 0")).withColumnsRenamed({"id": "copy_id", "free": "name"})
 
 
 def search_addresses(spark: SparkSession, d: str) -> DataFrame:
-    """The address that asks a catalogue for a nation's name."""
+    """The address that asks a catalogue for each copy's title and author."""
     described = '<OpenSearchDescription xmlns="http://a9.com/-/spec/opensearch/1.1/"><Url type="text/html" template="/no"/><Url type="application/atom+xml;profile=opds-catalog" template="../find?q={searchTerms}&amp;n=1"/></OpenSearchDescription>'
-    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")
-    return each(rows, "n_nationkey int, address string", lambda r: {"n_nationkey": r["n_nationkey"], "address": opds.search_address(described, f"{FEED_HOST}/a/b/search.xml", f"{r['n_name']} & é*")})
-
-
-_REFERENCES = [("", "a.xhtml", "a.xhtml"), ("OPS", "text/c%C3%A9%20d.xhtml#p1", "OPS/text/cé d.xhtml"), ("OPS/text", "../img/./x.png", "OPS/img/x.png"), ("OPS", "../../out", None), ("OPS", "/abs", None), ("", "x%zz", None), ("", "%ff", None), ("OPS", "http://x/y", None), ("a", "..\\b", None)]
+    template = opds.search_template(described, f"{FEED_HOST}/a/b/search.xml")
+    return copies(spark, d).select("copy_id", opds.search_addresses(template, F.concat_ws(" & ", "title", "author")).alias("address"))
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
-    """Where references in a book's documents lead, or nothing."""
-
-    def make(r: dict) -> dict:
-        try:
-            return r | {"path": epub.resolve(r["base"], r["href"])}
-        except epub.BadBook:
-            return r | {"path": None}
-
-    return each(spark.createDataFrame([(b, h) for b, h, _ in _REFERENCES], "base string, href string"), "base string, href string, path string", make)
+    """Where the references of all pages lead, read as those of documents in a folder of the page's path, or nothing."""
+    p = spread(spark.read.parquet(f"{d}/pages.parquet"))
+    base = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), "/?[^/]*$", "")
+    found = p.select("page_id", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h")).withColumn("bare", F.regexp_replace("h", "^/", ""))
+    way, bare = F.col("page_id") % 7, F.col("bare")
+    href = (
+        F.when(way == 0, F.col("h")).when(way == 1, F.concat(F.lit("../"), bare)).when(way == 2, F.concat(F.lit("../x/../../"), bare)).when(way == 3, F.concat(F.lit("./"), F.replace(F.url_encode(bare), F.lit("+"), F.lit("%20")), F.lit("#top")))
+        .when(way == 4, F.concat(bare, F.lit("%zz"))).when(way == 5, F.concat(F.lit("text//./"), bare, F.lit("/../%c3%a9+"))).otherwise(bare)
+    )
+    return found.select("page_id", "base", href.alias("href")).select("*", X.resolved_reference(F.col("base"), F.col("href")).alias("path"))
 
 
 def _le(n: str) -> str:
@@ -259,18 +260,19 @@ def converted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def picture_files(spark: SparkSession, d: str) -> DataFrame:
-    """path, content: a PDF for each part, which draws a gray, a CMYK, an indexed and a half transparent picture, one of them within a form, and one that is cut."""
+    """path, content: a PDF for each part, which draws a gray, a CMYK, an indexed and a half transparent picture, one of them within a form, one that is cut, one of 16 bits and one of single bits in two rows."""
     ship(spark)
 
     def one(k: int, size: int) -> bytes:
-        image = lambda space, bits, body, more="": f"<< /Subtype /Image /Width 3 /Height 1 /BitsPerComponent {bits} /ColorSpace {space} /Filter /ASCIIHexDecode {more} /Length {len(body)} >>\nstream\n{body}\nendstream"
+        image = lambda space, bits, body, more="", height=1: f"<< /Subtype /Image /Width 3 /Height {height} /BitsPerComponent {bits} /ColorSpace {space} /Filter /ASCIIHexDecode {more} /Length {len(body)} >>\nstream\n{body}\nendstream"
         form = "q 40 0 0 20 0 0 cm /I3 Do Q"
-        draw = f"q 100 0 0 80 20 30 cm /I1 Do Q q 30 0 0 {size} 0 5 cm /I2 Do Q 1 0 0 1 7 9 cm /X Do /I4 Do /I5 Do"
+        draw = f"q 100 0 0 80 20 30 cm /I1 Do Q q 30 0 0 {size} 0 5 cm /I2 Do Q 1 0 0 1 7 9 cm /X Do /I4 Do /I5 Do /I6 Do /I7 Do"
         objects = {
-            1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R] >>", 3: "<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /XObject << /I1 11 0 R /I2 12 0 R /I3 13 0 R /I4 14 0 R /I5 15 0 R /X 20 0 R >> >> >>",
+            1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R] >>", 3: "<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /XObject << /I1 11 0 R /I2 12 0 R /I3 13 0 R /I4 14 0 R /I5 15 0 R /I6 17 0 R /I7 18 0 R /X 20 0 R >> >> >>",
             4: f"<< /Length {len(draw)} >>\nstream\n{draw}\nendstream", 11: image("/DeviceGray", 8, f"{k % 256:02x}{size:02x}ff>"), 12: image("/DeviceCMYK", 8, f"{size:02x}000000" + "00" * 4 + "000000ff>"),
             13: image("[/Indexed /DeviceRGB 3 <" + f"{k % 256:02x}{size:02x}01" + "aabbcc" + "102030" + "ffffff>]", 2, f"{k % 4 << 6 | 0x18:02x}>"), 14: image("/DeviceRGB", 8, "000000" * 3 + ">", "/SMask 16 0 R"),
-            15: image("/DeviceRGB", 8, "0000>"), 16: image("/DeviceGray", 8, f"{size:02x}00ff>"), 20: f"<< /Subtype /Form /Length {len(form)} >>\nstream\n{form}\nendstream",
+            15: image("/DeviceRGB", 8, "0000>"), 16: image("/DeviceGray", 8, f"{size:02x}00ff>"), 17: image("/DeviceGray", 16, f"{k % 256:02x}{size:02x}{size:02x}{k % 256:02x}ffff>"),
+            18: image("/DeviceGray", 1, f"{k % 8 << 5 | 0x1f:02x}a0>", height=2), 20: f"<< /Subtype /Form /Length {len(form)} >>\nstream\n{form}\nendstream",
         }
         return ("%PDF-1.7\n" + "".join(f"{n} 0 obj\n{o}\nendobj\n" for n, o in objects.items()) + "trailer << /Root 1 0 R >>\n%%EOF\n").encode("latin-1")
 
@@ -283,20 +285,21 @@ def picture_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pictures(spark: SparkSession, d: str) -> DataFrame:
-    """The first pixel of each picture as its PNG holds it."""
+    """All pixels of each picture as its PNG holds them, row by row."""
     rows = figures.pictures(picture_files(spark, d))
+    schema = pa.schema([("p_partkey", pa.int64()), ("n", pa.int32()), ("top", pa.float64()), ("height", pa.float64()), ("pixels", pa.string()), ("error", pa.string())])
+
+    def pixels(body: bytes) -> str:
+        at, width = body.index(b"IDAT"), int.from_bytes(body[16:20], "big")
+        raw = zlib.decompress(body[at + 4 : at + 4 + int.from_bytes(body[at - 4 : at], "big")])
+        return "/".join(raw[i + 1 : i + 1 + 3 * width].hex() for i in range(0, len(raw), 1 + 3 * width))
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                body = r.pop("picture")
-                at = -1 if body is None else body.index(b"IDAT")
-                raw = b"" if body is None else zlib.decompress(body[at + 4 : at + 4 + int.from_bytes(body[at - 4 : at], "big")])
-                rgb = None if body is None else raw[1:4].hex()
-                yield pa.RecordBatch.from_pylist([{"p_partkey": int(r["doc"]), "n": r["n"], "top": r["top"], "height": r["height"], "first": rgb, "error": r["error"]}], schema=schema)
+            made = [{"p_partkey": int(r["doc"]), "n": r["n"], "top": r["top"], "height": r["height"], "pixels": None if r["picture"] is None else pixels(r["picture"]), "error": r["error"]} for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(made, schema=schema)
 
-    schema = pa.schema([("p_partkey", pa.int64()), ("n", pa.int32()), ("top", pa.float64()), ("height", pa.float64()), ("first", pa.string()), ("error", pa.string())])
-    return rows.mapInArrow(run, "p_partkey bigint, n int, top double, height double, first string, error string")
+    return rows.mapInArrow(run, "p_partkey bigint, n int, top double, height double, pixels string, error string")
 
 
 FEED_HOST = "http://books.example.org"
@@ -470,13 +473,26 @@ ORACLE = {
         CASE WHEN copy_id % 4 > 0 THEN 7.0 END AS series_index, true AS same, true AS sha FROM copies""",
     "spanned_books": f"""WITH t AS (SELECT doc_id, {_ESCAPED.format("text")} AS t FROM documents), s AS (SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?s).*?[.!?](?:[ \\t\\n\\f\\r]+|\\z)|.+\\z'), lambda x : regexp_matches(x, '[^\\s]'))) AS n FROM t)
         SELECT doc_id, n AS spans, CASE WHEN n > 0 THEN 'kobo.1.' || n END AS last, true AS same FROM s""",
-    "free_names": with_views("copies") + """ SELECT copy_id, CASE copy_id % 5 WHEN 0 THEN 'Book.epub' WHEN 1 THEN 'Book (corrected).epub' ELSE 'Book (corrected ' || (copy_id % 5) || ').epub' END AS name FROM copies""",
-    "search_addresses": f"SELECT n_nationkey, '{FEED_HOST}/a/find?q=' || replace(n_name, ' ', '+') || '+%26+%C3%A9*&n=1' AS address FROM nation",
-    "resolved_references": "SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{h}', " + ("NULL" if p is None else f"'{p}'") + ")" for b, h, p in _REFERENCES) + ") AS t(base, href, path)",
+    "free_names": with_views("copies") + f""", c AS (SELECT copy_id, author AS folder, {_NAME.format(_PART.format("title"), "Untitled")} || CASE copy_id % 9 WHEN 0 THEN ' (corrected)' WHEN 3 THEN ' (Corrected 3)' ELSE '' END AS stem, format FROM copies),
+        n AS (SELECT copy_id, folder, CASE WHEN copy_id % 2 = 0 THEN translate(stem, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE stem END AS stem, CASE WHEN copy_id % 2 = 0 THEN upper(format) ELSE format END AS format FROM c),
+        t AS (SELECT DISTINCT folder, lower(stem || '.' || format) AS name FROM n WHERE copy_id % 3 = 0), w AS (SELECT *, lower(stem || '.' || format) AS name, row_number() OVER (PARTITION BY folder, lower(stem || '.' || format) ORDER BY copy_id) AS r FROM n WHERE copy_id % 3 > 0),
+        k AS (SELECT folder, name, unnest(range(101)) AS k, stem, format FROM (SELECT folder, name, lower(any_value(stem)) AS stem, lower(any_value(format)) AS format FROM w GROUP BY folder, name)),
+        f AS (SELECT folder, name, k, row_number() OVER (PARTITION BY folder, name ORDER BY k) AS r FROM (SELECT folder, name, k, CASE k WHEN 0 THEN name WHEN 1 THEN stem || ' (corrected).' || format ELSE stem || ' (corrected ' || k || ').' || format END AS form FROM k) x
+          WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.folder = x.folder AND t.name = x.form) AND (k = 0 OR NOT EXISTS (SELECT 1 FROM w WHERE w.folder = x.folder AND w.name = x.form)))
+        SELECT copy_id, w.folder, CASE WHEN k = 0 THEN stem || '.' || format WHEN k = 1 THEN stem || ' (corrected).' || format WHEN k > 1 THEN stem || ' (corrected ' || k || ').' || format END AS name FROM w LEFT JOIN f ON f.folder = w.folder AND f.name = w.name AND f.r = w.r""",
+    "search_addresses": with_views("copies") + f""" SELECT copy_id, '{FEED_HOST}/a/find?q=' || replace(replace(replace(url_encode(title || ' & ' || author), '%20', '+'), '~', '%7E'), '%2A', '*') || '&n=1' AS address FROM copies""",
+    "resolved_references": """WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/?[^/]*$', '') AS base, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages),
+        r AS (SELECT page_id, base, regexp_replace(h, '^/', '') AS bare, h FROM p), v AS (SELECT page_id, base, CASE page_id % 7 WHEN 0 THEN h WHEN 1 THEN '../' || bare WHEN 2 THEN '../x/../../' || bare WHEN 3 THEN './' || replace(replace(url_encode(bare), '~', '%7E'), '%2A', '*') || '#top'
+          WHEN 4 THEN bare || '%zz' WHEN 5 THEN 'text//./' || bare || '/../%c3%a9+' ELSE bare END AS href FROM r),
+        u AS (SELECT *, url_decode(split_part(href, '#', 1)) AS path, regexp_matches(split_part(href, '#', 1), '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') AS broken FROM v),
+        f AS (SELECT *, list_reduce(list_prepend('', list_filter(string_split(base || '/' || path, '/'), lambda s : s NOT IN ('', '.'))), lambda a, s : CASE WHEN a = '!' OR s = '..' AND a = '' THEN '!' WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || s END) AS way FROM u)
+        SELECT page_id, base, href, CASE WHEN NOT broken AND NOT regexp_matches(path, '^/|[\\\\:]') AND way <> '!' THEN CASE WHEN way = '' THEN '.' ELSE substr(way, 2) END END AS path FROM f""",
     "pictures": """WITH p AS (SELECT p_partkey, p_size, printf('%02x', CAST(p_partkey % 256 AS INT)) AS k, printf('%02x', p_size) AS s, printf('%02x', 255 - p_size) AS t FROM part)
-        SELECT p_partkey, CAST(0 AS INT) AS n, 110.0 AS top, 80.0 AS height, k || k || k AS first, CAST(NULL AS VARCHAR) AS error FROM p UNION ALL SELECT p_partkey, 1, 5.0 + p_size, p_size, t || 'ffff', NULL FROM p
-        UNION ALL SELECT p_partkey, 2, 29.0, 20.0, CASE p_partkey % 4 WHEN 0 THEN k || s || '01' WHEN 1 THEN 'aabbcc' WHEN 2 THEN '102030' ELSE 'ffffff' END, NULL FROM p UNION ALL SELECT p_partkey, 3, 10.0, 1.0, t || t || t, NULL FROM p
-        UNION ALL SELECT p_partkey, 4, 10.0, 1.0, NULL, 'fewer samples than pixels' FROM p""",
+        SELECT p_partkey, CAST(0 AS INT) AS n, 110.0 AS top, 80.0 AS height, k || k || k || s || s || s || 'ffffff' AS pixels, CAST(NULL AS VARCHAR) AS error FROM p UNION ALL SELECT p_partkey, 1, 5.0 + p_size, p_size, t || 'ffffffffff000000', NULL FROM p
+        UNION ALL SELECT p_partkey, 2, 29.0, 20.0, CASE p_partkey % 4 WHEN 0 THEN k || s || '01' WHEN 1 THEN 'aabbcc' WHEN 2 THEN '102030' ELSE 'ffffff' END || 'aabbcc102030', NULL FROM p UNION ALL SELECT p_partkey, 3, 10.0, 1.0, t || t || t || 'ffffff000000', NULL FROM p
+        UNION ALL SELECT p_partkey, 4, 10.0, 1.0, NULL, 'fewer samples than pixels' FROM p
+        UNION ALL SELECT p_partkey, 5, 10.0, 1.0, repeat(printf('%02x', CAST((p_partkey % 256 * 256 + p_size) // 257 AS INT)), 3) || repeat(printf('%02x', CAST((p_size * 256 + p_partkey % 256) // 257 AS INT)), 3) || 'ffffff', NULL FROM p
+        UNION ALL SELECT p_partkey, 6, 10.0, 1.0, repeat(CASE WHEN p_partkey % 8 // 4 = 1 THEN 'ff' ELSE '00' END, 3) || repeat(CASE WHEN p_partkey % 4 // 2 = 1 THEN 'ff' ELSE '00' END, 3) || repeat(CASE WHEN p_partkey % 2 = 1 THEN 'ff' ELSE '00' END, 3) || '/ffffff000000ffffff', NULL FROM p""",
     "feed_entries": with_views("offers") + f""" SELECT {_PAGE} AS address, entry_id, CASE WHEN entry_id % 5 > 0 THEN 'Order ' || entry_id ELSE 'Untitled' END AS title,
         CASE entry_id % 3 WHEN 0 THEN 'Unknown author' WHEN 1 THEN 'Author 0 of ' || entry_id ELSE 'Author 0 of ' || entry_id || ' and others' END AS author, CASE WHEN entry_id % 7 = 0 THEN '{FEED_HOST}/feeds/more' END AS subsection,
         CAST(count(*) AS INT) AS n_offers, '{FEED_HOST}/get/' || entry_id || '/' || min(ord) AS first FROM offers WHERE {_SHOWN} GROUP BY entry_id""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +16,18 @@ from shelfspark.operators import ranks
 from shelfspark.operators import sync as S
 from shelfspark.plans.device import _STORE, store
 from shelfspark.plans.library import _BOOKS, _COPIES, _KEYS, _PLACES, books, copies, resolved, sync_plan
+from shelfspark.plans.names import _NAME, _PART
 from shelfspark.plans.text import _LINES, lines
 from shelfspark.sources import books as B
 from shelfspark.sources import reader as N
 from shelfspark.sources.adapters import view
-from shelfspark.storage import fresh
+from shelfspark.storage import fresh, spread
 from shelfspark.streaming import catalogue as W
 from shelfspark.streaming import places as P
 from shelfspark.streaming import resolution as I
 
 # Planning -------------------------------------------------------------------------------------------------------------------------------
 
-_NAME = """CASE WHEN {0} = '' OR lower({0}) IN ('system volume information', 'xtcache') THEN '{1}' ELSE {0} END"""
-_PART = "regexp_replace(regexp_replace({0}, '[\\p{{Cc}}<>:\"/\\\\|?*]', '_', 'g'), '^[.\\s\\p{{Z}}]+|[.\\s\\p{{Z}}]+$', '', 'g')"
 _PLAN = _COPIES + f""", named AS (SELECT *, {_PART.format("author")} AS folder, {_PART.format("title")} AS stem FROM copies),
   wanted AS (SELECT copy_id AS id, list_distinct(list_filter([CASE WHEN sha <> '' THEN sha END, resources], lambda x : x IS NOT NULL)) AS own, {_NAME.format("folder", "Unknown author")} || '/' || {_NAME.format("stem", "Untitled")} || '.' || format AS target,
     sha = '' AS bad, row_number() OVER (ORDER BY lower(title), copy_id) AS n FROM named WHERE place = 'Kobo'),
@@ -212,21 +209,19 @@ def pretty(spark: SparkSession, d: str) -> DataFrame:
     return sinks.pretty_json(K.entry_counts(copies(spark, d)))
 
 
-_LAYERS = [
-    (None, None), ("{}", '{"screen": "x4"}'), ('{"books": "/a", "show_previews": false}', '{"books": "/b", "show_previews": true, "reader": "10.0.0.2"}'), ('{"books": "a"}', None), ('{"screen": "typewriter"}', None),
-    ('{"catalogue": "ftp://x"}', None), ('{"catalogue": "https://books.example.org/feed"}', '{"catalogue": "http://other.example.org"}'), ('{"reader": "http://reader.local:8080"}', None), ('{"reader": "http://u@reader.local"}', None), ('{"colour": "red"}', None),
-]
-
-
 def settings(spark: SparkSession, d: str) -> DataFrame:
-    """A few pairs of layers of settings, the first over the second, as JSON; nothing where one can't hold."""
-    rows = []
-    for i, (over, under) in enumerate(_LAYERS):
-        try:
-            rows.append((i, json.dumps(json.loads(config.dump(config.load(over).over(config.load(under)))), sort_keys=True)))
-        except ValueError:
-            rows.append((i, None))
-    return spark.createDataFrame(rows, "id int, settings string")
+    """Each client's settings over those of its nation, both as JSON; nothing where one can't hold."""
+    c, n = F.col, spark.read.parquet(f"{d}/nation.parquet")
+    mail = F.substring_index("email", "@", -1)
+    own = {
+        "books": F.when(c("client_id") % 2 == 0, F.concat(F.when(c("client_id") % 14 == 0, F.lit("")).otherwise("/"), "city")), "screen": F.when(c("segment") == "retail", F.lit("x4-PRO")).when(c("balance") < -500, F.lit("typewriter")),
+        "reader": F.when(c("client_id") % 3 == 0, F.concat(F.when(c("client_id") % 33 == 0, F.lit("http://u@")).when(c("client_id") % 5 == 0, F.lit("http://")).otherwise(""), F.lit("10.0.0."), c("nation_id").cast("string"), F.lit(":80"))),
+        "catalogue": F.when(c("client_id") % 5 > 1, F.concat(F.when(c("client_id") % 65 == 2, F.lit("ftp")).otherwise("https"), F.lit("://"), mail, F.lit("/feed"))), "show_previews": c("balance") > 2500, "colour": F.when(c("client_id") % 17 == 0, c("segment")),
+    }
+    theirs = {"books": F.concat(F.lit("/"), "n_name"), "kobo": F.lit("/mnt"), "show_previews": F.lit(True), "card": F.when(c("n_nationkey") % 9 == 4, F.lit("card")), "reader": F.lit("[::1]")}
+    said = lambda v: F.to_json(F.struct(*[x.alias(k) for k, x in v.items()]))
+    rows = spark.read.parquet(f"{d}/clients.parquet").select("client_id", "nation_id", F.when(c("client_id") % 19 > 0, said(own)).alias("own"))
+    return rows.join(n.select(c("n_nationkey").alias("nation_id"), said(theirs).alias("theirs")), "nation_id", "left").select("client_id", config.layered(c("own"), c("theirs")).alias("settings"))
 
 
 # Texts --------------------------------------------------------------------------------------------------------------------------------------
@@ -243,7 +238,8 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
 
 def web_pages(spark: SparkSession, d: str) -> DataFrame:
     p = spark.read.parquet(f"{d}/pages.parquet")
-    text = F.when(F.col("page_id") % 3 == 0, F.col("html")).when(F.col("page_id") % 3 == 1, F.concat(F.lit(" \n<HTML>"), "html")).otherwise(F.concat(F.lit("<feed>"), "html"))
+    way, html = F.col("page_id") % 4, F.col("html")
+    text = F.when(way == 0, html).when(way == 1, F.concat(F.lit("\ufeff \n<HTML>"), html)).when(way == 2, F.concat(F.lit("<feed>"), html)).otherwise(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1))
     return p.select("page_id", X.looks_like_web_page(text).alias("web_page"))
 
 
@@ -287,9 +283,9 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wrapped(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences a b c of known widths, folded at 10 cells: words of 3 characters stand two to a line."""
-    c = copies(spark, d)
-    return c.select("copy_id", F.array_join(X.wrapped(F.array_join(F.transform(F.sequence(F.lit(1), F.col("copy_id").cast("int") % 7 + 1), lambda i: F.concat(F.lit("ab"), i.cast("string"))), "  "), 10), "|").alias("lines"))
+    """What is said in each turn, in lines of 40 cells."""
+    t = spread(spark.read.parquet(f"{d}/conversations.parquet"))
+    return t.select("conv_id", "turn", F.array_join(X.wrapped(F.col("text"), 40), "|").alias("lines"))
 
 
 def in_sight(spark: SparkSession, d: str) -> DataFrame:
@@ -354,7 +350,8 @@ ORACLE = {
         SELECT r.folder || r.stem || '.acsm' AS below, r.sha, seq, r.folder || 'archive/' || r.stem || CASE WHEN nth > 0 THEN '-' || nth ELSE '' END || '.acsm' AS archived FROM r JOIN f ON f.folder = r.folder AND f.stem = r.stem AND f.sha = r.sha""",
     "cells": _COPIES + """, t AS (SELECT copy_id, regexp_replace(title, '\\p{Cc}', ' ', 'g') AS title, path FROM copies) SELECT copy_id, CASE WHEN length(title) <= 12 THEN title ELSE substr(title, 1, 11) || '…' END AS short,
         CASE WHEN length(path) <= 9 THEN path ELSE '…' || right(path, 8) END AS ending, CAST(length(title) + 4 AS INT) AS cells FROM t""",
-    "wrapped_words": _COPIES + "SELECT copy_id, (SELECT string_agg('ab' || i || CASE WHEN i = n THEN '' WHEN i % 2 = 1 THEN ' ' ELSE '|' END, '' ORDER BY i) FROM (SELECT unnest(range(1, copy_id % 7 + 2)) AS i, copy_id % 7 + 1 AS n)) AS lines FROM copies",
+    "wrapped_words": r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda w : w <> '') AS words FROM conversations)
+        SELECT conv_id, turn, CASE WHEN len(words) = 0 THEN '' ELSE list_reduce(words, lambda a, w : CASE WHEN length(split_part(a, '|', -1)) + 1 + length(w) > 40 THEN a || '|' || w ELSE a || ' ' || w END) END AS lines FROM t""",
     "viewport": _BOOKS + "SELECT book_id, title FROM books ORDER BY lower(title), book_id LIMIT 20 OFFSET 23",
     "sync_plan": _PLAN + "SELECT id, status, detail FROM planned",
     "sync_report": _PLAN + "SELECT " + ", ".join(f"CAST(count(*) FILTER (WHERE status = '{s}') AS BIGINT) AS {s}" for s in ("present", "duplicate", "failed", "repair", "transfer")) + " FROM planned",
@@ -391,14 +388,18 @@ ORACLE = {
         SELECT below FROM r WHERE NOT archived AND NOT EXISTS (SELECT 1 FROM r a WHERE a.archived AND a.folder = r.folder AND a.sha = r.sha)""",
     "tsv_lines": _BOOKS + f"""SELECT regexp_replace(title, '[\\x00-\\x1f\\x7f-\\x9f]', ' ', 'g') || chr(9) || author || chr(9) || {_PLACES} || chr(9) || {_SOURCE} || chr(9) || best_size AS line FROM books""",
     "pretty_json": _COPIES + """, c AS (SELECT place, count(*) AS n, sum(CASE WHEN sha = '' THEN 1 ELSE 0 END) AS u FROM copies GROUP BY place) SELECT '{' || chr(10) || '  "place" : "' || place || '",' || chr(10) || '  "entries" : ' || n || ',' || chr(10) || '  "unreadable" : ' || u || chr(10) || '}' AS json FROM c""",
-    "settings_layers": """SELECT * FROM (VALUES (0, '{}'), (1, '{"screen": "x4"}'), (2, '{"books": "/a", "reader": "10.0.0.2", "show_previews": false}'), (3, NULL), (4, NULL), (5, NULL), (6, '{"catalogue": "https://books.example.org/feed"}'),
-        (7, '{"reader": "http://reader.local:8080"}'), (8, NULL), (9, NULL)) AS t(id, settings)""",
+    "settings_layers": """WITH c AS (SELECT client_id, nation_id, client_id % 19 > 0 AS own, CASE WHEN client_id % 2 = 0 THEN CASE WHEN client_id % 14 = 0 THEN '' ELSE '/' END || city END AS books, CASE WHEN segment = 'retail' THEN 'x4-PRO' WHEN balance < -500 THEN 'typewriter' END AS screen,
+          CASE WHEN client_id % 3 = 0 THEN CASE WHEN client_id % 33 = 0 THEN 'http://u@' WHEN client_id % 5 = 0 THEN 'http://' ELSE '' END || '10.0.0.' || nation_id || ':80' END AS reader, CASE WHEN client_id % 5 > 1 THEN CASE WHEN client_id % 65 = 2 THEN 'ftp' ELSE 'https' END || '://' || split_part(email, '@', -1) || '/feed' END AS catalogue,
+          balance > 2500 AS previews, client_id % 17 = 0 AND segment IS NOT NULL AS unknown FROM clients),
+        j AS (SELECT client_id, nation_id, n_nationkey, n_name, own, CASE WHEN own THEN books END AS books, CASE WHEN own THEN screen END AS screen, CASE WHEN own THEN reader END AS reader, CASE WHEN own THEN catalogue END AS catalogue, CASE WHEN own THEN previews END AS previews, own AND unknown AS unknown FROM c LEFT JOIN nation ON n_nationkey = nation_id)
+        SELECT client_id, CASE WHEN NOT coalesce(unknown, false) AND coalesce(starts_with(books, '/'), true) AND coalesce(screen, '') <> 'typewriter' AND NOT coalesce(contains(reader, '@'), false) AND NOT coalesce(starts_with(catalogue, 'ftp'), false) AND coalesce(n_nationkey % 9, 0) <> 4 THEN '{' || concat_ws(',', '"books":"' || coalesce(books, '/' || n_name) || '"',
+          '"catalogue":"' || catalogue || '"', CASE WHEN n_name IS NOT NULL THEN '"kobo":"/mnt"' END, '"reader":"' || coalesce(reader, CASE WHEN n_name IS NOT NULL THEN '[::1]' END) || '"', '"screen":"' || screen || '"', '"show_previews":' || CAST(coalesce(previews, n_name IS NOT NULL OR NULL) AS VARCHAR)) || '}' END AS settings FROM j""",
     "text_forms": _COPIES + f"""SELECT copy_id, translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded, translate(upper(title), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS same,
         regexp_replace(title, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS trimmed, regexp_replace(title, '\\p{{Cc}}', ' ', 'g') AS printable,
         replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped,
         CASE WHEN series IS NOT NULL THEN series || ' ' || CASE WHEN series_index = floor(series_index) THEN CAST(CAST(series_index AS BIGINT) AS VARCHAR) ELSE CAST(series_index AS VARCHAR) END END AS label,
         CASE WHEN {_TITLE_NAME} = '' THEN 'Book' ELSE {_TITLE_NAME} END || ' [' || substr(sha256(path), 1, 12) || '].' || format AS output_name, '2025-09-0' || (copy_id % 9 + 1) AS day, replace(path, '/', '%2F') AS encoded FROM copies""",
-    "web_pages": "SELECT page_id, page_id % 3 < 2 AS web_page FROM pages",
+    "web_pages": r"""SELECT page_id, regexp_matches(regexp_replace(CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN chr(65279) || ' ' || chr(10) || '<HTML>' || html WHEN 2 THEN '<feed>' || html ELSE regexp_extract(html, '(?s)<article>(.*)</article>', 1) END, '^[\s\p{Z}\x{FEFF}]+', ''), '^(?i)(<!doctype html|<html)') AS web_page FROM pages""",
     "fingerprints": "SELECT event_id, CASE WHEN event_id % 10 > 0 THEN event_id || '.' || (epoch_us(ts) // 1000000) || '.' || lpad(CAST(epoch_us(ts) % 1000000 * 1000 AS VARCHAR), 9, '0') END AS fingerprint FROM events",
     "integer_prefixes": _STORE.replace("device AS", "d0 AS") + "SELECT ContentID, CASE length(Title) % 4 WHEN 1 THEN -CAST(Accessibility AS BIGINT) WHEN 2 THEN 0 ELSE CAST(Accessibility AS BIGINT) END AS number FROM store",
     "leaders": _LINES + """, t AS (SELECT doc_id, page, text || '......' || page AS t FROM lines) SELECT doc_id, page, regexp_replace(regexp_replace(regexp_replace(t, '\\.{4,}$', ' …'), '\\.{4,}', ' … ', 'g'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS tidy FROM t""",

@@ -6,11 +6,12 @@ from urllib.parse import quote_plus, urljoin
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions import media as M
+from shelfspark.functions import text as X
 from shelfspark.shipping import ship
 from shelfspark.storage import discard, materialize
 
@@ -102,13 +103,23 @@ def _entry(node: ET.Element, base: str, said) -> dict:
     }
 
 
-def search_address(description: str, base: str, terms: str) -> str:
-    """The address that asks a catalogue for terms, from its OpenSearch description."""
+def search_template(description: str, base: str) -> str:
+    """The address with a place for terms that an OpenSearch description gives for feeds."""
     root = ET.fromstring(description)
     template = next((u.get("template") for u in root.iter(f"{SEARCH}Url") if "opds-catalog" in u.get("type", "") and u.get("template")), None)
     if template is None:
         raise BadFeed("no search that returns a feed")
-    return urljoin(base, template.replace("{searchTerms}", quote_plus(terms, safe="*-._")))
+    return urljoin(base, template)
+
+
+def search_address(description: str, base: str, terms: str) -> str:
+    """The address that asks a catalogue for terms."""
+    return search_template(description, base).replace("{searchTerms}", quote_plus(terms, safe="*-._"))
+
+
+def search_addresses(template: str, terms: Column) -> Column:
+    """The same for a column of terms, from one catalogue's template."""
+    return F.replace(F.lit(template), F.lit("{searchTerms}"), X.form_encoded(terms))
 
 
 CHAIN = "struct<delivery:string,format:string,reason:string,inner:string>"

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +27,42 @@ def test_names_of_corrections():
         sinks.free_name("a", ["a", "a (corrected)", *(f"a (corrected {i})" for i in range(2, 101))])
 
 
+def test_many_names_at_once(spark):
+    pick = random.Random(7)
+    said = ["a.epub", "A.epub", "a (corrected).epub", "a (corrected 2).EPUB", "a (corrected 02).epub", "a (corrected 1).epub", "a", "a (corrected)", "a.b (corrected)", "a (corrected 100).epub", "a (corrected 101).epub", ".epub", "", "a (corrected) (corrected).epub", "\na.epub"]
+    there = [(f, n) for f in "xy" for n in said if pick.random() < 0.5]
+    wanted = [(i, pick.choice("xy"), pick.choice(said)) for i in range(400)] + [(i, "z", "same.pdf") for i in range(400, 530)]
+    asked = {(f, n.lower()) for _, f, n in wanted}
+    taken, want = {(f, n.lower()) for f, n in there}, {}
+    for i, folder, name in wanted:
+        stem, dot, end = name.rpartition(".")
+        stem, end = (stem, dot + end) if dot else (name, "")
+        forms = [name, f"{stem} (corrected){end}", *(f"{stem} (corrected {k}){end}" for k in range(2, 101))]
+        free = [f for k, f in enumerate(forms) if (folder, f.lower()) not in taken and (k == 0 or (folder, f.lower()) not in asked)]
+        want[i] = free[0] if free else None
+        taken.add((folder, (want[i] or "").lower() if free else "/"))
+    w, t = spark.createDataFrame(wanted, "id int, folder string, name string"), spark.createDataFrame(there, "folder string, name string")
+    assert {r.id: r.free for r in sinks.free_names(w, t).collect()} == want and list(want.values()).count(None) >= 29
+    assert {r.free for r in sinks.free_names(w.where("id < 3"), t.limit(0)).collect()} and sinks.free_names(w.limit(0), t).count() == 0
+
+
+def test_layers_of_settings(spark):
+    layers = [
+        None, "", " ", "{}", '{"books": "/b", "screen": "x4pro"}', '{"books": "b"}', '{"books": "s3://b"}', '{"screen": "none"}', '{"screen": "Paper-Mono"}', '{"catalogue": "ftp://x"}', '{"catalogue": "HTTPS://x/y?z"}', '{"catalogue": "http://"}', '{"other": 1}',
+        '{"reader": "http://h/path"}', '{"reader": "h:80"}', '{"reader": "http://[::1]:80/"}', '{"reader": "u@h"}', '{"reader": "https://h"}', '{"show_previews": false}', '{"show_previews": null, "card": "/c"}', "{", '{"kobo": ""}',
+    ]
+    pairs = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in layers for b in layers)]
+
+    def said(a, b):
+        try:
+            return config.load(a).over(config.load(b))
+        except ValueError:
+            return None
+
+    got = spark.createDataFrame(pairs, "i int, a string, b string").select("i", config.layered(F.col("a"), F.col("b")).alias("s")).collect()
+    assert {r.i: None if r.s is None else config.load(r.s) for r in got} == {i: said(a, b) for i, a, b in pairs}
+
+
 def test_settings():
     low, high = config.load('{"books": "/b", "screen": "x4pro"}'), config.load('{"books": "/c"}')
     assert high.over(low) == config.Settings(books="/c", screen="x4pro") and config.load(config.dump(low)) == low and config.load("") == config.Settings()

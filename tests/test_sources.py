@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
+from shelfspark.functions import text as X
 from shelfspark.operators import device as D
 from shelfspark.operators import feed as E
 from shelfspark.operators import layout as Y
@@ -78,6 +79,19 @@ def test_references():
             epub.resolve("OPS", bad)
 
 
+def test_references_as_a_column(spark):
+    rows = [(b, h) for b in ("", "OPS", "OPS/text") for h in ("a.xhtml", "text/c%C3%A9%20d.xhtml#p1", "../img/./x.png", "../../out", "/abs", "x%zz", "x%", "%ff", "http://x/y", "..\\b", "a+b%2Bc", "", "#p", "..", "a//b/../c", "x%EF%BF%BD", "%2e%2e/a")]
+
+    def said(b, h):
+        try:
+            return epub.resolve(b, h)
+        except epub.BadBook:
+            return None
+
+    got = spark.createDataFrame(rows, "b string, h string").select("b", "h", X.resolved_reference(F.col("b"), F.col("h")).alias("p")).collect()
+    assert {(r.b, r.h): r.p for r in got} == {(b, h): said(b, h) for b, h in rows}
+
+
 def test_correction_keeps_identity():
     book = make_epub(more='<meta name="calibre:series" content="Old"/>')
     new = epub.corrected(book, title="New & <better>", series="Saga", series_index="2")
