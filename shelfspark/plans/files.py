@@ -13,6 +13,7 @@ import zipfile
 import zlib
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from shelfspark.plans.library import copies
 from shelfspark.plans.names import _NAME, _PART
 from shelfspark.plans.text import _PARAGRAPHS
 from shelfspark.shipping import ship
-from shelfspark.sources import books, device_db, epub, figures, opds, packing, pdf, reader
+from shelfspark.sources import books, device_db, epub, figures, opds, packing, pdf, reader, screens
 from shelfspark.sources.adapters import view, with_views
 from shelfspark.storage import spread
 
@@ -302,6 +303,45 @@ def pictures(spark: SparkSession, d: str) -> DataFrame:
     return rows.mapInArrow(run, "p_partkey bigint, n int, top double, height double, pixels string, error string")
 
 
+def pictured_books(spark: SparkSession, d: str) -> DataFrame:
+    """path, content: a book for each copy with a small picture, one that is wider than a screen, of one colour, in one of four forms, and a JPEG picture."""
+    ship(spark)
+
+    def one(n: int, title: str, author: str) -> bytes:
+        colour, alpha, width = (n % 256, n * 7 % 256, n * 13 % 256), n % 250, 481 + n % 200
+        pixel = [colour, colour[:1], (*colour, alpha), (1,)][n % 4]
+        chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+        rows = b"\0" + bytes(pixel) * width + (b"\2" + bytes(len(pixel)) * width) * (n % 7)  # those below are as the first
+        wide = screens.PNG + chunk(b"IHDR", width.to_bytes(4, "big") + (1 + n % 7).to_bytes(4, "big") + bytes((8, (2, 0, 6, 3)[n % 4], 0, 0, 0))) + (chunk(b"PLTE", bytes((9, 9, 9, *colour))) if n % 4 == 3 else b"")
+        wide += chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+        small = figures.png(np.array([[(n % 256, 0, 255), (0, n % 256, n % 128), (255, 255, n % 256)]], np.uint8))
+        pictures = {"a b/small.png": small, "a b/wide.png": wide, "a b/photo.jpg": screens.JPEG + b"x"}
+        return epub.rewritten(made_epub(n * WAYS + 20, title, author, "text"), {}, pictures if n % 9 else {"a b/photo.jpg": screens.JPEG})
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([{"path": str(r["copy_id"]), "content": one(r["copy_id"], r["title"], r["author"])}], schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return copies(spark, d).select("copy_id", "title", "author").mapInArrow(run, "path string, content binary")
+
+
+def device_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each book's pictures on a device: the small one's pixels, the wide one's size and colours, and whether all else is as it was."""
+    both = pictured_books(spark, d)
+    made = screens.device_copies(both, "X4").withColumnRenamed("content", "made").join(both, "path")
+
+    def one(r: dict) -> dict:
+        old, new = (zipfile.ZipFile(io.BytesIO(r[k])) for k in ("content", "made"))
+        out = {"copy_id": int(r["path"]), "pictures": r["pictures"], "left": r["left"], "small": None, "width": None, "height": None, "colours": None, "mark": None}
+        if r["pictures"]:
+            wide = screens.decoded(new.read("a b/wide.png"))
+            out |= {"small": screens.decoded(new.read("a b/small.png")).tobytes().hex(), "width": wide.shape[1], "height": wide.shape[0], "colours": " ".join(sorted({bytes(x).hex() for x in wide.reshape(-1, wide.shape[2])})), "mark": new.read(epub.DEVICE_MARKER).decode()}
+        return out | {"same": all(old.read(n) == new.read(n) for n in old.namelist() if not n.endswith("png"))}
+
+    return each(made, "copy_id bigint, pictures int, left int, small string, width int, height int, colours string, mark string, same boolean", one)
+
+
 FEED_HOST = "http://books.example.org"
 
 
@@ -432,6 +472,7 @@ QUERIES = {
     "files_read": files_read,
     "pdf_text": pdf_text,
     "pictures": pictures,
+    "device_pictures": device_pictures,
     "converted_books": converted,
     "corrected_books": corrected,
     "spanned_books": spanned,
@@ -493,6 +534,11 @@ ORACLE = {
         UNION ALL SELECT p_partkey, 4, 10.0, 1.0, NULL, 'fewer samples than pixels' FROM p
         UNION ALL SELECT p_partkey, 5, 10.0, 1.0, repeat(printf('%02x', CAST((p_partkey % 256 * 256 + p_size) // 257 AS INT)), 3) || repeat(printf('%02x', CAST((p_size * 256 + p_partkey % 256) // 257 AS INT)), 3) || 'ffffff', NULL FROM p
         UNION ALL SELECT p_partkey, 6, 10.0, 1.0, repeat(CASE WHEN p_partkey % 8 // 4 = 1 THEN 'ff' ELSE '00' END, 3) || repeat(CASE WHEN p_partkey % 4 // 2 = 1 THEN 'ff' ELSE '00' END, 3) || repeat(CASE WHEN p_partkey % 2 = 1 THEN 'ff' ELSE '00' END, 3) || '/ffffff000000ffffff', NULL FROM p""",
+    "device_pictures": with_views("copies") + """, n AS (SELECT copy_id, copy_id % 9 > 0 AS made, copy_id % 256 AS r, copy_id * 7 % 256 AS g, copy_id * 13 % 256 AS b, copy_id % 128 AS h, copy_id % 7 + 1 AS rows, 481 + copy_id % 200 AS cols FROM copies),
+        l AS (SELECT *, printf('%02x', CAST((2126 * r + 7152 * g + 722 * b) // 10000 AS INT)) AS gray FROM n)
+        SELECT copy_id, CASE WHEN made THEN 2 ELSE 0 END AS pictures, 1 AS left, CASE WHEN made THEN printf('%02x', CAST((2126 * r + 722 * 255) // 10000 AS INT)) || printf('%02x', CAST((7152 * r + 722 * h) // 10000 AS INT)) || printf('%02x', CAST((2126 * 255 + 7152 * 255 + 722 * r) // 10000 AS INT)) END AS small,
+        CASE WHEN made THEN 480 END AS width, CASE WHEN made THEN CAST(greatest(1, floor(rows * (480 / cols) + 0.5)) AS INT) END AS height, CASE WHEN made THEN CASE copy_id % 4 WHEN 1 THEN printf('%02x', CAST(r AS INT)) WHEN 2 THEN gray || printf('%02x', CAST(copy_id % 250 AS INT)) ELSE gray END END AS colours,
+        CASE WHEN made THEN 'xteink-x4-images-v1:480x800:gray:jpeg85' END AS mark, true AS same FROM l""",
     "feed_entries": with_views("offers") + f""" SELECT {_PAGE} AS address, entry_id, CASE WHEN entry_id % 5 > 0 THEN 'Order ' || entry_id ELSE 'Untitled' END AS title,
         CASE entry_id % 3 WHEN 0 THEN 'Unknown author' WHEN 1 THEN 'Author 0 of ' || entry_id ELSE 'Author 0 of ' || entry_id || ' and others' END AS author, CASE WHEN entry_id % 7 = 0 THEN '{FEED_HOST}/feeds/more' END AS subsection,
         CAST(count(*) AS INT) AS n_offers, '{FEED_HOST}/get/' || entry_id || '/' || min(ord) AS first FROM offers WHERE {_SHOWN} GROUP BY entry_id""",

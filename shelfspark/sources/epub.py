@@ -237,14 +237,16 @@ def validate_as(format_: str, data: bytes) -> None:
         raise BadBook(f"unknown format {format_}")
 
 
-def _rewritten(data: bytes, change: dict[str, bytes]) -> bytes:
-    """The archive with some members replaced; the media type first and stored, as readers want it."""
-    old, out = _open(data), io.BytesIO()
+def rewritten(data: bytes, change: dict[str, bytes], added: dict[str, bytes] | None = None) -> bytes:
+    """The archive with some members replaced or put at its end; the media type first and stored, as readers want it."""
+    old, out, added = _open(data), io.BytesIO(), added or {}
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
         new.writestr(zipfile.ZipInfo("mimetype"), MIMETYPE, zipfile.ZIP_STORED)
         for i in old.infolist():
-            if i.filename != "mimetype":
+            if i.filename != "mimetype" and i.filename not in added:
                 new.writestr(zipfile.ZipInfo(i.filename, i.date_time), b"" if i.is_dir() else change.get(i.filename, old.read(i)), zipfile.ZIP_DEFLATED)
+        for name, body in added.items():
+            new.writestr(zipfile.ZipInfo(name), body, zipfile.ZIP_STORED)
     return out.getvalue()
 
 
@@ -276,7 +278,7 @@ def corrected(data: bytes, title: str | None = None, author: str | None = None,
                 if _number(series_index) is None:
                     raise BadBook("the place in a series is no number")
                 added += f'<meta name="calibre:series_index" content="{clean(series_index)}"/><meta refines="#{SERIES_ID}" property="group-position">{clean(series_index)}</meta>'
-    out = _rewritten(data, {root: (head + added + end + tail).encode()})
+    out = rewritten(data, {root: (head + added + end + tail).encode()})
     validate(out)
     after = metadata(out)
     if title and title.strip() and after.title != title.strip() or series and series.strip() and after.series != series.strip():
@@ -290,7 +292,7 @@ def with_spans(data: bytes) -> bytes:
     package = _xml(_member(z, package_path(z)), "the package document")
     folder = posixpath.dirname(package_path(z))
     prose = {resolve(folder, e.get("href")) for e in package.iter() if _local(e) == "item" and e.get("media-type") == "application/xhtml+xml" and e.get("href")}
-    return _rewritten(data, {n: spanned(z.read(n).decode()).encode() for n in z.namelist() if n in prose})
+    return rewritten(data, {n: spanned(z.read(n).decode()).encode() for n in z.namelist() if n in prose})
 
 
 def written(title: str, author: str, chapters: list[tuple[str, list[tuple[str, str]]]]) -> bytes:

@@ -103,11 +103,15 @@ def over_white(d: Document, stream: Stream, rgb: np.ndarray) -> np.ndarray:
     return ((rgb * alpha + 255 * (255 - alpha)) // 255).astype(np.uint8)
 
 
-def png(rgb: np.ndarray) -> bytes:
-    height, width = rgb.shape[:2]
+def png(levels: np.ndarray) -> bytes:
+    """A PNG of one to four channels: gray, gray and alpha, RGB, RGBA; 8 or 16 bits by the type of the levels."""
+    height, width, n = levels.shape
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    rows = np.concatenate([np.zeros((height, 1), np.uint8), rgb.reshape(height, -1)], axis=1)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+    bits = 8 * levels.dtype.itemsize
+    body = np.frombuffer(levels.astype(">u2" if bits == 16 else np.uint8).tobytes(), np.uint8).reshape(height, -1)
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), body], axis=1)
+    head = struct.pack(">IIBBBBB", width, height, bits, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
 def picture(d: Document, stream: Stream) -> tuple[str, bytes]:
