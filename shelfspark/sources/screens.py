@@ -136,9 +136,10 @@ def weights(n: int, m: int) -> np.ndarray:
     centre = (np.arange(n)[:, None] + 0.5) * scale
     k = np.floor(centre - 3 * wide).astype(np.int64) + np.arange(int(np.ceil(6 * wide)) + 2)
     x = (k - (centre - 0.5)) / wide
-    w = np.where((np.abs(x) < 3) & (k >= 0) & (k < np.minimum(np.ceil(centre + 3 * wide), m)), np.sinc(x) * np.sinc(x / 3), 0)
+    there = (np.abs(x) < 3) & (k >= 0) & (k < np.minimum(np.ceil(centre + 3 * wide), m))
+    w = np.where(there, np.sinc(x) * np.sinc(x / 3), 0)
     out = np.zeros((n, m), np.float32)
-    np.add.at(out, (np.arange(n)[:, None], np.clip(k, 0, m - 1)), (w / w.sum(1, keepdims=True)).astype(np.float32))
+    out[np.nonzero(there)[0], k[there]] = (w / w.sum(1, keepdims=True))[there]
     return out
 
 
