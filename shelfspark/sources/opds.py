@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from shelfspark.functions import media as M
 from shelfspark.functions import text as X
-from shelfspark.shipping import ship
+from shelfspark.shipping import in_batches, ship
 from shelfspark.storage import discard, materialize
 
 ATOM, OPDS, DCTERMS, SEARCH = "{http://www.w3.org/2005/Atom}", "{http://opds-spec.org/2010/catalog}", "{http://purl.org/dc/terms/}", "{http://a9.com/-/spec/opensearch/1.1/}"
@@ -132,25 +132,24 @@ def feeds(captured: DataFrame) -> DataFrame:
     """Feeds from captured documents (address, text); one that is none has an error and no entries."""
     ship(captured.sparkSession)
 
-    def run(batches):
+    def read(batches):
         for batch in batches:
-            out = []
-            for address, text in zip(batch.column("address").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for address, text in zip(batch.column("address"), batch.column("text"), strict=True):
+                address, text = address.as_py(), text.as_py() or ""
                 row = {"address": address, "title": None, "next": None, "search": None, "authentication": None, "entries": [], "error": None}
                 try:
-                    if len((text or "").encode()) > MAX_FEED:
+                    if len(text.encode()) > MAX_FEED:
                         raise BadFeed("larger than a feed may be")
-                    row |= parse(text or "", address)
+                    row |= parse(text, address)
                 except BadFeed as e:
                     row["error"] = str(e)
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                yield row, len(text)
 
     target = T._parse_datatype_string(FEED)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(target)
-    return captured.select("address", "text").mapInArrow(run, target)
+    return captured.select("address", "text").mapInArrow(lambda batches: in_batches(read(batches), schema), target)
 
 
 def entries(made: DataFrame) -> DataFrame:
