@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -19,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from shelfspark.shipping import ship
+from shelfspark.shipping import in_batches, ship
 from shelfspark.storage import fresh
 
 #: Rows of a table that one task reads.
@@ -197,16 +196,17 @@ def tables(files: DataFrame, name: str) -> DataFrame:
     schema = T._parse_datatype_string("path STRING, " + TABLES[name])
     kinds = [f.dataType.typeName() for f in schema.fields[1:]]
 
-    def run(batches):
+    def read(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 db = sqlite3.connect(":memory:")
-                db.deserialize(content)
-                rows = [(path, *r) for r in columns_of(db, name, schema.names[1:], kinds)]
+                db.deserialize(content.as_buffer())
+                for r in columns_of(db, name, schema.names[1:], kinds):
+                    yield dict(zip(schema.names, (path.as_py(), *r), strict=True)), sum(len(x) for x in r if isinstance(x, str))
                 db.close()
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=to_arrow_schema(schema))
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    arrow = to_arrow_schema(schema)
+    return files.select("path", "content").mapInArrow(lambda batches: in_batches(read(batches), arrow), schema)
 
 
 def copied(spark: SparkSession, path: str) -> str:
